@@ -132,43 +132,61 @@ def split_by_gap(
 # --- one-to-one pairing, closest first ---------------------------------------------------------
 
 
-def _distinct_sides(left: DataFrame, right: DataFrame, key: str, lval: str, rval: str) -> DataFrame:
-    both = left.select(key, F.col(lval).alias("v"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
-        right.select(key, F.col(rval).alias("v"), F.lit(0).alias("l"), F.lit(1).alias("r"))
+def collapse_sides(left: DataFrame, right: DataFrame, key: str, lval: str, rval: str, lpay: str | None = None, rpay: str | None = None) -> DataFrame:
+    """Both lists as distinct values: ``key, v, n_l, n_r, p_l, p_r``. Combined map-side, so copies never travel.
+
+    A payload is the largest one of the copies.
+    """
+    none = F.lit(None).cast("double")
+    both = left.select(
+        key, F.col(lval).alias("v"), F.lit(1).alias("l"), F.lit(0).alias("r"), (F.col(lpay) if lpay else none).alias("pl"), none.alias("pr")
+    ).unionByName(
+        right.select(key, F.col(rval).alias("v"), F.lit(0).alias("l"), F.lit(1).alias("r"), none.alias("pl"), (F.col(rpay) if rpay else none).alias("pr"))
+    )
+    return both.where("v IS NOT NULL").groupBy(key, "v").agg(
+        F.sum("l").alias("n_l"), F.sum("r").alias("n_r"), F.max("pl").alias("p_l"), F.max("pr").alias("p_r")
     )
-    return both.where("v IS NOT NULL").groupBy(key, "v").agg(F.sum("l").alias("n_l"), F.sum("r").alias("n_r"))
 
 
-def pair_values(left: DataFrame, right: DataFrame, key: str, lval: str, rval: str, tol: Tolerance) -> DataFrame:
-    """Pair the values of two lists, the closest pair first, each value used as often as it occurs.
+def pair_pieces(values: DataFrame, key: str, tol: Tolerance) -> DataFrame:
+    """One row per piece of a key's distinct values, with its pairs in ``done``.
 
-    Returns ``key, l, r, n, l_from, r_from``: `n` copies of value `l` (those after its first
-    `l_from`) go with as many copies of `r`. Equal distances are taken from the large values down.
+    The gap test, the piece numbers and the grouping all run on one partitioning by `key`; what a key
+    holds here is its distinct values. ``vs`` keeps the values of the piece.
     """
-    values = _distinct_sides(left, right, key, lval, rval)
-    pieces = split_by_gap(values, [key], "v", tol.of(F.col("v")))
-    # a piece with one side only pairs with nothing; dropping it here keeps its values out of the fold
-    grouped = pieces.groupBy(key, "piece").agg(
-        F.sum("n_l").alias("_l"), F.sum("n_r").alias("_r"), F.collect_list(F.struct("v", "n_l", "n_r")).alias("vs")
-    ).where("_l > 0 AND _r > 0")
+    series = Window.partitionBy(key).orderBy("v")
+    step = F.col("v") - F.lag("v").over(series)
+    cut = values.withColumn("_cut", F.when(step > tol.of(F.col("v")), 1).otherwise(0))
+    pieces = cut.withColumn("piece", F.sum("_cut").over(series.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = pieces.groupBy(key, "piece").agg(F.collect_list(F.struct("v", "n_l", "n_r", "p_l", "p_r")).alias("vs"))
     tolerance = f"({tol.rel!r}D * greatest(a.v, {tol.floor!r}D) + {tol.abs!r}D)"
     edges = f"""
         array_sort(flatten(transform(filter(vs, a -> a.n_l > 0), a ->
           transform(filter(vs, b -> b.n_r > 0 AND abs(a.v - b.v) <= {tolerance}), b ->
-            named_struct('dev', abs(a.v - b.v), 'nl_', -a.v, 'nr_', -b.v, 'l', a.v, 'r', b.v, 'cl', a.n_l, 'cr', b.n_r)))))"""
-    fold = """
-        aggregate(edges, cast(array() AS array<struct<l:double,r:double,n:bigint,l_from:bigint,r_from:bigint>>), (done, e) ->
+            named_struct('dev', abs(a.v - b.v), 'nl_', -a.v, 'nr_', -b.v, 'l', a.v, 'r', b.v, 'cl', a.n_l, 'cr', b.n_r, 'p_l', a.p_l, 'p_r', b.p_r)))))"""
+    empty = "cast(array() AS array<struct<l:double,r:double,n:bigint,l_from:bigint,r_from:bigint,p_l:double,p_r:double>>)"
+    fold = f"""
+        aggregate({edges}, {empty}, (done, e) ->
           transform(array(named_struct(
               'ul', aggregate(filter(done, p -> p.l = e.l), 0L, (s, p) -> s + p.n),
               'ur', aggregate(filter(done, p -> p.r = e.r), 0L, (s, p) -> s + p.n))), u ->
             CASE WHEN least(e.cl - u.ul, e.cr - u.ur) > 0
-              THEN concat(done, array(named_struct('l', e.l, 'r', e.r, 'n', least(e.cl - u.ul, e.cr - u.ur), 'l_from', u.ul, 'r_from', u.ur)))
+              THEN concat(done, array(named_struct('l', e.l, 'r', e.r, 'n', least(e.cl - u.ul, e.cr - u.ur),
+                                                   'l_from', u.ul, 'r_from', u.ur, 'p_l', e.p_l, 'p_r', e.p_r)))
               ELSE done END)[0])"""
-    return (
-        grouped.withColumn("edges", F.expr(edges))
-        .select(key, F.explode(F.expr(fold)).alias("p"))
-        .select(key, "p.*")
-    )
+    return grouped.withColumn("done", F.when(F.size("vs") > 1, F.expr(fold)).otherwise(F.expr(
+        # a lone value pairs at most with itself
+        f"CASE WHEN vs[0].n_l > 0 AND vs[0].n_r > 0 THEN array(named_struct('l', vs[0].v, 'r', vs[0].v, 'n', least(vs[0].n_l, vs[0].n_r), 'l_from', 0L, 'r_from', 0L, 'p_l', vs[0].p_l, 'p_r', vs[0].p_r)) ELSE {empty} END")))
+
+
+def pair_values(left: DataFrame, right: DataFrame, key: str, lval: str, rval: str, tol: Tolerance) -> DataFrame:
+    """Pair the values of two lists, the closest pair first, each value used as often as it occurs.
+
+    Returns ``key, l, r, n, l_from, r_from``: `n` copies of value `l` (those after its first
+    `l_from`) go with as many copies of `r`. Equal distances are taken from the large values down.
+    """
+    pieces = pair_pieces(collapse_sides(left, right, key, lval, rval), key, tol)
+    return pieces.select(key, F.explode("done").alias("p")).select(key, "p.l", "p.r", "p.n", "p.l_from", "p.r_from")
 
 
 def match_one_to_one(
@@ -241,95 +259,110 @@ def match_stated(fitted: DataFrame, stated: DataFrame, key: str, tol: Tolerance
 # --- reflection lists ---------------------------------------------------------------------------
 
 
-def _one_per_d(lines: DataFrame) -> DataFrame:
-    """One line per printed d with its largest intensity; blank intensities are left out where the list has any."""
-    has_any = lines.groupBy("entry_id").agg(F.bool_or(F.coalesce(F.col("i") != 0, F.lit(False))).alias("_any"))
-    kept = lines.join(has_any, "entry_id").where("NOT _any OR coalesce(i, 0) <> 0")
-    return kept.groupBy("entry_id", "d").agg(F.max("i").alias("i"))
-
-
 def missing_lines(paper: DataFrame, entry: DataFrame, weak: float = 5.0) -> DataFrame:
     """Lines of the paper's list that the entry's list lacks, where the entry plainly came from that list.
 
     Both lists: ``entry_id, d, i``. Kept: entries with eight lines or more on both sides, nine in ten of
     their lines paired, one to four absences. A line below the entry's weakest is not missing. ``twin`` is
-    an unpaired entry line near it at the same scaled intensity; ``strong`` makes the finding a flag.
+    an entry line near none of the paper's, close by at the same scaled intensity; ``strong`` absences or a
+    twin make the finding a flag. A multiply indexed d is one line; blank intensities of the paper are left
+    out where its list has any.
     """
-    obs = _one_per_d(paper)
-    own = entry.where("d IS NOT NULL").groupBy("entry_id", "d").agg(F.max("i").alias("i"))
-    pairs = pair_values(obs, own, "entry_id", "d", "d", LINE_TOLERANCE)
-    rows = entry.where("d IS NOT NULL").groupBy("entry_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    sizes = (
-        obs.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n_obs"), F.max("i").alias("max_obs"))
-        .join(
-            own.groupBy("entry_id").agg(
-                F.count(F.lit(1)).alias("n_own"), F.max("i").alias("max_own"), F.min(F.when(F.col("i") != 0, F.col("i"))).alias("min_own")
-            ),
-            "entry_id",
-        )
-        .join(rows, "entry_id")
-        .join(pairs.groupBy("entry_id").agg(F.sum("n").alias("n_pairs")), "entry_id")
-        .where("n_obs >= 8 AND n_rows >= 8 AND n_pairs >= 0.9 * n_own AND n_obs - n_pairs BETWEEN 1 AND 4")
+    rows = collapse_sides(paper, entry, "entry_id", "d", "d", "i", "i")
+    of_entry = Window.partitionBy("entry_id")
+    rated = F.coalesce(F.col("p_l"), F.lit(0.0)) != 0
+    rows = (
+        rows.withColumn("_rated", F.max(F.when(rated, 1).otherwise(0)).over(of_entry))
+        .withColumn("n_rows", F.sum("n_r").over(of_entry))
+        .withColumn("n_l", F.when((F.col("n_l") > 0) & ((F.col("_rated") == 0) | rated), 1).otherwise(0).cast("bigint"))
+        .withColumn("n_r", F.least(F.col("n_r"), F.lit(1)).cast("bigint"))
+        .where("n_l + n_r > 0 AND n_rows >= 8")
+    )
+    near = f"exists(vs, b -> b.n_l > 0 AND abs(a.v - b.v) <= {LINE_TOLERANCE.rel!r}D * greatest(a.v, {LINE_TOLERANCE.floor!r}D) + {LINE_TOLERANCE.abs!r}D)"
+    pieces = pair_pieces(rows.select("entry_id", "v", "n_l", "n_r", "p_l", "p_r"), "entry_id", LINE_TOLERANCE).select(
+        "entry_id",
+        F.size("done").alias("k"),
+        F.expr("size(filter(vs, a -> a.n_l > 0))").alias("k_obs"),
+        F.expr("size(filter(vs, a -> a.n_r > 0))").alias("k_own"),
+        F.expr("array_max(transform(filter(vs, a -> a.n_l > 0), a -> a.p_l))").alias("top_obs"),
+        F.expr("array_max(transform(filter(vs, a -> a.n_r > 0), a -> a.p_r))").alias("top_own"),
+        F.expr("array_min(transform(filter(vs, a -> a.n_r > 0 AND a.p_r <> 0), a -> a.p_r))").alias("low_own"),
+        F.expr("filter(vs, a -> a.n_l > 0 AND NOT exists(done, p -> p.l = a.v))").alias("absent"),
+        F.expr(f"filter(vs, a -> a.n_r > 0 AND a.p_r <> 0 AND NOT {near})").alias("stray"),
+    )
+    # per-entry totals on the partitioning the pieces already have
+    totals = (
+        pieces.withColumn("n_pairs", F.sum("k").over(of_entry))
+        .withColumn("n_obs", F.sum("k_obs").over(of_entry))
+        .withColumn("n_own", F.sum("k_own").over(of_entry))
+        .withColumn("max_obs", F.max("top_obs").over(of_entry))
+        .withColumn("max_own", F.max("top_own").over(of_entry))
+        .withColumn("min_own", F.min("low_own").over(of_entry))
+        .where("n_obs >= 8 AND n_pairs >= 0.9 * n_own AND n_obs - n_pairs BETWEEN 1 AND 4")
         .withColumn("scale", F.coalesce(F.expr("max_own / nullif(max_obs, 0)"), F.lit(1.0)))
     )
-    absent = (
-        obs.join(sizes, "entry_id")
-        .join(pairs.select("entry_id", F.col("l").alias("d")), ["entry_id", "d"], "left_anti")
-        .where("i IS NULL OR min_own IS NULL OR i * scale >= min_own - 1e-9")
+    absent = totals.select("entry_id", "scale", "max_obs", "min_own", F.explode("absent").alias("a")).select(
+        "entry_id", "scale", "max_obs", "min_own", F.col("a.v").alias("d"), F.col("a.p_l").alias("i")
+    ).where("i IS NULL OR i = 0 OR min_own IS NULL OR i * scale >= min_own - 1e-9")
+    stray = totals.select("entry_id", F.explode("stray").alias("t")).select(
+        "entry_id", F.col("t.v").alias("twin_d"), F.col("t.p_r").alias("twin_i")
     )
-    # entry lines near none of the paper's, for the few entries that have absences
-    stray = own.where("i <> 0").join(sizes.select("entry_id"), "entry_id", "left_semi")
-    stray = near_join(stray, obs.select("entry_id", F.col("d").alias("obs_d")), ["entry_id"], "d", "obs_d", LINE_TOLERANCE, 0.05, "left_anti")
-    twins = absent.select("entry_id", "d", (F.col("i") * F.col("scale")).alias("si")).join(
-        stray.select("entry_id", F.col("d").alias("twin_d"), F.col("i").alias("twin_i")), "entry_id"
-    ).where("abs(twin_d - d) / d < 0.03 AND abs(twin_i - si) <= 0.02 * greatest(twin_i, 1) + 0.5")
-    twins = twins.groupBy("entry_id", "d").agg(F.max("twin_d").alias("twin"))
-    found = absent.join(twins, ["entry_id", "d"], "left")
-    strong = found.groupBy("entry_id").agg(
-        F.bool_or(
-            F.col("twin").isNotNull() | F.coalesce(F.expr(f"100.0 * i / coalesce(nullif(max_obs, 0), 100.0) >= {weak}"), F.lit(False))
-        ).alias("strong")
+    # at most four absences to an entry, so this repeats a stray line at most four times
+    found = absent.join(
+        stray, (absent.entry_id == stray.entry_id) & F.expr("abs(twin_d - d) / d < 0.03 AND abs(twin_i - i * scale) <= 0.02 * greatest(twin_i, 1) + 0.5"), "left"
+    ).groupBy(absent.entry_id, "d", "i", "max_obs").agg(F.max("twin_d").alias("twin"))
+    strong = F.col("twin").isNotNull() | F.coalesce(F.expr(f"100.0 * i / coalesce(nullif(max_obs, 0), 100.0) >= {weak}"), F.lit(False))
+    return found.withColumn("strong", F.max(F.when(strong, 1).otherwise(0)).over(of_entry)).select(
+        "entry_id", "d", "i", "twin", F.when(F.col("strong") == 1, "flag").otherwise("note").alias("sev")
     )
-    return found.join(strong, "entry_id").select("entry_id", "d", "i", "twin", F.when(F.col("strong"), "flag").otherwise("note").alias("sev"))
 
 
 def intensity_outliers(paper: DataFrame, entry: DataFrame) -> DataFrame:
     """Entry lines whose intensity is not the paper's on the scale nearly all other lines share.
 
     The scale is the upper median of the ratios; four in five pairs must sit within 15 % or two units of
-    it, and at most three lines may be off by a factor of two and ten units.
+    it, and at most three lines may be off by a factor of two and ten units. A d the paper prints twice, or
+    the entry with two intensities, is left out.
     """
-    obs = paper.where("i IS NOT NULL AND i <> 0").groupBy("entry_id", "d").agg(
-        F.count(F.lit(1)).alias("k"), F.max("i").alias("paper_i")
-    ).where("k = 1")
-    own = entry.where("d IS NOT NULL AND i IS NOT NULL AND i <> 0").groupBy("entry_id", "d").agg(
-        F.max("i").alias("own_i"), F.min("i").alias("low")
-    ).where("own_i = low").drop("low")
-    pairs = pair_values(obs, own, "entry_id", "d", "d", LINE_TOLERANCE).select("entry_id", "l", "r")
+    both = paper.where("i IS NOT NULL AND i <> 0 AND d IS NOT NULL").select("entry_id", "d", F.lit(1).alias("l"), F.lit(0).alias("r"), "i").unionByName(
+        entry.where("i IS NOT NULL AND i <> 0 AND d IS NOT NULL").select("entry_id", "d", F.lit(0).alias("l"), F.lit(1).alias("r"), "i")
+    )
+    own_i = F.when(F.col("r") == 1, F.col("i"))
+    rows = both.groupBy("entry_id", F.col("d").alias("v")).agg(
+        F.sum("l").alias("n_l"), F.sum("r").alias("n_r"), F.max(F.when(F.col("l") == 1, F.col("i"))).alias("p_l"),
+        F.max(own_i).alias("p_r"), F.min(own_i).alias("low"),
+    )
+    of_entry = Window.partitionBy("entry_id")
+    rows = (
+        rows.withColumn("n_l", F.when(F.col("n_l") == 1, 1).otherwise(0).cast("bigint"))
+        .withColumn("n_r", F.when((F.col("n_r") > 0) & (F.col("p_r") == F.col("low")), 1).otherwise(0).cast("bigint"))
+        .where("n_l + n_r > 0")
+        .withColumn("n_obs", F.sum("n_l").over(of_entry))
+        .withColumn("n_own", F.sum("n_r").over(of_entry))
+        .where("n_obs >= 8 AND n_own >= 8")
+    )
+    pieces = pair_pieces(rows.select("entry_id", "v", "n_l", "n_r", "p_l", "p_r"), "entry_id", LINE_TOLERANCE)
     lines = (
-        pairs.join(obs.select("entry_id", F.col("d").alias("l"), "paper_i"), ["entry_id", "l"])
-        .join(own.select("entry_id", F.col("d").alias("r"), "own_i"), ["entry_id", "r"])
-    )
-    sizes = own.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n_own")).join(
-        obs.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n_obs")), "entry_id"
-    ).where("n_own >= 8 AND n_obs >= 8")
-    scale = lines.withColumn("ratio", F.col("own_i") / F.col("paper_i")).groupBy("entry_id").agg(
-        F.expr("-percentile_disc(0.5) WITHIN GROUP (ORDER BY -ratio)").alias("scale"),
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.max("own_i").alias("top"),
-    )
-    usable = scale.join(sizes, "entry_id").where("n_pairs >= 8 AND n_pairs >= 0.9 * n_own")
+        pieces.select("entry_id", "done", F.expr("size(filter(vs, a -> a.n_r > 0))").alias("k_own"))
+        .withColumn("n_own", F.sum("k_own").over(of_entry))
+        .select("entry_id", "n_own", F.explode("done").alias("p"))
+        .select("entry_id", "n_own", F.col("p.r").alias("d"), F.col("p.p_l").alias("paper_i"), F.col("p.p_r").alias("own_i"))
+        .withColumn("ratio", F.col("own_i") / F.col("paper_i"))
+        .withColumn("n", F.count(F.lit(1)).over(of_entry))
+        .where("n >= 8 AND n >= 0.9 * n_own")
+    )
+    middle = F.row_number().over(of_entry.orderBy("ratio")) - 1
+    lines = lines.withColumn("k", middle).withColumn("scale", F.max(F.expr("CASE WHEN k = n div 2 THEN ratio END")).over(of_entry))
     judged = (
-        lines.join(usable, "entry_id")
+        lines.withColumn("top", F.max("own_i").over(of_entry))
         .withColumn("want", F.col("paper_i") * F.col("scale"))
         .withColumn("near", F.expr("abs(own_i - want) <= greatest(0.15 * greatest(own_i, want), 2.0 * top / 100.0)"))
         .withColumn("off", F.expr("greatest(own_i, want) >= 2 * greatest(least(own_i, want), 1e-9) AND abs(own_i - want) >= 10.0 * top / 100.0"))
+        .withColumn("n_near", F.count_if("near").over(of_entry))
+        .withColumn("n_off", F.count_if("off").over(of_entry))
     )
-    kept = judged.groupBy("entry_id").agg(
-        F.count_if("near").alias("n_near"), F.count_if("off").alias("n_off"), F.count(F.lit(1)).alias("n")
-    ).where("n_near >= 0.8 * n AND n_off BETWEEN 1 AND 3")
-    return judged.where("off").join(kept.select("entry_id"), "entry_id", "left_semi").select(
-        "entry_id", F.col("r").alias("d"), "own_i", F.round("want", 1).alias("want_i")
+    return judged.where("off AND n_near >= 0.8 * n AND n_off BETWEEN 1 AND 3").select(
+        "entry_id", "d", "own_i", F.round("want", 1).alias("want_i")
     )
 
 
