@@ -440,13 +440,13 @@ def basis_candidates(published: DataFrame) -> DataFrame:
     oxygen = sums.select("sample_id", F.posexplode(totals).alias("turn", "m")).where("m < 0").select(
         "sample_id", "turn", F.lit("O").alias("kind"), F.lit("").alias("element"), (-F.col("m")).alias("n")
     )
-    whole = sums.where("cations > 0 AND abs(cations - bround(cations)) < 0.08").select(
+    whole = sums.where("cations > 0 AND round(abs(cations - bround(cations)), 9) < 0.08").select(
         "sample_id", F.lit(10).alias("turn"), F.lit("cations").alias("kind"), F.lit("").alias("element"), F.bround("cations").alias("n")
     )
     sulfide = sums.where("chalc >= 0.9 AND o = 0").select(
         "sample_id", F.lit(11).alias("turn"), F.lit("element").alias("kind"), F.col("chalc_names").alias("element"), F.bround("chalc").alias("n")
     )
-    single = published.where(cation & (F.col("n") >= 0.9) & (F.abs(F.col("n") - F.bround("n")) < 0.06)).select(
+    single = published.where(cation & (F.col("n") >= 0.9) & (F.round(F.abs(F.col("n") - F.bround("n")), 9) < 0.06)).select(
         "sample_id", F.lit(20).alias("turn"), F.lit("element").alias("kind"), "element", F.bround("n").alias("n")
     )
     sulfate = sums.where("s >= 0.9 AND o > 0").select(

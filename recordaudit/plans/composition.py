@@ -172,8 +172,8 @@ bs AS (SELECT sample_id, sum(CASE WHEN element IN ('O','F','Cl') THEN n ELSE 0 E
    sum(CASE WHEN element NOT IN ('H','O','F','Cl','Br','I','S','Se','Te') THEN n ELSE 0 END) AS ct FROM pub GROUP BY sample_id),
 cand AS (SELECT sample_id, turn, 'O' AS kind, '' AS element, v AS n FROM (SELECT sample_id, v, row_number() OVER (PARTITION BY sample_id ORDER BY v DESC) - 1 AS turn FROM (
      SELECT DISTINCT sample_id, unnest([round_even(an, 0), round_even(an - w, 0), round_even(an - w - f, 0)]) AS v FROM bs)) WHERE v > 0
-  UNION ALL SELECT sample_id, 10, 'cations', '', round_even(ct, 0) FROM bs WHERE ct > 0 AND abs(ct - round_even(ct, 0)) < 0.08
-  UNION ALL SELECT sample_id, 20, 'element', element, round_even(n, 0) FROM pub WHERE element NOT IN ('H','O','F','Cl','Br','I','S','Se','Te') AND n >= 0.9 AND abs(n - round_even(n, 0)) < 0.06),
+  UNION ALL SELECT sample_id, 10, 'cations', '', round_even(ct, 0) FROM bs WHERE ct > 0 AND round(abs(ct - round_even(ct, 0)), 9) < 0.08
+  UNION ALL SELECT sample_id, 20, 'element', element, round_even(n, 0) FROM pub WHERE element NOT IN ('H','O','F','Cl','Br','I','S','Se','Te') AND n >= 0.9 AND round(abs(n - round_even(n, 0)), 9) < 0.06),
 atoms AS (SELECT sample_id, element, sum(cations) AS atoms, sum(anions - CASE WHEN kind = 'element-anion' AND has_oxide THEN anions * 0.5 ELSE 0 END) AS t_o, sum(CASE WHEN element <> 'H' AND kind <> 'element-anion' THEN cations ELSE 0 END) AS t_c FROM rows_ GROUP BY sample_id, element),
 tot AS (SELECT sample_id, sum(t_o) AS t_o, sum(t_c) AS t_c FROM atoms GROUP BY sample_id),
 cmp0 AS (SELECT p.sample_id, p.element, p.n, a.atoms, count(*) FILTER (WHERE p.n >= 0.1) OVER (PARTITION BY p.sample_id) AS mj FROM pub p JOIN atoms a USING (sample_id, element) WHERE element NOT IN ('H','O') AND p.n >= 0.05),
