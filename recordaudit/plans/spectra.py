@@ -199,7 +199,7 @@ LIB_SQL = WINDOWS + """
 , lib AS (SELECT grp, technique AS mode, round_even(p50, 0) - 8 AS lo, round_even(p50, 0) + 8 AS hi, CASE technique WHEN 'ir' THEN round_even(p50, 0) END AS free, technique = 'ir' AND grp = 'click' AS broad,
   CASE WHEN grp <> 'view' THEN p5 END AS p5, CASE WHEN grp <> 'view' THEN p25 END AS p25, CASE WHEN grp <> 'view' THEN p50 END AS p50, CASE WHEN grp <> 'view' THEN p75 END AS p75, CASE WHEN grp <> 'view' THEN p95 END AS p95 FROM w),
 hit AS (SELECT b.band_id, b.paper AS entry_id, b.pos, l.*, l.grp = CASE WHEN b.paper % 3 = 0 THEN 'click' ELSE 'view' END AS in_formula,
-   round(CASE WHEN p50 IS NOT NULL THEN abs(b.pos - p50) / greatest(10.0, p75 - p25) ELSE abs(b.pos - CASE WHEN free BETWEEN lo AND hi THEN free ELSE (lo + hi) / 2 END) / greatest(10.0, (hi - lo) / 2.4) END, 2) AS score
+   CAST(round(CAST(CASE WHEN p50 IS NOT NULL THEN abs(b.pos - p50) / greatest(10.0, p75 - p25) ELSE abs(b.pos - CASE WHEN free BETWEEN lo AND hi THEN free ELSE (lo + hi) / 2 END) / greatest(10.0, (hi - lo) / 2.4) END AS DECIMAL(18,9)), 2) AS DOUBLE) AS score
    FROM d_bands b JOIN lib l ON b.pos BETWEEN lo AND hi OR b.pos BETWEEN p5 AND p95),
 al AS (SELECT band_id, entry_id, pos, grp, mode, in_formula, broad, score, 0 AS last FROM hit UNION ALL SELECT band_id, paper, pos, 'lattice', 'any', NULL, true, NULL, 1 FROM d_bands WHERE pos BETWEEN 1 AND 6),
 idd AS (SELECT *, CAST(row_number() OVER (PARTITION BY band_id ORDER BY last, coalesce(in_formula, false) DESC, broad, score, grp, mode) AS INT) AS place FROM al)"""
