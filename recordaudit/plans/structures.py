@@ -47,7 +47,7 @@ ATOM_SQL = f"""ce AS ({other_sql(CELLS)}), atm AS (SELECT structure_id, 'Ti1' AS
   UNION ALL SELECT structure_id, 'O1', unnest([u, 1 - u, 0.5 - u, 0.5 + u]), unnest([u, 1 - u, 0.5 + u, 0.5 - u]), unnest([0.0, 0.0, 0.5, 0.5]) FROM ce)"""
 
 
-@query("expand_symmetry", f"WITH {ATOM_SQL} SELECT structure_id, label, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CASE label WHEN 'Ti1' THEN 2 ELSE 4 END::BIGINT AS mult FROM atm")
+@query("expand_symmetry", f"WITH {ATOM_SQL} SELECT structure_id, label, round(x, 6) AS x, round(y, 6) AS y, CAST(round(z, 6) AS DOUBLE) AS z, CASE label WHEN 'Ti1' THEN 2 ELSE 4 END::BIGINT AS mult FROM atm")
 def _(spark, sf):
     cells, sites, ops = _structures(spark, sf)
     return X.expand_symmetry(sites, ops).select("structure_id", "label", *[F.round(v, 6).alias(v) for v in "xyz"], "mult")
@@ -60,8 +60,9 @@ MERGED_SQL = BOND_SQL.replace("bd AS", "raw AS") + ", bd AS (SELECT structure_id
 
 @query("neighbours", f"""WITH {ATOM_SQL}, p AS (SELECT ce.*, l.label, CASE l.label WHEN 'Ti1' THEN 0 ELSE u END AS px FROM ce, (VALUES ('Ti1'), ('O1')) l(label)), t AS (SELECT unnest([-2, -1, 0, 1, 2]) AS s),
  q AS (SELECT p.structure_id, p.label, atm.label AS other, sqrt(power((atm.x + i.s - px) * a, 2) + power((atm.y + j.s - px) * b, 2) + power((atm.z + k.s) * c, 2)) AS d FROM p JOIN atm ON atm.structure_id = p.structure_id, t i, t j, t k),
- f AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY structure_id, label, other ORDER BY d) < 0.0015 THEN 0 ELSE 1 END AS nw FROM q WHERE d > 0.3 AND d <= 3.2),
- g AS (SELECT *, sum(nw) OVER (PARTITION BY structure_id, label, other ORDER BY d ROWS UNBOUNDED PRECEDING) AS k FROM f)
+ o AS (SELECT *, row_number() OVER (PARTITION BY structure_id, label, other ORDER BY d) AS rn FROM q WHERE d > 0.3 AND d <= 3.2),
+ f AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY structure_id, label, other ORDER BY rn) < 0.0015 THEN 0 ELSE 1 END AS nw FROM o),
+ g AS (SELECT *, sum(nw) OVER (PARTITION BY structure_id, label, other ORDER BY rn ROWS UNBOUNDED PRECEDING) AS k FROM f)
 SELECT structure_id, label, other, round(min(d), 6) AS dist, count(*) AS n FROM g GROUP BY structure_id, label, other, k""")
 def _(spark, sf):
     cells, sites, ops = _structures(spark, sf)
