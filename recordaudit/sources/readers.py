@@ -91,7 +91,7 @@ def parse_xy(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     ascending and no missing value.
     """
     lines = F.split("text", r"\r?\n")
-    heads = F.filter(F.transform(lines, F.trim), lambda s: s.startswith("##"))
+    heads = F.filter(F.transform(lines, lambda s: F.trim(s)), lambda s: s.startswith("##"))
     pairs = F.transform(heads, lambda s: F.struct(F.upper(F.trim(F.regexp_extract(s, r"^##([^=]*)", 1))).alias("k"), F.trim(F.regexp_extract(s, r"^##[^=]*=(.*)$", 1)).alias("v")))
     # the last value of a repeated key holds
     keyed = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])))
