@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recordaudit.operators import audit as A, reconcile as R
 from recordaudit.plans.registry import query
-from recordaudit.plans.views import spark_sql, view, with_views, other_sql
+from recordaudit.plans.views import other_sql, spark_sql, spread, view, with_views
 
 # --- reconciling printed numbers -------------------------------------------------------------
 
@@ -30,14 +30,14 @@ issues AS (
 
 @query("reconcile_printed", with_views("d_printed", PARSED + "SELECT entry_id, item, kind, left_txt, right_txt FROM issues"))
 def _(spark, sf):
-    return R.reconcile_values(view(spark, sf, "d_printed")).select("entry_id", "item", "kind", "left_txt", "right_txt")
+    return R.reconcile_values(spread(view(spark, sf, "d_printed"))).select("entry_id", "item", "kind", "left_txt", "right_txt")
 
 
 @query("reconcile_fire_table", with_views("d_printed", PARSED + """
 SELECT kind AS code, count(*) AS total, count(*) FILTER (WHERE entry_id % 3 <> 0) AS new_tpl,
   count(*) FILTER (WHERE entry_id % 3 = 0) AS old_tpl, count(*) AS flags FROM issues GROUP BY kind"""))
 def _(spark, sf):
-    issues = R.reconcile_values(view(spark, sf, "d_printed"))
+    issues = R.reconcile_values(spread(view(spark, sf, "d_printed")))
     return A.fire_table(issues.withColumn("code", F.col("kind")).withColumn("new_template", F.expr("entry_id % 3 <> 0")))
 
 

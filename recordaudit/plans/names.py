@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recordaudit.functions import names as N
 from recordaudit.operators import citations as C, names as D, textjobs as T
 from recordaudit.plans.registry import query
-from recordaudit.plans.views import load, other_sql, spark_sql, view, with_views
+from recordaudit.plans.views import load, other_sql, spark_sql, spread, view, with_views
 
 # --- dictionary: the first word of part names with a species ending; tokens: those words with a slip --------
 
@@ -171,7 +171,7 @@ SELECT DISTINCT l_orderkey % 200 AS doc_id, l_orderkey * 8 + l_linenumber AS par
 
 @query("extract_citations", f"WITH c AS ({CITES}) SELECT doc_id, para, n1 || CASE WHEN n2 IS NULL THEN '' ELSE ',' || n2 END AS names, etal, year, suffix, count(*) AS n FROM c GROUP BY ALL")
 def _(spark, sf):
-    paras = spark_sql(spark, sf, PARAS).select("doc_id", "para", "text").withColumn("para", F.col("para"))
+    paras = spread(spark_sql(spark, sf, PARAS).select("doc_id", "para", "text")).withColumn("para", F.col("para"))
     cites = C.extract_citations(paras)
     # paragraphs repeat where a line does; the count keeps them apart
     return cites.select("doc_id", "para", F.concat_ws(",", "names").alias("names"), "etal", "year", "suffix").groupBy("doc_id", "para", "names", "etal", "year", "suffix").agg(F.count(F.lit(1)).alias("n"))
@@ -294,17 +294,17 @@ PROSE_ROWS = "b AS (SELECT l_orderkey * 8 + l_linenumber AS doc_id, l_linenumber
 @query("stated_bands", f"""WITH {PROSE_ROWS} SELECT doc_id, CAST(pos AS DOUBLE) AS pos, CASE l_linenumber % 3 WHEN 0 THEN 'raman' WHEN 1 THEN 'ir' END AS technique, CASE l_partkey % 3 WHEN 0 THEN 'SO4' WHEN 1 THEN 'PO4' ELSE 'CO3' END AS family, 'ν' || (1 + l_suppkey % 4) AS mode
 FROM (SELECT *, 400 + l_partkey % 800 AS pos FROM b UNION ALL SELECT *, 3000 + l_suppkey FROM b)""")
 def _(spark, sf):
-    return T.stated_bands(spark_sql(spark, sf, PROSE)).select("doc_id", "pos", "technique", "family", "mode")
+    return T.stated_bands(spread(spark_sql(spark, sf, PROSE))).select("doc_id", "pos", "technique", "family", "mode")
 
 
 @query("absent_bands", f"WITH {PROSE_ROWS} SELECT DISTINCT doc_id, CAST(1500 + l_suppkey AS DOUBLE) AS lo, CAST(1500 + l_suppkey AS DOUBLE) AS hi FROM b WHERE l_quantity > 40")
 def _(spark, sf):
-    return T.absent_bands(spark_sql(spark, sf, PROSE)).select("doc_id", "lo", "hi")
+    return T.absent_bands(spread(spark_sql(spark, sf, PROSE))).select("doc_id", "lo", "hi")
 
 
 @query("band_ranges", f"WITH {PROSE_ROWS} SELECT doc_id, 3100.0::DOUBLE AS lo, 3550.0::DOUBLE AS hi FROM b WHERE l_quantity <= 40")
 def _(spark, sf):
-    return T.band_ranges(spark_sql(spark, sf, PROSE)).select("doc_id", "lo", "hi")
+    return T.band_ranges(spread(spark_sql(spark, sf, PROSE))).select("doc_id", "lo", "hi")
 
 
 BANDS = """SELECT l_suppkey AS doc_id, l_linenumber AS sent_no, CAST(400 + (l_partkey % 60) * 10 AS DOUBLE) AS pos, CASE l_partkey % 3 WHEN 0 THEN 'SO4' WHEN 1 THEN 'PO4' ELSE 'CO3' END AS family,
@@ -369,12 +369,12 @@ LINT_ROWS = "b AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS doc_id, l_li
 @query("spectroscopy_lints", f"""WITH {LINT_ROWS} SELECT DISTINCT doc_id, 'C-H window' AS lint, CAST(2800 + s * 2 AS DOUBLE) AS value FROM b WHERE ln % 2 = 1 AND 2800 + s * 2 BETWEEN 2840 AND 2965
 UNION ALL SELECT DISTINCT doc_id, 'laser not sold with invia', 248.0::DOUBLE FROM b WHERE k % 3 = 2""")
 def _(spark, sf):
-    return T.spectroscopy_lints(spark_sql(spark, sf, LINTED))
+    return T.spectroscopy_lints(spread(spark_sql(spark, sf, LINTED)))
 
 
 @query("notation_lints", f"WITH {LINT_ROWS} SELECT DISTINCT doc_id, 'zone for a plane' AS lint, '[001]' AS what FROM b WHERE s % 2 = 0")
 def _(spark, sf):
-    return T.notation_lints(spark_sql(spark, sf, LINTED))
+    return T.notation_lints(spread(spark_sql(spark, sf, LINTED)))
 
 
 @query("evidence_lints", f"WITH {LINT_ROWS} SELECT doc_id, 'valence without a method' AS lint, count(*) AS n FROM b WHERE k % 2 = 0 AND q <= 25 GROUP BY 1 UNION ALL SELECT doc_id, 'water without evidence', count(*) FROM b GROUP BY 1")
@@ -426,11 +426,11 @@ def _(spark, sf):
 @query("radiation_candidates", """WITH t AS (SELECT l_orderkey * 8 + l_linenumber AS doc_id, l_suppkey % 3 AS s FROM lineitem)
 SELECT doc_id, anode, context, collected, count(*) AS n FROM (SELECT doc_id, CASE s WHEN 0 THEN 'cu' WHEN 1 THEN 'co' ELSE 'fe' END AS anode, 'powder' AS context, true AS collected FROM t UNION ALL SELECT doc_id, 'mo', 'single', false FROM t) GROUP BY ALL""")
 def _(spark, sf):
-    r = T.radiation_candidates(spark_sql(spark, sf, RADIATION))
+    r = T.radiation_candidates(spread(spark_sql(spark, sf, RADIATION)))
     return r.groupBy("doc_id", "anode", "context", "collected").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("context_of_cells", "SELECT l_orderkey * 8 + l_linenumber AS doc_id, CASE WHEN l_partkey % 2 = 0 THEN 'powder' ELSE 'single' END AS context, count(*) AS n FROM lineitem GROUP BY ALL")
 def _(spark, sf):
-    marks = spark_sql(spark, sf, RADIATION).withColumn("pos", F.expr("instr(text, 'a = 5.1')"))
+    marks = spread(spark_sql(spark, sf, RADIATION)).withColumn("pos", F.expr("instr(text, 'a = 5.1')"))
     return T.context_of(marks).groupBy("doc_id", "context").agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recordaudit.plans.registry import query
 from recordaudit.plans.structures import operator_rows
-from recordaudit.plans.views import other_sql, spark_sql
+from recordaudit.plans.views import other_sql, spark_sql, spread
 from recordaudit.rules import pack as P
 from recordaudit.rules.engine import run_rules
 
@@ -33,7 +33,7 @@ E_SQL = f"e AS ({other_sql(ENTRIES)})"
 
 def _entries(spark, sf):
     comments = F.create_map(F.lit("Habit"), F.lit("tabular"), F.lit("General"), F.when(F.col("c") % 2 == 0, "CaO 20 wt.%").otherwise("none"))
-    return P.prepare(P.derive(spark_sql(spark, sf, ENTRIES).withColumn("comments", comments)))
+    return P.prepare(P.derive(spread(spark_sql(spark, sf, ENTRIES)).withColumn("comments", comments)))
 
 
 def _code(spark, sf, *codes, anchor=None):

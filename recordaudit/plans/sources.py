@@ -8,7 +8,7 @@ from recordaudit.functions.elements import element_set
 from recordaudit.functions.measured import format_with_esd
 from recordaudit.operators import names as D, textjobs as T
 from recordaudit.plans.registry import query
-from recordaudit.plans.views import load, other_sql, spark_sql
+from recordaudit.plans.views import load, other_sql, spark_sql, spread
 from recordaudit.sources import readers as R
 
 REPORTS = """
@@ -20,7 +20,7 @@ SELECT o_orderkey AS report_id, concat('Header line\nPLAT', lpad(CAST(o_custkey
 SELECT o_orderkey AS report_id, 'PLAT' || lpad(CAST(o_custkey % 900 AS STRING), 3, '0') AS code, CAST(1 + o_custkey % 4 AS INT) AS type, CASE o_orderkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'G' END AS level, CAST(10 + o_custkey % 80 AS STRING) AS val FROM {orders}
 UNION ALL SELECT o_orderkey, 'PLAT029', 3, 'B', '0.' || CAST(10 + o_orderkey % 80 AS STRING) FROM {orders}"""))
 def _(spark, sf):
-    return R.parse_alerts(spark_sql(spark, sf, REPORTS)).select("report_id", "code", "type", "level", "val")
+    return R.parse_alerts(spread(spark_sql(spark, sf, REPORTS))).select("report_id", "code", "type", "level", "val")
 
 
 FILES = """
@@ -44,7 +44,7 @@ UNION ALL SELECT concat('f', CAST(l_orderkey AS STRING)), l_linenumber, concat(C
 
 @query("parse_peak_list", other_sql("""SELECT 'f' || l_orderkey AS file, CAST(l_linenumber AS INT) AS line_no, l_partkey % 90 + 10.25 AS d, l_quantity AS i, CASE WHEN l_suppkey % 3 <> 0 THEN CAST(-(l_suppkey % 9) AS STRING) || ',' || (l_partkey % 9) || ',2' END AS hkl FROM {lineitem}""").replace("l_partkey % 90 + 10.25 AS d", "CAST(l_partkey % 90 + 10.25 AS DOUBLE) AS d"))
 def _(spark, sf):
-    p = R.parse_peak_list(spark_sql(spark, sf, PEAK_LINES))
+    p = R.parse_peak_list(spread(spark_sql(spark, sf, PEAK_LINES)))
     return p.select("file", "line_no", "d", "i", F.when(F.col("hkl").isNotNull(), F.concat_ws(",", F.transform("hkl", lambda v: v.cast("string")))).alias("hkl"))
 
 

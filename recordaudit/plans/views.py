@@ -71,6 +71,16 @@ def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **tables)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where the scan has fewer tasks than there are cores.
+
+    A table of one row group is read by one task whatever its size, and parsing text is work. On a cluster the
+    scan of a large table has more tasks than cores and nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     return spark_sql(spark, sf_dir, text if isinstance(text, str) else text[0])
