@@ -190,10 +190,11 @@ def _(spark, sf):
     return A.status_transitions(s.where("run_id = 1"), s.where("run_id = 2"))
 
 
-FEATURES = "SELECT s_suppkey AS doc_id, concat('field', CAST(k AS STRING)) AS field, (s_suppkey + k) % 3 <> 0 AS present FROM {supplier} CROSS JOIN (VALUES (1),(2),(3),(4),(5),(6),(7)) AS t(k)"
+FEATURES = "SELECT s_suppkey AS doc_id, concat('field', CAST(k AS STRING)) AS field, (s_suppkey + k) % 3 <> 0 AS present FROM (SELECT s_suppkey, explode(sequence(1, 7)) AS k FROM {supplier}) t"
+FEATURES_SQL = other_sql(FEATURES).replace("explode(sequence(1, 7))", "unnest(range(1, 8))")
 
 
-@query("verified_rate", f"""WITH s AS ({other_sql(STATUSES)}), p AS ({other_sql(FEATURES)}),
+@query("verified_rate", f"""WITH s AS ({other_sql(STATUSES)}), p AS ({FEATURES_SQL}),
  j AS (SELECT p.field, coalesce(s.status, 'none') AS status FROM p LEFT JOIN s ON s.run_id = 1 AND s.doc_id = p.doc_id AND s.field = p.field WHERE p.present)
 SELECT field, count(*) AS n, count(*) FILTER (WHERE status = 'agrees') AS agrees, count(*) FILTER (WHERE status = 'disagrees') AS disagrees,
   count(*) FILTER (WHERE status = 'unverified') AS unverified, count(*) FILTER (WHERE status = 'nooracle') AS nooracle, count(*) FILTER (WHERE status = 'none') AS "none",
@@ -202,7 +203,7 @@ def _(spark, sf):
     return A.verified_rate(spark_sql(spark, sf, STATUSES).where("run_id = 1"), spark_sql(spark, sf, FEATURES))
 
 
-@query("all_agree_rate", f"""WITH s AS ({other_sql(STATUSES)}), p AS ({other_sql(FEATURES)}),
+@query("all_agree_rate", f"""WITH s AS ({other_sql(STATUSES)}), p AS ({FEATURES_SQL}),
  w AS (SELECT doc_id FROM p WHERE present AND field IN ('field1','field3') GROUP BY doc_id HAVING count(DISTINCT field) = 2),
  a AS (SELECT doc_id FROM s WHERE run_id = 1 AND status = 'agrees' AND field IN ('field1','field3') GROUP BY doc_id HAVING count(DISTINCT field) = 2)
 SELECT count(*) AS n, count(a.doc_id) AS all_agree FROM w LEFT JOIN a ON a.doc_id = w.doc_id""")

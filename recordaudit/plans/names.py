@@ -403,7 +403,7 @@ def _(spark, sf):
 
 
 LABELLED = "SELECT l_orderkey AS doc_id, concat('The sites Ca', CAST(1 + l_linenumber AS STRING), ' and Mn1 are occupied, O', CAST(l_linenumber AS STRING), ' is shared in U11.') AS text FROM {lineitem}"
-SITES = "SELECT o_orderkey AS doc_id, label, element FROM {orders} CROSS JOIN (VALUES ('Ca2', 'Ca'), ('Ca3', 'Ca'), ('O1', 'O'), ('O2', 'O'), ('Mn', 'Mn')) AS t(label, element)"
+SITES = "SELECT o_orderkey AS doc_id, label, element FROM {orders} LATERAL VIEW inline(array(struct('Ca2', 'Ca'), struct('Ca3', 'Ca'), struct('O1', 'O'), struct('O2', 'O'), struct('Mn', 'Mn'))) t AS label, element"
 
 
 @query("unknown_site_labels", """WITH n AS (SELECT l_orderkey AS doc_id, l_linenumber AS k FROM lineitem), l AS (SELECT doc_id, 'Ca' || (1 + k) AS label FROM n UNION ALL SELECT doc_id, 'O' || k FROM n)

@@ -11,7 +11,7 @@ from recordaudit.session import get_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = get_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g",
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.sql.adaptive.enabled": "false",
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session
