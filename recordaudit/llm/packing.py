@@ -75,7 +75,7 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return where, offset
 
 
-def pack(docs: DataFrame, capacity: int = 1024, group_pieces: int = 40_000, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, group_pieces: int = 8192, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """Pack every document into sequences of at most `capacity` tokens; a piece has at least one token (the end id).
 
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Repeated rows are packed once each; null

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordaudit.llm import language, mixing, packing, quality, simhash
+from recordaudit.llm import fingerprints, language, mixing, packing, quality, simhash, warc
 
 
 def pipeline(spark, sf_dir):
@@ -14,9 +14,11 @@ def pipeline(spark, sf_dir):
 QUERIES = {
     "op2_language_id": language.op2_language_id,
     "op3_simhash": simhash.op3_simhash,
+    "op4_warc": warc.op4_warc,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_quality": quality.op7_quality,
     "op8_mix": mixing.op8_mix,
     "op9_best_fit": packing.op9_best_fit,
     "pipeline": pipeline,
 }
-ORACLES = {"op8_mix": mixing.OP8_SQL}
+ORACLES = {"op4_warc": warc.OP4_SQL, "op8_mix": mixing.OP8_SQL}
