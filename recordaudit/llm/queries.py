@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordaudit.llm import fingerprints, language, mixing, packing, quality, simhash, warc
+from recordaudit.llm import fingerprints, language, maxent, mixing, packing, quality, simhash, warc
 
 
 def pipeline(spark, sf_dir):
@@ -19,6 +19,7 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_mix": mixing.op8_mix,
     "op9_best_fit": packing.op9_best_fit,
+    "op10_maxent": maxent.op10_maxent,
     "pipeline": pipeline,
 }
 ORACLES = {"op4_warc": warc.OP4_SQL, "op8_mix": mixing.OP8_SQL}
