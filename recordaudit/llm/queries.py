@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordaudit.llm import fingerprints, language, maxent, mixing, packing, quality, simhash, warc
+from recordaudit.llm import fingerprints, language, maxent, media, mixing, packing, quality, simhash, warc
 
 
 def pipeline(spark, sf_dir):
@@ -15,6 +15,7 @@ QUERIES = {
     "op2_language_id": language.op2_language_id,
     "op3_simhash": simhash.op3_simhash,
     "op4_warc": warc.op4_warc,
+    "op5_flac": media.op5_flac,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_quality": quality.op7_quality,
     "op8_mix": mixing.op8_mix,
