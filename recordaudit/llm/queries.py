@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordaudit.llm import fingerprints, language, maxent, media, mixing, packing, quality, simhash, warc
+from recordaudit.llm import counts, fingerprints, language, maxent, media, mixing, packing, quality, simhash, warc
 
 
 def pipeline(spark, sf_dir):
@@ -12,6 +12,7 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_token_counts": counts.op1_token_counts,
     "op2_language_id": language.op2_language_id,
     "op3_simhash": simhash.op3_simhash,
     "op4_warc": warc.op4_warc,

@@ -32,6 +32,11 @@ class Encoder:
         self.special = [t.content for t in self._exact.get_added_tokens_decoder().values()]
         with open(paths[1], "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.lengths = np.zeros(max(ranks.values()) + 1 + len(self.special), dtype=np.int64)  # bytes of each id
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
+        for i, t in self._exact.get_added_tokens_decoder().items():
+            self.lengths[i] = len(t.content.encode())
         self._fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str | None) -> np.ndarray:
