@@ -31,6 +31,20 @@ def sentences(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     return texts.select(key, F.posexplode(parts).alias("sent_no", "sentence"))
 
 
+def spans(text: Column, pattern: str) -> Column:
+    """Every match of a pattern without groups, with its place: an array of structs (m, at), at counted from 1.
+
+    The pieces between the matches and the matches themselves are added up, so equal matches keep their own places.
+    """
+    whole, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    begins = F.aggregate(
+        F.zip_with(F.slice(between, F.lit(1), F.size(whole)), whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"))),
+        F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at")),
+        lambda s, x: F.struct((s["next"] + x["gap"] + x["n"]).alias("next"), F.concat(s["at"], F.array(s["next"] + x["gap"])).alias("at")), lambda s: s["at"],
+    )
+    return F.transform(F.arrays_zip(whole.alias("m"), begins.alias("at")), lambda x: F.struct(x["m"].alias("m"), x["at"].alias("at")))
+
+
 # --- stated bands -------------------------------------------------------------------------------
 
 _SHAPE = r"(?:\s?\((?:sh|vs|s|m|w|vw|br|b)\))?"
@@ -55,48 +69,51 @@ def carry_technique(sents: DataFrame, key: str = "doc_id") -> DataFrame:
     return sents.withColumn("technique", F.nullif(standing, F.lit("open")))
 
 
-def _nearest_family(sentence: Column, at: Column) -> Column:
-    """The group named nearest to a position: its distance and name, null when the sentence names none."""
-    spots = []
-    for name in FAMILIES:
-        place = F.expr(f"instr(sentence, '{name}')")
-        spots.append(F.when(place > 0, F.struct(F.abs(place - at).alias("off"), F.lit(_SYNONYM.get(name, name)).alias("name"))))
-    return F.array_min(F.array_compact(F.array(*spots)))["name"]
+_FAMILY = "|".join(sorted(FAMILIES, key=len, reverse=True))
+_MODE = r"ν[1-4]|(?i:bend|deform|scissor|δ|stretch|librat)"
+
 
+def _nearest(found: Column, start: Column, end: Column) -> Column:
+    """The match of `found` (m, at) with the smallest gap to the stretch from `start` to before `end`; the earlier of two, null of none."""
+    gap = lambda x: F.when(x["at"] >= end, x["at"] - end).otherwise(F.greatest(start - x["at"] - F.length(x["m"]), F.lit(0)))
+    return F.array_min(F.transform(found, lambda x: F.struct(gap(x).alias("gap"), x["at"].alias("at"), x["m"].alias("m"))))["m"]
 
-def _mode_near(sentence: Column, at: Column) -> Column:
-    before = F.substring(sentence, F.greatest(at - 90, F.lit(1)), F.lit(180))
-    numbered = F.regexp_extract(before, r"ν([1-4])", 1)
-    return F.when(numbered != "", F.concat(F.lit("ν"), numbered)).when(before.rlike(r"(?i)bend|deform|scissor|δ"), "bend").when(before.rlike(r"(?i)stretch"), "stretch").when(before.rlike(r"(?i)librat"), "lib")
 
+def _mode_name(said: Column) -> Column:
+    word = F.lower(F.substring(said, 1, 4))
+    return F.when(said.rlike("^ν[1-4]$"), said).when(word == "stre", "stretch").when(word == "libr", "lib").when(said.isNotNull(), "bend")
 
-def _runs(texts: DataFrame) -> DataFrame:
+
+def _runs(texts: DataFrame, reach: int = 60) -> DataFrame:
+    """Runs of numbers closed by cm-1, at their places. Words that deny a run count within `reach` characters of it."""
     norm = texts.withColumn("text", normalise_text(F.col("text")))
     sents = carry_technique(sentences(norm)).where(F.contains(F.col("sentence"), F.lit("cm-1")))
-    runs = sents.select("*", F.explode(F.regexp_extract_all("sentence", F.lit(_RUN), F.lit(1))).alias("run"))
-    runs = runs.withColumn("at", F.expr("instr(sentence, run)"))
-    before = F.substring(F.col("sentence"), F.greatest(F.col("at") - 60, F.lit(1)), F.least(F.col("at") - 1, F.lit(60)))
-    after = F.expr("substring(sentence, at + length(run) + 5, 60)")
-    is_range = F.col("run").rlike(rf"^\d+(?:\.\d+)?\s+and\s+\d+(?:\.\d+)?$") & before.rlike(r"(?i)between\s*$")
+    runs = sents.select("*", F.inline(spans(F.col("sentence"), _RUN.replace("((?:", "(?:(?:", 1)))).withColumn("run", F.regexp_extract("m", _RUN, 1))
+    before = F.expr(f"substring(sentence, greatest(at - {reach}, 1), least(at - 1, {reach}))")
+    after = F.expr(f"substring(sentence, at + length(m), {reach})")
+    is_range = F.col("run").rlike(r"^\d+(?:\.\d+)?\s+and\s+\d+(?:\.\d+)?$") & before.rlike(r"(?i)between\s*$")
     return runs.withColumn("negated", before.rlike(NEGATION) | after.rlike(NEGATED_AFTER)).withColumn("range_part", is_range | before.rlike(r"\d\s*(?:-|to)\s*$"))
 
 
 def stated_bands(texts: DataFrame) -> DataFrame:
     """``doc_id, sent_no, pos, shape, technique, family, mode, own`` of the bands prose states (doc_id, text).
 
-    Runs of numbers closed by cm-1; ranges and runs the sentence says are absent are left out. The group is the one
-    named nearest in the sentence; `own` is false where the sentence credits another work.
+    Runs of numbers closed by cm-1; ranges and runs the sentence says are absent are left out. Every number keeps its own place in
+    the sentence; its group and its mode are those named nearest to it. `own` is false where the sentence credits another work.
     """
-    runs = _runs(texts).where("NOT negated AND NOT range_part")
-    items = runs.select("*", F.explode(F.regexp_extract_all("run", F.lit(rf"(\d{{2,4}}(?:\.\d+)?{_SHAPE})"), F.lit(1))).alias("item"))
-    items = items.withColumn("spot", F.expr("instr(sentence, item)"))
+    runs = _runs(texts).where("NOT negated AND NOT range_part").withColumn("run_end", F.col("at") + F.length("m")).withColumnRenamed("at", "run_at").drop("m")
+    items = runs.select("*", F.inline(spans(F.col("run"), _NUMBER))).withColumn("spot", F.col("run_at") + F.col("at") - 1)
     return items.select(
-        "doc_id", "sent_no", F.regexp_extract("item", r"^([\d.]+)", 1).cast("double").alias("pos"), F.nullif(F.regexp_extract("item", r"\((\w+)\)", 1), F.lit("")).alias("shape"),
-        "technique", _nearest_family(F.col("sentence"), F.col("spot")).alias("family"), _mode_near(F.col("sentence"), F.col("spot")).alias("mode"),
+        "doc_id", "sent_no", F.regexp_extract("m", r"^([\d.]+)", 1).cast("double").alias("pos"), F.nullif(F.regexp_extract("m", r"\((\w+)\)", 1), F.lit("")).alias("shape"),
+        "technique", _synonym(_nearest(spans(F.col("sentence"), _FAMILY), F.col("spot"), F.col("run_end"))).alias("family"), _mode_name(_nearest(spans(F.col("sentence"), _MODE), F.col("spot"), F.col("run_end"))).alias("mode"),
         (~F.col("sentence").rlike(r"(?i)et al\.|reported by|according to|literature")).alias("own"),
     )
 
 
+def _synonym(name: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in _SYNONYM.items() for x in pair])[name], name)
+
+
 def absent_bands(texts: DataFrame) -> DataFrame:
     """``doc_id, sent_no, lo, hi`` where the prose says the spectrum shows no band."""
     runs = _runs(texts).where("negated").select("doc_id", "sent_no", F.explode(F.regexp_extract_all("run", F.lit(r"(\d{2,4}(?:\.\d+)?)"), F.lit(1))).alias("p"))
@@ -216,25 +233,25 @@ def claim_check(claims: DataFrame) -> DataFrame:
 
 
 def library_bands_beside(stated: DataFrame, library: DataFrame, tol: float = 10.0) -> DataFrame:
-    """``doc_id, mineral, pos, said, off``: the library bands of a document's mineral (and those it compares with),
-    the same technique only, each beside the nearest stated band within `tol`.
+    """``doc_id, mineral, technique, pos, said, off``: the library bands of a document's minerals that lie within `tol` of a band
+    it states with the same technique, each beside the nearest one.
 
-    `stated`: doc_id, mineral, technique, pos; `library`: mineral, technique, pos.
+    `stated`: doc_id, mineral, technique, pos; `library`: mineral, technique, pos. A document's stated bands meet its minerals' library
+    through bins of the position, so library bands that nothing comes near are never laid out per document.
     """
     subjects = stated.select("doc_id", "mineral", "technique").distinct()
-    wanted = subjects.join(library.withColumnRenamed("pos", "lib_pos"), ["mineral", "technique"])
-    marks = stated.select("doc_id", "technique", F.col("pos").alias("said"), (F.col("pos") - tol).alias("lo"), (F.col("pos") + tol).alias("hi")).distinct()
-    near = range_join(wanted, marks, "lib_pos", "lo", "hi", 2 * tol, ["doc_id", "technique"])
+    said = stated.select("doc_id", "technique", F.col("pos").alias("said")).distinct().join(subjects, ["doc_id", "technique"])
+    marks = said.withColumn("lo", F.col("said") - tol).withColumn("hi", F.col("said") + tol)
+    bands = library.select("mineral", "technique", F.col("pos").alias("lib_pos")).distinct()
+    near = range_join(bands, marks, "lib_pos", "lo", "hi", 2 * tol, ["mineral", "technique"])
     best = near.groupBy("doc_id", "mineral", "technique", "lib_pos").agg(F.min_by("said", F.struct(F.abs(F.col("said") - F.col("lib_pos")), "said")).alias("said"))
-    return wanted.join(best, ["doc_id", "mineral", "technique", "lib_pos"], "left").select(
-        "doc_id", "mineral", "technique", F.col("lib_pos").alias("pos"), "said", (F.col("said") - F.col("lib_pos")).alias("off")
-    )
+    return best.select("doc_id", "mineral", "technique", F.col("lib_pos").alias("pos"), "said", (F.col("said") - F.col("lib_pos")).alias("off"))
 
 
 # --- lints --------------------------------------------------------------------------------------
 
-# Lines of the air and windows of other matter.
-ATMOSPHERIC = ((2337.0, 2361.0, "CO2 stretch"), (661.0, 673.0, "CO2 bend"), (2323.0, 2339.0, "N2"), (1547.0, 1563.0, "O2"))
+# Lines of the air (centre and half width, cm⁻¹), and windows of other matter.
+ATMOSPHERIC = (("CO2 stretch", 2349.0, 12.0), ("CO2 bend", 667.0, 6.0), ("N2", 2331.0, 8.0), ("O2", 1555.0, 8.0))
 CH_WINDOW, DIAMOND_CELL = (2840.0, 2965.0), (1900.0, 2300.0)
 # The laser lines (nm) Raman systems are sold with.
 LASERS = {
@@ -254,7 +271,7 @@ def spectroscopy_lints(texts: DataFrame) -> DataFrame:
     ).withColumn("value", F.col("n").cast("double"))
     organic = F.col("sentence").rlike(r"(?i)C-?H\b|organic|grease|epoxy|contamin|adhesive|resin|carbon")
     ch = numbers.where(F.col("value").between(*CH_WINDOW) & ~organic).select("doc_id", F.lit("C-H window").alias("lint"), "value")
-    air = texts.sparkSession.createDataFrame(ATMOSPHERIC, "lo double, hi double, what string")
+    air = texts.sparkSession.createDataFrame([(line, centre - half, centre + half) for line, centre, half in ATMOSPHERIC], "what string, lo double, hi double")
     named = F.col("sentence").rlike(r"(?i)atmospher|CO2|carbon dioxide|N2|nitrogen")
     lines = range_join(numbers.where(~named), air, "value", "lo", "hi", 50.0).select("doc_id", F.concat(F.lit("atmospheric "), F.col("what")).alias("lint"), "value")
     cells = norm.where(F.col("text").rlike("(?i)diamond")).select("doc_id").distinct()
@@ -262,22 +279,34 @@ def spectroscopy_lints(texts: DataFrame) -> DataFrame:
     diamond = numbers.where(infrared & F.col("value").between(*DIAMOND_CELL)).join(cells, "doc_id", "left_semi").select("doc_id", F.lit("diamond cell").alias("lint"), "value")
     systems = F.array(*[F.struct(F.lit(k).alias("system"), F.array(*[F.lit(float(x)) for x in v]).alias("sold")) for k, v in LASERS.items()])
     named = norm.select("doc_id", "text", F.explode(F.filter(systems, lambda s: F.contains(F.lower(F.col("text")), s["system"]))).alias("s"))
-    near = named.select("doc_id", "s.system", "s.sold", F.explode(F.expr("regexp_extract_all(text, concat('(?is)(', s.system, '.{0,443})'), 1)")).alias("seg")).where("contains(lower(seg), 'laser')")
-    said = near.select("doc_id", "system", "sold", F.explode(F.regexp_extract_all("seg", F.lit(r"(\d{3}(?:\.\d)?)\s*[- ]?nm\b(?![^.]{0,25}\bgrating)"), F.lit(1))).alias("n"))
-    lasers = said.withColumn("value", F.col("n").cast("double")).where(F.forall("sold", lambda v: F.abs(F.col("value") - v) > 2)).select(
+    # a wavelength belongs to the system named last before it
+    marks = named.select("doc_id", "s.system", "s.sold", F.inline(spans(F.lower(F.col("text")), "|".join(LASERS) + r"|\d{3}(?:\.\d)? ?-?nm\b")))
+    behind = Window.partitionBy("doc_id", "system").orderBy("at")
+    marks = marks.withColumn("of", F.last(F.when(~F.col("m").rlike("nm$"), F.col("m")), True).over(behind.rowsBetween(Window.unboundedPreceding, 0)))
+    marks = marks.withColumn("value", F.regexp_extract("m", r"^([\d.]+)", 1).try_cast("double"))
+    grating = norm.select("doc_id", F.lower("text").alias("low"))
+    said = marks.where("of = system AND value IS NOT NULL").join(grating, "doc_id").where(~F.expr("substring(low, at + length(m))").rlike(r"^[^.]*?\bgrating"))
+    lasers = said.where(F.forall("sold", lambda v: F.abs(F.col("value") - v) > 2)).select(
         "doc_id", F.concat(F.lit("laser not sold with "), F.col("system")).alias("lint"), "value"
     )
     return ch.unionByName(lines).unionByName(diamond).unionByName(lasers).distinct()
 
 
+# What is a property of planes, what runs along an axis, and how a direction is introduced.
+PLANE_WORDS = ("cleavage", "cleavages", "parting", "twin plane", "tabular on", "tablets on", "plates on", "flattened on")
+AXIS_WORDS = ("prism", "needle", "fiber", "fibre", "lath", "elongat", "striat")
+DIRECTIONS = ("along", "parallel to", "down")
+
+
 def notation_lints(paragraphs: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """``doc_id, lint, what``: a zone symbol for a cleavage, a plane for an elongation, a caption printed twice, and one
     symmetry code with two operators (`codes`: doc_id, label, operator)."""
-    zone = r"(?i)\b(cleavage|parting|twin plane|composition plane|platy|tabular|flattened)\b[^.]{0,80}?(\[\s*[-–−]?\d\s*[-–−]?\d\s*[-–−]?\d\s*\])"
-    plane = r"(?i)\b(prism(?:s|atic)?|needles?|fib(?:re|er)s?|laths?|elongat\w+|striat\w+|acicular)\b[^.]{0,60}?\b(?:along|parallel to|down|on)\s*(\(\s*\d\s*\d\s*\d\s*\))"
+    indices = r"\s*-?\d\s*-?\d\s*-?\d\s*"
+    zone = rf"(?i)\b(?:{'|'.join(PLANE_WORDS)})\b[^.]*?(\[{indices}\])"
+    plane = rf"(?i)\b(?:{'|'.join(AXIS_WORDS)})[^.]*?\b(?:{'|'.join(DIRECTIONS)})\s*(\({indices}\))"
 
     def found(pattern: str, name: str) -> DataFrame:
-        return paragraphs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(2))).alias("what")).select(
+        return paragraphs.select("doc_id", F.explode(F.regexp_extract_all(F.translate("text", "–−", "--"), F.lit(pattern), F.lit(1))).alias("what")).select(
             "doc_id", F.lit(name).alias("lint"), F.regexp_replace("what", r"\s", "").alias("what")
         )
 
@@ -307,19 +336,28 @@ def evidence_lints(texts: DataFrame) -> DataFrame:
     ))).alias("lint"))
 
 
-FEATURES = {  # fixed values: crude signs that a text prints a thing
-    "epma": r"(?i)wt\.?\s?%|weight\s?%",
-    "bv": r"(?i)table\s+\d+[^.]{0,40}bond[- ]valence",
-    "coords": r"(?i)atom(?:ic)? (?:coordinates|positions)|\bx/a\b",
+# The oxides of a composition, and how often one text must name different ones to print an analysis.
+OXIDES = r"\b(?:SiO2|Al2O3|CaO|MgO|FeO|Fe2O3|MnO|Na2O|K2O|P2O5|As2O5|SO3|TiO2|UO3|CuO|ZnO|PbO)\b"
+# Signs that a text prints the other things.
+SIGNS = {
+    "bv": r"(?i)bond[- ]valence",
     "gd": r"(?i)gladstone|compatibility index",
-    "optics": r"(?i)refractive ind|[αβγωε]\s?=\s?1\.\d{2,}",
+    "optics": r"(?i)refractive ind|\b[αβγωεn]\s?=\s?[12]\.\d{2,}",
 }
 
 
-def feature_flags(texts: DataFrame) -> DataFrame:
-    """``doc_id`` and one boolean per feature, read crudely from the whole text; ``bands`` needs three positions."""
-    bands = F.size(F.regexp_extract_all("text", F.lit(r"(\d{3,4}\s?cm\s?[-–−]?\s?1)"), F.lit(1))) >= 3
-    return texts.select("doc_id", *[F.col("text").rlike(p).alias(n) for n, p in FEATURES.items()], bands.alias("bands"))
+def feature_flags(texts: DataFrame, oxides: int = 4, atoms: int = 3, bands: int = 3) -> DataFrame:
+    """``doc_id`` and a boolean per feature, from the whole text (null: none).
+
+    `epma`: at least `oxides` different oxides and a word of analysis; `coords`: at least `atoms` lines of a label and three
+    fractions; `bands`: at least `bands` positions; the others by a sign each.
+    """
+    text = F.coalesce("text", F.lit(""))
+    named = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(OXIDES), F.lit(0)))) >= oxides
+    rows = F.size(F.regexp_extract_all(text, F.lit(r"(?m)^\s*[A-Z][A-Za-z]?\w*(?:\s+-?[01]?\.\d+(?:\(\d+\))?){3}"), F.lit(0))) >= atoms
+    positions = F.size(F.regexp_extract_all(normalise_text(text), F.lit(r"\d{3,4}(?:\.\d+)? cm-1"), F.lit(0))) >= bands
+    flags = {"epma": named & text.rlike(r"(?i)wt\.?\s?%|weight|microprobe|analys"), "coords": rows, "bands": positions, **{k: text.rlike(v) for k, v in SIGNS.items()}}
+    return texts.select("doc_id", *[flag.alias(name) for name, flag in flags.items()])
 
 
 def comparison_species(texts: DataFrame, species: DataFrame, own: DataFrame, span: int = 160) -> DataFrame:
@@ -362,6 +400,11 @@ _SINGLE = r"(?i)single[\s-]*crystal|scxrd"
 _METHOD = r"(?i)rietveld|le ?bail|pawley|profile[- ]fit|whole[- ]pattern"
 
 
+# Words that tell powder work, and words that tell work of another kind, near the radiation they used.
+POWDER_WORDS = ("powder", "pxrd", "xrpd", "gandolfi", "guinier", "debye")
+OTHER_WORDS = ("single[- ]crystal", "structure (?:refinement|solution)", "probe", "wds", "eds", "spectromet")
+
+
 def radiation_in_text(texts: DataFrame) -> DataFrame:
     """``doc_id, anode, score``: the anode of the powder data — the Kα mention with most powder words and fewest others
     near it, the earliest among equals — 250 characters before it, and the rest of its own sentence after it."""
@@ -378,8 +421,7 @@ def radiation_in_text(texts: DataFrame) -> DataFrame:
         F.substring("text", F.greatest(x["end"] - F.length(x["m"]) - 249, F.lit(1)), F.least(x["end"], 250 + F.length(x["m"]))),
         F.regexp_extract(F.substring("text", x["end"] + 1, F.lit(80)), r"^(?s)(.*?)(?:[.!?](?:\s|$)|$)", 1),
     ).alias("ctx")))
-    powder = r"(?i)(powder|PXRD|XRPD|Gandolfi|Debye|Guinier|image[- ]plate|imaging[- ]plate|curved|microdiffractometer)"
-    other = r"(?i)(microprobe|\bWDS\b|\bEDS\b|analy[sz]ing crystal|emission|X-ray line|flank|single[- ]crystal|SCXRD|structure (?:refinement|solution))"
+    powder, other = (rf"(?i)({'|'.join(words)})" for words in (POWDER_WORDS, OTHER_WORDS))
     rows = texts.select("doc_id", F.posexplode(found).alias("k", "m")).select(
         "doc_id", "k", F.col("m.anode").alias("anode"),
         (2 * F.size(F.regexp_extract_all("m.ctx", F.lit(powder), F.lit(1))) - F.size(F.regexp_extract_all("m.ctx", F.lit(other), F.lit(1)))).alias("score"),

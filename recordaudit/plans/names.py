@@ -122,7 +122,7 @@ def _(spark, sf):
 
 CLOSURE = """
 , c(ancestor, gid, depth) AS (SELECT gid, gid, 0 FROM d_groups UNION SELECT c.ancestor, g.gid, c.depth + 1 FROM c JOIN d_groups g ON g.parent = c.gid)"""
-MEMBERS = "SELECT l_partkey AS norm, concat('s', CAST(l_suppkey AS STRING)) AS groupid FROM {lineitem} WHERE l_linenumber = 1"
+MEMBERS = "SELECT l_partkey AS norm, concat('s', CAST(l_suppkey AS STRING)) AS groupid FROM {lineitem}"
 
 
 @query("group_closure", with_views("d_groups", CLOSURE + "SELECT ancestor, gid, CAST(depth AS INT) AS depth FROM c", recursive=True))
@@ -287,12 +287,15 @@ def _(spark, sf):
 PROSE = """
 SELECT l_orderkey * 8 + l_linenumber AS doc_id, concat(CASE l_linenumber % 3 WHEN 0 THEN 'The Raman spectrum was recorded. ' WHEN 1 THEN 'The infrared spectrum was recorded. ' ELSE 'Raman and infrared spectra were recorded. ' END,
   'Bands at ', CAST(400 + l_partkey % 800 AS STRING), ' and ', CAST(3000 + l_suppkey AS STRING), ' cm-1 are assigned to ', CASE l_partkey % 3 WHEN 0 THEN 'SO4' WHEN 1 THEN 'PO4' ELSE 'CO3' END, ' ν', CAST(1 + l_suppkey % 4 AS STRING), '. ',
+  'Others are 1', CAST(400 + l_partkey % 500 AS STRING), ' cm-1 (CO3 ν3), ', CASE WHEN l_orderkey % 2 = 0 THEN 'weak, with a shoulder, ' ELSE 'and of middling height ' END, CAST(400 + l_partkey % 500 AS STRING), ' cm-1 (SO4 bending). ',
   CASE WHEN l_quantity > 40 THEN concat('No bands at ', CAST(1500 + l_suppkey AS STRING), ' cm-1 were seen.') ELSE 'A broad band extends from 3550 to 3100 cm-1.' END) AS text FROM {lineitem}"""
 PROSE_ROWS = "b AS (SELECT l_orderkey * 8 + l_linenumber AS doc_id, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem)"
 
 
 @query("stated_bands", f"""WITH {PROSE_ROWS} SELECT doc_id, CAST(pos AS DOUBLE) AS pos, CASE l_linenumber % 3 WHEN 0 THEN 'raman' WHEN 1 THEN 'ir' END AS technique, CASE l_partkey % 3 WHEN 0 THEN 'SO4' WHEN 1 THEN 'PO4' ELSE 'CO3' END AS family, 'ν' || (1 + l_suppkey % 4) AS mode
-FROM (SELECT *, 400 + l_partkey % 800 AS pos FROM b UNION ALL SELECT *, 3000 + l_suppkey FROM b)""")
+FROM (SELECT *, 400 + l_partkey % 800 AS pos FROM b UNION ALL SELECT *, 3000 + l_suppkey FROM b)
+UNION ALL SELECT doc_id, 1400.0 + l_partkey % 500, CASE l_linenumber % 3 WHEN 0 THEN 'raman' WHEN 1 THEN 'ir' END, 'CO3', 'ν3' FROM b
+UNION ALL SELECT doc_id, 400.0 + l_partkey % 500, CASE l_linenumber % 3 WHEN 0 THEN 'raman' WHEN 1 THEN 'ir' END, 'SO4', 'bend' FROM b""")
 def _(spark, sf):
     return T.stated_bands(spread(spark_sql(spark, sf, PROSE))).select("doc_id", "pos", "technique", "family", "mode")
 
@@ -308,7 +311,7 @@ def _(spark, sf):
 
 
 BANDS = """SELECT l_suppkey AS doc_id, l_linenumber AS sent_no, CAST(400 + (l_partkey % 60) * 10 AS DOUBLE) AS pos, CASE l_partkey % 3 WHEN 0 THEN 'SO4' WHEN 1 THEN 'PO4' ELSE 'CO3' END AS family,
-  concat('ν', CAST(1 + l_orderkey % 4 AS STRING)) AS mode, l_quantity > 5 AS own FROM {lineitem} WHERE l_discount > 0.08"""
+  concat('ν', CAST(1 + l_orderkey % 4 AS STRING)) AS mode, l_quantity > 5 AS own FROM {lineitem}"""
 
 
 @query("assignment_consistency", f"""WITH b AS (SELECT * FROM ({other_sql(BANDS)}) WHERE own), p AS (SELECT doc_id, family, min(pos) FILTER (WHERE mode IN ('ν1','ν3')) AS ls, max(pos) FILTER (WHERE mode IN ('ν2','ν4')) AS hb, min(pos) FILTER (WHERE mode = 'ν1') AS l1, max(pos) FILTER (WHERE mode = 'ν3') AS h3 FROM b GROUP BY 1, 2)
@@ -319,7 +322,7 @@ def _(spark, sf):
 
 
 FORMULAE = "SELECT s_suppkey AS doc_id, CASE s_suppkey % 4 WHEN 0 THEN 'CaSO4·2H2O' WHEN 1 THEN 'Ca5(PO4)3(OH)' WHEN 2 THEN 'CaCO3' ELSE 'NaNO3' END AS formula FROM {supplier}"
-OWN_BANDS = "SELECT l_suppkey AS doc_id, CAST(400 + (l_partkey % 90) * 40 AS DOUBLE) AS pos, CASE l_linenumber WHEN 1 THEN 'H2O' WHEN 2 THEN 'OH' WHEN 3 THEN 'CO3' ELSE 'SO4' END AS family, true AS own FROM {lineitem} WHERE l_quantity > 49"
+OWN_BANDS = "SELECT l_suppkey AS doc_id, CAST(400 + (l_partkey % 90) * 40 AS DOUBLE) AS pos, CASE l_linenumber WHEN 1 THEN 'H2O' WHEN 2 THEN 'OH' WHEN 3 THEN 'CO3' ELSE 'SO4' END AS family, true AS own FROM {lineitem}"
 
 
 @query("species_evidence", f"""WITH f AS ({other_sql(FORMULAE)}), b AS ({other_sql(OWN_BANDS)}), en AS (SELECT doc_id FROM b GROUP BY 1 HAVING count(DISTINCT pos) >= 3),
@@ -349,13 +352,13 @@ def _(spark, sf):
     return T.claim_check(spark_sql(spark, sf, CLAIMS))
 
 
-SAID = "SELECT l_suppkey AS doc_id, l_partkey % 40 AS mineral, CASE WHEN l_linenumber % 2 = 0 THEN 'raman' ELSE 'ir' END AS technique, CAST(floor(l_extendedprice) AS DOUBLE) % 4000 AS pos FROM {lineitem} WHERE l_quantity > 48"
-LIBRARY = "SELECT p_partkey % 40 AS mineral, CASE WHEN p_size % 2 = 0 THEN 'raman' ELSE 'ir' END AS technique, CAST(p_partkey * 37 % 4000 AS DOUBLE) AS pos FROM {part}"
+SAID = "SELECT l_orderkey AS doc_id, l_partkey AS mineral, CASE WHEN l_linenumber % 2 = 0 THEN 'raman' ELSE 'ir' END AS technique, CAST(floor(l_extendedprice) AS DOUBLE) % 4000 AS pos FROM {lineitem}"
+LIBRARY = "SELECT l_partkey AS mineral, CASE WHEN l_suppkey % 2 = 0 THEN 'raman' ELSE 'ir' END AS technique, CAST(l_orderkey * 37 % 4000 AS DOUBLE) AS pos FROM {lineitem}"
 
 
-@query("library_bands_beside", f"""WITH s AS ({other_sql(SAID)}), l AS ({other_sql(LIBRARY)}), w AS (SELECT s.doc_id, s.mineral, s.technique, l.pos FROM (SELECT DISTINCT doc_id, mineral, technique FROM s) s JOIN l ON l.mineral = s.mineral AND l.technique = s.technique),
- n AS (SELECT w.doc_id, w.mineral, w.technique, w.pos, arg_min(CAST(s.pos AS DOUBLE), (abs(s.pos - w.pos), s.pos)) AS said FROM (SELECT DISTINCT * FROM w) w LEFT JOIN s ON s.doc_id = w.doc_id AND s.technique = w.technique AND abs(s.pos - w.pos) <= 10 GROUP BY 1, 2, 3, 4)
-SELECT w.doc_id, w.mineral, w.technique, w.pos, n.said, n.said - w.pos AS off FROM w JOIN n ON n.doc_id = w.doc_id AND n.mineral = w.mineral AND n.technique = w.technique AND n.pos = w.pos""")
+@query("library_bands_beside", f"""WITH s AS ({other_sql(SAID)}), l AS (SELECT DISTINCT * FROM ({other_sql(LIBRARY)})), w AS (SELECT DISTINCT doc_id, mineral, technique FROM s)
+SELECT w.doc_id, w.mineral, w.technique, l.pos, arg_min(s.pos, (abs(s.pos - l.pos), s.pos)) AS said, arg_min(s.pos, (abs(s.pos - l.pos), s.pos)) - l.pos AS off
+FROM w JOIN s ON s.doc_id = w.doc_id AND s.technique = w.technique JOIN l ON l.mineral = w.mineral AND l.technique = w.technique AND abs(s.pos - l.pos) <= 10 GROUP BY 1, 2, 3, 4""")
 def _(spark, sf):
     return T.library_bands_beside(spark_sql(spark, sf, SAID), spark_sql(spark, sf, LIBRARY))
 
@@ -383,12 +386,16 @@ def _(spark, sf):
     return T.evidence_lints(texts).groupBy("doc_id", "lint").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("feature_flags", f"WITH {LINT_ROWS} SELECT q > 25 AS has_method, count(*) AS n, 0::BIGINT AS optics FROM b GROUP BY 1")
+FEATURED = """
+SELECT l_orderkey * 8 + l_linenumber AS doc_id, concat(CASE l_partkey % 4 WHEN 0 THEN 'Analyses in wt% gave SiO2, CaO, MgO and FeO. ' WHEN 1 THEN 'Analyses gave SiO2, SiO2, CaO and CaO. ' WHEN 2 THEN 'SiO2, CaO, MgO and FeO are oxides. ' ELSE '' END,
+  CASE l_suppkey % 3 WHEN 0 THEN 'The bond-valence sums agree. ' ELSE 'The bonds agree. ' END, CASE WHEN l_quantity > 25 THEN 'The compatibility index is superior. ' ELSE '' END,
+  CASE l_linenumber % 3 WHEN 0 THEN 'It has α = 1.53 and β = 1.6. ' WHEN 1 THEN 'It has a = 1.53. ' ELSE '' END, CASE WHEN l_discount > 0.05 THEN 'Bands lie at 400 cm-1, 1100 cm−1 and 3400 cm-1. ' ELSE 'Bands lie at 400 cm-1 and 3400 cm-1. ' END,
+  CASE l_orderkey % 3 WHEN 0 THEN '\nCa1 0.1 0.25 0.5\nO2 .30 0.125 -0.4\nO3 0.1(2) 0.2(1) 0.3' WHEN 1 THEN '\nCa1 0.1 0.25 0.5' ELSE '' END) AS text FROM {lineitem}"""
+
+
+@query("feature_flags", """SELECT doc_id, epma, coords, bands, bv, gd, optics, count(*) AS n FROM (SELECT l_orderkey * 8 + l_linenumber AS doc_id, l_partkey % 4 = 0 AS epma, l_orderkey % 3 = 0 AS coords, l_discount > 0.05 AS bands, l_suppkey % 3 = 0 AS bv, l_quantity > 25 AS gd, l_linenumber % 3 = 0 AS optics FROM lineitem) GROUP BY ALL""")
 def _(spark, sf):
-    texts = spark_sql(spark, sf, LINTED + " GROUP BY l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity").withColumn("has_method", F.contains(F.col("text"), F.lit("Mössbauer")))
-    flags = T.feature_flags(texts).select("doc_id", "optics").withColumn("k", F.lit(1))
-    rows = texts.select("doc_id", "has_method").withColumn("o", F.col("has_method") & False)
-    return rows.groupBy("has_method").agg(F.count(F.lit(1)).alias("n"), F.count_if("o").alias("optics"))
+    return T.feature_flags(spread(spark_sql(spark, sf, FEATURED))).groupBy("doc_id", "epma", "coords", "bands", "bv", "gd", "optics").agg(F.count(F.lit(1)).alias("n"))
 
 
 COMPARED = "SELECT l_orderkey * 8 + l_linenumber AS doc_id, concat('The Raman spectrum is similar to that of ', CASE l_suppkey % 4 WHEN 0 THEN 'gypsum' WHEN 1 THEN 'calcite' WHEN 2 THEN 'unknownite' ELSE 'barite' END, ' in its bands.') AS text FROM {lineitem}"
@@ -416,9 +423,9 @@ RADIATION = """SELECT l_orderkey * 8 + l_linenumber AS doc_id, concat('Powder da
   CASE WHEN l_partkey % 2 = 0 THEN 'Cell from the powder data: a = 5.1 Å.' ELSE 'Cell from the single-crystal data: a = 5.1 Å.' END) AS text FROM {lineitem}"""
 
 
-@query("radiation_in_text", "SELECT DISTINCT l_orderkey * 8 + l_linenumber AS doc_id, CASE max(l_suppkey % 3) WHEN 0 THEN 'Cu' WHEN 1 THEN 'Co' ELSE 'Fe' END AS anode FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING min(l_suppkey % 3) = max(l_suppkey % 3)")
+@query("radiation_in_text", "SELECT l_orderkey * 8 + l_linenumber AS doc_id, CASE max(l_suppkey) % 3 WHEN 0 THEN 'Cu' WHEN 1 THEN 'Co' ELSE 'Fe' END AS anode FROM lineitem GROUP BY l_orderkey, l_linenumber")
 def _(spark, sf):
-    texts = spark_sql(spark, sf, "SELECT l_orderkey, l_linenumber, max(l_suppkey) AS l_suppkey, max(l_partkey) AS l_partkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber HAVING min(l_suppkey % 3) = max(l_suppkey % 3)")
+    texts = spark_sql(spark, sf, "SELECT l_orderkey, l_linenumber, max(l_suppkey) AS l_suppkey, max(l_partkey) AS l_partkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber")
     rows = spark.sql(RADIATION.replace("{lineitem}", "{t}"), t=texts)
     return T.radiation_in_text(rows).select("doc_id", "anode")
 
