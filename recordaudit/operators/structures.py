@@ -405,9 +405,8 @@ def compare_refinement_numbers(text_numbers: DataFrame, items: DataFrame) -> Dat
         .when(F.col("how") == "r", 0.0006).when(F.col("how") == "gof", 0.006).when(F.col("how") == "int", 0.5).when(F.col("how") == "f000", 1.0)
         .otherwise(F.greatest(F.lit(0.006), 0.002 * F.abs("ref")))
     )
-    return rows.where(F.abs(F.col("value") - F.col("ref")) > tol).dropDuplicates(["structure_id", "item", "value"]).select(
-        "structure_id", "item", "value", "ref", F.when(F.col("place") == "table", "flag").otherwise("note").alias("sev")
-    )
+    off = rows.where(F.abs(F.col("value") - F.col("ref")) > tol)
+    return off.groupBy("structure_id", "item", "value", "ref").agg(F.when(F.bool_or(F.col("place") == "table"), "flag").otherwise("note").alias("sev"))
 
 
 def refinement_triage(refinements: DataFrame) -> DataFrame:
@@ -546,8 +545,8 @@ def canonical_hkl(ops: Column) -> Column:
 def powder_pattern(cells: DataFrame, sites: DataFrame, symops: DataFrame, factors: DataFrame, lam: float = 1.5406, dmin: float = 1.0, polarisation: float = 1.0) -> DataFrame:
     """``structure_id, h, k, l, d, two_theta, mult, f2, i``: the lines of each structure's powder pattern.
 
-    `sites` may carry ``biso``; `factors`: element, a array<double>, b array<double>, c. Indices go to ⌈x/dmin⌉+1 per axis,
-    dmin growing by a quarter while that is over 300,000 triples. The structure factor of a reflection is a fold over the
+    `sites` may carry ``biso``; `factors`: element, a array<double>, b array<double>, c. Every line down to
+    `dmin` is there, however large the cell. The structure factor of a reflection is a fold over the
     cell's atoms, so reflections and atoms never multiply into rows.
     """
     biso = F.coalesce(F.col("biso"), F.lit(0.0)) if "biso" in sites.columns else F.lit(0.0)
@@ -556,13 +555,12 @@ def powder_pattern(cells: DataFrame, sites: DataFrame, symops: DataFrame, factor
     atoms = images.join(kinds, ["structure_id", "label"]).groupBy("structure_id").agg(
         F.collect_list(F.struct("x", "y", "z", "occ", "biso", F.col("a").alias("fa"), F.col("b").alias("fb"), F.col("c").alias("fc"))).alias("atoms")
     )
-    steps = F.sequence(F.lit(0), F.lit(60))
-    size = lambda n: (2 * (F.ceil(F.col("a") / n) + 1) + 1) * (2 * (F.ceil(F.col("b") / n) + 1) + 1) * (2 * (F.ceil(F.col("c") / n) + 1) + 1)
-    limit = F.array_min(F.filter(F.transform(steps, lambda k: F.lit(dmin) * F.pow(F.lit(1.25), k)), lambda n: size(n) <= 300000))
-    base = cells.withColumn("dmin", limit).join(operator_arrays(symops), "structure_id")
-    span = lambda axis: F.sequence(-(F.ceil(F.col(axis) / F.col("dmin")) + 1).cast("int"), (F.ceil(F.col(axis) / F.col("dmin")) + 1).cast("int"))
-    hkl = base.withColumn("h", F.explode(span("a"))).withColumn("k", F.explode(span("b"))).withColumn("l", F.explode(span("c"))).where("NOT (h = 0 AND k = 0 AND l = 0)")
-    hkl = hkl.withColumn("q", inv_d2(_cell(), F.col("h"), F.col("k"), F.col("l"))).withColumn("d", 1 / F.sqrt(F.when(F.col("q") > 0, F.col("q")))).where((F.col("d") >= F.col("dmin")) & (lam / (2 * F.col("d")) < 1))
+    # |h| of a lattice plane is at most the length of its axis over its spacing, so these boxes hold every line down to dmin. One
+    # slab of h at a time: k and l are laid out row by row, and lines outside the sphere go before the operators are joined.
+    span = lambda axis: F.sequence(-F.floor(F.col(axis) / dmin).cast("int"), F.floor(F.col(axis) / dmin).cast("int"))
+    hkl = cells.withColumn("h", F.explode(span("a"))).withColumn("k", F.explode(span("b"))).withColumn("l", F.explode(span("c"))).where("NOT (h = 0 AND k = 0 AND l = 0)")
+    hkl = hkl.withColumn("q", inv_d2(_cell(), F.col("h"), F.col("k"), F.col("l"))).withColumn("d", 1 / F.sqrt(F.when(F.col("q") > 0, F.col("q")))).where((F.col("d") >= dmin) & (lam / (2 * F.col("d")) < 1))
+    hkl = hkl.join(operator_arrays(symops), "structure_id")
     # one representative per class under the Laue group: its members are counted before any structure factor is formed
     classes = hkl.withColumn("top", canonical_hkl(F.col("ops"))).groupBy("structure_id", "top").agg(F.count(F.lit(1)).alias("mult"), F.first("q").alias("q"), F.first("d").alias("d"))
     rows = classes.join(atoms, "structure_id").select("structure_id", "mult", "q", "d", F.col("top.h").alias("h"), F.col("top.k").alias("k"), F.col("top.l").alias("l"), "atoms")

@@ -214,7 +214,7 @@ def _(spark, sf):
     return P.rule_two_intensities(spark_sql(spark, sf, LINES), _list_entries(spark, sf)).select("entry_id", "code", "sev", F.regexp_extract("msg", r"^(\d+)", 1).cast("bigint").alias("n"))
 
 
-LISTED = """SELECT CAST(floor(l_orderkey / 4) AS BIGINT) AS entry_id, CAST(l_linenumber % 2 AS INT) AS sent_no, CAST(CAST((9000 + (l_partkey % 300) * 100 + CASE WHEN l_suppkey % 9 = 0 THEN 700 ELSE 10 END) / 10000 AS DECIMAL(6,3)) AS STRING) AS d_txt, l_quantity AS i FROM {lineitem} WHERE l_quantity > 25"""
+LISTED = """SELECT CAST(floor(l_orderkey / 4) AS BIGINT) AS entry_id, CAST(l_linenumber % 2 AS INT) AS sent_no, CAST(CAST((9000 + (l_partkey % 300) * 100 + CASE WHEN l_suppkey % 9 = 0 THEN 700 ELSE 10 END) / 10000 AS DECIMAL(6,3)) AS STRING) AS d_txt, l_quantity AS i FROM {lineitem}"""
 
 
 @query("rule_strongest_lines", f"""WITH {L_SQL}, q AS ({other_sql(LISTED)}), w AS (SELECT *, CAST(d_txt AS DOUBLE) AS v, greatest(0.0006, 0.003 * CAST(d_txt AS DOUBLE)) AS tol FROM q),

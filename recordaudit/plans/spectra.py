@@ -137,9 +137,6 @@ def _(spark, sf):
 
 
 # broad bands: neighbouring values joined up, so that the search has something to find
-SMOOTH = "y"
-
-
 def _bands(spark, sf):
     return P.find_bands(_arrays(spark, sf), min_snr=1.0)
 
@@ -154,7 +151,7 @@ def _(spark, sf):
     return P.strong_bands(_bands(spark, sf), lattice=110.0).select("spectrum_id", "pos", F.round("height", 6).alias("height"))
 
 
-PEAKS = "SELECT user_id AS spectrum_id, event_id AS band_no, CASE WHEN event_type = 'click' THEN 'g1' WHEN event_type = 'view' THEN 'g2' WHEN event_type = 'error' THEN 'g3' ELSE 'g4' END AS grp, round(300 + value * 20, 1) AS pos, CAST(10 + event_id % 60 AS DOUBLE) AS fwhm, CAST(1 + event_id % 97 AS DOUBLE) AS height FROM {events} WHERE event_id % 7 < 2"
+PEAKS = "SELECT user_id * 7 + event_id % 7 AS spectrum_id, event_id AS band_no, CASE WHEN event_type = 'click' THEN 'g1' WHEN event_type = 'view' THEN 'g2' WHEN event_type = 'error' THEN 'g3' ELSE 'g4' END AS grp, round(300 + value * 20, 1) AS pos, CAST(10 + event_id % 60 AS DOUBLE) AS fwhm, CAST(1 + event_id % 97 AS DOUBLE) AS height FROM {events}"
 
 
 @query("regions_of", f"""WITH b AS ({other_sql(PEAKS)}), c AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 80 THEN 0 ELSE 1 END AS nw FROM b WINDOW w AS (PARTITION BY spectrum_id ORDER BY pos, fwhm)),
@@ -279,26 +276,26 @@ def _(spark, sf):
     return P.width_percentiles(spark_sql(spark, sf, COMPS), spark.sql(MODES))
 
 
-@query("fit_coverage", f"""WITH s AS ({other_sql(PEAKS)}), d AS (SELECT DISTINCT spectrum_id, pos, fwhm FROM s), c AS (SELECT user_id AS spectrum_id, round(300 + value * 20, 1) + 5 AS pos FROM events WHERE event_id % 7 = 3)
+@query("fit_coverage", f"""WITH s AS ({other_sql(PEAKS)}), d AS (SELECT DISTINCT spectrum_id, pos, fwhm FROM s), c AS (SELECT user_id * 7 + event_id % 7 AS spectrum_id, round(300 + value * 20, 1) + CASE WHEN event_id % 3 = 0 THEN 5 ELSE 500 END AS pos FROM events)
 SELECT count(*) AS strong, count(*) FILTER (WHERE ok) AS covered, round(100.0 * count(*) FILTER (WHERE ok) / count(*), 1) AS coverage_pct FROM (
   SELECT d.*, EXISTS (SELECT 1 FROM c JOIN d e ON e.spectrum_id = c.spectrum_id WHERE e.spectrum_id = d.spectrum_id AND e.pos = d.pos AND c.pos BETWEEN e.pos - least(20.0, greatest(6.0, e.fwhm / 2)) AND e.pos + least(20.0, greatest(6.0, e.fwhm / 2))) AS ok FROM d)""")
 def _(spark, sf):
     strong = spark_sql(spark, sf, PEAKS).select("spectrum_id", "pos", "fwhm").distinct()
-    comps = spark_sql(spark, sf, "SELECT user_id AS spectrum_id, round(300 + value * 20, 1) + 5 AS pos FROM {events} WHERE event_id % 7 = 3")
+    comps = spark_sql(spark, sf, "SELECT user_id * 7 + event_id % 7 AS spectrum_id, round(300 + value * 20, 1) + CASE WHEN event_id % 3 = 0 THEN 5 ELSE 500 END AS pos FROM {events}")
     return P.fit_coverage(strong, comps)
 
 
-FREE = "SELECT * FROM (VALUES ('g1','ν1',983.0D),('g1','ν3',1105.0D),('g1','ν4',611.0D),('g1','ν2',450.0D),('g2','ν1',1063.0D),('g2','ν3',1415.0D),('g2','ν2',879.0D),('g2','ν4',680.0D)) AS t(grp, mode, free)"
+FREE = "SELECT * FROM (VALUES ('g1','ν1',983.0D),('g1','ν3',1105.0D),('g1','ν4',611.0D),('g1','ν2',450.0D),('g2','ν1',1063.0D),('g2','ν3',1415.0D),('g2','ν2',879.0D),('g2','ν4',680.0D),('g3','ν1',938.0D),('g3','ν3',1017.0D),('g3','ν4',567.0D),('g3','ν2',420.0D),('g4','ν1',837.0D),('g4','ν3',878.0D),('g4','ν4',463.0D),('g4','ν2',349.0D)) AS t(grp, mode, free)"
 
 
-@query("assign_modes", f"""WITH b0 AS ({other_sql(PEAKS)}), b AS (SELECT spectrum_id * 10 + CAST(substr(grp, 2) AS INT) AS spectrum_id, grp, pos, height, 300.0 AS floor FROM b0 WHERE grp IN ('g1','g2')), f AS ({FREE.replace('D)', ')')}),
+@query("assign_modes", f"""WITH b0 AS ({other_sql(PEAKS)}), b AS (SELECT spectrum_id * 10 + CAST(substr(grp, 2) AS INT) AS spectrum_id, grp, pos, height, 300.0 AS floor FROM b0), f AS ({FREE.replace('D)', ')')}),
  t AS (SELECT *, max(height) OVER (PARTITION BY spectrum_id) AS top FROM b), n AS (SELECT spectrum_id, first(pos ORDER BY height DESC, pos) AS nu1 FROM b WHERE pos >= floor GROUP BY 1),
  r AS (SELECT t.*, nu1, CAST(free AS DOUBLE) AS free1 FROM t JOIN n USING (spectrum_id) JOIN f ON f.grp = t.grp AND f.mode = 'ν1')
 SELECT spectrum_id, pos, CASE WHEN abs(nu1 / free1 - 1) > 0.20 THEN '(ν1 not dominant)' ELSE 'ν1' END AS mode FROM r WHERE pos = nu1 UNION ALL
 SELECT spectrum_id, pos, CASE WHEN (SELECT min(abs(r.pos / (CAST(free AS DOUBLE) * nu1 / free1) - 1)) FROM f WHERE f.grp = r.grp AND f.mode <> 'ν1') <= 0.12 THEN (SELECT arg_min(mode, (abs(r.pos / (CAST(free AS DOUBLE) * nu1 / free1) - 1), mode)) FROM f WHERE f.grp = r.grp AND f.mode <> 'ν1') ELSE '(unassigned)' END
 FROM r WHERE abs(nu1 / free1 - 1) <= 0.20 AND height >= 0.08 * top AND abs(pos - nu1) > 0.02 * nu1""")
 def _(spark, sf):
-    b = spark_sql(spark, sf, PEAKS).where("grp IN ('g1', 'g2')").withColumn("spectrum_id", F.expr("spectrum_id * 10 + CAST(substr(grp, 2) AS INT)")).withColumn("floor", F.lit(300.0))
+    b = spark_sql(spark, sf, PEAKS).withColumn("spectrum_id", F.expr("spectrum_id * 10 + CAST(substr(grp, 2) AS INT)")).withColumn("floor", F.lit(300.0))
     return P.assign_modes(b.select("spectrum_id", "grp", "floor", "pos", "height"), spark.sql(FREE))
 
 
@@ -317,7 +314,7 @@ def _(spark, sf):
     return _arrays(spark, sf).select("spectrum_id", F.round(S.runs_z(F.col("y")), 6).alias("z"))
 
 
-FITS = "SELECT user_id AS spectrum_id, 300.0D AS lo, 2300.0D AS hi, 2000 AS n, 2.0D AS sigma, CASE WHEN user_id % 2 = 0 THEN 4.0D END AS resolution FROM {events} GROUP BY user_id"
+FITS = "SELECT user_id * 7 + event_id % 7 AS spectrum_id, 300.0D AS lo, 2300.0D AS hi, 2000 AS n, 2.0D AS sigma, CASE WHEN (user_id * 7 + event_id % 7) % 2 = 0 THEN 4.0D END AS resolution FROM {events} GROUP BY user_id * 7 + event_id % 7"
 
 
 @query("fit_quality_flags", f"""WITH b0 AS ({other_sql(PEAKS)}), b AS (SELECT spectrum_id, pos, max(fwhm) AS fwhm, max(height) AS height, (max(band_no) % 9) / 2.0 AS esd FROM b0 GROUP BY 1, 2),
