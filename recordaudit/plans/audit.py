@@ -214,11 +214,11 @@ def _(spark, sf):
 # --- triage ----------------------------------------------------------------------------------
 
 NUMBERED = """
-SELECT l_orderkey AS entry_id, concat('chk', CAST(l_linenumber % 3 AS STRING)) AS code, 'cell:a' AS anchor, concat('value ', l_returnflag) AS msg,
+SELECT l_orderkey AS entry_id, concat('chk', CAST(l_linenumber % 3 AS STRING)) AS code, 'cell:a' AS anchor, concat(repeat('a long message ', 12), l_returnflag) AS msg,
   l_suppkey AS ord, l_partkey AS ord2, l_extendedprice AS ord3 FROM {lineitem}"""
 
 
-@query("finding_keys", f"""WITH f AS ({other_sql(NUMBERED)}), k AS (SELECT entry_id, code, 'f:' || substr(sha1(code || '|' || anchor || '|' || msg), 1, 10) AS b, ord, ord2, ord3 FROM f),
+@query("finding_keys", f"""WITH f AS ({other_sql(NUMBERED)}), k AS (SELECT entry_id, code, 'f:' || sha1(code || '|' || anchor || '|' || msg) AS b, ord, ord2, ord3 FROM f),
  r AS (SELECT *, row_number() OVER (PARTITION BY entry_id, b ORDER BY ord, ord2, ord3) AS c FROM k)
 SELECT entry_id, code, CASE WHEN c = 1 THEN b ELSE b || '#' || c END AS finding_key FROM r""")
 def _(spark, sf):
@@ -373,11 +373,11 @@ def _(spark, sf):
 
 DETAILS = """
 SELECT user_id AS doc_id, event_type AS field, CASE WHEN value < 10 THEN 'agrees' ELSE 'disagrees' END AS status,
-  concat('Fe', CAST(user_id % 7 AS STRING), ' column ', CAST(value AS STRING), ' against ', props) AS detail FROM {events}"""
+  concat('Fe', CAST(user_id % 7 AS STRING), ' column ', CAST(value AS STRING), ' against ', props, repeat(' and more', 12)) AS detail FROM {events}"""
 
 
-@query("failure_classes", f"""WITH r AS ({other_sql(DETAILS)}), c AS (SELECT *, substr(regexp_replace(regexp_replace(detail, '\\d+(\\.\\d+)?', 'N', 'g'),
-  '\\b[A-Z][a-z]?\\d*(?:/[A-Z][a-z]?\\d*)*\\b', 'X', 'g'), 1, 90) AS detail_class FROM r)
+@query("failure_classes", f"""WITH r AS ({other_sql(DETAILS)}), c AS (SELECT *, regexp_replace(regexp_replace(detail, '\\d+(\\.\\d+)?', 'N', 'g'),
+  '\\b[A-Z][a-z]?\\d*(?:/[A-Z][a-z]?\\d*)*\\b', 'X', 'g') AS detail_class FROM r)
 SELECT field, status, detail_class, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS example FROM c GROUP BY field, status, detail_class""")
 def _(spark, sf):
     return A.failure_classes(spark_sql(spark, sf, DETAILS))

@@ -101,7 +101,7 @@ def parse_xy(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     meta = base.select(
         "file", F.trim(F.translate(get("NAMES"), "_", " ")).alias("name"), get("RRUFFID").alias("sample_id"),
         F.when(F.contains(F.lower(get("FILETYPE")), F.lit("raw")), "raw").otherwise("processed").alias("kind"),
-        F.when(laser.rlike(r"^\d+(?:\.\d+)?$"), laser).otherwise("").alias("laser"), F.substring(plain_chem(get("IDEAL CHEMISTRY")), 1, 120).alias("chemistry"),
+        F.when(laser.rlike(r"^\d+(?:\.\d+)?$"), laser).otherwise("").alias("laser"), plain_chem(get("IDEAL CHEMISTRY")).alias("chemistry"),
     )
     parsed = F.expr(r"""array_sort(filter(transform(filter(split(text, '\r?\n'), s -> NOT startswith(trim(s), '##') AND contains(s, ',')),
         s -> named_struct('x', try_cast(trim(substring_index(s, ',', 1)) AS double), 'y', try_cast(trim(split(s, ',')[1]) AS double))),
@@ -120,15 +120,18 @@ def read_xy(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
 def parse_alerts(reports: DataFrame) -> DataFrame:
     """``report_id, code, type, level, desc, val`` of report texts (report_id, text); each alert once.
 
-    An alert is ``CODE_ALERT_t_L text``; equal codes whose texts agree in forty characters are one; the value is the
-    last number of the text.
+    An alert is a line with a word ``CODE_ALERT_type_level`` and a text behind it. Lines of one code and one whole text are one
+    alert, as often as a report prints it; the value is the last number of the text.
     """
-    pattern = r"(?m)\b([A-Z][A-Z0-9]{2,7})_ALERT_(\d)_([ABCG])\b[ .]*(.*)"
-    groups = [F.regexp_extract_all("text", F.lit(pattern), F.lit(k)).alias(n) for k, n in enumerate(("code", "type", "level", "desc"), 1)]
-    rows = reports.select("report_id", F.posexplode(F.arrays_zip(*groups)).alias("no", "a")).select("report_id", "no", "a.*").withColumn("desc", F.trim("desc"))
-    first = rows.groupBy("report_id", "code", F.substring("desc", 1, 40).alias("_head")).agg(F.min_by(F.struct("type", "level", "desc"), "no").alias("a"))
-    value = F.try_element_at(F.regexp_extract_all("a.desc", F.lit(r"(-?\d+\.\d+|\b\d{2,}\b)"), F.lit(1)), F.lit(-1))
-    return first.select("report_id", "code", F.col("a.type").cast("int").alias("type"), "a.level", "a.desc", value.alias("val"))
+    lines = reports.select("report_id", F.posexplode(F.split("text", r"\r?\n")).alias("no", "line")).where(F.contains(F.col("line"), F.lit("_ALERT_")))
+    head, tail = F.split_part("line", F.lit("_ALERT_"), F.lit(1)), F.split_part("line", F.lit("_ALERT_"), F.lit(2))
+    code = F.element_at(F.split(head, r"[^A-Z0-9]"), -1)
+    marks = F.split(F.regexp_replace(tail, r"^(\w)_(\w)[ .]*", "$1\u0001$2\u0001"), "\u0001")
+    rows = lines.select("report_id", "no", code.alias("code"), F.get(marks, F.lit(0)).try_cast("int").alias("type"), F.get(marks, F.lit(1)).alias("level"), F.trim(F.get(marks, F.lit(2))).alias("desc"))
+    rows = rows.where("code <> '' AND type IS NOT NULL AND level IN ('A', 'B', 'C', 'G')")
+    first = rows.groupBy("report_id", "code", "desc").agg(F.min_by(F.struct("type", "level"), "no").alias("a"))
+    value = F.try_element_at(F.regexp_extract_all("desc", F.lit(r"-?\d+\.\d+|\b\d{2,}\b"), F.lit(0)), F.lit(-1))
+    return first.select("report_id", "code", "a.type", "a.level", "desc", value.alias("val"))
 
 
 def read_alert_reports(spark: SparkSession, glob: str) -> DataFrame:
@@ -163,7 +166,7 @@ def file_ids(name: Column) -> Column:
     parts = [F.regexp_extract_all(name, F.lit(rng), F.lit(k)) for k in (1, 2, 4)]
     spans = F.arrays_zip(parts[0].alias("p"), parts[1].alias("a"), parts[2].alias("b"))
     wide = F.flatten(F.transform(spans, lambda s: F.when(
-        (s["b"].cast("int") >= s["a"].cast("int")) & (s["b"].cast("int") - s["a"].cast("int") <= 500),
+        s["b"].cast("int") >= s["a"].cast("int"),
         F.transform(F.sequence(s["a"].cast("int"), s["b"].cast("int")), lambda n: F.concat(F.upper(s["p"]), F.lpad(n.cast("string"), F.length(s["a"]), F.lit("0")))),
     ).otherwise(F.array().cast("array<string>"))))
     return F.array_distinct(F.concat(singles, wide))
