@@ -162,10 +162,10 @@ def _who(k):
 
 
 PARAS = f"""
-SELECT l_orderkey % 200 AS doc_id, l_orderkey * 8 + l_linenumber AS para, concat('As shown by ', {_who('l_partkey')}, CASE l_linenumber % 3 WHEN 0 THEN ' et al.' WHEN 1 THEN '' ELSE concat(' and ', {_who('l_suppkey')}) END,
+SELECT CAST(floor(l_orderkey / 128) AS BIGINT) AS doc_id, l_orderkey * 8 + l_linenumber AS para, concat('As shown by ', {_who('l_partkey')}, CASE l_linenumber % 3 WHEN 0 THEN ' et al.' WHEN 1 THEN '' ELSE concat(' and ', {_who('l_suppkey')}) END,
   ' (', CAST(1990 + l_partkey % 30 AS STRING), CASE WHEN l_suppkey % 5 = 0 THEN 'a' ELSE '' END, '), it holds.') AS text FROM {{lineitem}}"""
 CITES = f"""
-SELECT DISTINCT l_orderkey % 200 AS doc_id, l_orderkey * 8 + l_linenumber AS para, 1 AS cite_no, lower(strip_accents(replace({_who('l_partkey')}, 'ø', 'o'))) AS n1, CASE WHEN l_linenumber % 3 = 2 THEN lower(strip_accents(replace({_who('l_suppkey')}, 'ø', 'o'))) END AS n2,
+SELECT DISTINCT CAST(floor(l_orderkey / 128) AS BIGINT) AS doc_id, l_orderkey * 8 + l_linenumber AS para, 1 AS cite_no, lower(strip_accents(replace({_who('l_partkey')}, 'ø', 'o'))) AS n1, CASE WHEN l_linenumber % 3 = 2 THEN lower(strip_accents(replace({_who('l_suppkey')}, 'ø', 'o'))) END AS n2,
   l_linenumber % 3 = 0 AS etal, CAST(1990 + l_partkey % 30 AS STRING) AS year, CASE WHEN l_suppkey % 5 = 0 THEN 'a' END AS suffix, l_partkey, l_suppkey, l_extendedprice FROM lineitem"""
 
 
@@ -178,10 +178,10 @@ def _(spark, sf):
 
 
 CITE_ROWS = f"""
-SELECT l_orderkey % 200 AS doc_id, (l_orderkey * 8 + l_linenumber) * 100000 + l_partkey AS cite_id, lower({_who('l_partkey').replace('ü', 'u').replace('ø', 'o')}) AS n1, CASE WHEN l_linenumber % 3 = 2 THEN lower({_who('l_suppkey').replace('ü', 'u').replace('ø', 'o')}) END AS n2,
-  l_linenumber % 3 = 0 AS etal, CAST(1990 + l_partkey % 30 AS STRING) AS year, CASE WHEN l_suppkey % 5 = 0 THEN 'a' END AS suffix FROM {{lineitem}} WHERE l_quantity > 30"""
+SELECT CAST(floor(l_orderkey / 128) AS BIGINT) AS doc_id, (l_orderkey * 8 + l_linenumber) * 100000 + l_partkey AS cite_id, lower({_who('l_partkey').replace('ü', 'u').replace('ø', 'o')}) AS n1, CASE WHEN l_linenumber % 3 = 2 THEN lower({_who('l_suppkey').replace('ü', 'u').replace('ø', 'o')}) END AS n2,
+  l_linenumber % 3 = 0 AS etal, CAST(1990 + l_partkey % 30 AS STRING) AS year, CASE WHEN l_suppkey % 5 = 0 THEN 'a' END AS suffix FROM {{lineitem}}"""
 REF_ROWS = f"""
-SELECT o_orderkey % 200 AS doc_id, o_orderkey AS ref_id, lower({_who('o_custkey').replace('ü', 'u').replace('ø', 'o')}) AS n1, CASE WHEN o_orderkey % 3 > 0 THEN lower({_who('(o_custkey + 1)').replace('ü', 'u').replace('ø', 'o')}) END AS n2,
+SELECT CAST(floor(o_orderkey / 128) AS BIGINT) AS doc_id, o_orderkey AS ref_id, lower({_who('o_custkey').replace('ü', 'u').replace('ø', 'o')}) AS n1, CASE WHEN o_orderkey % 3 > 0 THEN lower({_who('(o_custkey + 1)').replace('ü', 'u').replace('ø', 'o')}) END AS n2,
   CAST(1990 + o_orderkey % 30 AS STRING) AS year, CASE WHEN o_custkey % 6 = 0 THEN 'a' WHEN o_custkey % 6 = 1 THEN 'b' END AS suffix, CAST(1 + o_orderkey % 4 AS INT) AS n_authors FROM {{orders}}"""
 MATCH_SQL = f"""ci AS (SELECT DISTINCT * FROM ({other_sql(CITE_ROWS)})), re AS ({other_sql(REF_ROWS)}),
  cd AS (SELECT ci.doc_id, ci.cite_id, ci.n2, re.ref_id, re.n2 IS NOT NULL AS many, ci.n2 IS NULL OR ci.n2 IN (re.n1, re.n2) AS strict FROM ci JOIN re ON re.doc_id = ci.doc_id AND re.year = ci.year AND re.n1 = ci.n1 AND (ci.suffix IS NULL OR re.suffix IS NULL OR ci.suffix = re.suffix)),
@@ -233,22 +233,22 @@ def _(spark, sf):
     return C.form_findings(cites, refs, C.match_citations(cites, refs))
 
 
-NUMBERED = "SELECT l_orderkey % 300 AS doc_id, l_orderkey * 8 + l_linenumber AS para, concat('Seen before [', CAST(1 + l_partkey % 40 AS STRING), '–', CAST(1 + l_partkey % 40 + l_linenumber AS STRING), ', ', CAST(1 + l_suppkey % 50 AS STRING), '] on [100].') AS text FROM {lineitem}"
-NUM_LIST = "SELECT DISTINCT o_orderkey % 300 AS doc_id, o_custkey % 45 + 1 AS ref_id, CAST(o_custkey % 45 + 1 AS INT) AS number FROM {orders}"
+NUMBERED = "SELECT CAST(floor(l_orderkey / 128) AS BIGINT) AS doc_id, l_orderkey * 8 + l_linenumber AS para, concat('Seen before [', CAST(1 + l_partkey % 40 AS STRING), '–', CAST(1 + l_partkey % 40 + l_linenumber * 12 AS STRING), ', ', CAST(1 + l_suppkey % 50 AS STRING), '] on [100].') AS text FROM {lineitem}"
+NUM_LIST = "SELECT DISTINCT CAST(floor(o_orderkey / 128) AS BIGINT) AS doc_id, o_custkey % 45 + 1 AS ref_id, CAST(o_custkey % 45 + 1 AS INT) AS number FROM {orders}"
 
 
-@query("numeric_citations", f"""WITH n AS (SELECT DISTINCT l_orderkey % 300 AS doc_id, CAST(unnest(list_append(range(1 + l_partkey % 40, 2 + l_partkey % 40 + l_linenumber), 1 + l_suppkey % 50)) AS INT) AS number FROM lineitem), l AS ({other_sql(NUM_LIST)})
+@query("numeric_citations", f"""WITH n AS (SELECT DISTINCT CAST(floor(l_orderkey / 128) AS BIGINT) AS doc_id, CAST(unnest(list_append(range(1 + l_partkey % 40, 2 + l_partkey % 40 + l_linenumber * 12), 1 + l_suppkey % 50)) AS INT) AS number FROM lineitem), l AS ({other_sql(NUM_LIST)})
 SELECT coalesce(n.doc_id, l.doc_id) AS doc_id, coalesce(n.number, l.number) AS number, CASE WHEN n.number IS NULL THEN 'uncited' ELSE 'missing' END AS state FROM n FULL JOIN l ON l.doc_id = n.doc_id AND l.number = n.number WHERE n.number IS NULL OR l.number IS NULL""")
 def _(spark, sf):
     return C.match_numeric_citations(C.extract_numeric_citations(spark_sql(spark, sf, NUMBERED)), spark_sql(spark, sf, NUM_LIST))
 
 
 LIST_LINES = f"""
-SELECT o_orderkey % 100 AS doc_id, o_orderkey AS line_no, CASE WHEN o_orderkey % 9 = 0 THEN concat('——— (', CAST(1990 + o_custkey % 30 AS STRING), ') A title of some length here. Journal, 1–2.')
+SELECT CAST(floor(o_orderkey / 128) AS BIGINT) AS doc_id, o_orderkey AS line_no, CASE WHEN o_orderkey % 9 = 0 THEN concat('——— (', CAST(1990 + o_custkey % 30 AS STRING), ') A title of some length here. Journal, 1–2.')
   ELSE concat({_who('o_custkey')}, ', A.B.', CASE WHEN o_custkey % 2 = 0 THEN concat(', ', {_who('(o_custkey + 1)')}, ', C.') ELSE '' END, ' (', CAST(1990 + o_custkey % 30 AS STRING), CASE WHEN o_custkey % 4 = 0 THEN 'b' ELSE '' END, ') A title of some length here. Journal, 1–2.') END AS text FROM {{orders}}"""
 
 
-@query("parse_references", f"""WITH r AS (SELECT o_orderkey % 100 AS doc_id, o_orderkey AS ref_id, o_orderkey % 9 = 0 AS dash, lower(strip_accents(replace({_who('o_custkey')}, 'ø', 'o'))) || CASE WHEN o_custkey % 2 = 0 THEN ',' || lower(strip_accents(replace({_who('(o_custkey + 1)')}, 'ø', 'o'))) ELSE '' END AS own,
+@query("parse_references", f"""WITH r AS (SELECT CAST(floor(o_orderkey / 128) AS BIGINT) AS doc_id, o_orderkey AS ref_id, o_orderkey % 9 = 0 AS dash, lower(strip_accents(replace({_who('o_custkey')}, 'ø', 'o'))) || CASE WHEN o_custkey % 2 = 0 THEN ',' || lower(strip_accents(replace({_who('(o_custkey + 1)')}, 'ø', 'o'))) ELSE '' END AS own,
   CASE WHEN o_custkey % 2 = 0 THEN 2 ELSE 1 END AS n, CAST(1990 + o_custkey % 30 AS STRING) AS year, CASE WHEN o_custkey % 4 = 0 THEN 'b' END AS suffix FROM orders),
  f AS (SELECT *, last_value(CASE WHEN NOT dash THEN own END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ref_id) AS names FROM r)
 SELECT doc_id, ref_id, names, CAST(CASE WHEN NOT dash THEN n END AS INT) AS n_authors, year, CASE WHEN dash THEN NULL ELSE suffix END AS suffix FROM f WHERE names IS NOT NULL""")
@@ -257,11 +257,11 @@ def _(spark, sf):
 
 
 PARAGRAPHS = """
-SELECT l_orderkey % 250 AS doc_id, l_orderkey * 8 + l_linenumber AS para, CASE WHEN l_linenumber = 1 AND l_suppkey % 3 = 0 THEN concat('Table ', CAST(1 + l_partkey % 9 AS STRING), '. Values of the cell.')
-  WHEN l_linenumber = 2 AND l_suppkey % 5 = 0 THEN concat('Fig. ', CAST(1 + l_partkey % 4 AS STRING), ': the pattern.') ELSE concat('Values are in Tables ', CAST(1 + l_partkey % 12 AS STRING), ' and ', CAST(1 + l_suppkey % 6 AS STRING), '.') END AS text FROM {lineitem} WHERE l_quantity > 35"""
+SELECT CAST(floor(l_orderkey / 128) AS BIGINT) AS doc_id, l_orderkey * 8 + l_linenumber AS para, CASE WHEN l_linenumber = 1 AND l_suppkey % 3 = 0 THEN concat('Table ', CAST(1 + l_partkey % 9 AS STRING), '. Values of the cell.')
+  WHEN l_linenumber = 2 AND l_suppkey % 5 = 0 THEN concat('Fig. ', CAST(1 + l_partkey % 4 AS STRING), ': the pattern.') ELSE concat('Values are in Tables ', CAST(1 + l_partkey % 12 AS STRING), ' and ', CAST(1 + l_suppkey % 6 AS STRING), '.') END AS text FROM {lineitem}"""
 
 
-@query("crossref_check", f"""WITH p AS (SELECT l_orderkey % 250 AS doc_id, l_linenumber AS ln, l_suppkey AS s, l_partkey AS k FROM lineitem WHERE l_quantity > 35),
+@query("crossref_check", f"""WITH p AS (SELECT CAST(floor(l_orderkey / 128) AS BIGINT) AS doc_id, l_linenumber AS ln, l_suppkey AS s, l_partkey AS k FROM lineitem),
  h AS (SELECT DISTINCT doc_id, 'Table' AS kind, 1 + k % 9 AS number FROM p WHERE ln = 1 AND s % 3 = 0 UNION SELECT DISTINCT doc_id, 'Figure', 1 + k % 4 FROM p WHERE ln = 2 AND s % 5 = 0),
  c AS (SELECT DISTINCT doc_id, 'Table' AS kind, unnest([1 + k % 12, 1 + s % 6]) AS number FROM p WHERE NOT (ln = 1 AND s % 3 = 0) AND NOT (ln = 2 AND s % 5 = 0)),
  r AS (SELECT doc_id, kind, min(number) AS lo, max(number) AS hi, count(*) AS n FROM h GROUP BY 1, 2),
