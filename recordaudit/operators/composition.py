@@ -403,7 +403,7 @@ def compatibility_index(weights: DataFrame, optics: DataFrame, constants: DataFr
     """
     rows = weights.where("NOT startswith(constituent, 'O=')").join(constants.select("constituent", "k"), "constituent", "left")
     chemical = rows.groupBy("sample_id").agg(
-        F.sum(F.coalesce("k", F.lit(0.0)) * F.col("wt") / 100).alias("kc"),
+        F.sum((F.coalesce("k", F.lit(0.0)) * F.col("wt") / 100).cast("decimal(28,12)")).cast("double").alias("kc"),  # the order of the rows does not matter
         F.concat_ws(",", F.array_sort(F.collect_set(F.when(F.col("k").isNull(), F.col("constituent"))))).alias("missing"),
     )
     return (

@@ -154,14 +154,15 @@ OPTICS = "SELECT o_orderkey AS sample_id, 1.5 + (o_custkey % 200) / 1000.0D AS n
 
 @query("compatibility_index", with_views("d_probe_points", f"""
 , w AS (SELECT sample_id, constituent, avg(wt) AS wt FROM d_probe_points GROUP BY ALL), g AS ({GD.replace('D)', ')')}), o AS ({other_sql(OPTICS).replace('0.0D', '0.0')}),
-c AS (SELECT sample_id, sum(coalesce(CAST(k AS DOUBLE), 0) * wt / 100) AS kc, coalesce(string_agg(CASE WHEN k IS NULL THEN w.constituent END, ','), '') AS missing FROM w LEFT JOIN g ON g.constituent = w.constituent GROUP BY sample_id),
+c AS (SELECT sample_id, CAST(sum(CAST(coalesce(CAST(k AS DOUBLE), 0) * wt / 100 AS DECIMAL(28,12))) AS DOUBLE) AS kc, coalesce(string_agg(CASE WHEN k IS NULL THEN w.constituent END, ','), '') AS missing FROM w LEFT JOIN g ON g.constituent = w.constituent GROUP BY sample_id),
 r AS (SELECT c.sample_id, kc, missing, (CAST(n_mean AS DOUBLE) - 1) / CAST(density AS DOUBLE) AS kp FROM c JOIN o ON o.sample_id = c.sample_id), q AS (SELECT *, CASE WHEN kc <> 0 THEN 1 - kp / kc END AS ci FROM r)
-SELECT sample_id, round(kc, 6) AS kc, round(kp, 6) AS kp, round(ci, 6) AS ci, CASE WHEN abs(ci) < 0.02 THEN 'superior' WHEN abs(ci) < 0.04 THEN 'excellent' WHEN abs(ci) < 0.06 THEN 'good' WHEN abs(ci) < 0.08 THEN 'fair' ELSE 'poor' END AS category, missing FROM q"""))
+SELECT sample_id, CAST(round(CAST(kc AS DECIMAL(20,10)), 6) AS DOUBLE) AS kc, CAST(round(CAST(kp AS DECIMAL(20,10)), 6) AS DOUBLE) AS kp, CAST(round(CAST(ci AS DECIMAL(20,10)), 6) AS DOUBLE) AS ci, CASE WHEN abs(ci) < 0.02 THEN 'superior' WHEN abs(ci) < 0.04 THEN 'excellent' WHEN abs(ci) < 0.06 THEN 'good' WHEN abs(ci) < 0.08 THEN 'fair' ELSE 'poor' END AS category, missing FROM q"""))
 def _(spark, sf):
     weights = view(spark, sf, "d_probe_points").groupBy("sample_id", "constituent").agg(F.avg("wt").alias("wt"))
     optics = spark_sql(spark, sf, OPTICS).select("sample_id", F.col("n_mean").cast("double").alias("n_mean"), F.col("density").cast("double").alias("density"))
     ci = C.compatibility_index(weights, optics, spark.sql(GD))
-    return ci.select("sample_id", *_r("kc", "kp", "ci"), "category", "missing")
+    # rounded as decimals, so that a last bit of the double cannot fall on either side of a half
+    return ci.select("sample_id", *[F.round(F.col(c).cast("decimal(20,10)"), 6).cast("double").alias(c) for c in ("kc", "kp", "ci")], "category", "missing")
 
 
 # published coefficients: the reduction on a basis of six to nine anions, one coefliicient in eleven off by a tenth

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recordaudit.functions.groups import groups_of
 from recordaudit.functions import spectra as S
 from recordaudit.operators import spectra as P
 from recordaudit.plans.registry import query
@@ -209,9 +210,29 @@ def _library(spark, sf):
                     F.expr("technique = 'ir' AND grp = 'click'").alias("broad"), *cut)
 
 
+# the golden formulas and the groups they hold
+FORMULAS = {
+    "Ca(UO2)2(PO4)2·11H2O": "UO2,PO4,H2O", "Cu4(SO4)(OH)6": "SO4,OH", "Cu<sub>4</sub>(SO<sub>4</sub>)(OH)<sub>6</sub> · 2H<sub>2</sub>O": "SO4,H2O,OH",
+    "Mn2+Cu2+2(As5+O4)2(OH)4(H2O)4": "AsO4,H2O,OH", "(N3-H4)2Mn2+[(U6+O2)4O4(S6+O4)2](H2O)4": "UO2,SO4,NH4,H2O", "Mn(PO3OH)(H2O)3": "PO4,P-OH,H2O,OH",
+    "Pb(As3+O3)Cl": "AsO3", "Ca(As5+O3OH)·2H2O": "AsO4,As-OH,H2O,OH", "UO2": "", "Mg(H2O)6·H2OH2O": "H2O", "BaSO4": "SO4", "TiSi2": "", "FeS2": "sulfide",
+    "PbCu[(Se0.8S0.2)Σ1.0O4](OH)2": "SeO4,OH", "Cu3Al2(SO4)0.95(SiO4)0.04(AsO4)0.01(OH)12·3H2O": "SO4,H2O,OH", "Ca2(SO4)0.39(OH)8": "SO4,OH",
+    "[Mg4Al2(OH)12](CO3)[Na(H2O)6]0.05[Si(OH)6]0.10·3H2O": "CO3,H2O,OH", "": "",
+}
+FORMULA_ROWS = "SELECT o_orderkey AS entry_id, CASE o_orderkey % @ " + " ".join(f"WHEN {k} THEN '{f}'" for k, f in enumerate(FORMULAS)) + " END AS formula FROM {orders}"
+FORMULA_ROWS = FORMULA_ROWS.replace("@", str(len(FORMULAS) + 1))
+
+
+@query("formula_groups", "SELECT o_orderkey AS entry_id, CASE o_orderkey % " + f"{len(FORMULAS) + 1} " + " ".join(f"WHEN {k} THEN '{g}'" for k, g in enumerate(FORMULAS.values())) + " ELSE '' END AS groups FROM orders")
+def _(spark, sf):
+    return spark_sql(spark, sf, FORMULA_ROWS).select("entry_id", F.concat_ws(",", groups_of(F.col("formula"))).alias("groups"))
+
+
 def _identified(spark, sf):
     bands = view(spark, sf, "d_bands").select("band_id", F.col("paper").alias("entry_id"), "pos")
-    groups = bands.select("entry_id", F.expr("CASE WHEN entry_id % 3 = 0 THEN 'click' ELSE 'view' END").alias("grp"))
+    # the groups of an entry are read from its formula; the learned windows are named after the events of the table
+    formulas = bands.select("entry_id", F.expr("CASE WHEN entry_id % 3 = 0 THEN 'CaSO4·2H2O' ELSE 'Ca2(CO3)0.9(SO4)0.1' END").alias("formula")).distinct()
+    held = formulas.select("entry_id", F.explode(groups_of(F.col("formula"))).alias("held"))
+    groups = held.select("entry_id", F.expr("CASE held WHEN 'SO4' THEN 'click' WHEN 'CO3' THEN 'view' END").alias("grp")).where("grp IS NOT NULL")
     always = spark.sql("SELECT 'lattice' AS grp, 'any' AS mode, 1.0D AS lo, 6.0D AS hi")
     return P.identify(bands, _library(spark, sf), groups, always, width=4.0)
 
