@@ -69,6 +69,16 @@ WORDS_SQL = "split(regexp_replace(lower(strip_accents(text)), '\\s+', ' '), ' ')
 VOCAB = """SELECT DISTINCT word AS norm FROM (SELECT explode(split(lower(text), '[^a-z]+')) AS word FROM {benchmark}) t WHERE length(word) > 6"""
 
 
+SEARCHED = "SELECT DISTINCT lower(substr(p_name, 1 + p_partkey % 3, 4)) AS asked FROM {part} WHERE length(p_name) > 8"
+LISTED_NAMES = "SELECT DISTINCT lower(p_name) AS norm FROM {part}"
+
+
+@query("search_names", f"""WITH a AS ({other_sql(SEARCHED)}), n AS ({other_sql(LISTED_NAMES)}), m AS (SELECT asked, norm, row_number() OVER (PARTITION BY asked ORDER BY CASE WHEN starts_with(norm, asked) THEN 0 ELSE 1 END, length(norm), norm) AS k FROM a JOIN n ON contains(norm, asked))
+SELECT asked, norm, CAST(k AS INT) AS place FROM m WHERE k <= 12""")
+def _(spark, sf):
+    return D.search_names(spark_sql(spark, sf, SEARCHED), spark_sql(spark, sf, LISTED_NAMES))
+
+
 @query("species_mentions")
 def _(spark, sf):
     return D.species_mentions(load(spark, sf, "documents"), spark_sql(spark, sf, VOCAB))
@@ -86,11 +96,11 @@ def _(spark, sf):
 # --- relatives -------------------------------------------------------------------------------
 
 STRUCTS = """
-SELECT p_partkey AS species_id, concat('n', CAST(p_partkey AS STRING)) AS norm, p_size % 10 AS sg, array(CASE p_partkey % 4 WHEN 0 THEN 'Ca' WHEN 1 THEN 'Mg' WHEN 2 THEN 'Fe' ELSE 'Si' END, 'O', CASE p_size % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'As' ELSE 'V' END) AS elements,
+SELECT p_partkey AS species_id, concat('n', CAST(p_partkey AS STRING)) AS norm, p_size AS sg, array(CASE p_partkey % 4 WHEN 0 THEN 'Ca' WHEN 1 THEN 'Mg' WHEN 2 THEN 'Fe' ELSE 'Si' END, 'O', CASE p_size % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'As' ELSE 'V' END) AS elements,
   3 + (p_size % 17) * 0.25D AS a, CASE WHEN p_partkey % 9 = 0 THEN 0D ELSE 3 + (p_partkey % 13) * 0.25D END AS b, 3 + (p_partkey % 11) * 0.25D AS c, CAST(p_partkey % 7 AS DOUBLE) AS volume, p_partkey % 2 = 0 AS grouped FROM {part}"""
 
 
-@query("structural_relatives", """WITH s AS (SELECT p_partkey AS id, p_size % 10 AS sg, CASE p_partkey % 4 WHEN 0 THEN 'Ca' WHEN 1 THEN 'Mg' WHEN 2 THEN 'Fe' ELSE 'Si' END AS e1, CASE p_size % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'As' ELSE 'V' END AS e2,
+@query("structural_relatives", """WITH s AS (SELECT p_partkey AS id, p_size AS sg, CASE p_partkey % 4 WHEN 0 THEN 'Ca' WHEN 1 THEN 'Mg' WHEN 2 THEN 'Fe' ELSE 'Si' END AS e1, CASE p_size % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'As' ELSE 'V' END AS e2,
   list_sort([3 + (p_size % 17) * 0.25, CASE WHEN p_partkey % 9 = 0 THEN 3 + (p_size % 17) * 0.25 ELSE 3 + (p_partkey % 13) * 0.25 END, 3 + (p_partkey % 11) * 0.25]) AS ax, CAST(p_partkey % 7 AS DOUBLE) AS v, p_partkey % 2 = 0 AS gr FROM part),
  p AS (SELECT a.id, b.id AS o, a.e1 AS x1, b.e1 AS y1, a.e2 AS x2, b.e2 AS y2, CAST(b.ax[1] AS DOUBLE) / a.ax[1] AS r1, CAST(b.ax[2] AS DOUBLE) / a.ax[2] AS r2, CAST(b.ax[3] AS DOUBLE) / a.ax[3] AS r3, a.v, b.v AS w, b.gr FROM s a JOIN s b ON a.sg = b.sg AND a.id <> b.id AND (a.e1 = b.e1 OR a.e2 = b.e2)),
  q AS (SELECT *, CASE WHEN x1 = y1 AND x2 = y2 THEN '' WHEN x1 <> y1 THEN x1 ELSE x2 END AS x, CASE WHEN x1 = y1 AND x2 = y2 THEN '' WHEN x1 <> y1 THEN y1 ELSE y2 END AS y, greatest(abs(r1 - 1), abs(r2 - 1), abs(r3 - 1)) AS dev FROM p),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 VIEWS: dict[str, str | tuple[str, str]] = {
     "d_findings": """
@@ -72,13 +72,8 @@ def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores, where the scan has fewer tasks than there are cores.
-
-    A table of one row group is read by one task whatever its size, and parsing text is work. On a cluster the
-    scan of a large table has more tasks than cores and nothing is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows dealt anew by a hash of the whole row, before texts are parsed: a table of one row group is read by one task."""
+    return df.repartition(F.xxhash64(*df.columns))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

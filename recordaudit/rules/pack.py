@@ -307,7 +307,8 @@ def _collapsed() -> Column:
 
 def _capitalised() -> Column:
     """Words of the title past the first that are capitalised and that the paper writes in lower case mid-sentence."""
-    words = F.slice(F.split(F.coalesce("title", F.lit("")), r"\s+"), 2, 60)
+    titled = F.split(F.coalesce("title", F.lit("")), r"\s+")
+    words = F.slice(titled, F.lit(2), F.size(titled))
     plain = F.filter(words, lambda w: w.rlike(r"^[A-Z][a-z]{3,}$"))
     return F.filter(plain, lambda w: F.contains(F.coalesce(F.col("text"), F.lit("")), F.concat(F.lit(" "), F.lower(w))))
 
@@ -401,8 +402,8 @@ def candidate_indices(h: Column, k: Column, l: Column) -> Column:
     return F.filter(F.concat(head, packed), lambda t: ~((t["h"] == 0) & (t["k"] == 0) & (t["l"] == 0)))
 
 
-def rule_indexing(reflections: DataFrame, cells: DataFrame) -> DataFrame:
-    """Rows whose best reading of the indices is off the cell by 3 % (5 % for intensities to 35), five worst named.
+def rule_indexing(reflections: DataFrame, cells: DataFrame, shown: int | None = None) -> DataFrame:
+    """Rows whose best reading of the indices is off the cell by 3 % (5 % for intensities to 35), worst first; with `shown`, only so many are named.
 
     `reflections`: entry_id, line_no, d, i, h, k, l (strings); `cells`: entry_id, a … ga.
     """
@@ -413,7 +414,7 @@ def rule_indexing(reflections: DataFrame, cells: DataFrame) -> DataFrame:
     bad = F.col("rel") > F.when(F.col("i") <= 35, 0.05).otherwise(0.03)
     sums = rows.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("n_bad")).where("n_bad > 0")
     place = F.row_number().over(Window.partitionBy("entry_id").orderBy(F.desc("rel"), "line_no"))
-    worst = rows.where(bad).withColumn("place", place).where("place <= 5").groupBy("entry_id").agg(F.concat_ws("; ", F.transform(F.array_sort(F.collect_list(F.struct("place", F.format_string("%.4f [%.1f%%]", F.col("d"), F.col("rel") * 100).alias("t")))), lambda s: s["t"])).alias("shown"))
+    worst = rows.where(bad).withColumn("place", place).where(F.lit(True) if shown is None else F.col("place") <= shown).groupBy("entry_id").agg(F.concat_ws("; ", F.transform(F.array_sort(F.collect_list(F.struct("place", F.format_string("%.4f [%.1f%%]", F.col("d"), F.col("rel") * 100).alias("t")))), lambda s: s["t"])).alias("shown"))
     return _finding(sums.join(worst, "entry_id"), "indexing", "flag", F.format_string("%d of %d reflections disagree with the cell: %s", F.col("n_bad"), F.col("n"), F.col("shown")))
 
 
