@@ -198,7 +198,12 @@ def _(spark, sf):
     return best.select("sample_id", "kind", "element", "n", F.round("factor", 6).alias("factor"), F.round("score", 5).alias("score"))
 
 
-@query("formula_differences")
+@query("formula_differences", with_views(SQL_IN, PUB_SQL + """
+, rt AS (SELECT p.sample_id, a.atoms * b.factor / p.n AS r FROM pub p JOIN best b ON b.sample_id = p.sample_id JOIN atoms a ON a.sample_id = p.sample_id AND a.element = p.element WHERE p.element NOT IN ('H','O','F','Cl') AND p.n >= 0.2 AND a.atoms > 0),
+cf AS (SELECT sample_id, CASE WHEN count(*) >= 2 AND abs(-quantile_disc(-r, 0.5) - 1) > 0.02 AND abs(min(r) / -quantile_disc(-r, 0.5) - 1) <= 0.02 AND abs(max(r) / -quantile_disc(-r, 0.5) - 1) <= 0.02 THEN -quantile_disc(-r, 0.5) ELSE 1 END AS f FROM rt GROUP BY 1),
+fd AS (SELECT p.sample_id, p.element, p.n AS published, a.atoms * b.factor / coalesce((SELECT f FROM cf WHERE cf.sample_id = p.sample_id), 1) AS replicated, a.atoms FROM pub p JOIN best b ON b.sample_id = p.sample_id LEFT JOIN atoms a ON a.sample_id = p.sample_id AND a.element = p.element WHERE p.element <> 'O'),
+fs AS (SELECT *, CASE WHEN atoms IS NULL AND published >= 0.05 THEN CASE WHEN element IN ('H','Li','B','Be','C','N') THEN 'not analysed' ELSE 'not in the list' END WHEN atoms IS NOT NULL AND abs(replicated - published) > greatest(0.02, 0.02 * published) THEN 'differs' END AS state FROM fd)
+SELECT sample_id, element, round(published, 6) AS published, round(replicated, 6) AS replicated, state FROM fs WHERE state IS NOT NULL"""))
 def _(spark, sf):
     rows, pub = _rows(spark, sf), _published(spark, sf)
     d = C.formula_differences(rows, pub, C.replicate_formula(rows, pub))

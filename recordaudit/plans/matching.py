@@ -69,12 +69,15 @@ SELECT entry_id, d, i, twin, CASE WHEN bool_or(twin IS NOT NULL OR 100.0 * i / m
 DISTINCT_PAIRS = PAIR_SQL.replace("FROM lists GROUP BY entry_id, d)", "FROM (SELECT DISTINCT entry_id, side, d FROM plist) GROUP BY entry_id, d)").replace("pairs AS (", "dpairs AS (")
 
 
-@query("missing_lines", f"WITH RECURSIVE lists AS ({other_sql(LISTS)}), plist AS (SELECT * FROM lists)" + DISTINCT_PAIRS + MISSING_SQL[len(PAIR_SQL):])
+MISSING_LINES = f"WITH RECURSIVE lists AS ({other_sql(LISTS)}), plist AS (SELECT * FROM lists)" + DISTINCT_PAIRS + MISSING_SQL[len(PAIR_SQL):]
+
+
+@query("missing_lines", MISSING_LINES)
 def _(spark, sf):
     return M.missing_lines(*_lists(spark, sf))
 
 
-@query("intensity_outliers", f"""WITH RECURSIVE lists AS ({other_sql(LISTS)}), obs AS (SELECT entry_id, d, max(i) AS pi FROM lists WHERE side = 'L' GROUP BY ALL HAVING count(*) = 1),
+INTENSITY_OUTLIERS = f"""WITH RECURSIVE lists AS ({other_sql(LISTS)}), obs AS (SELECT entry_id, d, max(i) AS pi FROM lists WHERE side = 'L' GROUP BY ALL HAVING count(*) = 1),
  own AS (SELECT entry_id, d, max(i) AS oi FROM lists WHERE side = 'R' GROUP BY ALL HAVING max(i) = min(i)),
  plist AS (SELECT entry_id, 'L' AS side, d FROM obs UNION ALL SELECT entry_id, 'R', d FROM own)""" + DISTINCT_PAIRS + """
 , ln AS (SELECT p.entry_id, p.r AS d, oi, pi, oi / pi AS ratio FROM dpairs p JOIN obs ON obs.entry_id = p.entry_id AND obs.d = p.l JOIN own ON own.entry_id = p.entry_id AND own.d = p.r),
@@ -85,7 +88,10 @@ us AS (SELECT sc.* FROM sc JOIN (SELECT entry_id, count(*) AS n_own FROM own GRO
 jd AS (SELECT ln.*, pi * scale AS want, abs(oi - pi * scale) <= greatest(0.15 * greatest(oi, pi * scale), 2.0 * top / 100.0) AS near,
    greatest(oi, pi * scale) >= 2 * greatest(least(oi, pi * scale), 1e-9) AND abs(oi - pi * scale) >= 10.0 * top / 100.0 AS off FROM ln JOIN us USING (entry_id)),
 kp AS (SELECT entry_id FROM jd GROUP BY entry_id HAVING count(*) FILTER (WHERE near) >= 0.8 * count(*) AND count(*) FILTER (WHERE off) BETWEEN 1 AND 3)
-SELECT entry_id, d, oi AS own_i, round(want, 1) AS want_i FROM jd WHERE off AND entry_id IN (SELECT entry_id FROM kp)""")
+SELECT entry_id, d, oi AS own_i, round(want, 1) AS want_i FROM jd WHERE off AND entry_id IN (SELECT entry_id FROM kp)"""
+
+
+@query("intensity_outliers", INTENSITY_OUTLIERS)
 def _(spark, sf):
     return M.intensity_outliers(*_lists(spark, sf))
 

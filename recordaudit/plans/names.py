@@ -31,20 +31,23 @@ def _(spark, sf):
     return D.lookup_tokens(spark_sql(spark, sf, TOKENS), spark_sql(spark, sf, SPECIES))
 
 
-@query("fuzzy_match", f"""WITH {LOOKUP_SQL}, rt AS (SELECT norm, regexp_replace(norm, '{SUFFIX_SQL}', '') AS root FROM sp),
+FUZZY_SQL = f"""WITH {LOOKUP_SQL}, rt AS (SELECT norm, regexp_replace(norm, '{SUFFIX_SQL}', '') AS root FROM sp),
  q AS (SELECT token, regexp_replace(token, '-\\([a-z]{{1,2}}\\)$', '') AS base FROM tk WHERE token NOT IN (SELECT token FROM lk) AND regexp_matches(token, '{D.SHAPE}')),
  bu AS (SELECT DISTINCT base FROM q, (SELECT unnest(range(6, 40)) AS k) r WHERE k < length(base) - 2 AND (base[:k] IN (SELECT norm FROM sp) OR (base[:k] || 'e') IN (SELECT norm FROM sp) OR right(base, k) IN (SELECT norm FROM sp))),
  p AS (SELECT token, base, root, min(norm) AS norm, damerau_levenshtein(base, root) AS dist FROM q JOIN rt ON left(base, 1) = left(root, 1) WHERE length(base) >= 7 AND length(root) >= 6 AND base NOT IN (SELECT base FROM bu)
    AND damerau_levenshtein(base, root) BETWEEN 1 AND CASE WHEN length(base) < 10 THEN 1 ELSE 2 END GROUP BY 1, 2, 3)
-SELECT token, base, dist, norm FROM p QUALIFY rank() OVER (PARTITION BY token ORDER BY dist) = 1""")
+SELECT token, base, dist, norm FROM p QUALIFY rank() OVER (PARTITION BY token ORDER BY dist) = 1"""
+
+
+@query("fuzzy_match", FUZZY_SQL)
 def _(spark, sf):
     m = D.fuzzy_matches(spark_sql(spark, sf, TOKENS), spark_sql(spark, sf, SPECIES))
     return m.withColumn("dist", F.col("dist").cast("bigint"))
 
 
-@query("suggest_species")
+@query("suggest_species", f"SELECT *, CAST(row_number() OVER (PARTITION BY token ORDER BY norm, base, dist) AS INT) AS place FROM ({FUZZY_SQL})")
 def _(spark, sf):
-    return D.suggest(spark_sql(spark, sf, TOKENS), spark_sql(spark, sf, SPECIES))
+    return D.suggest(spark_sql(spark, sf, TOKENS), spark_sql(spark, sf, SPECIES)).withColumn("dist", F.col("dist").cast("bigint"))
 
 
 NAMES = """
@@ -79,7 +82,10 @@ def _(spark, sf):
     return D.search_names(spark_sql(spark, sf, SEARCHED), spark_sql(spark, sf, LISTED_NAMES))
 
 
-@query("species_mentions")
+@query("species_mentions", f"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[\\s–—/×]+')) AS raw FROM documents),
+ t AS (SELECT doc_id, regexp_replace(regexp_replace(raw, '^[.,;:!?"''(\\[{{*]+|[.,;:!?"''\\]}}*]+$', '', 'g'), '-(?:group|type|like|bearing|rich|poor|structure|related|series|family)$', '') AS token FROM w),
+ v AS (SELECT DISTINCT norm FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS norm FROM benchmark) WHERE length(norm) > 6), {LOOKUP_SQL.replace(SP, 'SELECT norm FROM v').replace(TK, "SELECT token FROM t WHERE length(token) > 3")}
+SELECT doc_id, norm, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, token, count(*) AS n FROM t WHERE length(token) > 3 GROUP BY 1, 2) JOIN (SELECT DISTINCT token, norm FROM lk) USING (token) GROUP BY 1, 2""")
 def _(spark, sf):
     return D.species_mentions(load(spark, sf, "documents"), spark_sql(spark, sf, VOCAB))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recordaudit.plans.matching import INTENSITY_OUTLIERS, MISSING_LINES, _lists
 from recordaudit.plans.registry import query
 from recordaudit.plans.structures import operator_rows
 from recordaudit.plans.views import other_sql, spark_sql, spread
@@ -241,17 +242,13 @@ def _(spark, sf):
     return P.rule_extinctions(rows, ops).select("entry_id", "code", "sev")
 
 
-@query("rule_missing_lines")
+@query("rule_missing_lines", f"SELECT entry_id, 'lines_missing' AS code, min(sev) AS sev, 'absent from the list: ' || string_agg(format('{{:.4f}}', d), '; ' ORDER BY d) AS msg, 'refl' AS anchor FROM ({MISSING_LINES}) GROUP BY entry_id")
 def _(spark, sf):
-    from recordaudit.plans.matching import _lists
-
     return P.rule_missing_lines(*_lists(spark, sf))
 
 
-@query("rule_intensities")
+@query("rule_intensities", f"SELECT entry_id, 'intensity_paper' AS code, 'flag' AS sev, count(*) || ' intensities are not the paper''s; first d = ' || format('{{:.4f}}', min(d)) AS msg, 'refl' AS anchor FROM ({INTENSITY_OUTLIERS}) GROUP BY entry_id")
 def _(spark, sf):
-    from recordaudit.plans.matching import _lists
-
     return P.rule_intensities(*_lists(spark, sf))
 
 

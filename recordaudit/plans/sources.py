@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from recordaudit.functions.elements import element_set
 from recordaudit.functions.measured import format_with_esd
 from recordaudit.operators import names as D, textjobs as T
 from recordaudit.plans.registry import query
-from recordaudit.plans.views import load, other_sql, spark_sql, spread
+from recordaudit.plans.views import load, other_sql, spark_sql, spread, view, with_views
+from recordaudit.rules import engine as E
+from recordaudit.session import shared_path
 from recordaudit.sources import readers as R
 
 REPORTS = """
@@ -92,3 +96,56 @@ SELECT id, s, CASE dp WHEN 4 THEN format('{{:.4f}}', CAST(round(CAST(v AS DECIMA
   || '(' || CASE dp WHEN 4 THEN m * 10 WHEN 3 THEN m ELSE CAST(floor(m / 10.0 + 0.5) AS INT) END || ')' AS text FROM p""")
 def _(spark, sf):
     return spark_sql(spark, sf, UNCERTAIN).select("id", "s", format_with_esd(F.col("v"), F.col("e")).alias("text"))
+
+
+# --- round trips through files that Spark writes to the shared folder ---------------------------------
+
+PROBE_TABLE = """SELECT l_orderkey AS sample, l_linenumber * 100000 + l_suppkey AS point, l_quantity AS SiO2, CASE WHEN l_tax > 0.02 THEN CAST(l_tax AS STRING) ELSE 'n.d.' END AS cao, l_discount AS total, 'a note' AS comment FROM {lineitem}"""
+
+
+@query("probe_table", other_sql("""WITH t AS (SELECT l_orderkey AS s, l_linenumber * 100000 + l_suppkey AS p, l_quantity AS q, CASE WHEN l_tax > 0.02 THEN l_tax END AS x FROM {lineitem})
+SELECT CAST(s AS VARCHAR) AS sample_id, 'SiO2' AS constituent, count(*) AS n, count(q) AS measured, round(CAST(sum(q) AS DOUBLE), 4) AS wt FROM t GROUP BY 1 UNION ALL SELECT CAST(s AS VARCHAR), 'CaO', count(*), count(x), round(CAST(sum(x) AS DOUBLE), 4) FROM t GROUP BY 1"""))
+def _(spark, sf):
+    path = shared_path(spark, "probe")
+    spark_sql(spark, sf, PROBE_TABLE).withColumnsRenamed({"cao": "CaO (2) Oxide%", "total": "Total", "comment": "Comment"}).write.option("header", True).csv(path)
+    return R.read_probe_long(spark, path).groupBy("sample_id", "constituent").agg(F.count(F.lit(1)).alias("n"), F.count("wt").alias("measured"), F.round(F.sum("wt"), 4).alias("wt"))
+
+
+@query("snapshot_round_trip", with_views("d_findings", "SELECT run_id, code, sev, count(*) AS n, count(DISTINCT entry_id) AS entries FROM d_findings WHERE run_id = 2 GROUP BY ALL"))
+def _(spark, sf):
+    findings, path = view(spark, sf, "d_findings"), shared_path(spark, "snapshots")
+    for run in (1, 2):
+        own = findings.where(F.col("run_id") == run)
+        R.write_snapshot(own.select("entry_id").distinct(), own, path, run)
+    back = R.read_snapshot(spark, path, 2)[1]
+    return back.groupBy(F.col("run_id").cast("int").alias("run_id"), "code", "sev").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entry_id").alias("entries"))
+
+
+@query("findings_round_trip", with_views("d_findings", "SELECT code, sev, count(*) AS n FROM d_findings GROUP BY ALL"))
+def _(spark, sf):
+    path = shared_path(spark, "findings")
+    R.write_findings(view(spark, sf, "d_findings"), path, "json")
+    return spark.read.json(path).groupBy("code", "sev").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dimension_json", "SELECT n_name AS name, n_nationkey AS k, CASE WHEN n_regionkey > 1 THEN n_regionkey END AS r FROM nation")
+def _(spark, sf):
+    # one object of the 25 nations, as a file of a dimension holds it
+    region = F.when(F.col("n_regionkey") > 1, F.col("n_regionkey"))
+    member = F.concat(F.lit('"'), "n_name", F.lit('": '), F.to_json(F.struct(F.col("n_nationkey").alias("k"), region.alias("r"))))
+    text = load(spark, sf, "nation").agg(F.concat(F.lit('{"_about": "note", '), F.array_join(F.collect_list(member), ", "), F.lit("}")).alias("value"))
+    path = shared_path(spark, "dimension")
+    text.write.text(path)
+    return R.read_dimension_json(spark, path, "k bigint, r bigint", "name")
+
+
+def _overdue(orders):
+    """A rule of one's own: urgent orders that are still open."""
+    return orders.where("urgent AND open").select("entry_id", F.lit("overdue").alias("code"), F.lit("flag").alias("sev"), F.lit("urgent and open").alias("msg"), F.lit("status").alias("anchor"))
+
+
+@query("registered_rule", "SELECT o_orderkey AS entry_id, 'overdue' AS code, 'flag' AS sev, 'urgent and open' AS msg, 'status' AS anchor FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'")
+def _(spark, sf):
+    with contextlib.suppress(ValueError):  # it is registered once in a process
+        E.register_rule("overdue", _overdue)
+    return E.run_registered(orders=spark_sql(spark, sf, "SELECT o_orderkey AS entry_id, o_orderpriority = '1-URGENT' AS urgent, o_orderstatus = 'O' AS open FROM {orders}"))

@@ -163,6 +163,12 @@ def _fit_rows(spark, sf):
     return rows.select("entry_id", "system", "h", "k", "l", (d * (1 + (F.col("noise") - 0.05) / 1000)).alias("d"))
 
 
+def _fit_sql(name, rows):
+    """The tetragonal fit of rows (entry_id, x = h² + k², z = l², d) in SQL: entry_id, n, a, c."""
+    return f"""{name}_s AS (SELECT entry_id, count(*) AS n, CAST(sum(x * x) AS DOUBLE) AS xx, CAST(sum(x * z) AS DOUBLE) AS xz, CAST(sum(z * z) AS DOUBLE) AS zz, sum(x / (d * d)) AS xy, sum(z / (d * d)) AS zy FROM {rows} GROUP BY 1),
+ {name} AS (SELECT entry_id, n, 1 / sqrt((xy * zz - zy * xz) / (xx * zz - xz * xz)) AS a, 1 / sqrt((zy * xx - xy * xz) / (xx * zz - xz * xz)) AS c FROM {name}_s WHERE n >= 4)"""
+
+
 @query("fit_cell", f"""WITH r AS ({other_sql(FIT_ROWS)}), d AS (SELECT entry_id, h * h + k * k AS x, l * l AS z, 1 / power(1 / sqrt((h * h + k * k) / (a * a) + l * l / (c * c)) * (1 + (noise - 0.05) / 1000), 2) AS y FROM r),
  s AS (SELECT entry_id, count(*) AS n, CAST(sum(x * x) AS DOUBLE) AS xx, CAST(sum(x * z) AS DOUBLE) AS xz, CAST(sum(z * z) AS DOUBLE) AS zz, sum(x * y) AS xy, sum(z * y) AS zy FROM d GROUP BY 1),
  p AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS p1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS p2 FROM s WHERE n >= 4)
@@ -171,7 +177,12 @@ def _(spark, sf):
     return X.fit_cell(_fit_rows(spark, sf)).select("entry_id", "n", F.round("a", 6).alias("a"), F.round("c", 6).alias("c"), F.round("ga", 6).alias("ga"))
 
 
-@query("trimmed_fit")
+@query("trimmed_fit", f"""WITH r AS ({other_sql(FIT_ROWS)}), d AS (SELECT entry_id, h * h + k * k AS x, l * l AS z, 1 / sqrt((h * h + k * k) / (a * a) + l * l / (c * c)) * (1 + (noise - 0.05) / 1000) * CASE WHEN h = 3 AND k = 2 AND l = 1 THEN 1.05 ELSE 1 END AS d FROM r),
+ @fit(f1, d), e AS (SELECT d.*, abs(1 / sqrt(x / (a * a) + z / (c * c)) - d) AS dev FROM d JOIN f1 USING (entry_id)), m AS (SELECT entry_id, median(dev) AS med, count(*) AS nr FROM e GROUP BY 1),
+ o AS (SELECT e.*, nr, dev > greatest(10 * med, 0.01) AS off FROM e JOIN m USING (entry_id)), q AS (SELECT entry_id, count(*) FILTER (WHERE off) AS n_off, max(nr) AS nr FROM o GROUP BY 1),
+ kept AS (SELECT o.entry_id, x, z, d FROM o JOIN q USING (entry_id) WHERE NOT off OR n_off > 0.1 * q.nr), @fit(f2, kept),
+ rm AS (SELECT entry_id, sqrt(avg(power(1 / sqrt(x / (a * a) + z / (c * c)) - d, 2))) AS rms FROM kept JOIN f2 USING (entry_id) GROUP BY 1)
+SELECT entry_id, n, round(a, 5) AS a, round(c, 5) AS c, round(rms, 5) AS rms, CASE WHEN n_off <= 0.1 * nr THEN n_off ELSE 0 END AS set_aside FROM f2 JOIN rm USING (entry_id) JOIN q USING (entry_id)""".replace("@fit(f1, d)", _fit_sql("f1", "d")).replace("@fit(f2, kept)", _fit_sql("f2", "kept")))
 def _(spark, sf):
     rows = _fit_rows(spark, sf).withColumn("d", F.when((F.col("h") == 3) & (F.col("k") == 2) & (F.col("l") == 1), F.col("d") * 1.05).otherwise(F.col("d")))
     return X.trimmed_fit(rows).select("entry_id", "n", *[F.round(c, 5).alias(c) for c in ("a", "c", "rms")], "set_aside")

@@ -25,19 +25,23 @@ def get_session(app_name: str = "recordaudit", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` as a table on shared storage and continue from that table: a lost executor costs no recomputation.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, as the cluster names it in `spark.checkpoint.dir`.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. Only a session on one machine (tests) may go without the
-    setting and gets a private folder; on a cluster a missing setting is an error, since each executor would write to its own disk.
+    Only a session on one machine (tests) may go without the setting and gets a private folder; on a cluster a missing setting is
+    an error, since each executor would write to its own disk.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/recordaudit-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` as a table on shared storage and continue from that table: a lost executor costs no recomputation."""
+    path = shared_path(df.sparkSession, "recordaudit")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
