@@ -70,7 +70,9 @@ def normalise_primary(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(norm_name(name), r"-(?!\()", " "), r"\s+", " "))
 
 
-SUFFIX = r"(?:-\([a-z0-9+,]+\)|[- ](?:[a-z]|[0-9][a-z0-9']*|i{1,3}|iv))$"  # a species' own suffix
+# What a species adds to its root: elements in brackets, a letter, a polytype, a count in Roman digits.
+SUFFIXES = (r"-\([a-z0-9+,]+\)", r"[- ][a-z]", r"[- ][0-9][a-z0-9']*", r"[- ]i{1,3}", r"[- ]iv")
+SUFFIX = "(?:" + "|".join(SUFFIXES) + ")$"
 
 
 def name_root(norm: Column) -> Column:
