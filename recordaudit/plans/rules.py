@@ -221,7 +221,11 @@ def _(spark, sf):
     return P.rule_strongest_lines(spark_sql(spark, sf, LISTED), spark_sql(spark, sf, LINES)).select("entry_id", "code", "sev")
 
 
-@query("rule_printed_lines")
+@query("rule_printed_lines", f"""WITH {L_SQL}, ln AS (SELECT entry_id, line_no, format('{{:.4f}}', d) AS d_txt FROM r), tk AS (SELECT DISTINCT entry_id, CASE WHEN line_no % 40 = 3 THEN regexp_replace(d_txt, '^(\\d+\\.)(\\d)(\\d)', '\\1\\3\\2') ELSE d_txt END AS token FROM ln),
+ ds AS (SELECT DISTINCT entry_id, d_txt FROM ln), jd AS (SELECT ds.*, EXISTS (SELECT 1 FROM tk WHERE tk.entry_id = ds.entry_id AND rtrim(tk.token, '0') = rtrim(ds.d_txt, '0')) AS hit FROM ds),
+ sm AS (SELECT entry_id, count(*) AS n, count(*) FILTER (WHERE NOT hit) AS miss FROM jd GROUP BY 1 HAVING count(*) >= 8 AND count(*) FILTER (WHERE NOT hit) BETWEEN 1 AND CASE WHEN count(*) < 20 THEN 1 ELSE greatest(2, 0.05 * count(*)) END),
+ lo AS (SELECT jd.entry_id, d_txt, (SELECT min(token) FROM tk WHERE tk.entry_id = jd.entry_id AND damerau_levenshtein(tk.token, jd.d_txt) = 1) AS near FROM jd JOIN sm USING (entry_id) WHERE NOT hit)
+SELECT entry_id, 'reflections' AS code, CASE WHEN bool_or(near IS NOT NULL) THEN 'flag' ELSE 'note' END AS sev, 'not printed in the paper: ' || string_agg(concat_ws(' ← ', d_txt, near), '; ' ORDER BY concat_ws(' ← ', d_txt, near)) AS msg, 'refl' AS anchor FROM lo GROUP BY entry_id""")
 def _(spark, sf):
     lines = spark_sql(spark, sf, LINES).select("entry_id", "line_no", F.format_string("%.4f", "d").alias("d_txt"))
     # the paper prints all of the list but one line in forty, that one with two digits swapped
