@@ -646,44 +646,45 @@ def fit_cell(rows: DataFrame, key: str = "entry_id") -> DataFrame:
     names = [f"{p}_{q}" for i, p in enumerate(PAIRS) for q in PAIRS[i:]]
     out = [*CELL, *[f"s_{c}" for c in CELL]]
 
-    def cell_of(g):
+    def cells_of(par: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The cells of stacked reciprocal tensors given by their parameters; NaN where a tensor has no inverse."""
+        v = par @ t
+        g = np.stack([np.stack([v[:, 0], v[:, 3] / 2, v[:, 4] / 2], 1), np.stack([v[:, 3] / 2, v[:, 1], v[:, 5] / 2], 1), np.stack([v[:, 4] / 2, v[:, 5] / 2, v[:, 2]], 1)], 1)
+        flat = np.linalg.det(g) == 0
+        g[flat] = np.eye(3)
         direct = np.linalg.inv(g)
-        lengths = np.sqrt(np.diag(direct))
-        cosines = direct[1, 2] / (lengths[1] * lengths[2]), direct[0, 2] / (lengths[0] * lengths[2]), direct[0, 1] / (lengths[0] * lengths[1])
-        return np.array([*lengths, *np.degrees(np.arccos(cosines))])
+        lengths = np.sqrt(np.diagonal(direct, axis1=1, axis2=2))
+        angles = [np.degrees(np.arccos(direct[:, i, j] / (lengths[:, i] * lengths[:, j]))) for i, j in ((1, 2), (0, 2), (0, 1))]
+        return np.where(flat[:, None], np.nan, np.column_stack([lengths, *angles]))
+
+    def of_system(rows: pd.DataFrame, terms) -> pd.DataFrame:
+        """All entries of one crystal system, their normal equations stacked."""
+        t = np.array([[term.get(p, 0) for p in PAIRS] for term in terms], dtype=float)
+        full = np.empty((len(rows), 6, 6))
+        for i, p in enumerate(PAIRS):
+            for j in range(i, 6):
+                full[:, i, j] = full[:, j, i] = rows[f"{p}_{PAIRS[j]}"]
+        normal, right = t @ full @ t.T, rows[[f"{p}_y" for p in PAIRS]].to_numpy(dtype=float) @ t.T
+        solvable = np.abs(np.linalg.det(normal)) >= 1e-14
+        rows, normal, right = rows[solvable], normal[solvable], right[solvable]
+        par = np.linalg.solve(normal, right[:, :, None])[:, :, 0]
+        rest = np.maximum(rows["y_y"].to_numpy() - (par * right).sum(axis=1), 0.0) / np.maximum(1, rows["n"].to_numpy() - len(terms))
+        sigma = np.sqrt(np.maximum(rest[:, None] * np.diagonal(np.linalg.inv(normal), axis1=1, axis2=2), 0.0))
+        with np.errstate(all="ignore"):
+            cell = cells_of(par, t)
+            shifts = [cells_of(par + sigma * (np.arange(len(terms)) == j), t) - cell for j in range(len(terms))]
+        esd = np.sqrt(np.square(shifts).sum(axis=0))
+        good = (par[:, :3] > 0).all(axis=1) & np.isfinite(cell).all(axis=1)
+        return pd.DataFrame(np.column_stack([cell, esd])[good], columns=out).assign(**{key: rows[key].to_numpy()[good], "n": rows["n"].to_numpy()[good]})
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = []
-            for r in batch.to_dict("records"):
-                terms = BASES.get(r["system"])
-                if terms is None or r["n"] < len(terms) + 2:
-                    continue
-                full = np.zeros((6, 6))
-                for i, p in enumerate(PAIRS):
-                    for j in range(i, 6):
-                        full[i, j] = full[j, i] = r[f"{p}_{PAIRS[j]}"]
-                t = np.array([[term.get(p, 0) for p in PAIRS] for term in terms], dtype=float)
-                normal, right = t @ full @ t.T, t @ np.array([r[f"{p}_y"] for p in PAIRS])
-                if abs(np.linalg.det(normal)) < 1e-14:
-                    continue
-                par = np.linalg.solve(normal, right)
-                if (par[: min(3, len(par))] <= 0).any():
-                    continue
-                rest = max(r["y_y"] - par @ right, 0.0) / max(1, r["n"] - len(par))
-                sigma = np.sqrt(np.maximum(rest * np.diag(np.linalg.inv(normal)), 0.0))
-
-                def tensor(p):
-                    v = p @ t
-                    return np.array([[v[0], v[3] / 2, v[4] / 2], [v[3] / 2, v[1], v[5] / 2], [v[4] / 2, v[5] / 2, v[2]]])
-
-                with np.errstate(all="ignore"):
-                    cell = cell_of(tensor(par))
-                    shifts = [cell_of(tensor(par + sigma * (np.arange(len(par)) == j))) - cell for j in range(len(par))]
-                esd = np.sqrt(np.sum(np.square(shifts), axis=0))
-                if np.isfinite(cell).all():
-                    kept.append((r[key], r["n"], *map(float, cell), *map(float, esd)))
-            yield pd.DataFrame(kept, columns=[key, "n", *out])
+            done = [pd.DataFrame({key: [], "n": [], **{c: [] for c in out}})]
+            for system, rows in batch.groupby("system"):
+                rows = rows[rows["n"] >= len(BASES.get(system, ())) + 2]
+                if system in BASES and len(rows):
+                    done.append(of_system(rows, BASES[system]))
+            yield pd.concat(done)[[key, "n", *out]]
 
     kind = dict(rows.dtypes)[key]
     grouped = base.groupBy(key, "system").agg(*sums).select(key, "system", "n", "y_y", *names, *[f"{p}_y" for p in PAIRS])

@@ -177,6 +177,21 @@ def _(spark, sf):
     return X.fit_cell(_fit_rows(spark, sf)).select("entry_id", "n", F.round("a", 6).alias("a"), F.round("c", 6).alias("c"), F.round("ga", 6).alias("ga"))
 
 
+SYSTEM_CELLS = """SELECT s_suppkey AS entry_id, CASE s_suppkey % 5 WHEN 0 THEN 'triclinic' WHEN 1 THEN 'monoclinic-b' WHEN 2 THEN 'orthorhombic' WHEN 3 THEN 'hexagonal' ELSE 'cubic' END AS system, 5 + (s_suppkey % 7) / CAST(10 AS DOUBLE) AS a,
+  CASE WHEN s_suppkey % 5 >= 3 THEN 5 + (s_suppkey % 7) / CAST(10 AS DOUBLE) ELSE 6 + (s_suppkey % 11) / CAST(10 AS DOUBLE) END AS b, CASE WHEN s_suppkey % 5 = 4 THEN 5 + (s_suppkey % 7) / CAST(10 AS DOUBLE) ELSE 7 + (s_suppkey % 13) / CAST(10 AS DOUBLE) END AS c,
+  CAST(CASE s_suppkey % 5 WHEN 0 THEN 84 ELSE 90 END AS DOUBLE) AS al, CAST(CASE s_suppkey % 5 WHEN 0 THEN 95 WHEN 1 THEN 100 + s_suppkey % 9 ELSE 90 END AS DOUBLE) AS be, CAST(CASE s_suppkey % 5 WHEN 0 THEN 101 WHEN 3 THEN 120 ELSE 90 END AS DOUBLE) AS ga FROM {supplier}"""
+
+
+@query("fit_cell_systems", f"SELECT entry_id, system, n, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c, al, be, ga FROM ({other_sql(SYSTEM_CELLS)}) JOIN (SELECT l_suppkey AS entry_id, count(*) AS n FROM lineitem GROUP BY 1) USING (entry_id) WHERE n >= 60")
+def _(spark, sf):
+    # lists that follow from a known cell of each kind give that cell back
+    cells = spark_sql(spark, sf, SYSTEM_CELLS)
+    lines = spark_sql(spark, sf, "SELECT l_suppkey AS entry_id, CAST(1 + l_partkey % 4 AS INT) AS h, CAST(l_orderkey % 5 - 2 AS INT) AS k, CAST(l_linenumber % 4 AS INT) AS l FROM {lineitem}").join(cells, "entry_id")
+    rows = lines.withColumn("d", K.d_spacing([F.col(c) for c in X.CELL], F.col("h"), F.col("k"), F.col("l"))).select("entry_id", "system", "h", "k", "l", "d")
+    fit = X.fit_cell(rows).where("n >= 60").join(cells.select("entry_id", "system"), "entry_id")
+    return fit.select("entry_id", "system", "n", *[F.round(c, 4).alias(c) for c in X.CELL])
+
+
 @query("trimmed_fit", f"""WITH r AS ({other_sql(FIT_ROWS)}), d AS (SELECT entry_id, h * h + k * k AS x, l * l AS z, 1 / sqrt((h * h + k * k) / (a * a) + l * l / (c * c)) * (1 + (noise - 0.05) / 1000) * CASE WHEN h = 3 AND k = 2 AND l = 1 THEN 1.05 ELSE 1 END AS d FROM r),
  @fit(f1, d), e AS (SELECT d.*, abs(1 / sqrt(x / (a * a) + z / (c * c)) - d) AS dev FROM d JOIN f1 USING (entry_id)), m AS (SELECT entry_id, median(dev) AS med, count(*) AS nr FROM e GROUP BY 1),
  o AS (SELECT e.*, nr, dev > greatest(10 * med, 0.01) AS off FROM e JOIN m USING (entry_id)), q AS (SELECT entry_id, count(*) FILTER (WHERE off) AS n_off, max(nr) AS nr FROM o GROUP BY 1),

@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = (
     "reconcile_printed fire_table snapshot_diff triage_merge recall_table oracle_score one_to_one_match missing_lines intensity_outliers best_candidate replicate_stats normalise_to_anions "
     "compatibility_index noise_sigma composite_median trimmed_windows identify_bands fuzzy_match structural_relatives group_closure match_citations crossref_check bond_valence_sums powder_pattern "
-    "fit_cell rule_symmetry radiation_verdict pair_sources"
+    "fit_cell fit_cell_systems rule_symmetry radiation_verdict pair_sources stated_bands feature_flags formula_groups diagnosis_confusion finding_keys rule_pack rule_printed_lines formula_differences "
+    "species_mentions search_names compare_refinement_numbers probe_table snapshot_round_trip dimension_json registered_rule"
 ).split()
 
 

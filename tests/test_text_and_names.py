@@ -78,3 +78,26 @@ def test_context(spark):
 def test_radiation_is_the_powder_one(spark):
     t = "The microprobe used the Fe Kα line. Powder diffraction data were recorded with a Gandolfi camera and CoKα radiation. A single-crystal study used MoKα."
     assert T.radiation_in_text(spark.createDataFrame([(1, t)], "doc_id int, text string")).first().anode == "Co"
+
+
+def test_closure_of_a_deep_chain(spark):
+    chain = spark.createDataFrame([(k, k - 1 if k else None) for k in range(150)], "gid int, parent int")
+    got = D.group_closure(chain).where("ancestor = 0").agg({"gid": "count", "depth": "max"}).first()
+    assert sorted(got) == [149, 150]
+
+
+def test_bands_keep_their_own_places(spark):
+    text = "Raman bands lie at 1400 cm-1 (CO3), and others, of a weaker sort, at 400 cm-1 (SO4). Bands at 400 cm-1 are due to ν4 and, far from the others, stand 400 cm-1 bands of ν2."
+    got = [(r.sent_no, r.pos, r.family, r.mode) for r in T.stated_bands(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()]
+    assert got == [(0, 1400.0, "CO3", None), (0, 400.0, "SO4", None), (1, 400.0, None, "ν4"), (1, 400.0, None, "ν2")]
+
+
+def test_spans_of_any_length(spark):
+    paras = spark.createDataFrame([(1, 1, "Seen in [4–60] and [2].")], "doc_id int, para int, text string")
+    assert sorted(r.number for r in C.extract_numeric_citations(paras).collect()) == [2, *range(4, 61)]
+
+
+def test_features_of_a_text(spark):
+    texts = [(1, "Analyses (wt%) gave SiO2, CaO, MgO, FeO."), (2, "SiO2, CaO and MgO in wt%."), (3, "Ca1 0.1 0.2 0.3\nO1 0.5 .25 0.125\nO2 0.1(2) 0.3 -0.4"), (4, None)]
+    got = {r.doc_id: r for r in T.feature_flags(spark.createDataFrame(texts, "doc_id int, text string")).collect()}
+    assert [got[k].epma for k in range(1, 5)] == [True, False, False, False] and [got[k].coords for k in range(1, 5)] == [False, False, True, False]
