@@ -370,7 +370,11 @@ def _(spark, sf):
     return X.hydrogen_budget(o, o.select("structure_id", F.lit(2.0).alias("z")).distinct())
 
 
-@query("hbond_geometry")
+@query("hbond_geometry", f"""WITH ce AS ({other_sql(CELLS)}), t AS (SELECT unnest(range(-2, 3)) AS v), o AS (SELECT structure_id, a, c, u, CASE k WHEN 0 THEN u WHEN 1 THEN -u WHEN 2 THEN 0.5 - u ELSE 0.5 + u END + i.v AS x,
+   CASE k WHEN 0 THEN u WHEN 1 THEN -u WHEN 2 THEN 0.5 + u ELSE 0.5 - u END + j.v AS y, CASE WHEN k < 2 THEN 0 ELSE 0.5 END + m.v AS z, k = 0 AND i.v = 0 AND j.v = 0 AND m.v = 0 AS donor FROM ce, (SELECT unnest(range(4)) AS k), t i, t j, t m),
+ d AS (SELECT structure_id, 0.33 * c AS dh, sqrt(power((x - u) * a, 2) + power((y - u) * a, 2) + power((z - 0.33) * c, 2)) AS ha, sqrt(power((x - u) * a, 2) + power((y - u) * a, 2) + power(z * c, 2)) AS da FROM o WHERE NOT donor),
+ g AS (SELECT *, degrees(acos(greatest(least((dh * dh + ha * ha - da * da) / (2 * dh * ha), 1), -1))) AS angle FROM d WHERE ha <= 2.6)
+SELECT structure_id, 'O1' AS donor, 'H1' AS hydrogen, 'O1' AS acceptor, round(CAST(dh AS DOUBLE), 5) AS dh, round(ha, 5) AS ha, round(da, 5) AS da, round(angle, 5) AS angle FROM g WHERE angle >= 110""")
 def _(spark, sf):
     cells, sites, ops = _structures(spark, sf)
     # a hydrogen beside every oxygen, pointing along c
