@@ -101,3 +101,11 @@ def test_features_of_a_text(spark):
     texts = [(1, "Analyses (wt%) gave SiO2, CaO, MgO, FeO."), (2, "SiO2, CaO and MgO in wt%."), (3, "Ca1 0.1 0.2 0.3\nO1 0.5 .25 0.125\nO2 0.1(2) 0.3 -0.4"), (4, None)]
     got = {r.doc_id: r for r in T.feature_flags(spark.createDataFrame(texts, "doc_id int, text string")).collect()}
     assert [got[k].epma for k in range(1, 5)] == [True, False, False, False] and [got[k].coords for k in range(1, 5)] == [False, False, True, False]
+
+
+def test_programs_are_no_orphans(spark):
+    paras = spark.createDataFrame([(1, 1, "Data were reduced with Bruker (2009), as Nobody (2010) says.")], "doc_id int, para int, text string")
+    cites = C.extract_citations(paras).withColumn("cite_id", C.F.monotonically_increasing_id())
+    none = spark.createDataFrame([], "doc_id int, cite_id bigint")
+    assert [r.names for r in C.orphans(cites, none).collect()] == [["nobody"]]
+    assert C.orphans(cites, none, ()).count() == 2
