@@ -55,32 +55,35 @@ def _ahead(df: DataFrame, keys: list[str], chunk: str, amount: Column, name: str
 
 
 def schedule(wanted: DataFrame) -> DataFrame:
-    """(s, rank, slot) from a table (s, slots): which slot of the mix takes the rank-th block of source number s.
+    """(s, …, rank, slot) from a table (s, slots, …): which slot of the mix takes the rank-th block of source number s.
 
     Slot i has the point (i * golden ratio) mod 1, in 32-bit whole numbers, and belongs to the source in whose share of the slots
     it falls. A source that the sequence leaves short by a few slots gets them at the end; one that it would exceed stops.
+
+    Other columns of a source go along. The slots come from a count, which the optimizer takes for a small table, so their joins
+    are told to be merge joins: no side of them is ever broadcast.
     """
+    extra = [c for c in wanted.columns if c != "s"]
     whole, upto = Window.partitionBy(), Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
     shares = wanted.where("slots > 0").withColumn("n", F.sum("slots").over(whole))
     shares = shares.withColumn("hi", F.floor(F.sum("slots").over(upto) / F.col("n") * float(1 << 32)))
     shares = shares.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("s")), F.lit(0)))
     width = (1 << 32) // BINS
-    bins = shares.where("lo < hi").select("s", "lo", "hi", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")).alias("bin"))
+    bins = shares.where("lo < hi").select("s", *extra, "lo", "hi", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")).alias("bin"))
 
     ranges = shares.agg(F.max("n").alias("n")).where("n > 0").select("n", F.explode(F.expr(f"sequence(0L, n - 1, {CHUNK}L)")).alias("first"))
     slots = ranges.repartition("first").select((F.col("first") / CHUNK).cast("long").alias("chunk"), F.explode(F.expr(f"sequence(first, least(n, first + {CHUNK}L) - 1)")).alias("slot"))
     low = F.col("slot") % (1 << 32)
     point = (F.expr(f"(((slot % {1 << 32}L) div 65536) * {GOLDEN}L) % 65536 * 65536") + low % 65536 * GOLDEN) % (1 << 32)
     slots = slots.withColumn("point", point).withColumn("bin", F.expr(f"point div {width}"))
-    placed = slots.join(bins, "bin").where("point >= lo AND point < hi").select("s", "chunk", "slot")
+    placed = slots.hint("merge").join(bins, "bin").where("point >= lo AND point < hi").select("s", *extra, "chunk", "slot")
 
     ahead = _ahead(placed, ["s"], "chunk", F.lit(1).cast("long"), "ahead")
     within = F.row_number().over(Window.partitionBy("s", "chunk").orderBy("slot")) - 1
-    ranked = placed.withColumn("within", within).join(ahead, ["s", "chunk"]).select("s", (F.col("ahead") + F.col("within")).alias("rank"), "slot")
-    ranked = ranked.join(wanted, "s").where("rank < slots").select("s", "rank", "slot")
+    ranked = placed.withColumn("within", within).hint("merge").join(ahead, ["s", "chunk"]).select("s", *extra, (F.col("ahead") + F.col("within")).alias("rank"), "slot").where("rank < slots")
     got = placed.groupBy("s").agg(F.count("*").alias("got"))
     short = shares.join(got, "s", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < slots")
-    return ranked.union(short.select("s", F.explode(F.expr("sequence(got, slots - 1)")).alias("rank"), F.col("n").alias("slot")))
+    return ranked.union(short.select("s", *extra, F.explode(F.expr("sequence(got, slots - 1)")).alias("rank"), F.col("n").alias("slot")))
 
 
 class Mix(NamedTuple):
@@ -119,14 +122,13 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
 
     cuts = tape.where("size > 0").select("row", "doc_id", "source", "s", "source_size", "aim", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
     cuts = cuts.withColumn("from", F.greatest(F.col("at"), F.col("block") * block)).withColumn("to", F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block))
-    slots = schedule(aims.select("s", "slots")).join(aims.select("s", "blocks"), "s")
-    slots = slots.select("s", "slot", F.expr("rank % blocks").alias("block"), F.expr("rank div blocks").alias("round"))
-    taken = cuts.join(slots, ["s", "block"])
+    slots = schedule(aims.select("s", "slots", "blocks")).select("s", "slot", F.expr("rank % blocks").alias("block"), F.expr("rank div blocks").alias("round"))
+    taken = cuts.join(slots.hint("merge"), ["s", "block"])
     taken = taken.withColumn("length", F.least(F.col("to"), F.col("aim") - F.col("round") * F.col("source_size")) - F.col("from")).where("length > 0")
     taken = taken.select("row", "slot", "source", "block", "round", "doc_id", (F.col("from") - F.col("at")).alias("start"), "length")
 
     words = taken.groupBy("row").agg(F.sum("length").alias("taken"))
-    per_row = tape.join(words, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *carry)
+    per_row = tape.join(words.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *carry)
     return Mix(aims.select("source", "source_size", "weight", "target"), taken.drop("row"), per_row)
 
 
