@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordaudit.llm import counts, fingerprints, language, maxent, media, mixing, packing, quality, simhash, warc
+from recordaudit.llm import counts, fingerprints, language, maxent, media, mixing, packing, quality, search, simhash, toxicity, warc, whitening
 
 
 def pipeline(spark, sf_dir):
@@ -22,6 +22,9 @@ QUERIES = {
     "op8_mix": mixing.op8_mix,
     "op9_best_fit": packing.op9_best_fit,
     "op10_maxent": maxent.op10_maxent,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_search": search.op13_search,
     "pipeline": pipeline,
 }
-ORACLES = {"op4_warc": warc.OP4_SQL, "op8_mix": mixing.OP8_SQL}
+ORACLES = {"op4_warc": warc.OP4_SQL, "op8_mix": mixing.OP8_SQL, "op13_search": search.OP13_SQL}

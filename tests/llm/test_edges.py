@@ -2,12 +2,12 @@
 
 import pytest
 
-from recordaudit.llm import counts, fingerprints, language, maxent, media, mixing, packing, quality, simhash, warc
+from recordaudit.llm import counts, fingerprints, language, maxent, media, mixing, packing, quality, simhash, toxicity, warc
 from tests.llm.conftest import ODD
 
 
 def labels_of(spark, n=10):
-    return spark.createDataFrame([(i, i % 2, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    return spark.createDataFrame([(i, i % 2, i % 2) for i in range(n)], "doc_id long, quality int, toxic int")
 
 
 OPERATORS = {
@@ -17,6 +17,7 @@ OPERATORS = {
     "media": lambda d: media.digest_media(media.encode_media(d)),
     "fingerprints": fingerprints.fingerprint_edits,
     "quality": lambda d: quality.score_quality(d, labels_of(d.sparkSession)),
+    "toxicity": lambda d: toxicity.score_toxicity(d, labels_of(d.sparkSession)),
     "mixing": lambda d: mixing.mix(d).documents,
     "packing": packing.pack,
     "maxent": lambda d: maxent.score_texts(d, updates=1),

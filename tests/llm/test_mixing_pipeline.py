@@ -69,7 +69,7 @@ def test_mix(docs):
     assert all(sum(v) <= 64 for v in per_slot.values())
 
 
-@pytest.mark.parametrize("name", ["op4_warc", "op8_mix"])
+@pytest.mark.parametrize("name", ["op4_warc", "op8_mix", "op13_search"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
