@@ -135,13 +135,13 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows of `docs`, all columns: each as often as the mix takes its words, rounded. Only one document of a source, the last, is taken in part."""
     own = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns])
-    marked = docs.withColumn("__h", own)
-    per_row = mix(marked.select("doc_id", "text", "source", "__h"), carry=("__h",)).documents
-    copies = per_row.where("size > 0").groupBy("doc_id", "__h").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__copies")).where("__copies > 0")
-    single = marked.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy("__h"))).where("__n = 1")
-    left, right = single.alias("l"), copies.alias("r")
-    met = left.join(right, (F.col("l.__h") == F.col("r.__h")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")))
-    return met.select("l.*", "r.__copies").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    marked = docs.withColumns({"__h": own, "__k": F.coalesce(F.col("doc_id").cast("string"), F.lit("\0"))})
+    per_row = mix(marked.select("doc_id", "text", "source", "__h", "__k"), carry=("__h", "__k")).documents
+    copies = per_row.where("size > 0").groupBy("__h", "__k").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__copies")).where("__copies > 0")
+    # the texts move once: the join and the choice among repeated rows have the same keys
+    met = marked.join(copies, ["__h", "__k"])
+    single = met.withColumn("__n", F.row_number().over(Window.partitionBy("__h", "__k").orderBy("__h"))).where("__n = 1")
+    return single.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
 def op8_mix(spark, sf_dir):
