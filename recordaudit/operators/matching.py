@@ -12,7 +12,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from recordaudit.operators import sweeps
+
+_PAIR = [*((n, T.DoubleType()) for n in ("l", "r")), *((n, T.LongType()) for n in ("n", "l_from", "r_from")), *((n, T.DoubleType()) for n in ("p_l", "p_r"))]
 
 
 @dataclass(frozen=True)
@@ -23,6 +27,9 @@ class Tolerance:
     floor: float = 0.0
     abs: float = 0.0
 
+    def value(self, value: float) -> float:
+        return self.rel * max(value, self.floor) + self.abs
+
     def of(self, value: Column) -> Column:
         return F.lit(self.rel) * F.greatest(value, F.lit(self.floor)) + F.lit(self.abs)
 
@@ -149,34 +156,15 @@ def collapse_sides(left: DataFrame, right: DataFrame, key: str, lval: str, rval:
 
 
 def pair_pieces(values: DataFrame, key: str, tol: Tolerance) -> DataFrame:
-    """One row per piece of a key's distinct values, with its pairs in ``done``.
+    """One row per piece of a key's distinct values, with its pairs in ``done``; ``vs`` keeps the values of the piece.
 
-    The gap test, the piece numbers and the grouping all run on one partitioning by `key`; what a key
-    holds here is its distinct values. ``vs`` keeps the values of the piece.
+    Pieces are numbered in two levels, so a key of any size is spread over value buckets; what one row holds is the distinct
+    values of one tolerance-connected run. Its pairs are settled in time near that number.
     """
-    series = Window.partitionBy(key).orderBy("v")
-    step = F.col("v") - F.lag("v").over(series)
-    cut = values.withColumn("_cut", F.when(step > tol.of(F.col("v")), 1).otherwise(0))
-    pieces = cut.withColumn("piece", F.sum("_cut").over(series.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = split_by_gap(values, [key], "v", tol.of(F.col("v")))
     grouped = pieces.groupBy(key, "piece").agg(F.collect_list(F.struct("v", "n_l", "n_r", "p_l", "p_r")).alias("vs"))
-    tolerance = f"({tol.rel!r}D * greatest(a.v, {tol.floor!r}D) + {tol.abs!r}D)"
-    edges = f"""
-        array_sort(flatten(transform(filter(vs, a -> a.n_l > 0), a ->
-          transform(filter(vs, b -> b.n_r > 0 AND abs(a.v - b.v) <= {tolerance}), b ->
-            named_struct('dev', abs(a.v - b.v), 'nl_', -a.v, 'nr_', -b.v, 'l', a.v, 'r', b.v, 'cl', a.n_l, 'cr', b.n_r, 'p_l', a.p_l, 'p_r', b.p_r)))))"""
-    empty = "cast(array() AS array<struct<l:double,r:double,n:bigint,l_from:bigint,r_from:bigint,p_l:double,p_r:double>>)"
-    fold = f"""
-        aggregate({edges}, {empty}, (done, e) ->
-          transform(array(named_struct(
-              'ul', aggregate(filter(done, p -> p.l = e.l), 0L, (s, p) -> s + p.n),
-              'ur', aggregate(filter(done, p -> p.r = e.r), 0L, (s, p) -> s + p.n))), u ->
-            CASE WHEN least(e.cl - u.ul, e.cr - u.ur) > 0
-              THEN concat(done, array(named_struct('l', e.l, 'r', e.r, 'n', least(e.cl - u.ul, e.cr - u.ur),
-                                                   'l_from', u.ul, 'r_from', u.ur, 'p_l', e.p_l, 'p_r', e.p_r)))
-              ELSE done END)[0])"""
-    return grouped.withColumn("done", F.when(F.size("vs") > 1, F.expr(fold)).otherwise(F.expr(
-        # a lone value pairs at most with itself
-        f"CASE WHEN vs[0].n_l > 0 AND vs[0].n_r > 0 THEN array(named_struct('l', vs[0].v, 'r', vs[0].v, 'n', least(vs[0].n_l, vs[0].n_r), 'l_from', 0L, 'r_from', 0L, 'p_l', vs[0].p_l, 'p_r', vs[0].p_r)) ELSE {empty} END")))
+    schema = T.StructType([*grouped.schema.fields, T.StructField("done", T.ArrayType(T.StructType([T.StructField(n, t) for n, t in _PAIR])))])
+    return grouped.mapInArrow(sweeps.pair_arrays(tol.value), schema)
 
 
 def pair_values(left: DataFrame, right: DataFrame, key: str, lval: str, rval: str, tol: Tolerance) -> DataFrame:
@@ -207,38 +195,32 @@ def match_one_to_one(
 
 
 def claim_in_order(
-    claimants: DataFrame, offers: DataFrame, key: str, cid: str, oid: str, cval: str, oval: str, tol: Tolerance,
-    closed_from: str | None = None,
+    claimants: DataFrame, offers: DataFrame, key: str, turn: tuple[str, str], oid: str, cval: str, oval: str, tol: Tolerance,
+    closed_from: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """``key, cid, oid``: each claimant, in the order of its id, takes the nearest offer still free.
+    """``key, *turn, oid``: each claimant, in the order of its two `turn` columns, takes the nearest offer still free (null: none).
 
-    With `closed_from`, an offer is free only to claimants whose id is below that column (null: always).
-    Pieces cut at gaps wider than the tolerance do not touch, so each is settled alone.
+    Of equally near offers the one with the smallest id goes first. With `closed_from`, an offer is free only to claimants whose turn is before those two
+    columns (null: always). Distinct values, counted map-side, are cut where a gap is wider than the tolerance; the pieces do not
+    touch. Rows then stream through their piece in order: no key's rows are gathered, only the offers of one piece are held.
     """
-    closed = F.col(closed_from) if closed_from else F.lit(None).cast("bigint")
-    both = claimants.select(
-        key, F.col(cval).alias("v"), F.lit(True).alias("asks"), F.col(cid).cast("bigint").alias("no"), F.lit(None).cast("bigint").alias("shut")
-    ).unionByName(
-        offers.select(
-            key, F.col(oval).alias("v"), F.lit(False).alias("asks"), F.col(oid).cast("bigint").alias("no"), closed.cast("bigint").alias("shut")
-        )
-    )
-    pieces = split_by_gap(both, [key], "v", tol.of(F.col("v")))
-    grouped = pieces.groupBy(key, "piece").agg(
-        F.bool_or("asks").alias("_a"), F.bool_or(~F.col("asks")).alias("_o"), F.collect_list(F.struct("no", "v", "asks", "shut")).alias("vs")
-    ).where("_a AND _o")
-    tolerance = f"({tol.rel!r}D * greatest(c.v, {tol.floor!r}D) + {tol.abs!r}D)"
-    fold = f"""
-        aggregate(array_sort(filter(vs, x -> x.asks)), cast(array() AS array<struct<c:bigint,o:bigint>>), (done, c) ->
-          transform(array(array_min(transform(
-              filter(vs, o -> NOT o.asks AND abs(o.v - c.v) <= {tolerance} AND coalesce(c.no < o.shut, true)
-                              AND NOT exists(done, p -> p.o = o.no)),
-              o -> named_struct('dev', abs(o.v - c.v), 'no', o.no)))), best ->
-            CASE WHEN best IS NULL THEN done ELSE concat(done, array(named_struct('c', c.no, 'o', best.no))) END)[0])"""
-    return (
-        grouped.select(key, F.explode(F.expr(fold)).alias("p"))
-        .select(key, F.col("p.c").alias(cid), F.col("p.o").alias(oid))
-    )
+    names = ("no", "s1", "s2")
+    shut = closed_from or (None, None)
+    kinds = {c: claimants.schema[c].dataType for c in turn}
+    null = {n: F.lit(None).cast(t).alias(n) for n, t in (("t1", kinds[turn[0]]), ("t2", kinds[turn[1]]), ("no", "bigint"), ("s1", kinds[turn[0]]), ("s2", kinds[turn[1]]))}
+    asks = claimants.select(key, F.lit(True).alias("asks"), F.col(cval).alias("v"), F.col(turn[0]).alias("t1"), F.col(turn[1]).alias("t2"), *(null[n] for n in names))
+    has = offers.select(
+        key, F.lit(False).alias("asks"), F.col(oval).alias("v"), null["t1"], null["t2"], F.col(oid).cast("bigint").alias("no"),
+        *(F.col(s).cast(kinds[t]).alias(n) if s else null[n] for s, t, n in zip(shut, turn, ("s1", "s2"))),
+    )
+    both = asks.unionByName(has)
+    values = both.where("v IS NOT NULL").groupBy(key, "v").agg(F.lit(1).alias("n"))
+    pieces = split_by_gap(values, [key], "v", tol.of(F.col("v"))).select(F.col(key).alias("_k"), F.col("v").alias("_v"), "piece")
+    placed = both.join(pieces, (F.col(key) == F.col("_k")) & (F.col("v") == F.col("_v"))).select(key, "piece", "asks", "v", "t1", "t2", "no", "s1", "s2")
+    dealt = placed.repartition(key, "piece").sortWithinPartitions(key, "piece", "asks", "t1", "t2")
+    schema = T.StructType([placed.schema[key], placed.schema["piece"], T.StructField("turn1", kinds[turn[0]]), T.StructField("turn2", kinds[turn[1]]), T.StructField("no", T.LongType())])
+    out = dealt.mapInArrow(sweeps.claims(2, tol.value), schema)
+    return out.select(key, F.col("turn1").alias(turn[0]), F.col("turn2").alias(turn[1]), F.col("no").alias(oid))
 
 
 def match_stated(fitted: DataFrame, stated: DataFrame, key: str, tol: Tolerance = Tolerance(abs=6.0)) -> DataFrame:
@@ -246,13 +228,10 @@ def match_stated(fitted: DataFrame, stated: DataFrame, key: str, tol: Tolerance
 
     `fitted`: key, fit_no, fit_pos; `stated`: key, said_no, said_pos. Stated positions ask in ascending order.
     """
-    ascending = F.row_number().over(Window.partitionBy(key).orderBy("said_pos", "said_no"))
-    asked = stated.withColumn("turn", ascending)
-    pairs = claim_in_order(asked, fitted, key, "turn", "fit_no", "said_pos", "fit_pos", tol)
-    left = asked.join(pairs, [key, "turn"], "left").drop("turn")
-    return left.join(fitted, [key, "fit_no"], "full_outer").select(
+    asked = claim_in_order(stated, fitted, key, ("said_pos", "said_no"), "fit_no", "said_pos", "fit_pos", tol)
+    return asked.join(fitted, [key, "fit_no"], "full_outer").select(
         key, "said_no", "said_pos", "fit_no", "fit_pos",
-        F.when(F.col("said_no").isNull(), "not_stated").when(F.col("fit_no").isNull(), "not_fitted").otherwise("matched").alias("state"),
+        F.when(F.col("said_no").isNull(), "not_stated").when(F.col("fit_pos").isNull(), "not_fitted").otherwise("matched").alias("state"),
     )
 
 
@@ -377,46 +356,41 @@ def merge_obs_calc(obs: DataFrame, calc: DataFrame, tol_pct: float = 1.2, min_i:
     tol = Tolerance(rel=tol_pct / 100.0)
     indexed = F.col("h").isNotNull()
     calc_lines = calc.select("entry_id", F.col("line_no").cast("bigint").alias("calc_no"), F.col("d").alias("d_calc"), F.col("i").alias("i_calc"), "h", "k", "l")
-    # one observed peak per (d, I); peaks are numbered in order of first appearance
-    obs_lines = obs.withColumn("kd", F.round("d", 4)).withColumn("ki", F.round("i", 2))
-    peaks = obs_lines.groupBy("entry_id", "kd", "ki").agg(
-        F.min("line_no").cast("bigint").alias("peak_no"), F.min_by("d", "line_no").alias("peak_d"), F.min_by("i", "line_no").alias("peak_i")
-    )
-    obs_lines = obs_lines.join(peaks, ["entry_id", "kd", "ki"])
+    # one observed peak per (d, I), numbered by the line that shows it first
+    same = Window.partitionBy("entry_id", F.round("d", 4), F.round("i", 2))
+    first = F.min(F.struct(F.col("line_no").cast("bigint").alias("no"), "d", "i")).over(same)
+    obs_lines = obs.select("entry_id", F.col("line_no").cast("bigint").alias("line_no"), "d", "i", "h", "k", "l", first.alias("p"))
+    obs_lines = obs_lines.select("entry_id", "line_no", F.col("p.no").alias("peak_no"), F.col("p.d").alias("peak_d"), F.col("p.i").alias("peak_i"), "d", "i", "h", "k", "l")
     # lines ask in the order of their peaks: peak number first, line number inside
-    turn = F.row_number().over(Window.partitionBy("entry_id").orderBy("peak_no", "line_no"))
-    obs_lines = obs_lines.withColumn("turn", turn.cast("bigint")).select("entry_id", "turn", "peak_no", "d", "i", "h", "k", "l")
-    first_of_hkl = calc_lines.where(indexed).groupBy("entry_id", "h", "k", "l").agg(F.min("calc_no").alias("calc_no"))
-    by_index = obs_lines.where(indexed).join(first_of_hkl, ["entry_id", "h", "k", "l"]).select("entry_id", "turn", "calc_no")
-    shut = by_index.groupBy("entry_id", "calc_no").agg(F.min("turn").alias("shut"))
-    asking = obs_lines.join(by_index, ["entry_id", "turn"], "left_anti")
-    offers = calc_lines.join(shut, ["entry_id", "calc_no"], "left")
-    by_nearness = claim_in_order(asking, offers, "entry_id", "turn", "calc_no", "d", "d_calc", tol, closed_from="shut")
-    taken = by_index.unionByName(by_nearness)
+    first_of_hkl = calc_lines.where(indexed).groupBy("entry_id", "h", "k", "l").agg(F.min("calc_no").alias("own_no"))
+    obs_lines = obs_lines.join(first_of_hkl, ["entry_id", "h", "k", "l"], "left")
+    by_index = obs_lines.where("own_no IS NOT NULL").select("entry_id", "peak_no", "line_no", F.col("own_no").alias("calc_no"))
+    shut = by_index.groupBy("entry_id", "calc_no").agg(F.min(F.struct("peak_no", "line_no")).alias("s"))
+    offers = calc_lines.select("entry_id", "calc_no", "d_calc").join(shut, ["entry_id", "calc_no"], "left").select("entry_id", "calc_no", "d_calc", F.col("s.peak_no").alias("shut_peak"), F.col("s.line_no").alias("shut_line"))
+    near = claim_in_order(obs_lines.where("own_no IS NULL"), offers, "entry_id", ("peak_no", "line_no"), "calc_no", "d", "d_calc", tol, closed_from=("shut_peak", "shut_line"))
+    taken = obs_lines.join(near.drop("peak_no"), ["entry_id", "line_no"], "left").withColumn("calc_no", F.coalesce("own_no", "calc_no")).drop("own_no")
+    # an observed line with its calculated one, or a calculated line that nobody took
     renamed = calc_lines.select("entry_id", "calc_no", "d_calc", "i_calc", F.col("h").alias("ch"), F.col("k").alias("ck"), F.col("l").alias("cl"))
-    observed = obs_lines.join(taken, ["entry_id", "turn"], "left").join(renamed, ["entry_id", "calc_no"], "left").select(
-        "entry_id", "peak_no", F.col("i").alias("i_obs"), F.col("d").alias("d_obs"), "d_calc", "i_calc",
-        *[F.when(F.col("ch").isNotNull(), F.col(f"c{x}")).otherwise(F.col(x)).alias(x) for x in "hkl"],
-    )
-    free = calc_lines.join(taken.select("entry_id", "calc_no").distinct(), ["entry_id", "calc_no"], "left_anti")
-    strong_peaks = peaks.where(F.col("peak_i") >= min_i).select("entry_id", "peak_no", "peak_d", "peak_i")
-    attached = (
-        near_join(strong_peaks, free.select("entry_id", "calc_no", "d_calc"), ["entry_id"], "peak_d", "d_calc", tol, 0.1)
-        .groupBy("entry_id", "calc_no")
-        .agg(F.min_by(F.struct("peak_no", "peak_d", "peak_i"), F.struct(F.abs(F.col("peak_d") - F.col("d_calc")), F.col("peak_no"))).alias("p"))
-    )
-    unclaimed = free.join(attached, ["entry_id", "calc_no"], "left").select(
-        "entry_id", F.col("p.peak_no").alias("peak_no"), F.col("p.peak_i").alias("i_obs"), F.col("p.peak_d").alias("d_obs"), "d_calc", "i_calc", "h", "k", "l"
-    )
+    met = taken.join(renamed, ["entry_id", "calc_no"], "full_outer")
+    observed = met.where("line_no IS NOT NULL").select(
+        "entry_id", "peak_no", F.col("i").alias("i_obs"), F.col("d").alias("d_obs"), "d_calc", "i_calc", *[F.when(F.col("ch").isNotNull(), F.col(f"c{x}")).otherwise(F.col(x)).alias(x) for x in "hkl"],
+    )
+    free = met.where("line_no IS NULL").select("entry_id", "calc_no", "d_calc", "i_calc", *[F.col(f"c{x}").alias(x) for x in "hkl"])
+    strong_peaks = obs_lines.where((F.col("peak_i") >= min_i) & (F.col("line_no") == F.col("peak_no"))).select("entry_id", "peak_no", "peak_d", "peak_i")
+    wide = Tolerance(rel=tol.rel / (1 - tol.rel) + 1e-9)  # seen from the calculated line; the peak's own tolerance decides
+    dev = F.abs(F.col("peak_d") - F.col("d_calc"))
+    near_by = near_join(free, strong_peaks, ["entry_id"], "d_calc", "peak_d", wide, 0.1, "left").withColumn("ok", dev <= tol.of(F.col("peak_d")))
+    unclaimed = near_by.groupBy("entry_id", "calc_no", "d_calc", "i_calc", "h", "k", "l").agg(
+        F.min_by(F.struct("peak_no", "peak_d", "peak_i"), F.when(F.col("ok"), F.struct(dev.alias("dev"), "peak_no"))).alias("p")
+    ).select("entry_id", F.col("p.peak_no").alias("peak_no"), F.col("p.peak_i").alias("i_obs"), F.col("p.peak_d").alias("d_obs"), "d_calc", "i_calc", "h", "k", "l")
     rows = observed.unionByName(unclaimed)
     hkl = F.struct("h", "k", "l")
-    per_peak = rows.where("peak_no IS NOT NULL").groupBy("entry_id", "peak_no").agg(
-        F.bool_or(F.coalesce(F.col("i_calc") >= min_i, F.lit(False))).alias("strong"),
-        F.max_by(hkl, F.struct(F.coalesce("i_calc", F.lit(-1.0)), -F.coalesce("d_calc", F.lit(0.0)))).alias("best"),
-    )
-    judged = rows.join(per_peak, ["entry_id", "peak_no"], "left").where(
-        F.greatest(F.coalesce("i_obs", F.lit(0.0)), F.coalesce("i_calc", F.lit(0.0))) >= min_i
-    )
+    of_peak = Window.partitionBy("entry_id", "peak_no")
+    rows = rows.where("peak_no IS NOT NULL").select(
+        "*", F.max(F.coalesce(F.col("i_calc") >= min_i, F.lit(False))).over(of_peak).alias("strong"),
+        F.max_by(hkl, F.struct(F.coalesce("i_calc", F.lit(-1.0)), -F.coalesce("d_calc", F.lit(0.0)), *[F.coalesce(x, F.lit(-99)) for x in "hkl"])).over(of_peak).alias("best"),
+    ).unionByName(rows.where("peak_no IS NULL").select("*", F.lit(None).cast("boolean").alias("strong"), F.lit(None).cast(T.StructType([rows.schema[x] for x in "hkl"])).alias("best")))
+    judged = rows.where(F.greatest(F.coalesce("i_obs", F.lit(0.0)), F.coalesce("i_calc", F.lit(0.0))) >= min_i)
     weak = F.col("i_obs").isNotNull() & F.coalesce(F.col("i_calc") < min_i, F.lit(True))
     kept = judged.where(~weak | (~F.col("strong") & hkl.eqNullSafe(F.col("best"))))
     out = kept.select(

@@ -103,7 +103,38 @@ SELECT CAST(floor(l_orderkey / 5) AS BIGINT) AS entry_id, l_linestatus AS st,
   CASE WHEN l_quantity < 30 THEN CAST(l_partkey % 3 AS INT) END AS k, CASE WHEN l_quantity < 30 THEN CAST(l_linenumber AS INT) END AS l FROM {lineitem}"""
 
 
-@query("merge_obs_calc")
+# the walk takes the unindexed lines of an entry in their turns; an offer is shut from the turn at which its own index takes it
+MERGE_SQL = f"""WITH RECURSIVE lines AS ({other_sql(POWDER)}),
+ o AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY peak_no, line_no) AS turn FROM (
+   SELECT entry_id, line_no, d, i, h, k, l, min(line_no) OVER w AS peak_no, first_value(d) OVER (w ORDER BY line_no) AS peak_d, first_value(i) OVER (w ORDER BY line_no) AS peak_i
+   FROM lines WHERE st = 'O' WINDOW w AS (PARTITION BY entry_id, round(d, 4), round(i, 2)))),
+ c AS (SELECT entry_id, line_no AS calc_no, d AS d_calc, i AS i_calc, h AS ch, k AS ck, l AS cl FROM lines WHERE st = 'F'),
+ fh AS (SELECT entry_id, ch AS h, ck AS k, cl AS l, min(calc_no) AS own_no FROM c WHERE ch IS NOT NULL GROUP BY ALL),
+ oi AS (SELECT o.*, own_no FROM o LEFT JOIN fh USING (entry_id, h, k, l)),
+ sh AS (SELECT entry_id, own_no AS calc_no, min(turn) AS shut FROM oi WHERE own_no IS NOT NULL GROUP BY ALL),
+ f AS (SELECT c.*, shut FROM c LEFT JOIN sh USING (entry_id, calc_no)),
+ a AS (SELECT entry_id, line_no, d, turn, row_number() OVER (PARTITION BY entry_id ORDER BY turn) AS step FROM oi WHERE own_no IS NULL),
+ walk AS (SELECT entry_id, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS line_no, CAST(NULL AS BIGINT) AS got, CAST([] AS BIGINT[]) AS used FROM (SELECT DISTINCT entry_id FROM a)
+   UNION ALL
+   SELECT entry_id, step, line_no, got, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END FROM (
+     SELECT w.entry_id, a.step, a.line_no, w.used, (SELECT arg_min(f.calc_no, (abs(f.d_calc - a.d), f.calc_no)) FROM f
+        WHERE f.entry_id = a.entry_id AND abs(f.d_calc - a.d) <= 0.012::DOUBLE * greatest(a.d, 0.0) AND coalesce(a.turn < f.shut, true) AND NOT list_contains(w.used, f.calc_no)) AS got
+     FROM walk w JOIN a ON a.entry_id = w.entry_id AND a.step = w.step + 1)),
+ t AS (SELECT oi.*, coalesce(own_no, w.got) AS calc_no FROM oi LEFT JOIN walk w ON w.entry_id = oi.entry_id AND w.line_no = oi.line_no),
+ ob AS (SELECT t.entry_id, peak_no, i AS i_obs, d AS d_obs, d_calc, i_calc, CASE WHEN ch IS NOT NULL THEN ch ELSE h END AS h, CASE WHEN ch IS NOT NULL THEN ck ELSE k END AS k, CASE WHEN ch IS NOT NULL THEN cl ELSE l END AS l
+   FROM t LEFT JOIN c ON c.entry_id = t.entry_id AND c.calc_no = t.calc_no),
+ fr AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.entry_id = c.entry_id AND t.calc_no = c.calc_no)),
+ pk AS (SELECT DISTINCT entry_id, peak_no, peak_d, peak_i FROM o WHERE peak_i >= 3.5),
+ att AS (SELECT fr.entry_id, fr.calc_no, arg_min({{'no': peak_no, 'd': peak_d, 'i': peak_i}}, (abs(peak_d - d_calc), peak_no)) AS p FROM fr JOIN pk ON pk.entry_id = fr.entry_id AND abs(peak_d - d_calc) <= 0.012::DOUBLE * greatest(peak_d, 0.0) GROUP BY ALL),
+ rw AS (SELECT * FROM ob UNION ALL SELECT fr.entry_id, p.no, p.i, p.d, d_calc, i_calc, ch, ck, cl FROM fr LEFT JOIN att USING (entry_id, calc_no)),
+ st AS (SELECT *, bool_or(coalesce(i_calc >= 3.5, false)) OVER (PARTITION BY entry_id, peak_no) AS strong,
+   max({{'i': coalesce(i_calc, -1.0), 'd': -coalesce(d_calc, 0.0)}}) OVER (PARTITION BY entry_id, peak_no) AS top FROM rw),
+ bs AS (SELECT entry_id, peak_no, arg_max({{'h': h, 'k': k, 'l': l}}, (coalesce(i_calc, -1.0), -coalesce(d_calc, 0.0), coalesce(h, -99), coalesce(k, -99), coalesce(l, -99))) AS best FROM rw WHERE peak_no IS NOT NULL GROUP BY ALL),
+ jd AS (SELECT st.*, best, i_obs IS NOT NULL AND coalesce(i_calc < 3.5, true) AS weak FROM st LEFT JOIN bs ON bs.entry_id = st.entry_id AND bs.peak_no = st.peak_no WHERE greatest(coalesce(i_obs, 0), coalesce(i_calc, 0)) >= 3.5)
+SELECT entry_id, peak_no, i_obs, d_obs, CASE WHEN NOT weak THEN d_calc END AS d_calc, CASE WHEN NOT weak THEN i_calc END AS i_calc, h, k, l FROM jd WHERE NOT weak OR (NOT strong AND h IS NOT DISTINCT FROM best.h AND k IS NOT DISTINCT FROM best.k AND l IS NOT DISTINCT FROM best.l)"""
+
+
+@query("merge_obs_calc", MERGE_SQL)
 def _(spark, sf):
     lines = spark_sql(spark, sf, POWDER)
     return M.merge_obs_calc(lines.where("st = 'O'").drop("st"), lines.where("st = 'F'").drop("st"))

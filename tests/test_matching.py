@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +157,52 @@ def test_intensity_slip(spark):
     schema = "entry_id int, d double, i double"
     got = M.intensity_outliers(spark.createDataFrame(paper, schema), spark.createDataFrame(entry, schema)).collect()
     assert [(r.d, r.own_i, r.want_i) for r in got] == [(5.0, 10.0, 100.0)]
+
+
+def test_a_piece_of_many_values_is_settled_in_seconds(spark):
+    rng = random.Random(4)
+    tol = M.Tolerance(abs=0.05)
+    values = [round(rng.random() * 20, 3) for _ in range(12000)]
+    left, right = values[:6000], values[6000:]
+    want = greedy(left[:700], right[:700], tol.value)
+    rows = [(1, i, v) for i, v in enumerate(left)] + [(2, i, v) for i, v in enumerate(left[:700])]
+    other = [(1, i, v) for i, v in enumerate(right)] + [(2, i, v) for i, v in enumerate(right[:700])]
+    start = time.time()
+    pairs = M.match_one_to_one(spark.createDataFrame(rows, "k int, li int, lv double"), spark.createDataFrame(other, "k int, ri int, rv double"), "k", "li", "ri", "lv", "rv", tol).collect()
+    assert time.time() - start < 60
+    assert sorted((left[p.li], right[p.ri]) for p in pairs if p.k == 2) == want
+    assert sum(p.k == 1 for p in pairs) > 5000 and len({p.li for p in pairs if p.k == 1}) == sum(p.k == 1 for p in pairs)
+
+
+def claims_by_hand(asks, offers, tol):
+    """asks: (turn, no, value); offers: (no, value, shut turn or None)."""
+    used, out = set(), {}
+    for turn, no, v in sorted(asks):
+        near = [(abs(o - v), n) for n, o, shut in offers if n not in used and abs(o - v) <= tol(v) and (shut is None or (turn, no) < shut)]
+        out[(turn, no)] = min(near)[1] if near else None
+        used.add(out[(turn, no)])
+    return out
+
+
+@pytest.mark.parametrize("step", [0.001, 0.02, 0.5])
+def test_claims_are_taken_in_turn(spark, step):
+    rng, tol, want = random.Random(5), M.Tolerance(rel=0.01, abs=0.004), {}
+    asks, offers = [], []
+    for key in range(12):
+        a = [(rng.randrange(8), n, round(1 + step * rng.randrange(40), 4)) for n in range(30)]
+        o = [(n, round(1 + step * rng.randrange(40), 4), (rng.randrange(8), rng.randrange(30)) if rng.random() < 0.4 else None) for n in range(30)]
+        want[key] = claims_by_hand(a, o, tol.value)
+        asks += [(key, *x) for x in a]
+        offers += [(key, n, v, *(shut or (None, None))) for n, v, shut in o]
+    got = M.claim_in_order(
+        spark.createDataFrame(asks, "k int, turn long, no long, v double"), spark.createDataFrame(offers, "k int, oid long, ov double, s1 long, s2 long"),
+        "k", ("turn", "no"), "oid", "v", "ov", tol, ("s1", "s2")).collect()
+    assert {(r.k, r.turn, r.no): r.oid for r in got} == {(k, *t): o for k, w in want.items() for t, o in w.items()}
+
+
+def test_a_hot_key_of_equal_and_dense_values(spark):
+    n = 250_000
+    stated = spark.range(n).selectExpr("1 AS k", "id AS said_no", "CASE WHEN id % 2 = 0 THEN 500.0D ELSE (id % 50000) / 10 END AS said_pos")
+    fitted = spark.range(n).selectExpr("1 AS k", "id AS fit_no", "CASE WHEN id % 2 = 0 THEN 500.0D ELSE (id % 50000) / 10 END AS fit_pos")
+    states = {r.state: r["count"] for r in M.match_stated(fitted, stated, "k").groupBy("state").count().collect()}
+    assert states == {"matched": n}
