@@ -68,7 +68,13 @@ def _(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.length(folded).cast("bigint").alias("n_letters"), F.md5(folded).alias("digest"))
 
 
-WORDS_SQL = "split(regexp_replace(lower(strip_accents(text)), '\\s+', ' '), ' ')"
+
+def plain_sql(text: str) -> str:
+    for old, new in (("ß", "ss"), ("æ", "ae"), ("Æ", "Ae"), ("œ", "oe"), ("Œ", "Oe"), ("þ", "th"), ("ø", "o"), ("Ø", "O"), ("ł", "l"), ("Ł", "L"), ("’", "''"), ("‐", "-"), ("‑", "-"), ("\u00ad", "")):
+        text = f"replace({text}, '{old}', '{new}')"
+    return f"strip_accents({text})"
+
+
 VOCAB = """SELECT DISTINCT word AS norm FROM (SELECT explode(split(lower(text), '[^a-z]+')) AS word FROM {benchmark}) t WHERE length(word) > 6"""
 
 
@@ -82,7 +88,7 @@ def _(spark, sf):
     return D.search_names(spark_sql(spark, sf, SEARCHED), spark_sql(spark, sf, LISTED_NAMES))
 
 
-@query("species_mentions", f"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[\\s–—/×]+')) AS raw FROM documents),
+@query("species_mentions", f"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower({plain_sql('text')}), '[\\s–—/×]+')) AS raw FROM documents),
  t AS (SELECT doc_id, regexp_replace(regexp_replace(raw, '^[.,;:!?"''(\\[{{*]+|[.,;:!?"''\\]}}*]+$', '', 'g'), '-(?:group|type|like|bearing|rich|poor|structure|related|series|family)$', '') AS token FROM w),
  v AS (SELECT DISTINCT norm FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS norm FROM benchmark) WHERE length(norm) > 6), {LOOKUP_SQL.replace(SP, 'SELECT norm FROM v').replace(TK, "SELECT token FROM t WHERE length(token) > 3")}
 SELECT doc_id, norm, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, token, count(*) AS n FROM t WHERE length(token) > 3 GROUP BY 1, 2) JOIN (SELECT DISTINCT token, norm FROM lk) USING (token) GROUP BY 1, 2""")

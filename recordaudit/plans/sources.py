@@ -100,14 +100,16 @@ def _(spark, sf):
 
 # --- round trips through files that Spark writes to the shared folder ---------------------------------
 
-PROBE_TABLE = """SELECT l_orderkey AS sample, l_linenumber * 100000 + l_suppkey AS point, l_quantity AS SiO2, CASE WHEN l_tax > 0.02 THEN CAST(l_tax AS STRING) ELSE 'n.d.' END AS cao, l_discount AS total, 'a note' AS comment FROM {lineitem}"""
+PROBE_TABLE = """SELECT l_orderkey AS sample, l_linenumber * 100000 + l_suppkey AS point, l_quantity AS SiO2, CASE WHEN l_tax > 0.02 THEN CAST(l_tax AS STRING) ELSE 'n.d.' END AS cao, l_discount AS total, 'a note' AS comment,
+  l_tax AS feot, l_tax + 1 AS co2calc, l_quantity AS core, l_quantity AS adsorbed, l_discount AS error FROM {lineitem}"""
 
 
-@query("probe_table", other_sql("""WITH t AS (SELECT l_orderkey AS s, l_linenumber * 100000 + l_suppkey AS p, l_quantity AS q, CASE WHEN l_tax > 0.02 THEN l_tax END AS x FROM {lineitem})
-SELECT CAST(s AS VARCHAR) AS sample_id, 'SiO2' AS constituent, count(*) AS n, count(q) AS measured, round(CAST(sum(q) AS DOUBLE), 4) AS wt FROM t GROUP BY 1 UNION ALL SELECT CAST(s AS VARCHAR), 'CaO', count(*), count(x), round(CAST(sum(x) AS DOUBLE), 4) FROM t GROUP BY 1"""))
+@query("probe_table", other_sql("""WITH t AS (SELECT l_orderkey AS s, l_linenumber * 100000 + l_suppkey AS p, l_quantity AS q, CASE WHEN l_tax > 0.02 THEN l_tax END AS x, l_tax AS f FROM {lineitem})
+SELECT CAST(s AS VARCHAR) AS sample_id, 'SiO2' AS constituent, count(*) AS n, count(q) AS measured, round(CAST(sum(q) AS DOUBLE), 4) AS wt FROM t GROUP BY 1 UNION ALL SELECT CAST(s AS VARCHAR), 'CaO', count(*), count(x), round(CAST(sum(x) AS DOUBLE), 4) FROM t GROUP BY 1
+UNION ALL SELECT CAST(s AS VARCHAR), 'FeO', count(*), count(f), round(CAST(sum(f) AS DOUBLE), 4) FROM t GROUP BY 1 UNION ALL SELECT CAST(s AS VARCHAR), 'CO2', count(*), count(f), round(CAST(sum(f + 1) AS DOUBLE), 4) FROM t GROUP BY 1"""))
 def _(spark, sf):
     path = shared_path(spark, "probe")
-    spark_sql(spark, sf, PROBE_TABLE).withColumnsRenamed({"cao": "CaO (2) Oxide%", "total": "Total", "comment": "Comment"}).write.option("header", True).csv(path)
+    spark_sql(spark, sf, PROBE_TABLE).withColumnsRenamed({"cao": "CaO (2) Oxide%", "total": "Total", "comment": "Comment", "feot": "FeOt", "co2calc": "CO2calc", "core": "CORE", "adsorbed": "H2O-", "error": "SiO2 error"}).write.option("header", True).csv(path)
     return R.read_probe_long(spark, path).groupBy("sample_id", "constituent").agg(F.count(F.lit(1)).alias("n"), F.count("wt").alias("measured"), F.round(F.sum("wt"), 4).alias("wt"))
 
 

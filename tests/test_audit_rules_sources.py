@@ -63,6 +63,16 @@ def test_own_rule_is_run(spark):
     assert E.run_registered(entries=spark.createDataFrame([(1,)], "entry_id int")).first().code == "test_only"
 
 
+@pytest.mark.parametrize("heading, name", [
+    ("CaO (2) Oxide%", "CaO"), ("FeOt", "FeO"), ("Fe2O3tot", "Fe2O3"), ("SiO2wt%", "SiO2"), ("CO2calc", "CO2"), ("SiO2 (Mass%)", "SiO2"), ("(NH4)2O", "N2H8O"), ("H2O+", "H2O"), ("H2O", "H2O"), ("F", "F"), ("Cl wt.%", "Cl"),
+    ("Si", "Si"), ("Si (Mass%)", "Si"), ("FeO*", "FeO"), ("Na2O 1", "Na2O"), ("P2O5_wt", "P2O5"), ("UO3", "UO3"), ("V2O5 wt %", "V2O5"),
+    ("CORE", None), ("SOURCE", None), ("COUNT", None), ("NOTE", None), ("HOLE", None), ("POSITION", None), ("H2O-", None), ("H2O −", None), ("O=F", None), ("Si %ERR", None), ("Ca k-ratio", None), ("Fe det. lim.", None), ("Al+Cr", None),
+    ("Mn2+", None), ("Na2Ca8(UO2)4", None), ("Total", None), ("Comment", None), ("Point", None), ("Sample", None), ("Line", None), ("No", None), ("Cations", None), ("Si apfu", None), ("SiO2 norm", None), ("", None), ("PINK", None), ("Al remain", None),
+])
+def test_constituent_of_a_heading(heading, name):
+    assert R.constituent_label(heading) == name
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "probe.csv").write_text("sample,point,CaO (2) Oxide%,SiO2,Total,Std Dev\nA,1,20.1,n.d.,99,1\nA,2,20.3,43.1,99,1\nA,Average,20.2,43.1,99,1\n")
     rows = {(r.point, r.constituent): r.wt for r in R.read_probe_long(spark, str(tmp_path / "probe.csv")).collect()}
