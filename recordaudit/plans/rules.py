@@ -9,6 +9,7 @@ from recordaudit.plans.registry import ORACLES, query
 from recordaudit.plans.structures import operator_rows
 from recordaudit.plans.views import other_sql, spark_sql, spread
 from recordaudit.rules import pack as P
+from recordaudit.rules import phrases as W
 from recordaudit.rules.engine import run_rules
 
 ENTRIES = """
@@ -129,7 +130,44 @@ def _(spark, sf):
 
 @query("rule_instrument_text", f"WITH {E_SQL}, x AS (SELECT * FROM e) " + _sql(("instr_class", "flag", "c % 6 IN (2, 3)"), ("instr_filter", "flag", "k % 3 = 2")))
 def _(spark, sf):
-    return _counts(_code(spark, sf, "instr_class", "instr_filter", "calculated", "cell_source"))
+    return _counts(_code(spark, sf, "instr_filter").unionByName(W.claim_findings(_entries(spark, sf))))
+
+
+# what a text says, put together from sentences that differ by entry
+SAID = """
+SELECT o_orderkey AS entry_id, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'Other' WHEN 2 THEN 'Diffractometer' ELSE 'Calculated' END AS spacing_instr, CASE o_custkey % 3 WHEN 0 THEN 'Other' ELSE 'Film' END AS intensity_instr,
+  concat_ws(' ', CASE o_orderkey % 5 WHEN 0 THEN 'Powder X-ray diffraction data were collected on an R-AXIS Rapid II.' WHEN 1 THEN 'The PXRD pattern was recorded with the same diffractometer.' WHEN 2 THEN 'A capillary was used for the diffraction experiment.'
+      WHEN 3 THEN 'Powder data calculated from the single-crystal diffractometer data were obtained.' ELSE 'Neutron powder diffraction should be measured in future.' END,
+    CASE o_custkey % 7 WHEN 0 THEN 'The unit-cell parameters were not refined.' WHEN 1 THEN 'Lattice constants taken from the single-crystal study were used.' WHEN 2 THEN 'These agree with the unit cell derived from single-crystal data.' WHEN 3 THEN 'The density was obtained with the cell from SAED.'
+      WHEN 4 THEN 'Atom displacement parameters were not refined in this lattice.' WHEN 5 THEN 'The cell dimensions come from single crystal data.' ELSE 'Nothing is said here.' END,
+    CASE (o_orderkey + o_custkey) % 6 WHEN 0 THEN 'The powder pattern was calculated from the crystal structure.' WHEN 1 THEN 'A powder pattern simulated with atomic coordinates matches the observed one.' WHEN 2 THEN 'X-ray powder diffraction data were not collected.'
+      WHEN 3 THEN 'Unit-cell parameters refined from the powder data by Le Bail fitting are given.' WHEN 4 THEN 'The theoretical powder pattern was computed from the CIF.' ELSE 'The colour is white.' END) AS text FROM {orders}"""
+
+
+def _claims_sql() -> str:
+    """The claims over the same lexicon, sentence by sentence: a phrase stands in a sentence as a run of stems."""
+    rows = ", ".join(f"('{role}', '{phrase}')" for role, phrases in W.LEXICON.items() for phrase in phrases)
+    stem = lambda words: f"array_to_string(list_transform(list_filter(regexp_split_to_array(lower({words}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: regexp_replace(w, '^([a-z0-9]*?[a-z]{{4}})(?:{'|'.join(W.ENDINGS)})$', '\\1')), ' ')"
+    low = lambda c: f"lower(trim(coalesce({c}, '')))"
+    has = lambda roles: " AND ".join(f"list_contains(r, '{x}')" for x in roles)
+    one = lambda p: "(" + has(p.has) + "".join(f" AND NOT list_contains(r, '{x}')" for x in p.lacks) + ")"
+    said = lambda ps: f"len(list_filter(said, lambda r: {' OR '.join(map(one, ps))})) > 0"
+    when = (f"{low('spacing_instr')} IN ('', 'other')", f"{low('spacing_instr')} <> 'calculated' AND {low('intensity_instr')} IN ('', 'other')", f"{low('spacing_instr')} IN ('', 'other')", "true",
+            *[f"{low('spacing_instr')} <> 'calculated' AND {low('intensity_instr')} <> 'calculated'"] * 2)
+    parts = []
+    for c, w in zip(W.CLAIMS, when, strict=True):
+        quiet = f" AND (NOT {said(c.silenced)}{f' OR {said(c.despite)}' if c.despite else ''})" if c.silenced else ""
+        parts.append(f"SELECT '{c.code}' AS code, '{c.sev}' AS sev, '{c.anchor}' AS anchor, entry_id FROM j WHERE {said(c.says)} AND {w}{quiet}")
+    return f"""WITH e AS ({other_sql(SAID)}), lex AS (SELECT DISTINCT role, {stem('words')} AS phrase FROM (VALUES {rows}) AS t(role, words)),
+ s AS (SELECT entry_id, unnest(regexp_split_to_array(text, '[.!?] ')) AS sentence FROM e), u AS (SELECT sentence, {stem('sentence')} AS st FROM (SELECT DISTINCT sentence FROM s)),
+ q AS (SELECT sentence, list(DISTINCT role) AS roles FROM u JOIN lex ON contains(' ' || st || ' ', ' ' || phrase || ' ') GROUP BY sentence), j AS (SELECT e.*, said FROM e JOIN (SELECT entry_id, list(roles) AS said FROM s JOIN q USING (sentence) GROUP BY entry_id) USING (entry_id))
+SELECT code, sev, anchor, count(*) AS n, CAST(sum(entry_id) AS BIGINT) AS ids FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"""
+
+
+@query("rule_phrases", _claims_sql())
+def _(spark, sf):
+    found = W.claim_findings(spark_sql(spark, sf, SAID))
+    return found.groupBy("code", "sev", "anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("entry_id").alias("ids"))
 
 
 @query("rule_names", f"WITH {E_SQL}, x AS (SELECT * FROM e) " + _sql(
@@ -281,9 +319,10 @@ def _(spark, sf):
 
 
 # the whole pack in one pass, against the SQL of its rules one by one
-PACK_SQL = " UNION ALL ".join(f"SELECT code, sev, n FROM ({sql})" for name, sql in ORACLES.items() if name.startswith("rule_") and "FROM x WHERE" in sql)
+PACK_SQL = " UNION ALL ".join(f"SELECT code, sev, n FROM ({sql})" for name, sql in ORACLES.items() if name.startswith("rule_") and name != "rule_phrases" and "FROM x WHERE" in sql)
 
 
 @query("rule_pack", f"SELECT code, sev, CAST(sum(n) AS BIGINT) AS n FROM ({PACK_SQL}) GROUP BY 1, 2")
 def _(spark, sf):
-    return run_rules(_entries(spark, sf), P.ENTRY_RULES).groupBy("code", "sev").agg(F.count(F.lit(1)).alias("n"))
+    entries = _entries(spark, sf)
+    return run_rules(entries, P.ENTRY_RULES).unionByName(W.claim_findings(entries)).groupBy("code", "sev").agg(F.count(F.lit(1)).alias("n"))

@@ -182,13 +182,13 @@ SYSTEM_CELLS = """SELECT s_suppkey AS entry_id, CASE s_suppkey % 5 WHEN 0 THEN '
   CAST(CASE s_suppkey % 5 WHEN 0 THEN 84 ELSE 90 END AS DOUBLE) AS al, CAST(CASE s_suppkey % 5 WHEN 0 THEN 95 WHEN 1 THEN 100 + s_suppkey % 9 ELSE 90 END AS DOUBLE) AS be, CAST(CASE s_suppkey % 5 WHEN 0 THEN 101 WHEN 3 THEN 120 ELSE 90 END AS DOUBLE) AS ga FROM {supplier}"""
 
 
-@query("fit_cell_systems", f"SELECT entry_id, system, n, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c, al, be, ga FROM ({other_sql(SYSTEM_CELLS)}) JOIN (SELECT l_suppkey AS entry_id, count(*) AS n FROM lineitem GROUP BY 1) USING (entry_id) WHERE n >= 60")
+@query("fit_cell_systems", f"SELECT entry_id, system, n, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c, al, be, ga FROM ({other_sql(SYSTEM_CELLS)}) JOIN (SELECT l_suppkey AS entry_id, count(*) AS n FROM lineitem GROUP BY 1) USING (entry_id)")
 def _(spark, sf):
     # lists that follow from a known cell of each kind give that cell back
     cells = spark_sql(spark, sf, SYSTEM_CELLS)
     lines = spark_sql(spark, sf, "SELECT l_suppkey AS entry_id, CAST(1 + l_partkey % 4 AS INT) AS h, CAST(l_orderkey % 5 - 2 AS INT) AS k, CAST(l_linenumber % 4 AS INT) AS l FROM {lineitem}").join(cells, "entry_id")
     rows = lines.withColumn("d", K.d_spacing([F.col(c) for c in X.CELL], F.col("h"), F.col("k"), F.col("l"))).select("entry_id", "system", "h", "k", "l", "d")
-    fit = X.fit_cell(rows).where("n >= 60").join(cells.select("entry_id", "system"), "entry_id")
+    fit = X.fit_cell(rows).join(cells.select("entry_id", "system"), "entry_id")
     return fit.select("entry_id", "system", "n", *[F.round(c, 4).alias(c) for c in X.CELL])
 
 

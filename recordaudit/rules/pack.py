@@ -150,7 +150,6 @@ def _closest(field: str) -> Column:
 # --- the rules over one entry -------------------------------------------------------------------
 
 _POWDER = r"(?i)powder|pxrd|xrpd"
-_COLLECTED = r"(?i)collect|record|measur|obtain|gather|acquir|were taken"
 
 
 def _rhombohedral() -> Column:
@@ -194,14 +193,8 @@ def _symmetry_rules() -> list[Rule]:
     return rules
 
 
+#: over one entry's fields; what its text says in words is in `phrases.CLAIMS`
 ENTRY_RULES: tuple[Rule, ...] = (
-    Rule("instr_class", "flag", lambda: _lower("spacing_instr").isin("", "other") & _any_sentence(
-        lambda s: s.rlike(_POWDER) & s.rlike(_COLLECTED) & s.rlike(r"(?i)\bdiffractometer\b") & ~s.rlike(r"(?i)single[\s-]?crystal|calculat|derived|collaps|simulat")),
-        lambda: F.lit("the paper collected the powder pattern on a diffractometer"), "spacing_instr"),
-    Rule("cell_source", "flag", lambda: _any_sentence(lambda s: s.rlike(r"(?i)cell (?:parameters|dimensions)|unit[- ]cell") & s.rlike(r"(?i)(?:from|by|using) (?:the )?single[\s-]?crystal")) & ~_any_sentence(
-        lambda s: s.rlike(r"(?i)refined from (?:the )?powder|(?:rietveld|le ?bail|pawley) refinement")), lambda: F.lit("the cell was not refined from powder data"), "cell:a"),
-    Rule("calculated", "flag", lambda: (_lower("spacing_instr") != "calculated") & _any_sentence(
-        lambda s: s.rlike(_POWDER) & s.rlike(r"(?i)(?:calculated|simulated) from (?:the )?(?:crystal )?structure")), lambda: F.lit("the paper calculated the powder pattern from the structure"), "instr"),
     Rule("wavelength", "flag", lambda: F.col("line.off") > 0.0006, lambda: F.concat(F.lit("nonstandard wavelength; nearest is "), F.col("line.line"), F.format_string(" %.6f", F.col("line.value"))), "lam"),
     Rule("wavelength", "note", lambda: (F.col("line.off") <= 0.0006) & F.lower("anode").rlike(r"k[aα]1\b") & (F.col("line.line") == "ka"), lambda: F.lit("labelled Kα1 with the weighted-mean wavelength"), "lam"),
     Rule("misplaced_analysis", "flag", lambda: (F.trim(F.coalesce("analysis", F.lit(""))) == "") & (F.size(F.map_filter("comments", lambda k, v: ~k.isin("Analysis", "Color", "Habit") & v.rlike(r"(?i)wt\.?\s*%|microprobe"))) > 0),
