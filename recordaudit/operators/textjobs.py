@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from recordaudit.functions import spectra as S
 from recordaudit.operators.matching import range_join
@@ -397,36 +397,28 @@ def unknown_site_labels(paragraphs: DataFrame, sites: DataFrame) -> DataFrame:
 
 _POWDER = r"(?i)powder|pxrd|xrpd|gandolfi|debye|guinier|rietveld|le ?bail|pawley"
 _SINGLE = r"(?i)single[\s-]*crystal|scxrd"
-_METHOD = r"(?i)rietveld|le ?bail|pawley|profile[- ]fit|whole[- ]pattern"
 
 
-# Words that tell powder work, and words that tell work of another kind, near the radiation they used.
-POWDER_WORDS = ("powder", "pxrd", "xrpd", "gandolfi", "guinier", "debye")
-OTHER_WORDS = ("single[- ]crystal", "structure (?:refinement|solution)", "probe", "wds", "eds", "spectromet")
+# Words that tell powder work, and words that tell work of another kind, near the radiation they used.
+WORK_WORDS = {"powder": r"powder|pxrd|xrpd|gandolfi|guinier|debye", "other": r"single[- ]crystal|structure (?:refinement|solution)|probe|wds|eds|spectromet"}
+ANODES = ("Cu", "Mo", "Co", "Cr", "Fe", "Ag")
+MENTION = rf"\b(?:{'|'.join(ANODES)})[\s-]*K\s*[αa]"
 
 
 def radiation_in_text(texts: DataFrame) -> DataFrame:
-    """``doc_id, anode, score``: the anode of the powder data — the Kα mention with most powder words and fewest others
-    near it, the earliest among equals — 250 characters before it, and the rest of its own sentence after it."""
-    mention = r"\b((Cu|Mo|Co|Cr|Fe|Ag)[\s-]*K\s*[αa])"
-    whole = F.regexp_extract_all("text", F.lit(mention), F.lit(1))
-    between = F.split("text", mention.replace("(", "(?:"))
-    # where each mention ends: the pieces between mentions and the mentions themselves, added up
-    ends = F.aggregate(
-        F.zip_with(F.slice(between, F.lit(1), F.size(whole)), whole, lambda a, b: F.length(a) + F.length(b)),
-        F.array().cast("array<int>"), lambda s, n: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + n)),
-    )
-    found = F.arrays_zip(whole.alias("m"), F.regexp_extract_all("text", F.lit(mention), F.lit(2)).alias("anode"), ends.alias("end"))
-    found = F.transform(found, lambda x: F.struct(x["anode"].alias("anode"), F.concat(
-        F.substring("text", F.greatest(x["end"] - F.length(x["m"]) - 249, F.lit(1)), F.least(x["end"], 250 + F.length(x["m"]))),
-        F.regexp_extract(F.substring("text", x["end"] + 1, F.lit(80)), r"^(?s)(.*?)(?:[.!?](?:\s|$)|$)", 1),
-    ).alias("ctx")))
-    powder, other = (rf"(?i)({'|'.join(words)})" for words in (POWDER_WORDS, OTHER_WORDS))
-    rows = texts.select("doc_id", F.posexplode(found).alias("k", "m")).select(
-        "doc_id", "k", F.col("m.anode").alias("anode"),
-        (2 * F.size(F.regexp_extract_all("m.ctx", F.lit(powder), F.lit(1))) - F.size(F.regexp_extract_all("m.ctx", F.lit(other), F.lit(1)))).alias("score"),
-    )
-    return rows.groupBy("doc_id").agg(F.max_by("anode", F.struct("score", -F.col("k"))).alias("anode"), F.max("score").alias("score"))
+    """``doc_id, anode, off``: the anode of the powder data, which is that of the Kα mention nearest to a word for powder work.
+
+    A mention belongs to the work whose word is nearest to it, in its own sentence if that has one, before it or after it; `off` is the
+    distance in characters, and the first of equally near mentions counts. A text whose mentions all belong to other work has no row.
+    """
+    said = sentences(texts)
+    low = F.lower("sentence")
+    at = {kind: F.transform(spans(low, pattern), lambda x: x["at"]) for kind, pattern in WORK_WORDS.items()}
+    rows = said.select("doc_id", "sent_no", at["powder"].alias("powder"), at["other"].alias("other"), F.posexplode(spans(F.col("sentence"), MENTION)).alias("k", "m"))
+    off = {kind: F.array_min(F.transform(kind, lambda a: F.abs(a - F.col("m.at")))) for kind in WORK_WORDS}
+    own = rows.select("doc_id", "sent_no", "k", F.substring("m.m", 1, 2).alias("anode"), off["powder"].alias("off"), off["other"].alias("away"))
+    near = own.where(F.col("off") <= F.coalesce("away", F.col("off")))
+    return near.groupBy("doc_id").agg(F.min_by(F.struct("anode", "off"), F.struct("off", "sent_no", "k")).alias("b")).select("doc_id", "b.anode", "b.off")
 
 
 def radiation_candidates(texts: DataFrame) -> DataFrame:
@@ -442,37 +434,71 @@ def radiation_candidates(texts: DataFrame) -> DataFrame:
     )
 
 
-def context_of(marks: DataFrame) -> DataFrame:
-    """Adds ``context`` (powder, single, unknown) to numbers at a position of a text: columns text, pos (1-based).
+# What opens or names an experiment, on lower-case text with plain hyphens. A section cue is a phrase that defines an
+# experiment, or a heading: a short line of its own that names one kind of work.
+CUES = {
+    "section powder": r"(?:x-?ray powder|powder x-?ray) diffraction|powder diffraction (?:data|pattern|study)|powder xrd\b|(?m)^[ \t]*(?:[0-9.]+[ \t]+)?[^\n.:;,]{0,40}\bpowder\b[^\n.:;,]{0,40}$",
+    "section single": r"single[- ]?crystal (?:x-?ray|diffraction|structure|data|study)|(?m)^[ \t]*(?:[0-9.]+[ \t]+)?[^\n.:;,]{0,40}\bsingle[- ]?crystal\b[^\n.:;,]{0,40}$",
+    "powder": r"powder|pxrd",
+    "single": r"single[\s-]*crystal|sc-?xrd",
+    "method": r"le ?bail|rietveld|pawley|whole[- ]?pattern|profile[- ]?fit",
+    "powder instrument": r"gandolfi|debye[- ]scherrer|bragg[- ]brentano|guinier",
+    "single instrument": r"kappa|four-circle",
+    "stop": r"[.!?][\s)]",
+}
+_CALCULATED = r"((?:calculat|simulat)[a-z]* +(?:x[- ]?ray +)?)(?:powder|pxrd)"
 
-    A text that never names a single crystal and does name real powder work is powder. Else the nearer keyword of
-    the 750 characters before decides, a whole-pattern refinement wins over a nearer single crystal; with none
-    before, the first keyword of the 200 after. A calculated powder pattern is no powder work.
-    """
-    flat = F.regexp_replace(F.lower("text"), r"(?:calculated|simulated|theoretical)\s+(?:x-ray\s+)?powder", "calc")
-    # the last keyword of a stretch, as what follows it; the shorter the tail, the nearer the word
-    def tail(c: Column, pattern: str) -> Column:
-        return F.when(c.rlike(pattern), F.length(F.regexp_replace(c, rf"(?s)^.*(?:{pattern[4:]})", "")))
-
-    def ahead(c: Column, pattern: str) -> Column:
-        return F.when(c.rlike(pattern), F.length(F.regexp_extract(c, rf"(?s)^(.*?)(?:{pattern[4:]})", 1)))
-
-    before = F.regexp_replace(F.lower(F.expr("substring(text, greatest(pos - 750, 1), least(pos - 1, 750))")), r"(?:calculated|simulated|theoretical)\s+(?:x-ray\s+)?powder", "calc")
-    after = F.regexp_replace(F.lower(F.expr("substring(text, pos, 200)")), r"(?:calculated|simulated|theoretical)\s+(?:x-ray\s+)?powder", "calc")
-    rows = marks.withColumn("_b", before).withColumn("_a", after).withColumn("_all", flat)
-    p, s = tail(F.col("_b"), _POWDER), tail(F.col("_b"), _SINGLE)
-    pa, sa = ahead(F.col("_a"), _POWDER), ahead(F.col("_a"), _SINGLE)
-    nearer_single = s.isNotNull() & (p.isNull() | (s < p))
-    context = (
-        F.when(~F.col("_all").rlike(_SINGLE) & F.col("_all").rlike(r"\bpowder\b|\bpxrd\b"), "powder")
-        .when(p.isNotNull() & s.isNull(), "powder")
-        .when(nearer_single & F.col("_b").rlike(_METHOD), "powder")
-        .when(s.isNotNull() & p.isNull(), "single")
-        .when(p.isNotNull(), F.when(p <= s, "powder").otherwise("single"))
-        .when(pa.isNotNull() & (sa.isNull() | (pa <= sa)), "powder")
-        .when(sa.isNotNull(), "single")
-        .otherwise("unknown")
-    )
-    return rows.withColumn("context", context).drop("_b", "_a", "_all")
 
+def cue_text(text: Column) -> Column:
+    """The text in which cues are sought, place for place: lower case, plain hyphens, single blanks' places kept, calculated powder patterns struck out."""
+    out = F.lower(F.translate(text, "−–—‐‑\u00a0\t", "-----  "))
+    out = F.regexp_replace(out, _CALCULATED + r"(?<=powder)", "$1######")
+    return F.regexp_replace(out, _CALCULATED, "$1####")
 
+
+def cues(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, at, what``: every cue of `CUES` in a text, with its place from 1. A text is read once for each kind of cue."""
+    flat = texts.select(key, cue_text(F.col(text)).alias("t"))
+
+    def placed(what: str) -> Column:
+        return F.transform(spans(F.col("t"), CUES[what]), lambda x: F.struct(x["at"].cast("bigint").alias("at"), F.lit(what).alias("what")))
+
+    marked = [placed(what) for what in CUES]
+    return flat.select(key, F.inline(F.concat(*marked)))
+
+
+def context_of(marks: DataFrame, texts: DataFrame, key: str = "doc_id", at: str = "pos") -> DataFrame:
+    """Adds ``context`` (powder, single, unknown) to marks (key, pos and any other columns; places from 1) of texts (key, text).
+
+    An as-of join of the marks to the cues of their text, at any distance. A text that never names a single crystal and does name real
+    powder work is powder. Else the nearest section cue before the mark decides; else the nearest word before it, where a single
+    crystal gives way to a whole-pattern refinement named before it in its own sentence; else the nearest instrument before it,
+    then the nearest word and instrument after it. Marks without a place or without a text are unknown. One sort by text and place.
+    """
+    names = [c for c in marks.columns if c != key]
+    events = cues(texts, key).select(key, "at", "what", F.lit(None).cast(T.StructType([marks.schema[c] for c in names])).alias("mark"))
+    both = events.unionByName(marks.select(key, F.coalesce(F.col(at).cast("bigint"), F.lit(0)).alias("at"), F.lit(None).cast("string").alias("what"), F.struct(*names).alias("mark")))
+    order = Window.partitionBy(key).orderBy("at", F.col("what").isNotNull())
+    past, ahead, whole = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy(key)
+    seen = lambda what: F.when(F.col("what") == what, F.col("at"))
+    before = lambda what: F.last(seen(what), ignorenulls=True).over(past)
+    after = lambda what: F.first(seen(what), ignorenulls=True).over(ahead)
+    rows = both.withColumn("stop", F.coalesce(before("stop"), F.lit(0)))
+    in_sentence = lambda what: F.last(F.when(F.col("what") == what, F.col("stop")), ignorenulls=True).over(past)
+    rows = rows.select(
+        key, "what", "mark", "at", before("section powder").alias("sp"), before("section single").alias("ss"), before("powder").alias("p"), before("single").alias("s"), before("method").alias("m"),
+        in_sentence("single").alias("s_stop"), in_sentence("method").alias("m_stop"), before("powder instrument").alias("ip"), before("single instrument").alias("is"),
+        after("powder").alias("pa"), after("single").alias("sa"), after("powder instrument").alias("ipa"), after("single instrument").alias("isa"),
+        F.max(F.col("what") == "single").over(whole).alias("any_single"), F.max(F.col("what") == "powder").over(whole).alias("any_powder"),
+    ).where("mark IS NOT NULL")
+
+    def nearer(powder: str, single: str, sign: int) -> Column:
+        """The kind of the nearer of two places (sign 1: the later one); null where neither or both stand."""
+        p, q = F.col(powder) * sign, F.col(single) * sign
+        return F.when(q.isNull() & p.isNotNull(), "powder").when(p.isNull() & q.isNotNull(), "single").when(p > q, "powder").when(q > p, "single")
+
+    refined = (nearer("p", "s", 1) == "single") & (F.col("m") < F.col("s")) & (F.col("m_stop") == F.col("s_stop"))
+    refined |= (nearer("p", "s", 1) == "single") & (F.col("m") > F.col("s"))
+    context = F.when(~F.coalesce("any_single", F.lit(False)) & F.coalesce("any_powder", F.lit(False)), "powder").when(F.col("at") == 0, "unknown").otherwise(F.coalesce(
+        nearer("sp", "ss", 1), F.when(refined, "powder"), nearer("p", "s", 1), nearer("ip", "is", 1), nearer("pa", "sa", -1), nearer("ipa", "isa", -1), F.lit("unknown")))
+    return rows.select(key, *[F.col(f"mark.{c}").alias(c) for c in names], context.alias("context"))

@@ -445,11 +445,22 @@ RADIATION = """SELECT l_orderkey * 8 + l_linenumber AS doc_id, concat('Powder da
   CASE WHEN l_partkey % 2 = 0 THEN 'Cell from the powder data: a = 5.1 Å.' ELSE 'Cell from the single-crystal data: a = 5.1 Å.' END) AS text FROM {lineitem}"""
 
 
-@query("radiation_in_text", "SELECT l_orderkey * 8 + l_linenumber AS doc_id, CASE max(l_suppkey) % 3 WHEN 0 THEN 'Cu' WHEN 1 THEN 'Co' ELSE 'Fe' END AS anode FROM lineitem GROUP BY l_orderkey, l_linenumber")
+def spans_sql(text: str, pattern: str) -> str:
+    """The places (from 1) of a pattern without groups, in DuckDB: pieces between the matches and the matches added up."""
+    p = pattern.replace("'", "''")
+    return f"""list_transform(range(1, len(regexp_extract_all({text}, '{p}')) + 1), lambda i: CAST(coalesce(list_sum(list_transform(regexp_split_to_array({text}, '{p}')[1:i], lambda x: length(x))), 0)
+      + coalesce(list_sum(list_transform(regexp_extract_all({text}, '{p}')[1:i - 1], lambda x: length(x))), 0) + 1 AS BIGINT))"""
+
+
+# every mention against the nearest word of either kind in its sentence
+@query("radiation_in_text", f"""WITH t AS ({other_sql(RADIATION)}), d AS (SELECT doc_id, min(text) AS text FROM t GROUP BY doc_id HAVING count(*) = 1), s AS (SELECT doc_id, sentence, sent_no FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.] ')) AS sentence, generate_subscripts(regexp_split_to_array(text, '[.] '), 1) AS sent_no FROM d)),
+ u AS (SELECT sentence, {spans_sql("sentence", "(?:Cu|Mo|Co|Cr|Fe|Ag)[ -]*K *[αa]")} AS ms, {spans_sql("lower(sentence)", T.WORK_WORDS["powder"])} AS pw, {spans_sql("lower(sentence)", T.WORK_WORDS["other"])} AS ow FROM (SELECT DISTINCT sentence FROM s)),
+ m AS (SELECT doc_id, sent_no, sentence, pw, ow, unnest(ms) AS pl FROM s JOIN u USING (sentence)),
+ o AS (SELECT doc_id, sent_no, pl, sentence[pl:pl + 1] AS anode, list_min(list_transform(pw, lambda x: abs(x - pl))) AS off, list_min(list_transform(ow, lambda x: abs(x - pl))) AS away FROM m)
+SELECT doc_id, arg_min(anode, (off, sent_no, pl)) AS anode, CAST(min(off) AS INT) AS off FROM o WHERE off <= coalesce(away, off) GROUP BY doc_id""")
 def _(spark, sf):
-    texts = spark_sql(spark, sf, "SELECT l_orderkey, l_linenumber, max(l_suppkey) AS l_suppkey, max(l_partkey) AS l_partkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber")
-    rows = spark.sql(RADIATION.replace("{lineitem}", "{t}"), t=texts)
-    return T.radiation_in_text(rows).select("doc_id", "anode")
+    once = spread(spark_sql(spark, sf, RADIATION)).groupBy("doc_id").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    return T.radiation_in_text(once)
 
 
 @query("radiation_candidates", """WITH t AS (SELECT l_orderkey * 8 + l_linenumber AS doc_id, l_suppkey % 3 AS s FROM lineitem)
@@ -459,7 +470,34 @@ def _(spark, sf):
     return r.groupBy("doc_id", "anode", "context", "collected").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("context_of_cells", "SELECT l_orderkey * 8 + l_linenumber AS doc_id, CASE WHEN l_partkey % 2 = 0 THEN 'powder' ELSE 'single' END AS context, count(*) AS n FROM lineitem GROUP BY ALL")
-def _(spark, sf):
-    marks = spread(spark_sql(spark, sf, RADIATION)).withColumn("pos", F.expr("instr(text, 'a = 5.1')"))
-    return T.context_of(marks).groupBy("doc_id", "context").agg(F.count(F.lit(1)).alias("n"))
+# numbers in texts of several sections, some far from the words that tell what they belong to
+SECTIONS = """SELECT l_orderkey * 8 + l_linenumber AS doc_id, CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE concat(
+  CASE l_suppkey % 5 WHEN 0 THEN 'X-ray powder diffraction data were recorded. ' WHEN 1 THEN 'Single-crystal diffraction data were collected. ' WHEN 2 THEN 'A powder was used. ' WHEN 3 THEN 'Crystals were studied on a four-circle instrument. ' ELSE 'The colour is white. ' END,
+  repeat('Nothing else is said here. ', CAST(l_linenumber * 5 AS INT)),
+  CASE l_partkey % 7 WHEN 0 THEN 'Single crystals were the start of a Rietveld run that gave ' WHEN 1 THEN 'The calculated powder pattern agrees with ' WHEN 2 THEN 'Unlike the single crystal, it has ' WHEN 3 THEN 'In a Gandolfi camera it has '
+    WHEN 4 THEN 'The powder and the single crystal have ' WHEN 5 THEN 'It has ' ELSE 'A Pawley fit is known. The single crystal has ' END,
+  'a = 5.1 Å. ', CASE l_orderkey % 3 WHEN 0 THEN 'This follows from powder data.' WHEN 1 THEN 'This follows from a single crystal.' ELSE 'This is all.' END) END AS text FROM {lineitem}"""
+_FLAT = """regexp_replace(regexp_replace(lower(translate(text, '−–—‐‑', '-----')), '((?:calculat|simulat)[a-z]* +(?:x[- ]?ray +)?)powder', '\\1######', 'g'), '((?:calculat|simulat)[a-z]* +(?:x[- ]?ray +)?)pxrd', '\\1####', 'g')"""
+
+
+def _context_sql(texts: str) -> str:
+    """The nearest cue of each kind before and after the number, by distance alone."""
+    # a pattern's line anchors hold for all of it in DuckDB
+    lists = ", ".join(f"{spans_sql('t', ('(?m)' if '(?m)' in p else '') + p.replace('(?m)', ''))} AS {what.replace(' ', '_')}" for what, p in T.CUES.items())
+    near = lambda p, q, f: f"CASE WHEN {q} IS NULL AND {p} IS NOT NULL THEN 'powder' WHEN {p} IS NULL AND {q} IS NOT NULL THEN 'single' WHEN {p} {'>' if f else '<'} {q} THEN 'powder' WHEN {q} {'>' if f else '<'} {p} THEN 'single' END"
+    last = lambda c, at="pos": f"list_max(list_filter({c}, lambda x: x < {at}))"
+    first = lambda c: f"list_min(list_filter({c}, lambda x: x > pos))"
+    return f"""SELECT doc_id, pos, CASE WHEN len(single) = 0 AND len(powder) > 0 THEN 'powder' ELSE coalesce({near('sp', 'ss', 1)}, CASE WHEN s IS NOT NULL AND (p IS NULL OR s > p) AND (m > s OR (m < s AND coalesce({last('stop', 'm')}, 0) = coalesce({last('stop', 's')}, 0))) THEN 'powder' END,
+      {near('p', 's', 1)}, {near('ip', 'is_', 1)}, {near('pa', 'sa', 0)}, {near('ipa', 'isa', 0)}, 'unknown') END AS context FROM (
+   SELECT *, {last('section_powder')} AS sp, {last('section_single')} AS ss, {last('powder')} AS p, {last('single')} AS s, {last('method')} AS m, {last('powder_instrument')} AS ip, {last('single_instrument')} AS is_,
+     {first('powder')} AS pa, {first('single')} AS sa, {first('powder_instrument')} AS ipa, {first('single_instrument')} AS isa FROM (SELECT doc_id, t, pos, {lists} FROM ({texts})))"""
+
+
+@query("context_of_cells", f"""WITH r AS ({other_sql(SECTIONS)}), c AS ({_context_sql("SELECT DISTINCT text AS doc_id, " + _FLAT + " AS t, instr(text, 'a = 5.1') AS pos FROM r WHERE text IS NOT NULL")})
+SELECT coalesce(context, 'unknown') AS context, count(*) AS n, CAST(sum(r.doc_id) AS BIGINT) AS ids FROM r LEFT JOIN c ON c.doc_id = r.text GROUP BY 1""")
+def _(spark, sf):
+    # a text is told by its order and line together with its own words, since a line may be repeated
+    texts = spread(spark_sql(spark, sf, SECTIONS)).select(F.struct("doc_id", "text").alias("key"), "doc_id", "text").groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    marks = texts.select("key", "n", F.expr("instr(text, 'a = 5.1')").alias("pos"))
+    told = T.context_of(marks, texts.select("key", "text"), "key")
+    return told.groupBy("context").agg(F.sum("n").alias("n"), F.sum(F.col("key.doc_id") * F.col("n")).alias("ids"))

@@ -68,11 +68,23 @@ def test_bands_and_lints(spark):
 
 
 def test_context(spark):
-    t1 = "Powder data were collected. The cell refined from them is a = 5.1."
-    t2 = "Powder data exist. The single-crystal study gave the following cell parameters: a = 5.1."
-    t3 = "Single-crystal data were the start of a Rietveld refinement; next to the single-crystal values it gave a = 5.1."
-    marks = spark.createDataFrame([(k, t, t.index("a = 5.1") + 1) for k, t in enumerate((t1, t2, t3))], "k int, text string, pos int")
-    assert [r.context for r in T.context_of(marks).orderBy("k").collect()] == ["powder", "single", "powder"]
+    far = "Nothing else is said here. " * 200
+    cases = [
+        ("Powder data were collected. The cell refined from them is a = 5.1.", "powder"),
+        ("Powder data exist. The single-crystal study gave the following cell parameters: a = 5.1.", "single"),
+        ("A single-crystal start served a Rietveld refinement; next to the single-crystal values it gave a = 5.1.", "powder"),
+        ("Single-crystal X-ray diffraction data were collected. " + far + "A powder photograph is shown. a = 5.1.", "single"),  # the section, at any distance
+        ("Single-crystal work came first. X-ray powder diffraction data were recorded. " + far + "Unlike the single crystal, a = 5.1.", "powder"),
+        ("2.1 Single-crystal work\nCrystals are small.\n2.2 Powder work\nData of the crystals gave a = 5.1.", "powder"),
+        ("The single crystals are small. The calculated powder pattern agrees: a = 5.1.", "single"),
+        ("Of single crystals little is known. " + far + "On a powder, in the end, a = 5.1.", "powder"),
+        ("a = 5.1 was refined from the powder, not from a single crystal.", "powder"),
+        ("A Gandolfi camera gave a = 5.1.", "unknown-or-powder"), ("The colour is white; a = 5.1.", "unknown"), (None, "unknown"),
+    ]
+    texts = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id int, text string")
+    marks = spark.createDataFrame([(k, t.index("a = 5.1") + 1 if t else None, f"m{k}") for k, (t, _) in enumerate(cases)], "doc_id int, pos int, name string")
+    got = {r.doc_id: r.context for r in T.context_of(marks, texts).collect()}
+    assert {k: c for k, c in got.items() if k != 9} == {k: c for k, (_, c) in enumerate(cases) if k != 9} and got[9] == "powder"
 
 
 def test_radiation_is_the_powder_one(spark):
