@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recordaudit.operators import formulas as Y
 from recordaudit.plans.matching import INTENSITY_OUTLIERS, MISSING_LINES, _lists
 from recordaudit.plans.registry import ORACLES, query
 from recordaudit.plans.structures import operator_rows
@@ -319,6 +320,36 @@ def _(spark, sf):
 
 
 # the whole pack in one pass, against the SQL of its rules one by one
+# --- formulas of one entry against each other ---------------------------------------------------------
+
+
+def _hundredths(x: str) -> str:
+    return f"concat(CAST(CAST(floor({x} / 100) AS BIGINT) AS STRING), '.', lpad(CAST({x} % 100 AS STRING), 2, '0'))"
+
+
+# coefficients in hundredths, and formulas that print them: bracketed in one field, multiplied out in the other
+COEFFICIENTS = """SELECT o_orderkey AS k, o_custkey AS c, 780 + o_orderkey % 30 AS pb, 10 + o_custkey % 9 AS na, 200 + o_orderkey % 7 AS al, 1560 + o_custkey % 120 AS pb2, 200 + o_orderkey % 7 + o_custkey % 23 - 11 AS al2 FROM {orders}"""
+FIELDS = f"""SELECT k AS entry_id, 'Analytical' AS field, concat('( Pb', {_hundredths('pb')}, ' Na', {_hundredths('na')}, ' )2 ( Al', {_hundredths('al')}, ' Fe0.77 +2 ) Si8 O27', CASE WHEN k % 9 = 0 THEN ' T B0.06' ELSE '' END, CASE WHEN c % 13 = 0 THEN ' )' ELSE '' END) AS formula FROM ({COEFFICIENTS}) x
+UNION ALL SELECT k, 'Analysis', concat('Pb', {_hundredths('pb2')}, ' Na', {_hundredths('2 * na')}, ' Al', {_hundredths('al2')}, CASE WHEN k % 4 = 0 THEN ' Zn0.77' ELSE ' Fe0.77' END, ' Si8 O27') FROM ({COEFFICIENTS}) y
+UNION ALL SELECT k, 'Empirical', CASE c % 5 WHEN 0 THEN 'Al2 Fe Na O27 Pb8 S8' WHEN 1 THEN 'Al042 Fe Na Pb8 Si8 O27' ELSE 'Al2 Fe Na O27 Pb8 Si8' END FROM ({COEFFICIENTS}) z"""
+NAMED = "SELECT o_orderkey AS entry_id, CASE o_custkey % 6 WHEN 0 THEN 'BAO' WHEN 1 THEN 'k2O' WHEN 2 THEN 'P205' WHEN 3 THEN 'SiO2' WHEN 4 THEN 'Total' ELSE 'CaO' END AS constituent FROM {orders}"
+GAPS_SQL = f"""g AS ({other_sql(COEFFICIENTS)}), gaps AS (SELECT k AS entry_id, 'Pb' AS element, 2 * pb AS l, pb2 AS r FROM g UNION ALL SELECT k, 'Na', 2 * na, 2 * na FROM g UNION ALL SELECT k, 'Al', al, al2 FROM g UNION ALL SELECT k, 'Fe', 77, CASE WHEN k % 4 <> 0 THEN 77 END FROM g
+ UNION ALL SELECT k, 'Zn', NULL, 77 FROM g WHERE k % 4 = 0 UNION ALL SELECT k, 'B', 6, NULL FROM g WHERE k % 9 = 0), wide AS (SELECT * FROM gaps WHERE l IS NULL OR r IS NULL OR abs(l - r) > greatest(2, 0.03 * greatest(l, r)))"""
+
+
+@query("formula_coefficients", f"WITH {GAPS_SQL} SELECT entry_id, element, round(l / 100.0::DOUBLE, 6) AS n_left, round(r / 100.0::DOUBLE, 6) AS n_right FROM wide")
+def _(spark, sf):
+    return Y.coefficient_gaps(spread(spark_sql(spark, sf, FIELDS)), "Analytical", "Analysis")
+
+
+@query("formula_findings", f"""WITH {GAPS_SQL}, f AS (SELECT DISTINCT entry_id, 'formula' AS code, 'formula:Analytical' AS anchor FROM wide WHERE element <> 'B' UNION ALL SELECT k, 'formula', 'formula:Analytical' FROM g WHERE k % 9 = 0 UNION ALL SELECT k, 'formula', 'formula:Analytical' FROM g WHERE c % 13 = 0
+ UNION ALL SELECT k, 'formula', 'formula:Empirical' FROM g WHERE c % 5 IN (0, 1) UNION ALL SELECT k, 'formula', 'formula:Analysis' FROM g WHERE k % 4 = 0 UNION ALL SELECT k, 'analysis', 'analysis' FROM g WHERE c % 6 IN (0, 1, 2))
+SELECT code, anchor, count(*) AS n, CAST(sum(entry_id) AS BIGINT) AS ids FROM f GROUP BY ALL""")
+def _(spark, sf):
+    found = Y.formula_findings(spread(spark_sql(spark, sf, FIELDS)), spark_sql(spark, sf, NAMED))
+    return found.groupBy("code", "anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("entry_id").alias("ids"))
+
+
 PACK_SQL = " UNION ALL ".join(f"SELECT code, sev, n FROM ({sql})" for name, sql in ORACLES.items() if name.startswith("rule_") and name != "rule_phrases" and "FROM x WHERE" in sql)
 
 
