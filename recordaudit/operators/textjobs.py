@@ -37,12 +37,16 @@ def spans(text: Column, pattern: str) -> Column:
     The pieces between the matches and the matches themselves are added up, so equal matches keep their own places.
     """
     whole, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
-    begins = F.aggregate(
-        F.zip_with(F.slice(between, F.lit(1), F.size(whole)), whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"))),
-        F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at")),
-        lambda s, x: F.struct((s["next"] + x["gap"] + x["n"]).alias("next"), F.concat(s["at"], F.array(s["next"] + x["gap"])).alias("at")), lambda s: s["at"],
-    )
-    return F.transform(F.arrays_zip(whole.alias("m"), begins.alias("at")), lambda x: F.struct(x["m"].alias("m"), x["at"].alias("at")))
+    # pieces and matches are paired once; a match's place follows from the last one put down
+    pairs = F.filter(F.zip_with(between, whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m"))), lambda x: x["m"].isNotNull())
+    done = F.array().cast("array<struct<m:string,at:int>>")
+
+    def put(out: Column, x: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        at = F.coalesce(last["at"] + F.length(last["m"]), F.lit(1)) + x["gap"]
+        return F.concat(out, F.array(F.struct(x["m"].alias("m"), at.alias("at"))))
+
+    return F.when(text.rlike(pattern), F.aggregate(pairs, done, put)).otherwise(done)
 
 
 # --- stated bands -------------------------------------------------------------------------------
@@ -50,8 +54,13 @@ def spans(text: Column, pattern: str) -> Column:
 _SHAPE = r"(?:\s?\((?:sh|vs|s|m|w|vw|br|b)\))?"
 _NUMBER = r"\d{2,4}(?:\.\d+)?" + _SHAPE
 _RUN = rf"((?:{_NUMBER}(?:\s*,\s*(?:and\s+)?|\s+and\s+|\s*;\s*))*{_NUMBER})\s*cm-1"
-NEGATION = r"(?i)\b(?:no|without|lack(?:s|ing)?|absence of)\b[^.;]{0,60}$"
-NEGATED_AFTER = r"(?i)^[^.;]{0,40}\b(?:not (?:observed|present|detected|seen|found|visible|recorded)|absent|missing)\b"
+# Words that deny a band, before it and after it, in its own clause
+NEGATION = r"(?i)\b(?:no|without|lack(?:s|ing)?|absence of)\b"
+NEGATED_AFTER = r"(?i)\b(?:not (?:observed|present|detected|seen|found|visible|recorded)|absent|missing)\b"
+# where a clause ends: a semicolon, a turning word, or another band, unless that is joined to this one in a list
+_TURN = r";|\b(?:but|whereas|while|however|although|though|yet)\b"
+_BEFORE_CLAUSE = rf"(?is)^.*(?:{_TURN}|cm-1(?!\s*(?:,|or|nor|and)+\s*(?:at|near|around|about)?\s*$))"
+_AFTER_CLAUSE = rf"(?is)^(.*?)(?:{_TURN}|\d\s*cm-1|$)"
 FAMILIES = ("UO2", "SO4", "PO4", "AsO4", "VO4", "SiO4", "CO3", "NO3", "MoO4", "WO4", "CrO4", "SeO4", "SeO3", "TeO3", "NH4", "H2O", "OH", "uranyl", "sulfate", "phosphate", "arsenate", "carbonate", "silicate", "water", "hydroxyl")
 _SYNONYM = {"uranyl": "UO2", "sulfate": "SO4", "phosphate": "PO4", "arsenate": "AsO4", "carbonate": "CO3", "silicate": "SiO4", "water": "H2O", "hydroxyl": "OH"}
 
@@ -84,15 +93,16 @@ def _mode_name(said: Column) -> Column:
     return F.when(said.rlike("^ν[1-4]$"), said).when(word == "stre", "stretch").when(word == "libr", "lib").when(said.isNotNull(), "bend")
 
 
-def _runs(texts: DataFrame, reach: int = 60) -> DataFrame:
-    """Runs of numbers closed by cm-1, at their places. Words that deny a run count within `reach` characters of it."""
+def _runs(texts: DataFrame) -> DataFrame:
+    """Runs of numbers closed by cm-1, at their places, with the groups and modes that their sentence names. A run is denied by a word of its own clause."""
     norm = texts.withColumn("text", normalise_text(F.col("text")))
     sents = carry_technique(sentences(norm)).where(F.contains(F.col("sentence"), F.lit("cm-1")))
-    runs = sents.select("*", F.inline(spans(F.col("sentence"), _RUN.replace("((?:", "(?:(?:", 1)))).withColumn("run", F.regexp_extract("m", _RUN, 1))
-    before = F.expr(f"substring(sentence, greatest(at - {reach}, 1), least(at - 1, {reach}))")
-    after = F.expr(f"substring(sentence, at + length(m), {reach})")
-    is_range = F.col("run").rlike(r"^\d+(?:\.\d+)?\s+and\s+\d+(?:\.\d+)?$") & before.rlike(r"(?i)between\s*$")
-    return runs.withColumn("negated", before.rlike(NEGATION) | after.rlike(NEGATED_AFTER)).withColumn("range_part", is_range | before.rlike(r"\d\s*(?:-|to)\s*$"))
+    named = sents.withColumn("families", spans(F.col("sentence"), _FAMILY)).withColumn("modes", spans(F.col("sentence"), _MODE))
+    runs = named.select("*", F.inline(spans(F.col("sentence"), _RUN.replace("((?:", "(?:(?:", 1)))).withColumn("run", F.regexp_extract("m", _RUN, 1))
+    runs = runs.withColumn("ahead", F.expr("substring(sentence, 1, at - 1)")).withColumn("behind", F.expr("substring(sentence, at + length(m))"))
+    denied = F.regexp_replace("ahead", _BEFORE_CLAUSE, "").rlike(NEGATION) | F.regexp_extract("behind", _AFTER_CLAUSE, 1).rlike(NEGATED_AFTER)
+    is_range = F.col("run").rlike(r"^\d+(?:\.\d+)?\s+and\s+\d+(?:\.\d+)?$") & F.col("ahead").rlike(r"(?i)between\s*$")
+    return runs.withColumn("negated", denied).withColumn("range_part", is_range | F.col("ahead").rlike(r"\d\s*(?:-|to)\s*$"))
 
 
 def stated_bands(texts: DataFrame) -> DataFrame:
@@ -105,7 +115,7 @@ def stated_bands(texts: DataFrame) -> DataFrame:
     items = runs.select("*", F.inline(spans(F.col("run"), _NUMBER))).withColumn("spot", F.col("run_at") + F.col("at") - 1)
     return items.select(
         "doc_id", "sent_no", F.regexp_extract("m", r"^([\d.]+)", 1).cast("double").alias("pos"), F.nullif(F.regexp_extract("m", r"\((\w+)\)", 1), F.lit("")).alias("shape"),
-        "technique", _synonym(_nearest(spans(F.col("sentence"), _FAMILY), F.col("spot"), F.col("run_end"))).alias("family"), _mode_name(_nearest(spans(F.col("sentence"), _MODE), F.col("spot"), F.col("run_end"))).alias("mode"),
+        "technique", _synonym(_nearest(F.col("families"), F.col("spot"), F.col("run_end"))).alias("family"), _mode_name(_nearest(F.col("modes"), F.col("spot"), F.col("run_end"))).alias("mode"),
         (~F.col("sentence").rlike(r"(?i)et al\.|reported by|according to|literature")).alias("own"),
     )
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from recordaudit.operators import citations as C, names as D, textjobs as T
@@ -67,6 +68,18 @@ def test_bands_and_lints(spark):
     assert {(r.doc_id, r.lint) for r in T.evidence_lints(ev).collect()} == {(1, "valence without a method"), (1, "water without evidence")}
 
 
+@pytest.mark.parametrize("text, stated, absent", [
+    ("In the Raman spectrum no band that could be assigned to any sort of stretching vibration of water molecules was found near 3400 cm-1.", [], [3400.0]),
+    ("No band lies at 1640 cm-1, but a strong one stands at 1000 cm-1.", [1000.0], [1640.0]),
+    ("No bands at 1640 cm-1 or 3400 cm-1 are known.", [], [1640.0, 3400.0]),
+    ("Bands at 983 cm-1 are due to SO4, those at 1640 cm-1 were, for reasons that are not known to anyone who looked into it, not observed.", [983.0], [1640.0]),
+    ("Without water, as is told, the band at 3400 cm-1 cannot be; the band at 700 cm-1 is weak.", [700.0], [3400.0]),
+])
+def test_denials_reach_through_their_clause(spark, text, stated, absent):
+    texts = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    assert sorted(r.pos for r in T.stated_bands(texts).collect()) == stated and sorted(r.lo for r in T.absent_bands(texts).collect()) == absent
+
+
 def test_context(spark):
     far = "Nothing else is said here. " * 200
     cases = [
