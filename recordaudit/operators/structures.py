@@ -392,6 +392,29 @@ def compare_valence_tables(computed: DataFrame, printed: DataFrame) -> DataFrame
     return both.withColumn("state", state).where("state IS NOT NULL")
 
 
+def diagnose_columns(cells: DataFrame, axis: str = "col_label", least: int = 3) -> DataFrame:
+    """``structure_id, axis, n, n_differ, scale, explained, verdict`` of each column (or row) of compared tables.
+
+    `cells` are those of `compare_valence_tables`. `scale` is the median of printed over computed, from cells of 0.05 vu up;
+    `explained` is the share of cells that agree once the computed ones are multiplied by it. A column whose differences go one way and
+    are explained by a scale that is not one is ``scaled``, although its small cells lie within the tolerance as they are; one
+    that mostly differs without that is ``another``, one with some differences ``cells``, else ``agrees``. Two aggregations
+    on one key; no column is gathered.
+    """
+    key = ["structure_id", axis]
+    both = cells.where("computed IS NOT NULL AND printed IS NOT NULL").select(*key, "computed", "printed", (F.col("state") == "differs").alias("off"))
+    scales = both.groupBy(*key).agg(F.median(F.when(F.col("computed") >= 0.05, F.col("printed") / F.col("computed"))).alias("scale"))
+    fits = F.round(F.abs(F.col("printed") - F.col("scale") * F.col("computed")), 9) <= F.round(0.015 + 0.025 * F.abs("printed"), 9)
+    rows = both.join(scales, key).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("off").alias("n_differ"), F.first("scale").alias("scale"), (F.count_if(fits) / F.count(F.lit(1))).alias("explained"),
+        F.count_if(F.col("off") & (F.col("printed") > F.col("computed"))).alias("over"),
+    )
+    one_way = (F.col("over") == 0) | (F.col("over") == F.col("n_differ"))
+    scaled = (F.col("n") >= least) & (F.col("n_differ") >= F.greatest(F.lit(2), F.ceil(0.4 * F.col("n")))) & one_way & (F.col("explained") >= 0.8) & (F.round(F.abs(F.col("scale") - 1), 9) > 0.03)
+    verdict = F.when(F.coalesce(scaled, F.lit(False)), "scaled").when((F.col("n_differ") >= least) & (F.col("n_differ") >= 0.6 * F.col("n")), "another").when(F.col("n_differ") > 0, "cells").otherwise("agrees")
+    return rows.select(*key, "n", "n_differ", "scale", "explained", verdict.alias("verdict"))
+
+
 def compare_refinement_numbers(text_numbers: DataFrame, items: DataFrame) -> DataFrame:
     """Numbers a manuscript states against the structure file: off ones, a flag from a table, else a note.
 

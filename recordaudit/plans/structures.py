@@ -303,6 +303,22 @@ def _(spark, sf):
     return t.select("structure_id", "row_label", "col_label", F.round("computed", 6).alias("computed"), F.round("printed", 6).alias("printed"), "state")
 
 
+# a printed table typed from the computed one: some columns of some structures scaled throughout, some cells slipped
+TYPED = """SELECT structure_id, row_label, col_label, CASE WHEN structure_id % 3 = 0 AND col_label = 'M2' THEN s * 0.85 WHEN structure_id % 4 = 1 AND col_label = 'M1' THEN s * 1.25 WHEN structure_id % 5 = 0 AND row_label = 'O3' THEN s + 0.2
+  WHEN structure_id % 7 = 0 AND col_label = 'M4' THEN s + CASE WHEN row_label IN ('O1', 'O3', 'O5') THEN 0.3 ELSE -0.25 END ELSE s + CASE WHEN row_label = 'O2' THEN 0.004 ELSE -0.003 END END AS s FROM (@g) g"""
+
+
+@query("diagnose_columns", f"""WITH c AS ({other_sql(GRID.replace("@", "O"))}), p AS ({other_sql(TYPED.replace("@g", GRID.replace("@", "O")))}), b AS (SELECT structure_id, col_label, c.s AS x, p.s AS y, abs(c.s - p.s) > 0.015 + 0.025 * abs(p.s) AS off FROM c JOIN p USING (structure_id, row_label, col_label)),
+ m AS (SELECT structure_id, col_label, median(CASE WHEN x >= 0.05 THEN y / x END) AS scale FROM b GROUP BY ALL),
+ r AS (SELECT structure_id, col_label, count(*) AS n, count(*) FILTER (WHERE off) AS n_differ, any_value(scale) AS scale, count(*) FILTER (WHERE round(abs(y - scale * x), 9) <= round(0.015 + 0.025 * abs(y), 9)) / count(*) AS explained, count(*) FILTER (WHERE off AND y > x) AS over_ FROM b JOIN m USING (structure_id, col_label) GROUP BY ALL)
+SELECT structure_id, col_label, n, n_differ, round(scale, 6) AS scale, round(explained, 6) AS explained, CASE WHEN n >= 3 AND n_differ >= greatest(2, ceil(0.4::DOUBLE * n)) AND over_ IN (0, n_differ) AND explained >= 0.8 AND round(abs(scale - 1), 9) > 0.03 THEN 'scaled'
+  WHEN n_differ >= 3 AND n_differ >= 0.6 * n THEN 'another' WHEN n_differ > 0 THEN 'cells' ELSE 'agrees' END AS verdict FROM r""")
+def _(spark, sf):
+    grid = GRID.replace("@", "O")
+    told = X.diagnose_columns(X.compare_valence_tables(spark_sql(spark, sf, grid), spark_sql(spark, sf, TYPED.replace("@g", grid))))
+    return told.withColumn("scale", F.round("scale", 6)).withColumn("explained", F.round("explained", 6))
+
+
 NUMBERS = "SELECT l_orderkey AS structure_id, concat('i', CAST(l_linenumber AS STRING)) AS item, CASE l_linenumber WHEN 1 THEN 'cell' WHEN 2 THEN 'r' WHEN 3 THEN 'gof' WHEN 4 THEN 'int' WHEN 5 THEN 'f000' ELSE 'other' END AS how, l_quantity / 10 AS value, CAST(0.01 AS DOUBLE) AS esd, 2 AS decimals, CASE WHEN l_returnflag = 'A' THEN 'table' ELSE 'prose' END AS place FROM {lineitem}"
 ITEMS = "SELECT o_orderkey AS structure_id, concat('i', CAST(k AS STRING)) AS item, (o_custkey % 50) / CAST(10 AS DOUBLE) AS ref, CAST(0.02 AS DOUBLE) AS ref_esd FROM (SELECT *, explode(sequence(1, 7)) AS k FROM {orders}) t"
 

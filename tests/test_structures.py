@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,19 @@ def test_first_shell_cut(spark):
     rows = [(1, "C", f"O{n}", 1.28, 1, 1.3, 1.3) for n in range(3)] + [(1, "C", "O9", 2.9, 2, 0.04, 0.04)]
     bonds = spark.createDataFrame(rows, "structure_id int, label string, other string, dist double, n int, s double, s_max double")
     assert {r.other for r in X.first_shell(bonds).collect()} == {"O0", "O1", "O2"}
+
+
+def test_scaled_columns_are_named(spark):
+    rng, computed, printed, kind = random.Random(8), [], [], {}
+    for structure in range(300):
+        kind[structure] = ("scaled", "slips", "clean")[structure % 3]
+        factor = rng.choice([0.85, 0.9, 1.12, 1.25])
+        for row in range(rng.randrange(4, 9)):
+            s = rng.choice([rng.uniform(0.03, 0.2), rng.uniform(0.2, 1.3)])
+            off = s * (factor - 1) if kind[structure] == "scaled" else rng.choice([-1, 1]) * rng.uniform(0.1, 0.3) if kind[structure] == "slips" and rng.random() < 0.5 else 0.0
+            computed.append((structure, f"O{row}", "M1", s))
+            printed.append((structure, f"O{row}", "M1", round(s + off + rng.uniform(-0.004, 0.004), 3)))
+    schema = "structure_id int, row_label string, col_label string, s double"
+    told = X.diagnose_columns(X.compare_valence_tables(spark.createDataFrame(computed, schema), spark.createDataFrame(printed, schema))).collect()
+    named = {k: sum(r.verdict == "scaled" for r in told if kind[r.structure_id] == k) / 100 for k in ("scaled", "slips", "clean")}
+    assert named["scaled"] >= 0.82 and named["slips"] <= 0.05 and named["clean"] == 0
