@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from recordaudit.functions.measured import let
+
 # --- counts over findings --------------------------------------------------------------------
 
 
@@ -452,46 +454,44 @@ def failure_classes(records: DataFrame) -> DataFrame:
     )
 
 
-# What a report may say, as tests of its columns. The basis is right within 2 %.
-SIGNS = {
-    "the faulty item alone": "standing = 'one' AND named = target",
-    "one item": "standing = 'one'",
-    "several items": "standing = 'many'",
-    "scatter": "factor = 'scatter'",
-    "the basis": "factor = 'basis'",
-    "the right basis": "factor = 'basis' AND basis_true > 0 AND abs(basis_needed - basis_true) <= 0.02 * basis_true AND (whole OR valence_named IS NULL)",
-    "a shift": "factor = 'shift'",
-    "a shift to the right basis": "factor = 'shift' AND basis_true > 0 AND abs(basis_needed - basis_true) <= 0.02 * basis_true",
-    "a valence": "valence_named IS NOT NULL",
-    "the faulty valence, not of all": "valence_named = target AND NOT whole",
-    "the faulty item in red": "array_contains(red, target)",
-    "something in red": "size(red) > 0",
-    "nothing wrong": "size(red) = 0 AND standing = 'none' AND factor IN ('ok', 'few', 'shift')",
-    "anything": "true",
-}
-# Fault seeded, what the report says of it, and what that is worth; of the signs that a report shows the first in order counts.
-DIAGNOSIS_RULES = (
-    ("none", "nothing wrong", "RIGHT"), ("none", "anything", "FALSE-ALARM"),
-    ("wt", "the faulty item alone", "RIGHT"), ("wt", "one item", "WRONG-NAME"), ("wt", "the basis", "WRONG-KIND"), ("wt", "a valence", "WRONG-KIND"),
-    ("wt", "the faulty item in red", "PARTIAL"), ("wt", "something in red", "WRONG-NAME"), ("wt", "anything", "MISSED"),
-    ("basis", "the right basis", "RIGHT"), ("basis", "the basis", "PARTIAL"), ("basis", "a shift to the right basis", "PARTIAL"), ("basis", "a shift", "MISSED"),
-    ("basis", "one item", "WRONG-KIND"), ("basis", "a valence", "WRONG-KIND"), ("basis", "something in red", "PARTIAL"), ("basis", "anything", "MISSED"),
-    ("valence", "the faulty valence, not of all", "RIGHT"), ("valence", "a valence", "PARTIAL"), ("valence", "one item", "WRONG-KIND"),
-    ("valence", "the basis", "PARTIAL"), ("valence", "a shift", "PARTIAL"), ("valence", "something in red", "WRONG-KIND"), ("valence", "anything", "MISSED"),
-    ("two", "one item", "WRONG-NAME"), ("two", "several items", "RIGHT"), ("two", "scatter", "RIGHT"), ("two", "the basis", "WRONG-KIND"),
-    ("two", "a valence", "WRONG-KIND"), ("two", "something in red", "PARTIAL"), ("two", "anything", "MISSED"),
+# What a report blames: the kind of fault, how it says so, and whether it has the right one. The basis is right within 2 %.
+_BASIS_RIGHT = "(basis_true > 0 AND abs(basis_needed - basis_true) <= 0.02 * basis_true)"
+BLAMES = (
+    ("wt", True, "standing = 'one'", "named = target"),
+    ("two", True, "standing = 'many' OR (factor = 'scatter' AND standing <> 'one')", "true"),
+    ("basis", True, "factor = 'basis'", f"{_BASIS_RIGHT} AND (whole OR valence_named IS NULL)"),
+    ("basis", False, "factor = 'shift'", _BASIS_RIGHT),
+    ("valence", True, "valence_named IS NOT NULL", "valence_named = target AND NOT whole"),
 )
 
 
 def diagnosis_outcome() -> Column:
-    """What a report said of a seeded fault, by the rule table, as RIGHT … FALSE-ALARM.
+    """What a report said of a seeded fault, as RIGHT … FALSE-ALARM, from two questions: is the fault's kind blamed, and is the
+    right item or basis blamed?
 
     Columns: kind, target, standing (one / many / none), named, factor, valence_named (null when no
-    valence line), basis_needed, basis_true, whole, red (array of names).
+    valence line), basis_needed, basis_true, whole, red (array of names). A shift is a hint and blames nothing by itself.
     """
-    shown = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(test), F.lit(False)), sign) for sign, test in SIGNS.items()]))
-    rules = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(sign).alias("sign"), F.lit(outcome).alias("outcome")) for k, sign, outcome in DIAGNOSIS_RULES])
-    return F.get(F.filter(rules, lambda r: (r["kind"] == F.col("kind")) & F.array_contains(shown, r["sign"])), F.lit(0))["outcome"]
+    yes = lambda test: F.coalesce(F.expr(test), F.lit(False))
+    blames = F.array_compact(F.array(*[F.when(yes(said), F.struct(F.lit(k).alias("kind"), F.lit(firm).alias("firm"), yes(right).alias("right"))) for k, firm, said, right in BLAMES]))
+    kind, is_red = F.col("kind"), F.size("red") > 0
+
+    def judge(all_of: Column) -> Column:
+        own = F.filter(all_of, lambda b: b["kind"] == kind)
+        # several items together are no other kind: they name none of them
+        others = F.filter(all_of, lambda b: (b["kind"] != kind) & (b["kind"] != "two") & (b["firm"] | (kind == "valence")))
+        item = F.exists(others, lambda b: b["kind"] == "wt")
+        firm, right = F.exists(own, lambda b: b["firm"]), F.exists(own, lambda b: b["right"])
+        # the kind is named: by a blame, or by a hint
+        of_own = F.when(firm & right, "RIGHT").when(kind == "wt", "WRONG-NAME").when(firm | right, "PARTIAL").otherwise("MISSED")
+        # another kind is named: one item of two has a wrong name, a basis and a valence both move all items by one factor
+        of_others = F.when((kind == "two") & item, "WRONG-NAME").when((kind == "valence") & ~item, "PARTIAL").otherwise("WRONG-KIND")
+        # nothing is named: what stands in red is all there is to go by
+        of_red = F.when(~is_red, "MISSED").when(kind.isin("basis", "two"), "PARTIAL").when(kind == "valence", "WRONG-KIND").when(F.array_contains("red", F.col("target")), "PARTIAL").otherwise("WRONG-NAME")
+        clean = ~is_red & yes("standing = 'none' AND factor IN ('ok', 'few', 'shift')")
+        return F.when(kind == "none", F.when(clean, "RIGHT").otherwise("FALSE-ALARM")).when(F.size(own) > 0, of_own).when(F.size(others) > 0, of_others).otherwise(of_red)
+
+    return F.when(kind.isin("none", "wt", "basis", "valence", "two"), let(blames, judge))
 
 
 DIAGNOSES = ("RIGHT", "PARTIAL", "WRONG-NAME", "WRONG-KIND", "MISSED", "FALSE-ALARM")
