@@ -76,10 +76,16 @@ def canonical_line(anode: Column, lam: Column) -> Column:
     return F.array_min(F.transform(table[anode], lambda e: F.struct(F.abs(e["value"] - lam).alias("off"), e["line"].alias("line"), e["value"].alias("value"))))
 
 
+def mid_words() -> Column:
+    """The words of the text (column sents) that do not open a sentence: they show how the paper itself writes a word. Only for titles with capitals."""
+    inner = F.transform("sents", lambda s: let(F.filter(F.split(s, r"[^\p{L}'-]+"), lambda w: w != ""), lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1)))))
+    return F.when(F.coalesce("title", F.lit("")).rlike(r"\s\p{Lu}\p{Ll}"), F.flatten(inner)).otherwise(F.array().cast("array<string>"))
+
+
 def prepare(entries: DataFrame) -> DataFrame:
     """What several rules need, worked out once: the numbers, the anode and the paper's sentences."""
     sents = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\b(Figs?|al|ca|e\.g|i\.e|vs|Nos?)\.", "$1"), r"(?<=[.!?])\s+(?=[A-Z(\[])")
-    out = entries.withColumn("sents", sents)
+    out = entries.withColumn("sents", sents).withColumn("mid_words", mid_words())
     for axis in ("a", "b", "c", "al", "be", "ga"):
         out = out.withColumn(f"v_{axis}", parse_measured(F.col(f"cell_{axis}")))
     out = out.withColumn("lam_v", number_value(F.col("lam"))).withColumn("anode_el", anode_key(F.col("anode")))
@@ -299,11 +305,11 @@ def _collapsed() -> Column:
 
 
 def _capitalised() -> Column:
-    """Words of the title past the first that are capitalised and that the paper writes in lower case mid-sentence."""
-    titled = F.split(F.coalesce("title", F.lit("")), r"\s+")
-    words = F.slice(titled, F.lit(2), F.size(titled))
-    plain = F.filter(words, lambda w: w.rlike(r"^[A-Z][a-z]{3,}$"))
-    return F.filter(plain, lambda w: F.contains(F.coalesce(F.col("text"), F.lit("")), F.concat(F.lit(" "), F.lower(w))))
+    """Words of the title past the first that are capitalised there and that the paper, inside its sentences, mostly writes in lower case."""
+    titled = F.split(F.coalesce("title", F.lit("")), r"[^\p{L}'-]+")
+    words = F.filter(F.slice(titled, F.lit(2), F.size(titled)), lambda w: w.rlike(r"^\p{Lu}\p{Ll}{2,}$"))
+    times = lambda w: F.size(F.filter("mid_words", lambda t: t == w))
+    return F.filter(words, lambda w: times(F.lower(w)) > times(w))
 
 
 def _unbalanced(formula: Column) -> Column:

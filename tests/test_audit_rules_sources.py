@@ -97,3 +97,15 @@ def test_readers(spark, tmp_path):
     assert back.count() == 1 and found.first().code == "a"
     R.write_report_tables(findings, str(tmp_path / "report"))
     assert spark.read.parquet(str(tmp_path / "report/findings")).count() == 1
+
+
+@pytest.mark.parametrize("title, text, found", [
+    ("A New Mineral From Somewhere", "It is new. A new mineral comes from Somewhere.", ["New", "Mineral", "From"]),
+    ("A Study of Renewal", "The study of renewals and the newest study.", ["Study"]),  # a part of a word is no word
+    ("The Crystal Chemistry of Iron", "Crystal growth. Chemistry matters. Iron rusts.", []),  # only at the start of sentences
+    ("On Raman Spectra", "We used Raman spectra, and the raman line; Raman bands are strong.", ["Spectra"]),  # most often a capital
+    ("On Nothing", None, []), (None, "a new mineral", []),
+])
+def test_words_of_a_title(spark, title, text, found):
+    rows = spark.createDataFrame([(title, text)], "title string, text string").withColumn("sents", P.F.split(P.F.coalesce("text", P.F.lit("")), r"(?<=[.!?])\s+"))
+    assert list(rows.withColumn("mid_words", P.mid_words()).select(P._capitalised()).first()[0]) == found
