@@ -78,7 +78,7 @@ def plain_sql(text: str) -> str:
 VOCAB = """SELECT DISTINCT word AS norm FROM (SELECT explode(split(lower(text), '[^a-z]+')) AS word FROM {benchmark}) t WHERE length(word) > 6"""
 
 
-SEARCHED = "SELECT DISTINCT lower(substr(p_name, 1 + p_partkey % 3, 4)) AS asked FROM {part} WHERE length(p_name) > 8"
+SEARCHED = "SELECT DISTINCT lower(substr(p_name, 1 + p_partkey % 3, 1 + p_partkey % 4)) AS asked FROM {part} WHERE length(p_name) > 8"
 LISTED_NAMES = "SELECT DISTINCT lower(p_name) AS norm FROM {part}"
 
 
@@ -96,7 +96,18 @@ def _(spark, sf):
     return D.species_mentions(load(spark, sf, "documents"), spark_sql(spark, sf, VOCAB))
 
 
-@query("broken_names")
+BROKEN_SQL = f"""WITH d AS (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS ws FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS p FROM d),
+ bx AS (SELECT doc_id, p * 2 AS pos, CASE WHEN p % 9 = 0 AND length(word) > 6 THEN word[1:4] || '-' ELSE word END AS word FROM w UNION ALL SELECT doc_id, p * 2 + 1, substr(word, 5) FROM w WHERE p % 9 = 0 AND length(word) > 6),
+ r AS (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM bx),
+ o AS (SELECT doc_id, pos, regexp_replace(lower({plain_sql('word')}), '^[^a-z]+|[^a-z)]+$', '', 'g') AS own, regexp_matches(word, '[-\u00ad‐‑]$') AND nx IS NOT NULL AS open, regexp_replace(lower({plain_sql('nx')}), '[^a-z)]+$', '') AS tail FROM r),
+ f AS (SELECT * FROM (SELECT doc_id, pos, 0 AS turn, own || tail AS token FROM o WHERE open UNION ALL SELECT doc_id, pos, 1, own || '-' || tail FROM o WHERE open UNION ALL SELECT doc_id, pos, 2, own FROM o) WHERE length(token) > 3),
+ v AS (SELECT DISTINCT norm FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS norm FROM benchmark) WHERE length(norm) > 6), {LOOKUP_SQL.replace(SP, 'SELECT norm FROM v').replace(TK, "SELECT token FROM f")},
+ best AS (SELECT doc_id, pos, arg_min({{'token': token, 'norm': norm, 'turn': turn}}, (CASE WHEN turn = 0 AND how = 'exact' THEN 0 WHEN turn = 1 THEN 1 WHEN turn = 0 THEN 2 ELSE 3 END, norm)) AS won FROM f JOIN lk USING (token) GROUP BY doc_id, pos),
+ used AS (SELECT doc_id, pos + 1 AS pos FROM best WHERE won.turn < 2)
+SELECT doc_id, CAST(pos AS INT) AS pos, won.token AS token, won.norm AS norm, CASE WHEN won.turn < 2 THEN 2 ELSE 1 END AS boxes FROM best ANTI JOIN used USING (doc_id, pos)"""
+
+
+@query("broken_names", BROKEN_SQL)
 def _(spark, sf):
     words = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "word"))
     # every ninth long word is broken in two with a hyphen

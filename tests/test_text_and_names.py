@@ -134,3 +134,13 @@ def test_programs_are_no_orphans(spark):
     none = spark.createDataFrame([], "doc_id int, cite_id bigint")
     assert [r.names for r in C.orphans(cites, none).collect()] == [["nobody"]]
     assert C.orphans(cites, none, ()).count() == 2
+
+
+def test_short_asks_get_their_names(spark):
+    names = ["albite", "alum", "barite", "gold", "halite", "lead", "opal", *[f"a{chr(98 + k)}te" for k in range(15)]]
+    species, asked = spark.createDataFrame([(n,) for n in names], "norm string"), spark.createDataFrame([("a",), ("AL",), ("it",), ("z",), ("",), ("alb",)], "asked string")
+    got = {}
+    for r in sorted(D.search_names(asked, species).collect(), key=lambda r: r.place):
+        got.setdefault(r.asked, []).append(r.norm)
+    want = {q: sorted((n for n in names if q in n), key=lambda n: (not n.startswith(q), len(n), n))[:12] for q in ("a", "al", "it", "alb")}
+    assert got == want
