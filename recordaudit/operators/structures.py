@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordaudit.functions.cell import cell_volume, d_spacing, inv_d2, metric, metric_length
 from recordaudit.functions.elements import ATOMIC_WEIGHTS
+from recordaudit.session import cut_lineage
 
 CELL = ("a", "b", "c", "al", "be", "ga")
 # How far (Å) a cation's neighbours are looked for; 3.2 otherwise.
@@ -34,6 +35,11 @@ def _cell() -> list[Column]:
     return [F.col(c) for c in CELL]
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """Marks a side that grows with the structures: the size guessed from its file says little of its arrays, so it is never broadcast."""
+    return df.hint("merge")
+
+
 def _axis(rot: str, tr: str, row: int) -> Column:
     r = F.col(rot)[row]
     return r[0] * F.col("x") + r[1] * F.col("y") + r[2] * F.col("z") + F.col(tr)[row]
@@ -44,7 +50,7 @@ def expand_symmetry(sites: DataFrame, symops: DataFrame) -> DataFrame:
 
     Images equal to four decimals (wrapped into the cell) are one; `mult` counts them.
     """
-    moved = sites.join(symops, "structure_id").select(
+    moved = sites.join(by_shuffle(symops), "structure_id").select(
         "structure_id", "label", "op_no", *[F.pmod(_axis("rot", "tr", k), F.lit(1.0)).alias(n) for k, n in enumerate(("px", "py", "pz"))]
     )
     keys = [F.pmod(F.round(p, 4), F.lit(1.0)).alias(f"k{p}") for p in ("px", "py", "pz")]
@@ -575,7 +581,7 @@ def powder_pattern(cells: DataFrame, sites: DataFrame, symops: DataFrame, factor
     biso = F.coalesce(F.col("biso"), F.lit(0.0)) if "biso" in sites.columns else F.lit(0.0)
     images = expand_symmetry(sites.select("structure_id", "label", "x", "y", "z").distinct(), symops).select("structure_id", "label", "x", "y", "z")
     kinds = sites.select("structure_id", "label", "element", "occ", biso.alias("biso")).join(factors, "element").where("occ > 0")
-    atoms = images.join(kinds, ["structure_id", "label"]).groupBy("structure_id").agg(
+    atoms = images.join(by_shuffle(kinds), ["structure_id", "label"]).groupBy("structure_id").agg(
         F.collect_list(F.struct("x", "y", "z", "occ", "biso", F.col("a").alias("fa"), F.col("b").alias("fb"), F.col("c").alias("fc"))).alias("atoms")
     )
     # |h| of a lattice plane is at most the length of its axis over its spacing, so these boxes hold every line down to dmin. One
@@ -583,10 +589,10 @@ def powder_pattern(cells: DataFrame, sites: DataFrame, symops: DataFrame, factor
     span = lambda axis: F.sequence(-F.floor(F.col(axis) / dmin).cast("int"), F.floor(F.col(axis) / dmin).cast("int"))
     hkl = cells.withColumn("h", F.explode(span("a"))).withColumn("k", F.explode(span("b"))).withColumn("l", F.explode(span("c"))).where("NOT (h = 0 AND k = 0 AND l = 0)")
     hkl = hkl.withColumn("q", inv_d2(_cell(), F.col("h"), F.col("k"), F.col("l"))).withColumn("d", 1 / F.sqrt(F.when(F.col("q") > 0, F.col("q")))).where((F.col("d") >= dmin) & (lam / (2 * F.col("d")) < 1))
-    hkl = hkl.join(operator_arrays(symops), "structure_id")
+    hkl = hkl.join(by_shuffle(operator_arrays(symops)), "structure_id")
     # one representative per class under the Laue group: its members are counted before any structure factor is formed
     classes = hkl.withColumn("top", canonical_hkl(F.col("ops"))).groupBy("structure_id", "top").agg(F.count(F.lit(1)).alias("mult"), F.first("q").alias("q"), F.first("d").alias("d"))
-    rows = classes.join(atoms, "structure_id").select("structure_id", "mult", "q", "d", F.col("top.h").alias("h"), F.col("top.k").alias("k"), F.col("top.l").alias("l"), "atoms")
+    rows = classes.join(by_shuffle(atoms), "structure_id").select("structure_id", "mult", "q", "d", F.col("top.h").alias("h"), F.col("top.k").alias("k"), F.col("top.l").alias("l"), "atoms")
 
     def weight(at: Column) -> Column:
         s2 = F.col("q") / 4
@@ -616,17 +622,18 @@ def table_vs_pattern(table: DataFrame, pattern: DataFrame, symops: DataFrame, st
     from recordaudit.operators.matching import Tolerance, near_join
 
     ops = operator_arrays(symops)
-    keyed = table.join(ops, "structure_id").withColumn("top", canonical_hkl(F.col("ops"))).select("structure_id", F.col("top.h").alias("h"), F.col("top.k").alias("k"), F.col("top.l").alias("l"), F.col("d").alias("t_d"), F.col("i").alias("t_i"))
-    met = keyed.join(pattern, ["structure_id", "h", "k", "l"], "left")
+    keyed = table.join(by_shuffle(ops), "structure_id").withColumn("top", canonical_hkl(F.col("ops"))).select("structure_id", F.col("top.h").alias("h"), F.col("top.k").alias("k"), F.col("top.l").alias("l"), F.col("d").alias("t_d"), F.col("i").alias("t_i"))
+    keyed = cut_lineage(keyed)
+    met = keyed.join(by_shuffle(pattern), ["structure_id", "h", "k", "l"], "left")
     sums = met.groupBy("structure_id").agg(
         F.count(F.lit(1)).alias("lines"), F.count("d").alias("found"), F.count_if(F.abs(F.col("t_d") - F.col("d")) > 0.0015 * F.col("d")).alias("d_off"),
         F.max("t_i").alias("t_top"), F.max("i").alias("top"),
     )
-    rms = met.join(sums, "structure_id").where("d IS NOT NULL").groupBy("structure_id").agg(F.sqrt(F.avg(F.pow(100 * F.col("t_i") / F.col("t_top") - 100 * F.col("i") / F.col("top"), 2))).alias("rms_i"))
-    rest = pattern.where(F.col("i") >= strong).join(keyed.select("structure_id", "h", "k", "l"), ["structure_id", "h", "k", "l"], "left_anti")
-    omitted = near_join(rest.withColumnRenamed("d", "own_d"), keyed.select("structure_id", "t_d"), ["structure_id"], "own_d", "t_d", Tolerance(rel=0.0015), 0.05, "left_anti")
+    rms = met.join(by_shuffle(sums), "structure_id").where("d IS NOT NULL").groupBy("structure_id").agg(F.sqrt(F.avg(F.pow(100 * F.col("t_i") / F.col("t_top") - 100 * F.col("i") / F.col("top"), 2))).alias("rms_i"))
+    rest = pattern.where(F.col("i") >= strong).join(by_shuffle(keyed.select("structure_id", "h", "k", "l")), ["structure_id", "h", "k", "l"], "left_anti")
+    omitted = near_join(rest.withColumnRenamed("d", "own_d"), by_shuffle(keyed.select("structure_id", "t_d")), ["structure_id"], "own_d", "t_d", Tolerance(rel=0.0015), 0.05, "left_anti")
     gone = omitted.groupBy("structure_id").agg(F.count(F.lit(1)).alias("omitted"))
-    return sums.join(rms, "structure_id", "left").join(gone, "structure_id", "left").select(
+    return sums.join(by_shuffle(rms), "structure_id", "left").join(by_shuffle(gone), "structure_id", "left").select(
         "structure_id", "lines", "found", "d_off", F.round("rms_i", 4).alias("rms_i"), F.coalesce("omitted", F.lit(0)).cast("bigint").alias("omitted")
     )
 
