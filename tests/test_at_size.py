@@ -14,3 +14,9 @@ def broadcasts(df):
 def test_pattern_broadcasts_nothing_that_grows(spark):
     pattern, _ops = P._pattern(spark, "/root/testdata/sf0.001")
     assert broadcasts(pattern) <= 1  # the scattering factors
+
+
+def test_table_against_pattern_broadcasts_nothing_that_grows(spark):
+    from recordaudit.plans.catalogue import QUERIES
+
+    assert broadcasts(QUERIES["table_vs_pattern"](spark, "/root/testdata/sf0.001")) == 0
