@@ -20,3 +20,11 @@ def test_table_against_pattern_broadcasts_nothing_that_grows(spark):
     from recordaudit.plans.catalogue import QUERIES
 
     assert broadcasts(QUERIES["table_vs_pattern"](spark, "/root/testdata/sf0.001")) == 0
+
+
+def test_relatives_do_not_broadcast_their_offers(spark):
+    rows = spark.createDataFrame([(1, "a", 1, ["Ca", "O"], 3.0, 3.0, 3.0, 1.0, True), (2, "b", 1, ["Mg", "O"], 3.0, 3.0, 3.0, 2.0, False)],
+                                 "species_id long, norm string, sg int, elements array<string>, a double, b double, c double, volume double, grouped boolean")
+    found = D.relatives(rows)
+    assert broadcasts(found) <= 1  # the table of swaps
+    assert sorted((r["species_id"], r["other_id"], r["swap"], r["size_tracks"]) for r in found.collect()) == [(1, 2, "Ca↔Mg", False), (2, 1, "Mg↔Ca", False)]
