@@ -338,24 +338,26 @@ def _(spark, sf):
 SEEDABLE = """
 SELECT l_orderkey AS entry_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS BIGINT) AS line_no,
   CAST(CAST(l_extendedprice / 10000 AS DECIMAL(8,3)) AS STRING) AS d_txt, l_quantity * 2 AS i FROM {lineitem}"""
+# Spark rounds the decimal a double prints as, the other engine the double times a thousand: the digits are those of the latter
+SEED_LINES = SEEDABLE.replace("CAST(l_extendedprice / 10000 AS DECIMAL(8,3))", "CAST(round(l_extendedprice / 10000 * 1000) / 1000 AS DECIMAL(8,3))")
 SEED_TOP = f"s AS ({other_sql(SEEDABLE)}), t AS (SELECT entry_id, first(d_txt ORDER BY i DESC, line_no) AS hit_d, first(line_no ORDER BY i DESC, line_no) AS hit_no, max(i) AS hit_i FROM s GROUP BY entry_id), j AS (SELECT * FROM s JOIN t USING (entry_id))"
 
 
 @query("seed_drop", f"WITH {SEED_TOP} SELECT entry_id, line_no, d_txt, i FROM j WHERE d_txt <> hit_d")
 def _(spark, sf):
-    return A.seed_reflections(spark_sql(spark, sf, SEEDABLE), "drop").select("entry_id", "line_no", "d_txt", "i")
+    return A.seed_reflections(spark_sql(spark, sf, SEED_LINES), "drop").select("entry_id", "line_no", "d_txt", "i")
 
 
 @query("seed_intensity_slip", f"WITH {SEED_TOP} SELECT entry_id, line_no, d_txt, CASE WHEN d_txt = hit_d AND hit_i >= 90 THEN 10.0 ELSE i END AS i FROM j")
 def _(spark, sf):
-    return A.seed_reflections(spark_sql(spark, sf, SEEDABLE), "slip").select("entry_id", "line_no", "d_txt", "i")
+    return A.seed_reflections(spark_sql(spark, sf, SEED_LINES), "slip").select("entry_id", "line_no", "d_txt", "i")
 
 
 @query("seed_digit_swap", f"""WITH {SEED_TOP} SELECT entry_id, line_no, i, CASE WHEN line_no <> hit_no THEN d_txt
   WHEN d_txt[-1] <> d_txt[-2] THEN d_txt[:-3] || d_txt[-1] || d_txt[-2]
   WHEN d_txt[-2] <> d_txt[-3] THEN d_txt[:-4] || d_txt[-2] || d_txt[-3] || d_txt[-1] ELSE d_txt END AS d_txt FROM j""")
 def _(spark, sf):
-    return A.seed_reflections(spark_sql(spark, sf, SEEDABLE), "swap").select("entry_id", "line_no", "d_txt", "i")
+    return A.seed_reflections(spark_sql(spark, sf, SEED_LINES), "swap").select("entry_id", "line_no", "d_txt", "i")
 
 
 @query("seed_weight", with_views("d_probe_points", """

@@ -37,3 +37,14 @@ def test_citation_rows_of_one_id_give_a_match_once(spark):
     assert [tuple(r) for r in matches.collect()] == [(1, 7, 5, 0)]
     # counted twice, the one entry would be two, and the citation's form not looked at
     assert [r["kind"] for r in C.form_findings(cites, refs, matches).collect()] == ["authors"]
+
+
+@pytest.mark.parametrize("price, digits", [(40325.0, "4.032"), (40745.0, "4.074"), (40335.0, "4.034"), (98765.43, "9.877")])
+def test_seeded_digits_are_those_of_the_sql(spark, tmp_path, price, digits):
+    import duckdb
+
+    row = spark.range(1).selectExpr("1L AS l_orderkey", "1 AS l_linenumber", "1L AS l_suppkey", "1L AS l_partkey", f"{price}D AS l_extendedprice", "50D AS l_quantity")
+    row.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = spark_sql(spark, str(tmp_path), audit.SEED_LINES).first()["d_txt"]
+    want = duckdb.sql(audit.SEEDABLE.replace("{lineitem}", f"'{tmp_path}/lineitem.parquet/*.parquet'")).fetchall()[0][2]
+    assert got == want == digits
