@@ -48,3 +48,23 @@ def test_seeded_digits_are_those_of_the_sql(spark, tmp_path, price, digits):
     got = spark_sql(spark, str(tmp_path), audit.SEED_LINES).first()["d_txt"]
     want = duckdb.sql(audit.SEEDABLE.replace("{lineitem}", f"'{tmp_path}/lineitem.parquet/*.parquet'")).fetchall()[0][2]
     assert got == want == digits
+
+
+def test_equal_sentences_meet_the_lexicon_once(spark):
+    from pyspark.sql import functions as F
+
+    from recordaudit.rules import phrases as W
+
+    one, two = "The powder pattern was collected.", "The cell was not refined from powder data."
+    rows = spark.createDataFrame([(1, f"{one} {two}"), (2, f"{one} {one}"), (3, None), (4, "Nothing.")], "entry_id long, text string")
+    lexicon = W.lexicon_table(spark, W.LEXICON)
+    sort = lambda df: sorted((r["entry_id"], sorted(sorted(x) for x in r["said"])) for r in df.collect())
+    assert sort(W.roles_said(rows, lexicon)) == sort(W.said_of(W.phrase_hits(rows, lexicon)))
+    many = rows.where("entry_id = 2").crossJoin(spark.range(500)).select(F.col("id").alias("entry_id"), "text")
+    asked = []
+    whole, W.phrase_hits = W.phrase_hits, lambda texts, *more: asked.append(texts.count()) or whole(texts, *more)
+    try:
+        assert W.roles_said(many, lexicon).count() == 500
+    finally:
+        W.phrase_hits = whole
+    assert asked == [1]  # one sentence of a thousand
