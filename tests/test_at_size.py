@@ -76,3 +76,11 @@ def test_numbers_of_bands_are_read_whole(spark):
     rows = spark.createDataFrame([(1, "The Raman spectrum was recorded. No bands at 11500 cm-1 were seen."), (2, "The Raman spectrum was recorded. Bands at 450 and 13200.5 cm-1 are assigned to SO4 ν1.")], "doc_id long, text string")
     assert [(r["doc_id"], r["lo"], r["hi"]) for r in T.absent_bands(rows).collect()] == [(1, 11500.0, 11500.0)]
     assert sorted(r["pos"] for r in T.stated_bands(rows).collect()) == [450.0, 13200.5]
+
+
+@pytest.mark.parametrize("at, lints", [(2900, 1), (3200, 0), (13200, 1)])
+def test_a_longer_number_is_no_evidence_of_water(spark, at, lints):
+    from recordaudit.operators import textjobs as T
+
+    rows = spark.createDataFrame([(1, f"The band lies at {at} cm-1. The formula is Ca(SO4)·2H2O.")], "doc_id long, text string")
+    assert T.evidence_lints(rows).count() == lints
