@@ -7,15 +7,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from recordaudit.functions import spectra as S
 from recordaudit.operators.matching import range_join
 
-_ABBREVIATION = r"\b(Figs?|Tabs?|al|ca|cf|e\.g|i\.e|vs|approx|Nos?|Eqs?|Refs?|resp|et|sp|var|incl|min|max)\."
-_BREAK = r"(?:(?<=[.!?])|(?<=[.!?]\)))\s+(?=[A-ZÀ-Þ(\[ν~∼])"
+_ABBREVIATION = r"\b(?:Figs?|Tabs?|al|ca|cf|e\.g|i\.e|vs|approx|Nos?|Eqs?|Refs?|resp|et|sp|var|incl|min|max)\."
+# white space after the end of a sentence and before the start of one; looked at only where white space stands
+_BREAK = rf"\s(?<=[.!?]\s|[.!?]\)\s)(?<!{_ABBREVIATION}\)?\s)\s*(?=[A-ZÀ-Þ(\[ν~∼])"
 
 
 def normalise_text(text: Column) -> Column:
     """One dash, one unit ``cm-1``, one ν, single spaces."""
-    out = F.translate(F.coalesce(text, F.lit("")), "−–—‐‑υ  ", "-----ν  ")
-    out = F.regexp_replace(out, r"\s*cm\s*-\s*1\b|\s*cm⁻¹", " cm-1")
-    return F.regexp_replace(out, r"[ \t]+", " ")
+    text = F.coalesce(text, F.lit(""))
+    # most texts have none of these characters, and their blanks are single already
+    out = F.when(text.rlike("[\u00a0\u03c5\u2000-\u2015\u2212]"), F.translate(text, "−–—‐‑υ  ", "-----ν  ")).otherwise(text)
+    out = F.regexp_replace(out, r"(?=[\sc])\s*+cm(?:\s*-\s*1\b|⁻¹)", " cm-1")
+    return F.regexp_replace(out, r"[ \t]{2,}|\t", " ")
 
 
 def body_of(text: Column) -> Column:
@@ -24,18 +27,40 @@ def body_of(text: Column) -> Column:
     return F.when((at < F.length(text)) & (at > F.length(text) / 2), F.expr("substring(text, 1, length(text) - length(regexp_extract(text, '(?s)(\\\\b(?:References|REFERENCES|Literature cited|Bibliography)\\\\b.*)$', 1)))")).otherwise(text)
 
 
+def sentences_of(text: Column) -> Column:
+    """The sentences of a whole text as an array; abbreviations and decimals end none."""
+    return F.filter(F.split(text, _BREAK), lambda p: F.trim(p) != "")
+
+
 def sentences(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, sent_no, sentence`` of whole texts (column text); abbreviations and decimals end none."""
-    guarded = F.regexp_replace("text", _ABBREVIATION, "$1\u0001")
-    parts = F.filter(F.transform(F.split(guarded, _BREAK), lambda p: F.replace(p, F.lit("\u0001"), F.lit("."))), lambda p: F.trim(p) != "")
-    return texts.select(key, F.posexplode(parts).alias("sent_no", "sentence"))
+    return texts.select(key, F.posexplode(sentences_of(F.col("text"))).alias("sent_no", "sentence"))
+
+
+_OPEN, _CLOSE = "\ue000", "\ue001"  # private characters around a match; a text that has one itself is cut by the pattern
 
 
 def spans(text: Column, pattern: str) -> Column:
     """Every match of a pattern without groups, with its place: an array of structs (m, at), at counted from 1.
 
-    The pieces between the matches and the matches themselves are added up, so equal matches keep their own places.
+    One pass puts marks around the matches, and the pieces between the marks are added up, so equal matches keep their own places.
     """
+    none = F.array().cast("array<struct<m:string,at:int>>")
+
+    def put(state: Column, piece: Column) -> Column:
+        """A piece is a match, its closing mark and what follows; only the first piece has no match."""
+        m = F.substring_index(piece, _CLOSE, 1)
+        closed = F.contains(piece, F.lit(_CLOSE))
+        out = F.when(closed, F.concat(state["out"], F.array(F.struct(m.alias("m"), state["next"].alias("at"))))).otherwise(state["out"])
+        return F.struct(out.alias("out"), (state["next"] + F.length(piece) - closed.cast("int")).alias("next"))
+
+    marked = F.split(F.regexp_replace(text, f"(?:{pattern})", f"{_OPEN}$0{_CLOSE}"), _OPEN)
+    quick = F.aggregate(marked, F.struct(none.alias("out"), F.lit(1).alias("next")), put, lambda state: state["out"])
+    return F.when(text.rlike(f"[{_OPEN}{_CLOSE}]"), _spans_by_pieces(text, pattern)).otherwise(quick)
+
+
+def _spans_by_pieces(text: Column, pattern: str) -> Column:
+    """`spans` of any text, in two passes."""
     whole, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
     # pieces and matches are paired once; a match's place follows from the last one put down
     pairs = F.filter(F.zip_with(between, whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m"))), lambda x: x["m"].isNotNull())
@@ -68,18 +93,23 @@ _SYNONYM = {"uranyl": "UO2", "sulfate": "SO4", "phosphate": "PO4", "arsenate": "
 
 def technique_of(sentence: Column) -> Column:
     """``raman``, ``ir`` or ``open`` (both named); null when neither is."""
-    raman, ir = sentence.rlike(r"\bRaman\b"), sentence.rlike(r"\binfrared\b|\bInfrared\b|\bIR\b|\bFTIR\b|\bFT-IR\b")
+    raman, ir = sentence.rlike(r"\bRaman\b"), sentence.rlike(r"\b(?:[Ii]nfrared|IR|FTIR|FT-IR)\b")
     return F.when(raman & ir, "open").when(raman, "raman").when(ir, "ir")
 
 
-def carry_technique(sents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds ``technique``: the sentence's own, else the last one named before; a sentence naming both leaves it open."""
-    said = technique_of(F.col("sentence"))
-    standing = F.last(said, True).over(Window.partitionBy(key).orderBy("sent_no").rowsBetween(Window.unboundedPreceding, 0))
-    return sents.withColumn("technique", F.nullif(standing, F.lit("open")))
+def carry_technique(texts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, sent_no, sentence, technique`` of whole texts: the sentence's own, else the last one named before; a sentence naming both leaves it open."""
+    none = F.array().cast("array<struct<sentence:string,technique:string>>")
+
+    def put(out: Column, sentence: Column) -> Column:
+        standing = F.coalesce(technique_of(sentence), F.try_element_at(out, F.lit(-1))["technique"])
+        return F.concat(out, F.array(F.struct(sentence.alias("sentence"), standing.alias("technique"))))
+
+    told = texts.select(key, F.posexplode(F.aggregate(sentences_of(F.col("text")), none, put)).alias("sent_no", "s"))
+    return told.select(key, "sent_no", "s.sentence", F.nullif("s.technique", F.lit("open")).alias("technique"))
 
 
-_FAMILY = "|".join(sorted(FAMILIES, key=len, reverse=True))
+_FAMILY = "(?=[" + "".join(sorted({f[0] for f in FAMILIES})) + "])(?:" + "|".join(sorted(FAMILIES, key=len, reverse=True)) + ")"
 _MODE = r"ν[1-4]|(?i:bend|deform|scissor|δ|stretch|librat)"
 
 
@@ -90,18 +120,20 @@ def _nearest(found: Column, start: Column, end: Column) -> Column:
 
 
 def _mode_name(said: Column) -> Column:
-    word = F.lower(F.substring(said, 1, 4))
-    return F.when(said.rlike("^ν[1-4]$"), said).when(word == "stre", "stretch").when(word == "libr", "lib").when(said.isNotNull(), "bend")
+    return F.when(said.rlike("^ν[1-4]$"), said).when(said.rlike("(?i)^stre"), "stretch").when(said.rlike("(?i)^libr"), "lib").when(said.isNotNull(), "bend")
 
 
 def _runs(texts: DataFrame) -> DataFrame:
     """Runs of numbers closed by cm-1, at their places, with the groups and modes that their sentence names. A run is denied by a word of its own clause."""
     norm = texts.withColumn("text", normalise_text(F.col("text")))
-    sents = carry_technique(sentences(norm)).where(F.contains(F.col("sentence"), F.lit("cm-1")))
+    sents = carry_technique(norm).where(F.contains(F.col("sentence"), F.lit("cm-1")))
     named = sents.withColumn("families", spans(F.col("sentence"), _FAMILY)).withColumn("modes", spans(F.col("sentence"), _MODE))
     runs = named.select("*", F.inline(spans(F.col("sentence"), _RUN.replace("((?:", "(?:(?:", 1)))).withColumn("run", F.regexp_extract("m", _RUN, 1))
     runs = runs.withColumn("ahead", F.expr("substring(sentence, 1, at - 1)")).withColumn("behind", F.expr("substring(sentence, at + length(m))"))
-    denied = F.regexp_replace("ahead", _BEFORE_CLAUSE, "").rlike(NEGATION) | F.regexp_extract("behind", _AFTER_CLAUSE, 1).rlike(NEGATED_AFTER)
+    # a sentence without such a word is not cut into clauses
+    before = F.col("ahead").rlike(NEGATION.replace(r"\b", "", 1)) & F.regexp_replace("ahead", _BEFORE_CLAUSE, "").rlike(NEGATION)
+    after = F.col("behind").rlike(NEGATED_AFTER.replace(r"\b", "")) & F.regexp_extract("behind", _AFTER_CLAUSE, 1).rlike(NEGATED_AFTER)
+    denied = before | after
     is_range = F.col("run").rlike(r"^\d+(?:\.\d+)?\s+and\s+\d+(?:\.\d+)?$") & F.col("ahead").rlike(r"(?i)between\s*$")
     return runs.withColumn("negated", denied).withColumn("range_part", is_range | F.col("ahead").rlike(r"\d\s*(?:-|to)\s*$"))
 

@@ -76,6 +76,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(F.xxhash64(*df.columns))
 
 
+def spread_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """`spark_sql` with the rows of its tables dealt anew before texts are formed of them: rows are smaller than texts."""
+    tables = {name: load(spark, sf_dir, name) for name in set(_TABLE.findall(text))}
+    dealt = {name: spread(df.select([c for c in df.columns if re.search(rf"\b{c}\b", text)])) for name, df in tables.items()}
+    return spark.sql(text, **dealt)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     return spark_sql(spark, sf_dir, text if isinstance(text, str) else text[0])

@@ -1,6 +1,7 @@
 """What went wrong on larger tables: joins that guess a small side, digits and ids that only larger keys bring."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordaudit.operators import citations as C, names as D, structures as X
 from recordaudit.plans import audit, structures as P
@@ -84,3 +85,23 @@ def test_a_longer_number_is_no_evidence_of_water(spark, at, lints):
 
     rows = spark.createDataFrame([(1, f"The band lies at {at} cm-1. The formula is Ca(SO4)·2H2O.")], "doc_id long, text string")
     assert T.evidence_lints(rows).count() == lints
+
+
+def test_techniques_are_carried_within_the_text(spark):
+    from recordaudit.operators import textjobs as T
+
+    rows = spark.createDataFrame([(1, "The Raman spectrum (Fig. 2) was taken. A band is at 450 cm-1 (SO4 ν1). The IR spectrum followed. Bands e.g. 600 and 450 cm-1 are PO4 bending.")], "doc_id long, text string")
+    bands = T.stated_bands(rows)
+    assert sorted((r["sent_no"], r["pos"], r["technique"], r["family"], r["mode"]) for r in bands.collect()) == [
+        (1, 450.0, "raman", "SO4", "ν1"), (3, 450.0, "ir", "PO4", "bend"), (3, 600.0, "ir", "PO4", "bend")]
+    assert "Window" not in bands._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("text", ["ab νab", "none", "", "Aabab", None, "ab\ue000ab"])
+def test_places_of_matches(spark, text):
+    import re
+
+    from recordaudit.operators import textjobs as T
+
+    got = spark.createDataFrame([(text,)], "text string").select(T.spans(F.col("text"), "ab|ν").alias("s")).first()["s"]
+    assert [tuple(x) for x in got or []] == [(m.group(), m.start() + 1) for m in re.finditer("ab|ν", text or "")]
