@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from recordaudit.functions import spectra as S
+from recordaudit.functions.measured import let
 from recordaudit.operators.matching import range_join
 
 _ABBREVIATION = r"\b(?:Figs?|Tabs?|al|ca|cf|e\.g|i\.e|vs|approx|Nos?|Eqs?|Refs?|resp|et|sp|var|incl|min|max)\."
@@ -304,35 +305,56 @@ LASERS = {
 }
 
 
+def _laser_lints(text: Column) -> Column:
+    """An array of (lint, value): wavelengths that the system named last before them is not sold with, unless a grating follows in the sentence."""
+    sold = F.create_map(*[x for k, v in LASERS.items() for x in (F.lit(k), F.array(*[F.lit(float(nm)) for nm in v]))])
+    none = F.array().cast("array<struct<system:string,value:double,behind:int>>")
+
+    def put(state: Column, mark: Column) -> Column:
+        light = F.endswith(F.lower(mark["m"]), F.lit("nm"))
+        said = F.struct(state["of"].alias("system"), F.regexp_extract(mark["m"], r"^([\d.]+)", 1).try_cast("double").alias("value"), (mark["at"] + F.length(mark["m"])).alias("behind"))
+        return F.struct(
+            F.when(light, state["of"]).otherwise(F.lower(mark["m"])).alias("of"),
+            F.when(light & state["of"].isNotNull(), F.concat(state["out"], F.array(said))).otherwise(state["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(None).cast("string").alias("of"), none.alias("out"))
+    said = F.aggregate(spans(text, r"(?i)" + "|".join(LASERS) + r"|\d{3}(?:\.\d)? ?-?nm\b"), start, put, lambda state: state["out"])
+    alien = F.filter(said, lambda x: F.forall(sold[x["system"]], lambda v: F.abs(x["value"] - v) > 2))
+    alien = F.filter(alien, lambda x: ~F.substring(text, x["behind"], F.length(text)).rlike(r"(?i)^[^.]*?\bgrating"))
+    return F.transform(alien, lambda x: F.struct(F.concat(F.lit("laser not sold with "), x["system"]).alias("lint"), x["value"].alias("value")))
+
+
+def _band_lints(text: Column) -> Column:
+    """An array of (lint, value) over the numbers of sentences about water; a diamond cell is a matter of the whole document."""
+    wet = F.filter(sentences_of(text), lambda s: F.contains(s, F.lit("cm-1")) & s.rlike(r"(?i)O-?H|hydroxyl|water|H2O|hydrogen[- ]bond"))
+
+    def of_value(flags: Column, v: Column) -> Column:
+        kinds = [F.when(~flags["organic"] & v.between(*CH_WINDOW), "C-H window"), F.when(flags["infrared"] & v.between(*DIAMOND_CELL), "diamond cell")]
+        kinds += [F.when(~flags["named"] & v.between(centre - half, centre + half), f"atmospheric {line}") for line, centre, half in ATMOSPHERIC]
+        return F.transform(F.array_compact(F.array(*kinds)), lambda kind: F.struct(kind.alias("lint"), v.alias("value")))
+
+    def of_sentence(s: Column) -> Column:
+        values = F.transform(F.regexp_extract_all(s, F.lit(r"\b(\d{3,4})\b(?=\s*(?:,|and|cm|\)))"), F.lit(1)), lambda n: n.cast("double"))
+        flags = F.struct(
+            s.rlike(r"(?i)C-?H\b|organic|grease|epoxy|contamin|adhesive|resin|carbon").alias("organic"),
+            s.rlike(r"(?i)atmospher|CO2|carbon dioxide|N2|nitrogen").alias("named"), s.rlike(r"(?i)FTIR|infrared|IR\b").alias("infrared"),
+        )
+        return let(flags, lambda f: F.flatten(F.transform(values, lambda v: of_value(f, v))))
+
+    return F.flatten(F.transform(wet, of_sentence))
+
+
 def spectroscopy_lints(texts: DataFrame) -> DataFrame:
-    """``doc_id, lint, value``: O–H bands in the C–H window, atmospheric lines, the diamond cell, a laser the system lacks."""
-    norm = texts.withColumn("text", normalise_text(F.col("text")))
-    sents = sentences(norm)
-    water = F.col("sentence").rlike(r"(?i)O-?H|hydroxyl|water|H2O|hydrogen[- ]bond")
-    numbers = sents.where(water & F.contains(F.col("sentence"), F.lit("cm-1"))).select(
-        "doc_id", "sentence", F.explode(F.regexp_extract_all("sentence", F.lit(r"\b(\d{3,4})\b(?=\s*(?:,|and|cm|\)))"), F.lit(1))).alias("n")
-    ).withColumn("value", F.col("n").cast("double"))
-    organic = F.col("sentence").rlike(r"(?i)C-?H\b|organic|grease|epoxy|contamin|adhesive|resin|carbon")
-    ch = numbers.where(F.col("value").between(*CH_WINDOW) & ~organic).select("doc_id", F.lit("C-H window").alias("lint"), "value")
-    air = texts.sparkSession.createDataFrame([(line, centre - half, centre + half) for line, centre, half in ATMOSPHERIC], "what string, lo double, hi double")
-    named = F.col("sentence").rlike(r"(?i)atmospher|CO2|carbon dioxide|N2|nitrogen")
-    lines = range_join(numbers.where(~named), air, "value", "lo", "hi", 50.0).select("doc_id", F.concat(F.lit("atmospheric "), F.col("what")).alias("lint"), "value")
-    cells = norm.where(F.col("text").rlike("(?i)diamond")).select("doc_id").distinct()
-    infrared = F.col("sentence").rlike(r"(?i)FTIR|infrared|IR\b")
-    diamond = numbers.where(infrared & F.col("value").between(*DIAMOND_CELL)).join(cells, "doc_id", "left_semi").select("doc_id", F.lit("diamond cell").alias("lint"), "value")
-    systems = F.array(*[F.struct(F.lit(k).alias("system"), F.array(*[F.lit(float(x)) for x in v]).alias("sold")) for k, v in LASERS.items()])
-    named = norm.select("doc_id", "text", F.explode(F.filter(systems, lambda s: F.contains(F.lower(F.col("text")), s["system"]))).alias("s"))
-    # a wavelength belongs to the system named last before it
-    marks = named.select("doc_id", "s.system", "s.sold", F.inline(spans(F.lower(F.col("text")), "|".join(LASERS) + r"|\d{3}(?:\.\d)? ?-?nm\b")))
-    behind = Window.partitionBy("doc_id", "system").orderBy("at")
-    marks = marks.withColumn("of", F.last(F.when(~F.col("m").rlike("nm$"), F.col("m")), True).over(behind.rowsBetween(Window.unboundedPreceding, 0)))
-    marks = marks.withColumn("value", F.regexp_extract("m", r"^([\d.]+)", 1).try_cast("double"))
-    grating = norm.select("doc_id", F.lower("text").alias("low"))
-    said = marks.where("of = system AND value IS NOT NULL").join(grating, "doc_id").where(~F.expr("substring(low, at + length(m))").rlike(r"^[^.]*?\bgrating"))
-    lasers = said.where(F.forall("sold", lambda v: F.abs(F.col("value") - v) > 2)).select(
-        "doc_id", F.concat(F.lit("laser not sold with "), F.col("system")).alias("lint"), "value"
-    )
-    return ch.unionByName(lines).unionByName(diamond).unionByName(lasers).distinct()
+    """``doc_id, lint, value``: O–H bands in the C–H window, atmospheric lines, the diamond cell, a laser the system lacks.
+
+    A text is read once; what several texts of one document say of a diamond cell is brought together by the document.
+    """
+    text = F.col("text")
+    cell = F.when(text.rlike("(?i)diamond"), F.array(F.struct(F.lit("").alias("lint"), F.lit(None).cast("double").alias("value")))).otherwise(F.array().cast("array<struct<lint:string,value:double>>"))
+    found = texts.select("doc_id", normalise_text(text).alias("text")).select("doc_id", F.inline(F.concat(_band_lints(text), _laser_lints(text), cell)))
+    met = found.groupBy("doc_id").agg(F.collect_set(F.struct("lint", "value")).alias("met"), F.max(F.col("lint") == "").alias("cell"))
+    return met.select("doc_id", "cell", F.inline("met")).where("lint <> '' AND (cell OR lint <> 'diamond cell')").select("doc_id", "lint", "value")
 
 
 # What is a property of planes, what runs along an axis, and how a direction is introduced.

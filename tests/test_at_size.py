@@ -87,6 +87,19 @@ def test_a_longer_number_is_no_evidence_of_water(spark, at, lints):
     assert T.evidence_lints(rows).count() == lints
 
 
+def test_lints_read_a_text_once(spark):
+    from recordaudit.operators import textjobs as T
+
+    rows = spark.createDataFrame([
+        (1, "The O-H band lies at 2900 cm-1 and 2349 cm-1. Spectra used a LabRam with 248 nm light. An inVia with a 532 nm laser has 600 nm gratings."),
+        (2, "The FTIR spectrum shows water at 2000 cm-1."), (2, "A diamond cell was used."), (3, "The FTIR spectrum shows water at 2000 cm-1."), (4, None),
+    ], "doc_id long, text string")
+    found = T.spectroscopy_lints(rows)
+    assert sorted((r["doc_id"], r["lint"], r["value"]) for r in found.collect()) == [
+        (1, "C-H window", 2900.0), (1, "atmospheric CO2 stretch", 2349.0), (1, "laser not sold with labram", 248.0), (2, "diamond cell", 2000.0)]
+    assert T.spectroscopy_lints(rows)._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+
+
 def test_techniques_are_carried_within_the_text(spark):
     from recordaudit.operators import textjobs as T
 
