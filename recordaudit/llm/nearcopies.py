@@ -30,8 +30,9 @@ RADIUS = 7  # bits in which the fingerprints of a proposed pair differ at most
 SLICE = 1 << 14  # fingerprints of a node that are held against as many others in one task
 SMALL = 1 << 12  # fingerprints at a node that are compared without looking at another byte first
 AT_ONCE = 1 << 22  # pairs looked at in one array
-ASKED = 8  # partners of a text in one round, each of another group; those beyond have their turn in later rounds
-YIELD = 0.01  # links per question below which a round is the last; 0 asks until no text has a partner left
+ASKED = 8  # partners of a text in the first round, each of another group; those beyond have their turn in later rounds
+WIDER = 4  # by how much that number grows from round to round
+WIDEST = 128  # up to which: what a task holds stays bounded
 
 
 def word_fingerprint(text: str | None) -> list[int]:
@@ -169,30 +170,27 @@ def closest(state: DataFrame, radius: int = RADIUS, depth: int | None = None, mo
     return found.select("u", F.explode("m").alias("m")).select("u", "m.v", "m.dist")
 
 
-def links_of(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], radius: int = RADIUS, least: float = YIELD) -> DataFrame:
+def links_of(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], radius: int = RADIUS, most: int = ASKED) -> DataFrame:
     """(a, b) of the uids in `reps` (uid, fps) that are linked by a resemblance of 0.8 or more, enough of them to connect every group.
 
-    `texts_of` gives (uid, text) for a table of uids. Ends when no text has a partner left to ask, or after a round in which fewer than
-    `least` of the questions found a link. Texts without a partner drop out for good, so later rounds are small.
+    `texts_of` gives (uid, text) for a table of uids. Ends when no text has a partner left to ask: every pair within reach is then
+    of one group or refused. Texts without a partner drop out for good, so later rounds are small, and each asks more partners a text.
     """
     spark = reps.sparkSession
     state = reps.select("uid", "fps", F.col("uid").alias("label"), F.array().cast("array<long>").alias("refused"))
     links, texts = spark.createDataFrame([], "a long, b long"), None
     while True:
-        asked = stored(closest(state, radius), "asked")
+        asked = stored(closest(state, radius, most=most), "asked")
+        most = max(most, min(most * WIDER, WIDEST))
         active = asked.select("u").union(asked.select("v")).toDF("uid").distinct()
         if texts is None:
             texts = stored(texts_of(active), "texts")
         pairs = asked.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         met = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
         told = stored(met.select("a", "b", resemble("ta", "tb").alias("alike")), "told")
-        counts = told.groupBy("alike").count().collect()
-        if not counts:
+        if told.isEmpty():
             break
-        new = {r["alike"]: r["count"] for r in counts}
         links = links.union(told.where("alike").select("a", "b"))
-        if new.get(True, 0) < least * sum(new.values()):
-            break
         roots = components(links).select(F.col("node").alias("uid"), F.col("root").alias("to"))
         no = told.where("NOT alike")
         no = no.select(F.col("a").alias("uid"), F.col("b").alias("v")).union(no.select("b", "a")).groupBy("uid").agg(F.collect_set("v").alias("no"))

@@ -84,6 +84,23 @@ def test_copies_far_apart_in_bits_go(docs, spark):
     assert len(kept) < len(simhash.keep_first(docs(rows)).collect())
 
 
+def test_every_partner_is_asked(spark):
+    """Texts of one bag of words have one fingerprint: the only copy comes after 40 closer strangers, and finds its link in a late round."""
+    from recordaudit.llm.nearcopies import links_of
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [rng.sample(words, 60) for _ in range(40)]
+    texts.append(texts[0][1:] + texts[0][:1])  # a turn by one word: 55 of 57 shingles
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    prints = [nearcopies.word_fingerprint(t) for _, t in rows]
+    assert len({tuple(p) for p in prints}) == 1
+    reps = spark.createDataFrame([(i, p) for i, p in enumerate(prints)], "uid long, fps array<long>")
+    table = spark.createDataFrame(rows, "uid long, text string")
+    links = links_of(reps, lambda uids: table.join(uids, "uid", "left_semi"), most=2)
+    assert [(r["a"], r["b"]) for r in links.collect()] == [(0, 40)]
+
+
 def test_an_id_with_two_texts_keeps_both_groups(docs):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     got = nearcopies.keep_one(docs([(1, a), (1, b), (2, a), (2, b)])).collect()
