@@ -7,8 +7,10 @@ share of the errors in every prefix of whole bytes (the cycle lemma), so none in
 walked from a depth that follows the number of fingerprints; what meets at a node is dealt out in slices, so no node is settled
 in one task however many fingerprints it holds.
 
-Every text asks its closest few partners at a time, one of each other group, none that was refused. Pairs that resemble each other
-are links, others are refused, and the groups so far decide who asks next. So a group of n copies costs some n questions, not n².
+Every text first asks its closest few partners: pairs that resemble each other are links, others are refused, and the linked ones
+become groups. Texts that still have a partner of another group within reach meet once more, together with the hashes of their
+shingles, and what resembles each other is told where they meet: only links leave a task. So a group of n copies costs some n
+questions and some n rows, though all of its pairs within reach are settled.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,9 +32,8 @@ RADIUS = 7  # bits in which the fingerprints of a proposed pair differ at most
 SLICE = 1 << 14  # fingerprints of a node that are held against as many others in one task
 SMALL = 1 << 12  # fingerprints at a node that are compared without looking at another byte first
 AT_ONCE = 1 << 22  # pairs looked at in one array
-ASKED = 8  # partners of a text in the first round, each of another group; those beyond have their turn in later rounds
-WIDER = 4  # by how much that number grows from round to round
-WIDEST = 128  # up to which: what a task holds stays bounded
+MASS = 1 << 21  # shingles of a slice, where texts meet with their shingles
+ASKED = 8  # partners that a text asks by itself; those beyond are told where they meet
 
 
 def word_fingerprint(text: str | None) -> list[int]:
@@ -71,6 +72,18 @@ def resemble(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series(out)
 
 
+def shingle_hashes(text: str | None) -> bytes:
+    """The distinct five-word shingles of a whole text as hashes of 64 bits, in order."""
+    h = {xxhash.xxh3_64_intdigest(b" ".join(s)) for s in shingles(text)}
+    return np.sort(np.fromiter(h, dtype=np.uint64, count=len(h))).tobytes()
+
+
+@F.pandas_udf(T.BinaryType())
+def hashed_shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for text in batches:
+        yield pd.Series([shingle_hashes(t) for t in text])
+
+
 def _budget(radius: int, bits: int) -> int:
     return radius * bits // 64
 
@@ -139,6 +152,25 @@ def _settle(radius: int, depth: int, asked_of: int) -> Callable:
     return settle
 
 
+def _meetings(state: DataFrame, n: int, radius: int, depth: int, carried: tuple[str, ...], mass: Column, per_task: int) -> DataFrame:
+    """The `n` rows of `state` (uid, fps, label and what is `carried`) at the nodes where they meet, dealt by (o, place, one, other): pairs of slices of a node."""
+    turned = state.select("uid", "label", *carried, F.posexplode("fps").alias("at", "fp")).select("uid", "label", *carried, "at", "fp", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("o"))
+    turned = turned.withColumn("k", F.expr("shiftleft(fp, 8 * o) | if(o = 0, 0L, shiftrightunsigned(fp, 64 - 8 * o))")).withColumn("o", F.col("at") * 8 + F.col("o"))
+    turned = turned.withColumn("top", F.shiftrightunsigned("k", 64 - depth))
+    masks = _prefix_masks(radius, depth)
+    sent = turned.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])) if len(masks) > 1 else F.lit(0).cast("long"))
+    sent = sent.withColumn("place", F.col("top").bitwiseXOR(F.col("mask"))).where("place <= top")
+    sent = sent.select("o", "place", "k", "uid", "label", *carried, (F.col("mask") == 0).alias("own"), F.bit_count("mask").alias("spent"))
+    slices = sent.groupBy("o", "place").agg(F.greatest(F.ceil(F.count("*") / SLICE), F.ceil(F.sum(mass) / MASS)).cast("int").alias("slices"), F.max("own").alias("met")).where("met").select("o", "place", "slices")
+    dealt = sent.join(slices, ["o", "place"]).withColumn("part", F.pmod(F.xxhash64("uid", F.lit(3)), F.col("slices")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("with"))
+    dealt = dealt.withColumn("one", F.least("part", "with")).withColumn("other", F.greatest("part", "with")).drop("slices", "with")
+    # small rows, much work: told apart from other exchanges, whose partitions go by bytes
+    tasks = max(state.sparkSession.sparkContext.defaultParallelism * 4, n >> per_task)
+    dealt = dealt.repartition(tasks, "o", "place", "one", "other")
+    return dealt
+
+
 def closest(state: DataFrame, radius: int = RADIUS, depth: int | None = None, most: int = ASKED) -> DataFrame:
     """(u, v, dist): for each uid the `most` closest other ones within `radius` bits (the smallest of equally close ones), one of each label.
 
@@ -151,52 +183,122 @@ def closest(state: DataFrame, radius: int = RADIUS, depth: int | None = None, mo
         depth = 8
         while depth < 32 and n >> depth > SLICE:
             depth += 8
-    turned = state.select("uid", "label", "refused", F.posexplode("fps").alias("at", "fp")).select("uid", "label", "refused", "at", "fp", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("o"))
-    turned = turned.withColumn("k", F.expr("shiftleft(fp, 8 * o) | if(o = 0, 0L, shiftrightunsigned(fp, 64 - 8 * o))")).withColumn("o", F.col("at") * 8 + F.col("o"))
-    turned = turned.withColumn("top", F.shiftrightunsigned("k", 64 - depth))
-    masks = _prefix_masks(radius, depth)
-    sent = turned.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])) if len(masks) > 1 else F.lit(0).cast("long"))
-    sent = sent.withColumn("place", F.col("top").bitwiseXOR(F.col("mask"))).where("place <= top")
-    sent = sent.select("o", "place", "k", "uid", "label", "refused", (F.col("mask") == 0).alias("own"), F.bit_count("mask").alias("spent"))
-    slices = sent.groupBy("o", "place").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"), F.max("own").alias("met")).where("met").select("o", "place", "slices")
-    dealt = sent.join(slices, ["o", "place"]).withColumn("part", F.pmod(F.xxhash64("uid", F.lit(3)), F.col("slices")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("with"))
-    dealt = dealt.withColumn("one", F.least("part", "with")).withColumn("other", F.greatest("part", "with")).drop("slices", "with")
-    # small rows, much work: told apart from other exchanges, whose partitions go by bytes
-    tasks = max(state.sparkSession.sparkContext.defaultParallelism * 4, n >> 13)
-    dealt = dealt.repartition(tasks, "o", "place", "one", "other")
+    dealt = _meetings(state, n, radius, depth, ("refused",), F.lit(0), 13)
     found = dealt.groupBy("o", "place", "one", "other").applyInPandas(_settle(radius, depth, most), "u long, v long, dist long, label long")
     found = found.groupBy("u", "label").agg(F.min(F.struct("dist", "v")).alias("m")).groupBy("u").agg(F.slice(F.array_sort(F.collect_list("m")), 1, most).alias("m"))  # 16 orders of `most` at most
     return found.select("u", F.explode("m").alias("m")).select("u", "m.v", "m.dist")
 
 
+def _tell(radius: int, depth: int) -> Callable:
+    """Links among what met at one node, or in two slices of it: rows (a, b), enough of them to connect what resembles each other.
+
+    A pair that meets at several nodes is told at the first of them.
+    """
+    masks = np.array(_prefix_masks(radius, depth), dtype=np.uint64)
+
+    def meets(x: np.ndarray, o: int) -> np.ndarray:
+        turned = (x << np.uint64(8 * o)) | (x >> np.uint64(64 - 8 * o)) if o else x
+        return np.isin(turned >> np.uint64(64 - depth), masks)
+
+    def tell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        at, turn, one, other = int(key[0]) // 8, int(key[0]) % 8, int(key[2]), int(key[3])
+        k, uid, part, own = rows["k"].to_numpy().view(np.uint64), rows["uid"].to_numpy(), rows["part"].to_numpy(), rows["own"].to_numpy()
+        first = rows["first"].to_numpy().view(np.uint64)
+        group = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
+        bags = [np.frombuffer(b, dtype=np.uint64) for b in rows["bag"]]
+        size = np.array([len(b) for b in bags], dtype=np.int64)
+        end = np.concatenate([[0], np.cumsum(size)])
+        names, ids = np.unique(np.concatenate(bags), return_inverse=True)
+        held = np.zeros(len(names), dtype=bool)
+        links = []
+        xs, ys = np.flatnonzero(part == one), np.flatnonzero(part == other)
+        wide = max(1, AT_ONCE // max(len(ys), 1))
+        for x in (xs[n:n + wide] for n in range(0, len(xs), wide)):
+            i, j = np.nonzero(np.bitwise_count(k[x][:, None] ^ k[ys][None, :]) <= radius)
+            i, j = x[i], ys[j]
+            keep = (group[i] != group[j]) & (own[i] | own[j]) & (9 * np.minimum(size[i], size[j]) >= 4 * (size[i] + size[j]))
+            if one == other:
+                keep &= i < j
+            i, j = i[keep], j[keep]
+            diff = k[i] ^ k[j]
+            diff = (diff >> np.uint64(8 * turn)) | (diff << np.uint64(64 - 8 * turn)) if turn else diff
+            before = np.zeros(len(i), dtype=bool)
+            for o in range(turn):
+                before |= meets(diff, o)
+            if at:
+                diff = first[i] ^ first[j]
+                near, seen = np.bitwise_count(diff) <= radius, np.zeros(len(i), dtype=bool)
+                for o in range(8):
+                    seen |= meets(diff, o)
+                before |= near & seen
+            i, j = i[~before], j[~before]
+            for start, stop in zip(*_runs(i)):
+                me, them = i[start], j[start:stop]
+                them = them[group[them] != group[me]]
+                if not len(them):
+                    continue
+                mine = ids[end[me]:end[me + 1]]
+                held[mine] = True
+                for some in np.array_split(them, 1 + int(size[them].sum()) // AT_ONCE):
+                    upto = np.cumsum(size[some])
+                    of = np.repeat(end[some] - upto + size[some], size[some]) + np.arange(upto[-1])
+                    total = np.concatenate([[0], np.cumsum(held[ids[of]])])
+                    common = total[upto] - total[upto - size[some]]
+                    alike = some[9 * common >= 4 * (size[some] + size[me])]
+                    _, once = np.unique(group[alike], return_index=True)
+                    for v in alike[once]:
+                        if group[v] != group[me]:
+                            links.append((min(uid[me], uid[v]), max(uid[me], uid[v])))
+                            group[group == group[v]] = group[me]
+                held[mine] = False
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return tell
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and end."""
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, dtype=np.int64)
+    return starts, np.append(starts[1:], len(values)) if len(values) else starts
+
+
+def links_where_met(state: DataFrame, radius: int = RADIUS, depth: int | None = None) -> DataFrame:
+    """(a, b) of the uids of `state` (uid, fps, label, bag: `shingle_hashes`) that lie within `radius` bits and resemble each other by 0.8
+    or more, enough of them to connect every group of labels. Two texts of one node, or of two of its slices, are compared in a task."""
+    n = state.count()
+    if depth is None:
+        depth = 8
+        while depth < 32 and n >> depth > 8 * SLICE:  # shingles are wider than fingerprints: rather slices than more places
+            depth += 8
+    held = state.withColumn("first", F.col("fps")[0])
+    dealt = _meetings(held, n, radius, depth, ("first", "bag"), F.octet_length("bag") / 8, 10)
+    return dealt.groupBy("o", "place", "one", "other").applyInPandas(_tell(radius, depth), "a long, b long")
+
+
 def links_of(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], radius: int = RADIUS, most: int = ASKED) -> DataFrame:
     """(a, b) of the uids in `reps` (uid, fps) that are linked by a resemblance of 0.8 or more, enough of them to connect every group.
 
-    `texts_of` gives (uid, text) for a table of uids. Ends when no text has a partner left to ask: every pair within reach is then
-    of one group or refused. Texts without a partner drop out for good, so later rounds are small, and each asks more partners a text.
+    `texts_of` gives (uid, text) for a table of uids. Each text asks its `most` closest partners; those that then have one of another
+    group within reach that was not refused are told where they meet. So every pair within reach is of one group or refused.
     """
-    spark = reps.sparkSession
     state = reps.select("uid", "fps", F.col("uid").alias("label"), F.array().cast("array<long>").alias("refused"))
-    links, texts = spark.createDataFrame([], "a long, b long"), None
-    while True:
-        asked = stored(closest(state, radius, most=most), "asked")
-        most = max(most, min(most * WIDER, WIDEST))
-        active = asked.select("u").union(asked.select("v")).toDF("uid").distinct()
-        if texts is None:
-            texts = stored(texts_of(active), "texts")
-        pairs = asked.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-        met = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-        told = stored(met.select("a", "b", resemble("ta", "tb").alias("alike")), "told")
-        if told.isEmpty():
-            break
-        links = links.union(told.where("alike").select("a", "b"))
-        roots = components(links).select(F.col("node").alias("uid"), F.col("root").alias("to"))
-        no = told.where("NOT alike")
-        no = no.select(F.col("a").alias("uid"), F.col("b").alias("v")).union(no.select("b", "a")).groupBy("uid").agg(F.collect_set("v").alias("no"))
-        state = state.join(active, "uid", "left_semi").join(roots, "uid", "left").join(no, "uid", "left")
-        state = stored(state.select("uid", "fps", F.coalesce("to", "label").alias("label"), F.when(F.col("no").isNull(), F.col("refused")).otherwise(F.concat("refused", "no")).alias("refused")), "state")
-    return links
+    asked = stored(closest(state, radius, most=most), "asked")
+    active = asked.select("u").union(asked.select("v")).toDF("uid").distinct()
+    texts = stored(texts_of(active), "texts")
+    pairs = asked.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    met = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
+    told = stored(met.select("a", "b", resemble("ta", "tb").alias("alike")), "told")
+    links = told.where("alike").select("a", "b")
+    roots = components(links).select(F.col("node").alias("uid"), F.col("root").alias("to"))
+    no = told.where("NOT alike")
+    no = no.select(F.col("a").alias("uid"), F.col("b").alias("v")).union(no.select("b", "a")).groupBy("uid").agg(F.collect_set("v").alias("no"))
+    state = state.join(active, "uid", "left_semi").join(roots, "uid", "left").join(no, "uid", "left")
+    state = stored(state.select("uid", "fps", F.coalesce("to", "label").alias("label"), F.coalesce("no", "refused").alias("refused")), "state")
+    left = stored(closest(state, radius, most=1), "left")
+    left = left.select("u").union(left.select("v")).toDF("uid").distinct()
+    bags = texts.join(left, "uid", "left_semi").select("uid", hashed_shingles("text").alias("bag"))
+    rest = stored(state.select("uid", "fps", "label").join(bags, "uid"), "rest")
+    return links.union(stored(links_where_met(rest, radius), "links"))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -121,3 +121,36 @@ def test_stage_on_the_test_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     kept = corpus_pipeline.drop_near_copies(spark, docs, None)
     assert sorted(r["doc_id"] for r in kept.collect()) == brute_kept(rows)
+
+
+@pytest.mark.parametrize("slice_, mass, depth", [(1 << 14, 1 << 21, 8), (30, 1 << 21, 8), (1 << 14, 2000, 16)])
+def test_links_told_where_texts_meet(spark, monkeypatch, slice_, mass, depth):
+    """A large group in which most pairs are refused: only links leave the tasks, no more of them than nodes connect, and none is lost."""
+    monkeypatch.setattr(nearcopies, "SLICE", slice_)
+    monkeypatch.setattr(nearcopies, "MASS", mass)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4])):
+            copy[at] = "new" + str(rng.randrange(60))
+        texts.append(" ".join(copy))
+    texts += ["", " ", "w1 w2"]
+    prints, sets, n = [nearcopies.word_fingerprint(t) for t in texts], [shingles(t) for t in texts], len(texts)
+    near = [(i, j) for i in range(n) for j in range(i) if min(((a ^ b) & ((1 << 64) - 1)).bit_count() for a, b in zip(prints[i], prints[j])) <= 7]
+    alike = {(j, i) for i, j in near if resemblance(sets[i], sets[j]) >= 0.8}
+    assert len(near) > 3 * len(alike) > 100
+    rows = [(i, p, i, bytearray(nearcopies.shingle_hashes(t))) for i, (p, t) in enumerate(zip(prints, texts))]
+    state = spark.createDataFrame(rows, "uid long, fps array<long>, label long, bag binary")
+    got = [(r["a"], r["b"]) for r in nearcopies.links_where_met(state, 7, depth).collect()]
+    assert set(got) <= alike and len(got) == len(set(got))
+
+    def groups(pairs):
+        root = list(range(n))
+        for a, b in sorted(pairs):
+            old, new = root[b], root[a]
+            root = [new if r == old else r for r in root]
+        return [sorted(i for i in range(n) if root[i] == root[k]) for k in range(n)]
+
+    assert groups(got) == groups(alike)
