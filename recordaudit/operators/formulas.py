@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordaudit.functions.elements import ATOMIC_WEIGHTS, USUAL_OXIDE
+from recordaudit.session import cut_lineage
 
 _TOKEN = r"[A-Z][a-z]?\s*(?:\d+(?:\.\d+)?|\.\d+)?|[)\]]\s*(?:\d+(?:\.\d+)?)?|[(\[]"
 _ATOMS = "array<struct<element:string,n:double,decimal:boolean>>"
@@ -54,20 +55,27 @@ def formula_atoms(formula: Column) -> Column:
     return F.flatten(F.transform(F.split(clean_formula(formula), "[!·•]"), part))
 
 
+def _read_once(formulas: DataFrame, found: Column, name: str) -> DataFrame:
+    """``entry_id, field, formula`` and each item of the array `found`, which is worked out once for equal formulas."""
+    texts = formulas.where("formula IS NOT NULL").select("formula").distinct()
+    texts = texts.repartition(formulas.sparkSession.sparkContext.defaultParallelism * 4, "formula")  # few bytes, much work
+    return formulas.select("entry_id", "field", "formula").join(texts.select("formula", F.explode(found).alias(name)), "formula")
+
+
 def elements_of(formulas: DataFrame) -> DataFrame:
-    """``entry_id, field, element, n, decimal``: the total of each element of each formula, one aggregation."""
-    atoms = formulas.select("entry_id", "field", F.explode(formula_atoms(F.col("formula"))).alias("a"))
+    """``entry_id, field, element, n, decimal``: the total of each element of each formula, one aggregation. Equal formulas are read once."""
+    atoms = _read_once(formulas, formula_atoms(F.col("formula")), "a")
     return atoms.groupBy("entry_id", "field", F.col("a.element").alias("element")).agg(F.sum("a.n").alias("n"), F.bool_or("a.decimal").alias("decimal"))
 
 
-def coefficient_gaps(formulas: DataFrame, left: str, right: str) -> DataFrame:
+def coefficient_gaps(formulas: DataFrame, left: str, right: str, elements: DataFrame | None = None) -> DataFrame:
     """``entry_id, element, n_left, n_right``: elements whose coefficients in two fields of one entry disagree.
 
     A full outer join on entry and element. Coefficients count where they are printed with decimals; an element that one field lacks
     altogether disagrees too. Oxygen and hydrogen are left aside. Entries without either field, or with fewer than two
     decimal coefficients in one of them, are not compared.
     """
-    own = elements_of(formulas.where(F.col("field").isin(left, right)))
+    own = elements_of(formulas.where(F.col("field").isin(left, right))) if elements is None else elements
     side = lambda name, n: own.where(F.col("field") == name).select("entry_id", "element", F.col("n").alias(n), F.col("decimal").alias(f"{n}_dec"))
     both = side(left, "n_left").join(side(right, "n_right"), ["entry_id", "element"], "full_outer")
     of_entry = Window.partitionBy("entry_id")
@@ -78,15 +86,15 @@ def coefficient_gaps(formulas: DataFrame, left: str, right: str) -> DataFrame:
     return both.where((larger >= SMALLEST) & (F.coalesce(differ, F.lit(False)) | lacking)).select("entry_id", "element", F.round("n_left", 6).alias("n_left"), F.round("n_right", 6).alias("n_right"))
 
 
-def lone_elements(formulas: DataFrame, least: int = 3) -> DataFrame:
+def lone_elements(formulas: DataFrame, least: int = 3, elements: DataFrame | None = None) -> DataFrame:
     """``entry_id, field, element``: elements that one field alone names, in entries with `least` fields or more; O and H aside."""
-    named = elements_of(formulas).select("entry_id", "field", "element").where("element NOT IN ('O', 'H')")
+    named = (elements_of(formulas) if elements is None else elements).select("entry_id", "field", "element").where("element NOT IN ('O', 'H')")
     fields = formulas.where("formula IS NOT NULL").groupBy("entry_id").agg(F.count_distinct("field").alias("fields")).where(F.col("fields") >= least)
     alone = named.groupBy("entry_id", "element").agg(F.count(F.lit(1)).alias("n"), F.min("field").alias("field")).where("n = 1")
     return alone.join(fields, "entry_id").select("entry_id", "field", "element")
 
 
-def split_symbols(formulas: DataFrame) -> DataFrame:
+def split_symbols(formulas: DataFrame, elements: DataFrame | None = None) -> DataFrame:
     """``entry_id, field, written, symbol``: an element's symbol that is written as two capitals apart (``T B0.01`` for Tb).
 
     Two capitals before a decimal coefficient meet the table of elements as one symbol; they are a slip if the first is no element by itself, or if another
@@ -96,10 +104,10 @@ def split_symbols(formulas: DataFrame) -> DataFrame:
     known = spark.createDataFrame([(e,) for e in ATOMIC_WEIGHTS], "symbol string")
     pattern = r"(?<![A-Za-z])([A-Z])\s+([A-Z])(\d*\.\d+)"
     all_of = lambda k: F.regexp_extract_all("formula", F.lit(pattern), F.lit(k))
-    pairs = formulas.select("entry_id", "field", F.explode(F.arrays_zip(all_of(0).alias("written"), all_of(1).alias("a"), all_of(2).alias("b"))).alias("p"))
+    pairs = _read_once(formulas, F.arrays_zip(all_of(0).alias("written"), all_of(1).alias("a"), all_of(2).alias("b")), "p")
     met = pairs.select("entry_id", "field", "p.written", "p.a", F.concat("p.a", F.lower("p.b")).alias("symbol")).join(known, "symbol")
     first = met.join(known.withColumnRenamed("symbol", "a").withColumn("own", F.lit(True)), "a", "left")
-    elsewhere = elements_of(formulas).select("entry_id", F.col("field").alias("other"), F.col("element").alias("symbol"))
+    elsewhere = (elements_of(formulas) if elements is None else elements).select("entry_id", F.col("field").alias("other"), F.col("element").alias("symbol"))
     told = first.join(elsewhere, ["entry_id", "symbol"], "left").groupBy("entry_id", "field", "written", "symbol").agg(
         F.bool_or(F.col("own").isNull() | F.coalesce(F.col("other") != F.col("field"), F.lit(False))).alias("slip"))
     return told.where("slip").select("entry_id", "field", "written", "symbol")
@@ -125,16 +133,17 @@ def written_faults(formulas: DataFrame) -> DataFrame:
     every = F.array_distinct(F.concat(
         F.coalesce(brackets, F.array().cast("array<struct<fault:string,written:string>>")), found("decimal point", rf"(?<![A-Za-z\d.])(?:{known})0\d+(?![\d.])"),
         found("colon", r"[A-Z][a-z]?\s*\d+:\d+"), found("blank", rf"(?<![A-Za-z])(?:{known})\s*(?:\d+\s+\.\d+|\d+\.\d\s\d(?![\d.]))")))
-    return formulas.where("formula IS NOT NULL").select("entry_id", "field", F.inline(every))
+    return _read_once(formulas, every, "w").select("entry_id", "field", "w.fault", "w.written")
 
 
 def formula_findings(formulas: DataFrame, listed: DataFrame, left: str = "Analytical", right: str = "Analysis") -> DataFrame:
     """All of the above as findings: ``entry_id, code, sev, msg, anchor``; elements of a split symbol are not reported again."""
-    split = split_symbols(formulas)
+    elements = cut_lineage(elements_of(formulas))  # read three times below
+    split = split_symbols(formulas, elements)
     garbled = split.select("entry_id", F.explode(F.array(F.substring("written", 1, 1), F.regexp_extract("written", r"\s([A-Z])", 1), "symbol")).alias("element")).distinct()
-    gaps = coefficient_gaps(formulas, left, right).join(garbled, ["entry_id", "element"], "left_anti").groupBy("entry_id").agg(F.array_sort(F.collect_list(F.concat_ws(
+    gaps = coefficient_gaps(formulas, left, right, elements).join(garbled, ["entry_id", "element"], "left_anti").groupBy("entry_id").agg(F.array_sort(F.collect_list(F.concat_ws(
         " ", "element", F.coalesce(F.format_number("n_left", 3), F.lit("absent")), F.lit("vs"), F.coalesce(F.format_number("n_right", 3), F.lit("absent"))))).alias("gaps"))
-    lone = lone_elements(formulas).join(garbled, ["entry_id", "element"], "left_anti")
+    lone = lone_elements(formulas, elements=elements).join(garbled, ["entry_id", "element"], "left_anti")
     row = lambda code, msg, anchor: (F.lit(code).alias("code"), F.lit("flag").alias("sev"), msg.alias("msg"), anchor.alias("anchor"))
     of = lambda c: F.concat(F.lit("formula:"), F.col(c))
     parts = [

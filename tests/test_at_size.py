@@ -128,3 +128,16 @@ def test_equal_paragraphs_are_searched_for_citations_once(spark):
     got = sorted((r["doc_id"], r["para"], tuple(r["names"]), r["year"], r["suffix"] or "") for r in found.collect())
     each = [(("ann", "bob"), "2001", "a"), (("ann", "bob"), "2001", "b"), (("cid",), "1999", "")]
     assert got == sorted([(d, p, *c) for d in (1, 2) for p in (1, 2, 2) for c in each] + [(3, 3, ("dee",), "in press", "")])
+
+
+def test_equal_formulas_are_read_once(spark):
+    from recordaudit.operators import formulas as Y
+
+    rows = [(e, f, "Pb1.50 ( Al2 Fe0.77 )2 O4") for e in (1, 2) for f in ("Analytical", "Empirical")] + [(3, "Analytical", None), (3, "Analysis", "Mg05Si")]
+    table = spark.createDataFrame(rows, "entry_id long, field string, formula string")
+    found = Y.elements_of(table)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Aggregate [formula")  # what is read is made distinct first
+    got = sorted((r["entry_id"], r["field"], r["element"], round(r["n"], 6)) for r in found.collect() if r["entry_id"] < 3)
+    assert got == sorted((e, f, el, n) for e in (1, 2) for f in ("Analytical", "Empirical") for el, n in (("Pb", 1.5), ("Al", 4.0), ("Fe", 1.54), ("O", 4.0)))
+    assert [tuple(r)[:3] for r in Y.written_faults(table).collect()] == [(3, "Analysis", "decimal point")]
