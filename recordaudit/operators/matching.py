@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from recordaudit.operators import sweeps
@@ -30,6 +32,9 @@ class Tolerance:
     def value(self, value: float) -> float:
         return self.rel * max(value, self.floor) + self.abs
 
+    def values(self, value: np.ndarray) -> np.ndarray:
+        return self.rel * np.maximum(value, self.floor) + self.abs
+
     def of(self, value: Column) -> Column:
         return F.lit(self.rel) * F.greatest(value, F.lit(self.floor)) + F.lit(self.abs)
 
@@ -155,16 +160,29 @@ def collapse_sides(left: DataFrame, right: DataFrame, key: str, lval: str, rval:
     )
 
 
-def pair_pieces(values: DataFrame, key: str, tol: Tolerance) -> DataFrame:
+def pair_pieces(values: DataFrame, key: str, tol: Tolerance, together: bool = False) -> DataFrame:
     """One row per piece of a key's distinct values, with its pairs in ``done``; ``vs`` keeps the values of the piece.
 
     Pieces are numbered in two levels, so a key of any size is spread over value buckets; what one row holds is the distinct
-    values of one tolerance-connected run. Its pairs are settled in time near that number.
+    values of one tolerance-connected run. Its pairs are settled in time near that number. With `together`, the rows of a key lie
+    together already (for totals over the key) and are numbered in one sorted pass where they lie.
     """
-    pieces = split_by_gap(values, [key], "v", tol.of(F.col("v")))
+    gap = tol.of(F.col("v"))
+    if together:
+        up = Window.partitionBy(key).orderBy("v")
+        opens = F.when(F.col("v") - F.lag("v").over(up) > gap, 1).otherwise(0)
+        pieces = values.withColumn("_open", opens).withColumn("piece", F.sum("_open").over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        pieces = split_by_gap(values, [key], "v", gap)
     grouped = pieces.groupBy(key, "piece").agg(F.collect_list(F.struct("v", "n_l", "n_r", "p_l", "p_r")).alias("vs"))
-    schema = T.StructType([*grouped.schema.fields, T.StructField("done", T.ArrayType(T.StructType([T.StructField(n, t) for n, t in _PAIR])))])
-    return grouped.mapInArrow(sweeps.pair_arrays(tol.value), schema)
+    value, values_ = tol.value, tol.values
+    kind = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in _PAIR]))
+
+    def settle(vs: pa.Array) -> pa.Array:
+        return sweeps.settle_lists(vs, value, values_)
+
+    settle.__annotations__ = {"vs": pa.Array, "return": pa.Array}
+    return grouped.withColumn("done", F.arrow_udf(settle, kind)("vs"))
 
 
 def pair_values(left: DataFrame, right: DataFrame, key: str, lval: str, rval: str, tol: Tolerance) -> DataFrame:
@@ -258,7 +276,7 @@ def missing_lines(paper: DataFrame, entry: DataFrame, weak: float = 5.0) -> Data
         .where("n_l + n_r > 0 AND n_rows >= 8")
     )
     near = f"exists(vs, b -> b.n_l > 0 AND abs(a.v - b.v) <= {LINE_TOLERANCE.rel!r}D * greatest(a.v, {LINE_TOLERANCE.floor!r}D) + {LINE_TOLERANCE.abs!r}D)"
-    pieces = pair_pieces(rows.select("entry_id", "v", "n_l", "n_r", "p_l", "p_r"), "entry_id", LINE_TOLERANCE).select(
+    pieces = pair_pieces(rows.select("entry_id", "v", "n_l", "n_r", "p_l", "p_r"), "entry_id", LINE_TOLERANCE, together=True).select(
         "entry_id",
         F.size("done").alias("k"),
         F.expr("size(filter(vs, a -> a.n_l > 0))").alias("k_obs"),
@@ -280,16 +298,11 @@ def missing_lines(paper: DataFrame, entry: DataFrame, weak: float = 5.0) -> Data
         .where("n_obs >= 8 AND n_pairs >= 0.9 * n_own AND n_obs - n_pairs BETWEEN 1 AND 4")
         .withColumn("scale", F.coalesce(F.expr("max_own / nullif(max_obs, 0)"), F.lit(1.0)))
     )
-    absent = totals.select("entry_id", "scale", "max_obs", "min_own", F.explode("absent").alias("a")).select(
-        "entry_id", "scale", "max_obs", "min_own", F.col("a.v").alias("d"), F.col("a.p_l").alias("i")
-    ).where("i IS NULL OR i = 0 OR min_own IS NULL OR i * scale >= min_own - 1e-9")
-    stray = totals.select("entry_id", F.explode("stray").alias("t")).select(
-        "entry_id", F.col("t.v").alias("twin_d"), F.col("t.p_r").alias("twin_i")
-    )
-    # at most four absences to an entry, so this repeats a stray line at most four times
-    found = absent.join(
-        stray, (absent.entry_id == stray.entry_id) & F.expr("abs(twin_d - d) / d < 0.03 AND abs(twin_i - i * scale) <= 0.02 * greatest(twin_i, 1) + 0.5"), "left"
-    ).groupBy(absent.entry_id, "d", "i", "max_obs").agg(F.max("twin_d").alias("twin"))
+    # at most four absences to an entry: each is shown to all pieces with a stray line, and no branch is worked out twice
+    asked = totals.withColumn("asked", F.flatten(F.collect_list("absent").over(of_entry))).where("size(absent) + size(stray) > 0").withColumn("a", F.explode("asked"))
+    asked = asked.select("entry_id", "scale", "max_obs", "min_own", "stray", F.col("a.v").alias("d"), F.col("a.p_l").alias("i")).where("i IS NULL OR i = 0 OR min_own IS NULL OR i * scale >= min_own - 1e-9")
+    twin = F.expr("array_max(transform(filter(stray, t -> abs(t.v - d) / d < 0.03 AND abs(t.p_r - i * scale) <= 0.02 * greatest(t.p_r, 1) + 0.5), t -> t.v))")
+    found = asked.groupBy("entry_id", "d", "i", "max_obs").agg(F.max(twin).alias("twin"))
     strong = F.col("twin").isNotNull() | F.coalesce(F.expr(f"100.0 * i / coalesce(nullif(max_obs, 0), 100.0) >= {weak}"), F.lit(False))
     return found.withColumn("strong", F.max(F.when(strong, 1).otherwise(0)).over(of_entry)).select(
         "entry_id", "d", "i", "twin", F.when(F.col("strong") == 1, "flag").otherwise("note").alias("sev")
@@ -320,7 +333,7 @@ def intensity_outliers(paper: DataFrame, entry: DataFrame) -> DataFrame:
         .withColumn("n_own", F.sum("n_r").over(of_entry))
         .where("n_obs >= 8 AND n_own >= 8")
     )
-    pieces = pair_pieces(rows.select("entry_id", "v", "n_l", "n_r", "p_l", "p_r"), "entry_id", LINE_TOLERANCE)
+    pieces = pair_pieces(rows.select("entry_id", "v", "n_l", "n_r", "p_l", "p_r"), "entry_id", LINE_TOLERANCE, together=True)
     lines = (
         pieces.select("entry_id", "done", F.expr("size(filter(vs, a -> a.n_r > 0))").alias("k_own"))
         .withColumn("n_own", F.sum("k_own").over(of_entry))

@@ -112,29 +112,46 @@ class Offers:
         return self.queues[best[2]].pop() if best else None
 
 
-def pair_arrays(tol: Callable[[float], float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For rows with an array `vs` of (v, n_l, n_r, p_l, p_r): the same rows and their pairs in `done`."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("vs")
-            lists = batch.column(at)
-            flat = lists.flatten()
-            v, n_l, n_r = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("v", "n_l", "n_r"))
-            begin = np.cumsum([0, *lists.value_lengths().to_pylist()])
-            found, ends = [], [0]
-            for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist()):
-                values = v[lo:hi].tolist()
-                order = sorted(range(hi - lo), key=values.__getitem__)
-                pairs = closest_first([values[k] for k in order], n_l[lo:hi][order].tolist(), n_r[lo:hi][order].tolist(), tol)
-                found += [(lo + order[a], lo + order[b], n, ua, ub) for a, b, n, ua, ub in pairs]
-                ends.append(len(found))
-            cols = np.array(found, dtype=np.int64).reshape(-1, 5)
-            parts = {"l": flat.field("v").take(pa.array(cols[:, 0])), "r": flat.field("v").take(pa.array(cols[:, 1])), "n": pa.array(cols[:, 2]), "l_from": pa.array(cols[:, 3]), "r_from": pa.array(cols[:, 4]),
-                     "p_l": flat.field("p_l").take(pa.array(cols[:, 0])), "p_r": flat.field("p_r").take(pa.array(cols[:, 1]))}
-            done = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(parts.values()), names=list(parts)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, done], names=[*batch.schema.names, "done"])
-
-    return run
+def plain_pairs(v: np.ndarray, n_l: np.ndarray, n_r: np.ndarray, begin: np.ndarray, end: np.ndarray, tol: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of one value with both sides, or of two with one side each, all at once: their pairs as rows of `closest_first` by place
+    in `v`, a pair's piece first, and which pieces are left to settle. A piece that lacks a side has no pair."""
+    size, many = end - begin, np.zeros(len(begin), dtype=bool)
+    sides = [np.concatenate(([0], np.cumsum(n > 0))) for n in (n_l, n_r)]
+    both = np.logical_and(*[s[end] > s[begin] for s in sides])
+    one = np.flatnonzero(both & (size == 1))
+    two = np.flatnonzero(both & (size == 2))
+    first = begin[two]
+    single = ((n_l[first] > 0) != (n_r[first] > 0)) & ((n_l[first + 1] > 0) != (n_r[first + 1] > 0))
+    many[both & (size > 2)] = True
+    many[two[~single]] = True
+    two, first = two[single], first[single]
+    left = np.where(n_l[first] > 0, first, first + 1)
+    right = 2 * first + 1 - left
+    near = np.abs(v[left] - v[right]) <= tol(v[left])
+    piece, left, right = (np.concatenate((x, y)) for x, y in ((one, two[near]), (begin[one], left[near]), (begin[one], right[near])))
+    zero = np.zeros(len(piece), dtype=np.int64)
+    return np.stack((piece, left, right, np.minimum(n_l[left], n_r[right]), zero, zero), axis=1), many
+
+
+def settle_lists(lists: pa.ListArray, tol: Callable[[float], float], tols: Callable[[np.ndarray], np.ndarray]) -> pa.ListArray:
+    """For lists of (v, n_l, n_r, p_l, p_r), one to a piece: their pairs. Only pieces of several values take a heap."""
+    flat = lists.flatten()
+    v, n_l, n_r = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("v", "n_l", "n_r"))
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+    begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    plain, many = plain_pairs(v, n_l, n_r, begins, ends, tols)
+    found = []
+    for piece in np.flatnonzero(many).tolist():
+        lo, hi = int(begins[piece]), int(ends[piece])
+        order = np.argsort(v[lo:hi], kind="stable")
+        pairs = closest_first(v[lo:hi][order].tolist(), n_l[lo:hi][order].tolist(), n_r[lo:hi][order].tolist(), tol)
+        found += [(piece, lo + order[a], lo + order[b], n, ua, ub) for a, b, n, ua, ub in pairs]
+    cols = np.concatenate((plain, np.array(found, dtype=np.int64).reshape(-1, 6)))
+    cols = cols[np.argsort(cols[:, 0], kind="stable")]
+    stops = np.concatenate(([0], np.cumsum(np.bincount(cols[:, 0], minlength=len(ends)))))
+    parts = {"l": flat.field("v").take(pa.array(cols[:, 1])), "r": flat.field("v").take(pa.array(cols[:, 2])), "n": pa.array(cols[:, 3]), "l_from": pa.array(cols[:, 4]), "r_from": pa.array(cols[:, 5]),
+             "p_l": flat.field("p_l").take(pa.array(cols[:, 1])), "p_r": flat.field("p_r").take(pa.array(cols[:, 2]))}
+    return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.StructArray.from_arrays(list(parts.values()), names=list(parts)))
 
 
 def claims(keys: int, tol: Callable[[float], float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
