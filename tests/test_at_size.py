@@ -141,3 +141,14 @@ def test_equal_formulas_are_read_once(spark):
     got = sorted((r["entry_id"], r["field"], r["element"], round(r["n"], 6)) for r in found.collect() if r["entry_id"] < 3)
     assert got == sorted((e, f, el, n) for e in (1, 2) for f in ("Analytical", "Empirical") for el, n in (("Pb", 1.5), ("Al", 4.0), ("Fe", 1.54), ("O", 4.0)))
     assert [tuple(r)[:3] for r in Y.written_faults(table).collect()] == [(3, "Analysis", "decimal point")]
+
+
+def test_names_are_looked_up_once(spark):
+    tokens, species = spark.createDataFrame([("zois-ite",), ("zoisite",)], "token string"), spark.createDataFrame([("zoisite",)], "norm string")
+    found = D.lookup_tokens(tokens, species)
+    assert sorted(tuple(r) for r in found.collect()) == [("zois-ite", "spelling", "zoisite"), ("zoisite", "exact", "zoisite")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    words = spark.createDataFrame([(1, 0, "zoi-"), (1, 1, "site"), (1, 2, "zoisite"), (2, 0, "zoisite"), (2, 1, "zoisite")], "doc_id long, pos int, word string")
+    named = D.join_broken_names(words, species)
+    assert sorted((r["doc_id"], r["pos"], r["boxes"]) for r in named.collect()) == [(1, 0, 2), (1, 2, 1), (2, 0, 1), (2, 1, 1)]
+    assert "LeftAnti" not in named._jdf.queryExecution().optimizedPlan().toString()
