@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from recordaudit.functions.cell import cell_volume, d_spacing, inv_d2, metric, metric_length
 from recordaudit.functions.elements import ATOMIC_WEIGHTS
@@ -612,28 +612,88 @@ def powder_pattern(cells: DataFrame, sites: DataFrame, symops: DataFrame, factor
     )
 
 
-def table_vs_pattern(table: DataFrame, pattern: DataFrame, symops: DataFrame, strong: float = 10.0) -> DataFrame:
+SAME_D = 0.0015  # fixed value: two d spacings within this part of the smaller are one line
+CARRIED = 0.004  # fixed value: how far off in d a printed line may carry the intensity of another
+
+
+def _lines_of_one_d(pattern: DataFrame) -> DataFrame:
+    """Adds ``pile``: lines taken from the largest d down lie in one pile while they are within `SAME_D` of its first."""
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, head, pile = None, 0.0, -1
+        for batch in batches:
+            piles = []
+            for structure, d in zip(batch["structure_id"], batch["d"]):
+                if structure != at or head - d > SAME_D * d:
+                    at, head, pile = structure, d, pile + 1
+                piles.append(pile)
+            yield batch.assign(pile=piles)
+
+    rows = pattern.select("structure_id", "h", "k", "l", "d", "i").repartition("structure_id").sortWithinPartitions("structure_id", F.desc("d"))
+    return rows.mapInPandas(deal, T.StructType([*rows.schema.fields, T.StructField("pile", T.LongType())]))
+
+
+def table_vs_pattern(table: DataFrame, pattern: DataFrame, symops: DataFrame, strong: float = 10.0, least: int = 1) -> DataFrame:
     """A printed calculated table against the computed pattern, per structure: lines found, d off (beyond 0.15 %), the rms
     difference of intensities on a scale of 100, and strong computed lines the table lacks.
 
-    `table`: structure_id, h, k, l, d, i. Lines are met by their equivalent indices; a missing strong line with a table line
-    within 0.15 % of its d counts as absorbed by it.
+    `table`: structure_id, h, k, l, d, i. A row names the line of its equivalent indices; where that line's d is not the printed one,
+    the sign variant of the index whose d is (bars over indices get lost). Intensities are scaled to the strongest listed line.
+    Lines of one d of which the table lists a single one are taken apart and summed, and the sum stands where the column clearly
+    follows it: an rms (of `least` pairs or more) a quarter lower and by more than half a point. A computed line of `strong` or more,
+    above the table's own floor, is lacking unless a line within 0.4 % of its d prints half of it beyond its own intensity.
     """
     from recordaudit.operators.matching import Tolerance, near_join
 
-    ops = operator_arrays(symops)
-    keyed = table.join(by_shuffle(ops), "structure_id").withColumn("top", canonical_hkl(F.col("ops"))).select("structure_id", F.col("top.h").alias("h"), F.col("top.k").alias("k"), F.col("top.l").alias("l"), F.col("d").alias("t_d"), F.col("i").alias("t_i"))
-    keyed = cut_lineage(keyed)
-    met = keyed.join(by_shuffle(pattern), ["structure_id", "h", "k", "l"], "left")
-    sums = met.groupBy("structure_id").agg(
-        F.count(F.lit(1)).alias("lines"), F.count("d").alias("found"), F.count_if(F.abs(F.col("t_d") - F.col("d")) > 0.0015 * F.col("d")).alias("d_off"),
-        F.max("t_i").alias("t_top"), F.max("i").alias("top"),
+    line = ["structure_id", "h", "k", "l"]
+    computed = pattern.select("structure_id", F.struct("h", "k", "l").alias("top"), F.col("d").alias("p_d"), F.col("i").alias("p_i"))
+    # equal rows are one with a count; -h -k -l is the same line as h k l, so four signs are all
+    said = table.groupBy("structure_id", "h", "k", "l", "d", "i").agg(F.count(F.lit(1)).alias("n")).withColumnsRenamed({"d": "t_d", "i": "t_i"})
+    signs = [F.struct(F.lit(turn).alias("turn"), F.col("h"), (F.col("k") * sk).alias("k"), (F.col("l") * sl).alias("l")) for turn, (sk, sl) in enumerate(((1, 1), (1, -1), (-1, 1), (-1, -1)))]
+    signed = said.select("structure_id", F.struct("h", "k", "l").alias("row"), "t_d", "t_i", "n", F.inline(F.array(*signs)))
+    signed = signed.join(by_shuffle(operator_arrays(symops)), "structure_id").withColumn("top", canonical_hkl(F.col("ops"))).drop("ops", "h", "k", "l")
+    off = F.abs(F.col("p_d") - F.col("t_d"))
+    near = F.coalesce(off <= SAME_D * F.col("t_d"), F.lit(False))
+    rank = F.when(near & (F.col("turn") == 0), 0).when(near, 1).when(F.col("turn") == 0, 2)
+    met = signed.join(by_shuffle(computed), ["structure_id", "top"], "left").withColumn("rank", rank).where("rank IS NOT NULL")
+    met = met.groupBy("structure_id", "row", "t_d", "t_i", "n").agg(F.min(F.struct("rank", off.alias("off"), "turn", "top", "p_d", "p_i")).alias("m"))
+    met = cut_lineage(met.select("structure_id", "t_d", "t_i", "n", "m.top.*", F.col("m.p_d").alias("d"), F.col("m.p_i").alias("i")))
+    listed = met.select(*line).distinct()
+
+    piles = _lines_of_one_d(pattern).join(by_shuffle(listed.withColumn("listed", F.lit(True))), line, "left")
+    piles = piles.groupBy("structure_id", "pile").agg(F.count(F.lit(1)).alias("of"), F.count("listed").alias("told"), F.sum("i").alias("total"), F.max(F.when(F.col("listed"), F.struct("h", "k", "l"))).alias("top"))
+    summed = piles.where("of > 1 AND told = 1").select("structure_id", "top.*", "total")
+
+    whole = Window.partitionBy("structure_id")
+    rows = met.join(by_shuffle(summed), line, "left").withColumn("total", F.coalesce("total", "i"))
+    pair = F.col("i").isNotNull() & F.col("t_i").isNotNull()
+    scale = lambda c: F.nullif(F.max(c).over(whole), F.lit(0.0))
+    rows = rows.withColumn("top_i", scale("i")).withColumn("top_total", scale("total")).withColumn("t_pairs", F.coalesce(scale(F.when(pair, F.col("t_i"))), F.lit(1.0)))
+
+    def rms(c: str, top: str) -> Column:
+        gap = 100 * F.col("t_i") / F.col("t_pairs") - 100 * F.col(c) / F.col(top)
+        pairs = F.sum(F.when(pair, F.col("n")))
+        return F.when(pairs >= least, F.sqrt(F.sum(F.when(pair, F.col("n") * F.pow(gap, 2))) / pairs))
+
+    sums = rows.groupBy("structure_id").agg(
+        F.sum("n").alias("lines"), F.coalesce(F.sum(F.when(F.col("d").isNotNull(), F.col("n"))), F.lit(0)).alias("found"),
+        F.coalesce(F.sum(F.when(F.abs(F.col("t_d") - F.col("d")) > SAME_D * F.col("d"), F.col("n"))), F.lit(0)).alias("d_off"),
+        rms("i", "top_i").alias("rms_apart"), rms("total", "top_total").alias("rms_summed"), F.max("top_i").alias("top_i"), F.max("top_total").alias("top_total"),
+        F.max("t_i").alias("t_top"), F.min("t_i").alias("t_least"),
     )
-    rms = met.join(by_shuffle(sums), "structure_id").where("d IS NOT NULL").groupBy("structure_id").agg(F.sqrt(F.avg(F.pow(100 * F.col("t_i") / F.col("t_top") - 100 * F.col("i") / F.col("top"), 2))).alias("rms_i"))
-    rest = pattern.where(F.col("i") >= strong).join(by_shuffle(keyed.select("structure_id", "h", "k", "l")), ["structure_id", "h", "k", "l"], "left_anti")
-    omitted = near_join(rest.withColumnRenamed("d", "own_d"), by_shuffle(keyed.select("structure_id", "t_d")), ["structure_id"], "own_d", "t_d", Tolerance(rel=0.0015), 0.05, "left_anti")
-    gone = omitted.groupBy("structure_id").agg(F.count(F.lit(1)).alias("omitted"))
-    return sums.join(by_shuffle(rms), "structure_id", "left").join(by_shuffle(gone), "structure_id", "left").select(
+    strongest = pattern.groupBy("structure_id").agg(F.nullif(F.max("i"), F.lit(0.0)).alias("strongest"))
+    follows = F.coalesce((F.col("rms_summed") < 0.75 * F.col("rms_apart")) & (F.col("rms_summed") < F.col("rms_apart") - 0.5), F.lit(False))
+    sums = sums.join(by_shuffle(strongest), "structure_id", "left").withColumn("rms_i", F.when(follows, F.col("rms_summed")).otherwise(F.col("rms_apart")))
+    sums = cut_lineage(sums.withColumn("top", F.coalesce(F.when(follows, F.col("top_total")).otherwise(F.col("top_i")), "strongest", F.lit(1.0))))
+
+    # what a line must reach to be missed: more than the table's weakest line, by more than the two disagree
+    floor = F.greatest(2 * F.col("t_least"), F.col("t_least") + F.coalesce("rms_i", F.lit(0.0)), F.lit(1.0), F.lit(strong))
+    scales = by_shuffle(sums.select("structure_id", "top", F.coalesce(F.nullif("t_top", F.lit(0.0)), F.lit(1.0)).alias("t_top"), F.when(F.col("t_least").isNotNull(), floor).alias("floor")))
+    rest = pattern.join(scales, "structure_id").withColumn("own_i", 100 * F.col("i") / F.col("top")).where("own_i >= floor").select(*line, F.col("d").alias("own_d"), "own_i")
+    rest = rest.join(by_shuffle(listed), line, "left_anti")
+    spare = met.join(scales, "structure_id").select("structure_id", "d", (100 * F.col("t_i") / F.col("t_top") - 100 * F.col("i") / F.col("top")).alias("spare")).where("spare > 0")
+    carried = near_join(rest, by_shuffle(spare), ["structure_id"], "own_d", "d", Tolerance(rel=CARRIED), 0.05).where("spare >= 0.5 * own_i").select(*line).distinct()
+    gone = rest.join(by_shuffle(carried), line, "left_anti").groupBy("structure_id").agg(F.count(F.lit(1)).alias("omitted"))
+    return sums.join(by_shuffle(gone), "structure_id", "left").select(
         "structure_id", "lines", "found", "d_off", F.round("rms_i", 4).alias("rms_i"), F.coalesce("omitted", F.lit(0)).cast("bigint").alias("omitted")
     )
 

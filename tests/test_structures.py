@@ -97,3 +97,19 @@ def test_scaled_columns_are_named(spark):
     told = X.diagnose_columns(X.compare_valence_tables(spark.createDataFrame(computed, schema), spark.createDataFrame(printed, schema))).collect()
     named = {k: sum(r.verdict == "scaled" for r in told if kind[r.structure_id] == k) / 100 for k in ("scaled", "slips", "clean")}
     assert named["scaled"] >= 0.82 and named["slips"] <= 0.05 and named["clean"] == 0
+
+
+def test_printed_table_against_pattern(spark):
+    ops = spark.createDataFrame([(s, [[1, 0, 0], [0, 1, 0], [0, 0, 1]], [0.0, 0.0, 0.0]) for s in (1, 2, 3)], "structure_id int, rot array<array<int>>, tr array<double>")
+    schema = "structure_id int, h int, k int, l int, d double, i double"
+    pattern = spark.createDataFrame([
+        (1, 1, 1, 1, 3.0, 100.0), (1, 1, -1, 1, 2.5, 40.0), (1, 2, 0, 0, 2.0, 5.0),  # a bar is lost in print
+        (2, 1, 0, 0, 3.0, 60.0), (2, 0, 1, 0, 3.001, 70.0), (2, 0, 0, 2, 2.0, 100.0),  # two lines printed as their sum
+        (3, 1, 0, 0, 3.0, 100.0), (3, 0, 1, 0, 3.001, 50.0), (3, 0, 0, 2, 2.0, 20.0),  # one of two lines left out, in no other's intensity
+    ], schema)
+    table = spark.createDataFrame([
+        (1, 1, 1, 1, 3.0, 100.0), (1, 1, 1, 1, 2.5, 40.0), (1, 2, 0, 0, 2.1, 5.0), (1, 2, 0, 0, 2.1, 5.0), (1, 7, 7, 7, 1.0, 5.0),
+        (2, 1, 0, 0, 3.0, 100.0), (2, 0, 0, 2, 2.0, 100 / 1.3), (3, -1, 0, 0, 3.0, 100.0), (3, 0, 0, 2, 2.0, 20.0),
+    ], schema)
+    got = {r.structure_id: tuple(r)[1:] for r in X.table_vs_pattern(table, pattern, ops).collect()}
+    assert got == {1: (5, 4, 2, 0.0, 0), 2: (2, 2, 0, 0.0, 0), 3: (2, 2, 0, 0.0, 1)}
