@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from recordaudit.functions import spectra as S
 from recordaudit.functions.measured import let
+from recordaudit.operators import bandprose
+from recordaudit.operators.bandprose import ABBREVIATIONS
 from recordaudit.operators.matching import range_join
 
-_ABBREVIATION = r"\b(?:Figs?|Tabs?|al|ca|cf|e\.g|i\.e|vs|approx|Nos?|Eqs?|Refs?|resp|et|sp|var|incl|min|max)\."
 # white space after the end of a sentence and before the start of one; looked at only where white space stands
-_BREAK = rf"\s(?<=[.!?]\s|[.!?]\)\s)(?<!{_ABBREVIATION}\)?\s)\s*(?=[A-ZÀ-Þ(\[ν~∼])"
+_BREAK = rf"\s(?<=[.!?]\s|[.!?]\)\s)(?<!{ABBREVIATIONS}\)?\s)\s*(?=[A-ZÀ-Þ(\[ν~∼])"
 
 
 def normalise_text(text: Column) -> Column:
@@ -77,21 +78,6 @@ def _spans_by_pieces(text: Column, pattern: str) -> Column:
 
 # --- stated bands -------------------------------------------------------------------------------
 
-_SHAPE = r"(?:\s?\((?:sh|vs|s|m|w|vw|br|b)\))?"
-_WHOLE = r"(?<!\d)(?<!\d\.)\d{2,}(?:\.\d+)?"
-_NUMBER = _WHOLE + _SHAPE
-_RUN = rf"((?:{_NUMBER}(?:\s*,\s*(?:and\s+)?|\s+and\s+|\s*;\s*))*{_NUMBER})\s*cm-1"
-# Words that deny a band, before it and after it, in its own clause
-NEGATION = r"(?i)\b(?:no|without|lack(?:s|ing)?|absence of)\b"
-NEGATED_AFTER = r"(?i)\b(?:not (?:observed|present|detected|seen|found|visible|recorded)|absent|missing)\b"
-# where a clause ends: a semicolon, a turning word, or another band, unless that is joined to this one in a list
-_TURN = r";|\b(?:but|whereas|while|however|although|though|yet)\b"
-_BEFORE_CLAUSE = rf"(?is)^.*(?:{_TURN}|cm-1(?!\s*(?:,|or|nor|and)+\s*(?:at|near|around|about)?\s*$))"
-_AFTER_CLAUSE = rf"(?is)^(.*?)(?:{_TURN}|\d\s*cm-1|$)"
-FAMILIES = ("UO2", "SO4", "PO4", "AsO4", "VO4", "SiO4", "CO3", "NO3", "MoO4", "WO4", "CrO4", "SeO4", "SeO3", "TeO3", "NH4", "H2O", "OH", "uranyl", "sulfate", "phosphate", "arsenate", "carbonate", "silicate", "water", "hydroxyl")
-_SYNONYM = {"uranyl": "UO2", "sulfate": "SO4", "phosphate": "PO4", "arsenate": "AsO4", "carbonate": "CO3", "silicate": "SiO4", "water": "H2O", "hydroxyl": "OH"}
-
-
 def technique_of(sentence: Column) -> Column:
     """``raman``, ``ir`` or ``open`` (both named); null when neither is."""
     raman, ir = sentence.rlike(r"\bRaman\b"), sentence.rlike(r"\b(?:[Ii]nfrared|IR|FTIR|FT-IR)\b")
@@ -110,58 +96,20 @@ def carry_technique(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     return told.select(key, "sent_no", "s.sentence", F.nullif("s.technique", F.lit("open")).alias("technique"))
 
 
-_FAMILY = "(?=[" + "".join(sorted({f[0] for f in FAMILIES})) + "])(?:" + "|".join(sorted(FAMILIES, key=len, reverse=True)) + ")"
-_MODE = r"ν[1-4]|(?i:bend|deform|scissor|δ|stretch|librat)"
-
-
-def _nearest(found: Column, start: Column, end: Column) -> Column:
-    """The match of `found` (m, at) with the smallest gap to the stretch from `start` to before `end`; the earlier of two, null of none."""
-    gap = lambda x: F.when(x["at"] >= end, x["at"] - end).otherwise(F.greatest(start - x["at"] - F.length(x["m"]), F.lit(0)))
-    return F.array_min(F.transform(found, lambda x: F.struct(gap(x).alias("gap"), x["at"].alias("at"), x["m"].alias("m"))))["m"]
-
-
-def _mode_name(said: Column) -> Column:
-    return F.when(said.rlike("^ν[1-4]$"), said).when(said.rlike("(?i)^stre"), "stretch").when(said.rlike("(?i)^libr"), "lib").when(said.isNotNull(), "bend")
-
-
-def _runs(texts: DataFrame) -> DataFrame:
-    """Runs of numbers closed by cm-1, at their places, with the groups and modes that their sentence names. A run is denied by a word of its own clause."""
-    norm = texts.withColumn("text", normalise_text(F.col("text")))
-    sents = carry_technique(norm).where(F.contains(F.col("sentence"), F.lit("cm-1")))
-    named = sents.withColumn("families", spans(F.col("sentence"), _FAMILY)).withColumn("modes", spans(F.col("sentence"), _MODE))
-    runs = named.select("*", F.inline(spans(F.col("sentence"), _RUN.replace("((?:", "(?:(?:", 1)))).withColumn("run", F.regexp_extract("m", _RUN, 1))
-    runs = runs.withColumn("ahead", F.expr("substring(sentence, 1, at - 1)")).withColumn("behind", F.expr("substring(sentence, at + length(m))"))
-    # a sentence without such a word is not cut into clauses
-    before = F.col("ahead").rlike(NEGATION.replace(r"\b", "", 1)) & F.regexp_replace("ahead", _BEFORE_CLAUSE, "").rlike(NEGATION)
-    after = F.col("behind").rlike(NEGATED_AFTER.replace(r"\b", "")) & F.regexp_extract("behind", _AFTER_CLAUSE, 1).rlike(NEGATED_AFTER)
-    denied = before | after
-    is_range = F.col("run").rlike(r"^\d+(?:\.\d+)?\s+and\s+\d+(?:\.\d+)?$") & F.col("ahead").rlike(r"(?i)between\s*$")
-    return runs.withColumn("negated", denied).withColumn("range_part", is_range | F.col("ahead").rlike(r"\d\s*(?:-|to)\s*$"))
-
-
 def stated_bands(texts: DataFrame) -> DataFrame:
     """``doc_id, sent_no, pos, shape, technique, family, mode, own`` of the bands prose states (doc_id, text).
 
     Runs of numbers closed by cm-1; ranges and runs the sentence says are absent are left out. Every number keeps its own place in
     the sentence; its group and its mode are those named nearest to it. `own` is false where the sentence credits another work.
     """
-    runs = _runs(texts).where("NOT negated AND NOT range_part").withColumn("run_end", F.col("at") + F.length("m")).withColumnRenamed("at", "run_at").drop("m")
-    items = runs.select("*", F.inline(spans(F.col("run"), _NUMBER))).withColumn("spot", F.col("run_at") + F.col("at") - 1)
-    return items.select(
-        "doc_id", "sent_no", F.regexp_extract("m", r"^([\d.]+)", 1).cast("double").alias("pos"), F.nullif(F.regexp_extract("m", r"\((\w+)\)", 1), F.lit("")).alias("shape"),
-        "technique", _synonym(_nearest(F.col("families"), F.col("spot"), F.col("run_end"))).alias("family"), _mode_name(_nearest(F.col("modes"), F.col("spot"), F.col("run_end"))).alias("mode"),
-        (~F.col("sentence").rlike(r"(?i)et al\.|reported by|according to|literature")).alias("own"),
-    )
-
-
-def _synonym(name: Column) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in _SYNONYM.items() for x in pair])[name], name)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "text").mapInArrow(bandprose.stated_rows, f"doc_id {kind}, sent_no int, pos double, shape string, technique string, family string, mode string, own boolean")
 
 
 def absent_bands(texts: DataFrame) -> DataFrame:
-    """``doc_id, sent_no, lo, hi`` where the prose says the spectrum shows no band."""
-    runs = _runs(texts).where("negated").select("doc_id", "sent_no", F.explode(F.regexp_extract_all("run", F.lit(_WHOLE), F.lit(0))).alias("p"))
-    return runs.select("doc_id", "sent_no", F.col("p").cast("double").alias("lo"), F.col("p").cast("double").alias("hi")).distinct()
+    """``doc_id, sent_no, lo, hi`` where the prose says the spectrum shows no band: a run is denied by a word of its own clause."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "text").mapInArrow(bandprose.absent_rows, f"doc_id {kind}, sent_no int, lo double, hi double").distinct()
 
 
 def band_ranges(texts: DataFrame) -> DataFrame:

@@ -152,3 +152,27 @@ def test_names_are_looked_up_once(spark):
     named = D.join_broken_names(words, species)
     assert sorted((r["doc_id"], r["pos"], r["boxes"]) for r in named.collect()) == [(1, 0, 2), (1, 2, 1), (2, 0, 1), (2, 1, 1)]
     assert "LeftAnti" not in named._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentences_that_come_again_are_read_once(spark):
+    from recordaudit.operators import bandprose as B, textjobs as T
+
+    one, two = "The Raman spectrum (Fig. 2) was taken.", "Bands at 450 (sh), 600 and 13200.5 cm−1 are SO4 ν1 but none at 1640 cm-1 was detected; no bands near 3400 and 3500 cm-1."
+    texts = [f"{one} {two} The IR² spectrum (Smith et al. 2001) lacks bands at 990 cm-1. It has one between 1500 and 1600 cm-1; uranyl bending is at 250 cm-1."] * 50
+    B.told.cache_clear()
+    assert len({tuple(B._stated(t)) for t in texts}) == 1 and B.told.cache_info().misses == 4
+    rows = spark.createDataFrame([*((k, t) for k, t in enumerate(texts)), (99, None), (99, "")], "doc_id long, text string")
+    bands = T.stated_bands(rows)
+    assert "aggregate(" not in bands._jdf.queryExecution().optimizedPlan().toString()  # a text is read in one pass, not fold by fold
+    got = {(r["sent_no"], r["pos"], r["shape"], r["technique"], r["family"], r["mode"], r["own"]) for r in bands.collect()}
+    assert got == {(1, 450.0, "sh", "raman", "SO4", "ν1", True), (1, 600.0, None, "raman", "SO4", "ν1", True), (1, 13200.5, None, "raman", "SO4", "ν1", True),
+                   (1, 1640.0, None, "raman", "SO4", "ν1", True), (3, 250.0, None, "ir", "UO2", "bend", True)}
+    assert sorted({(r["sent_no"], r["lo"]) for r in T.absent_bands(rows).collect()}) == [(1, 3400.0), (1, 3500.0), (2, 990.0)]
+
+
+@pytest.mark.parametrize("text", ["a  b\tc", "x cm−1, y\n cm - 1cm⁻¹ zcm-12 cm-1é", "υ3 — e.g. The al.) (B. vs. A! (C.) ν D? ~5 max. E", None, "", " . \n"])
+def test_texts_are_made_plain_as_in_columns(spark, text):
+    from recordaudit.operators import bandprose as B, textjobs as T
+
+    row = spark.createDataFrame([(text,)], "text string").select(T.normalise_text(F.col("text")).alias("t"), T.sentences_of(T.normalise_text(F.col("text"))).alias("s")).first()
+    assert B.normal(text) == row["t"] and B.sentences(B.normal(text)) == row["s"]
