@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from recordaudit.operators import sweeps
+from recordaudit.session import cut_lineage
 
 _PAIR = [*((n, T.DoubleType()) for n in ("l", "r")), *((n, T.LongType()) for n in ("n", "l_from", "r_from")), *((n, T.DoubleType()) for n in ("p_l", "p_r"))]
 
@@ -369,6 +370,7 @@ def merge_obs_calc(obs: DataFrame, calc: DataFrame, tol_pct: float = 1.2, min_i:
     tol = Tolerance(rel=tol_pct / 100.0)
     indexed = F.col("h").isNotNull()
     calc_lines = calc.select("entry_id", F.col("line_no").cast("bigint").alias("calc_no"), F.col("d").alias("d_calc"), F.col("i").alias("i_calc"), "h", "k", "l")
+    calc_lines = cut_lineage(calc_lines)  # both lists are read several times below
     # one observed peak per (d, I), numbered by the line that shows it first
     same = Window.partitionBy("entry_id", F.round("d", 4), F.round("i", 2))
     first = F.min(F.struct(F.col("line_no").cast("bigint").alias("no"), "d", "i")).over(same)
@@ -376,7 +378,7 @@ def merge_obs_calc(obs: DataFrame, calc: DataFrame, tol_pct: float = 1.2, min_i:
     obs_lines = obs_lines.select("entry_id", "line_no", F.col("p.no").alias("peak_no"), F.col("p.d").alias("peak_d"), F.col("p.i").alias("peak_i"), "d", "i", "h", "k", "l")
     # lines ask in the order of their peaks: peak number first, line number inside
     first_of_hkl = calc_lines.where(indexed).groupBy("entry_id", "h", "k", "l").agg(F.min("calc_no").alias("own_no"))
-    obs_lines = obs_lines.join(first_of_hkl, ["entry_id", "h", "k", "l"], "left")
+    obs_lines = cut_lineage(obs_lines.join(first_of_hkl, ["entry_id", "h", "k", "l"], "left"))
     by_index = obs_lines.where("own_no IS NOT NULL").select("entry_id", "peak_no", "line_no", F.col("own_no").alias("calc_no"))
     shut = by_index.groupBy("entry_id", "calc_no").agg(F.min(F.struct("peak_no", "line_no")).alias("s"))
     offers = calc_lines.select("entry_id", "calc_no", "d_calc").join(shut, ["entry_id", "calc_no"], "left").select("entry_id", "calc_no", "d_calc", F.col("s.peak_no").alias("shut_peak"), F.col("s.line_no").alias("shut_line"))
@@ -384,9 +386,10 @@ def merge_obs_calc(obs: DataFrame, calc: DataFrame, tol_pct: float = 1.2, min_i:
     taken = obs_lines.join(near.drop("peak_no"), ["entry_id", "line_no"], "left").withColumn("calc_no", F.coalesce("own_no", "calc_no")).drop("own_no")
     # an observed line with its calculated one, or a calculated line that nobody took
     renamed = calc_lines.select("entry_id", "calc_no", "d_calc", "i_calc", F.col("h").alias("ch"), F.col("k").alias("ck"), F.col("l").alias("cl"))
-    met = taken.join(renamed, ["entry_id", "calc_no"], "full_outer")
+    met = cut_lineage(taken.select("entry_id", "calc_no", "line_no", "peak_no", "d", "i", "h", "k", "l").join(renamed, ["entry_id", "calc_no"], "full_outer"))
     observed = met.where("line_no IS NOT NULL").select(
         "entry_id", "peak_no", F.col("i").alias("i_obs"), F.col("d").alias("d_obs"), "d_calc", "i_calc", *[F.when(F.col("ch").isNotNull(), F.col(f"c{x}")).otherwise(F.col(x)).alias(x) for x in "hkl"],
+        F.lit(None).cast("bigint").alias("alone"),
     )
     free = met.where("line_no IS NULL").select("entry_id", "calc_no", "d_calc", "i_calc", *[F.col(f"c{x}").alias(x) for x in "hkl"])
     strong_peaks = obs_lines.where((F.col("peak_i") >= min_i) & (F.col("line_no") == F.col("peak_no"))).select("entry_id", "peak_no", "peak_d", "peak_i")
@@ -395,14 +398,15 @@ def merge_obs_calc(obs: DataFrame, calc: DataFrame, tol_pct: float = 1.2, min_i:
     near_by = near_join(free, strong_peaks, ["entry_id"], "d_calc", "peak_d", wide, 0.1, "left").withColumn("ok", dev <= tol.of(F.col("peak_d")))
     unclaimed = near_by.groupBy("entry_id", "calc_no", "d_calc", "i_calc", "h", "k", "l").agg(
         F.min_by(F.struct("peak_no", "peak_d", "peak_i"), F.when(F.col("ok"), F.struct(dev.alias("dev"), "peak_no"))).alias("p")
-    ).select("entry_id", F.col("p.peak_no").alias("peak_no"), F.col("p.peak_i").alias("i_obs"), F.col("p.peak_d").alias("d_obs"), "d_calc", "i_calc", "h", "k", "l")
+    ).select("entry_id", F.col("p.peak_no").alias("peak_no"), F.col("p.peak_i").alias("i_obs"), F.col("p.peak_d").alias("d_obs"), "d_calc", "i_calc", "h", "k", "l", F.when(F.col("p").isNull(), F.col("calc_no")).alias("alone"))
     rows = observed.unionByName(unclaimed)
     hkl = F.struct("h", "k", "l")
-    of_peak = Window.partitionBy("entry_id", "peak_no")
-    rows = rows.where("peak_no IS NOT NULL").select(
-        "*", F.max(F.coalesce(F.col("i_calc") >= min_i, F.lit(False))).over(of_peak).alias("strong"),
-        F.max_by(hkl, F.struct(F.coalesce("i_calc", F.lit(-1.0)), -F.coalesce("d_calc", F.lit(0.0)), *[F.coalesce(x, F.lit(-99)) for x in "hkl"])).over(of_peak).alias("best"),
-    ).unionByName(rows.where("peak_no IS NULL").select("*", F.lit(None).cast("boolean").alias("strong"), F.lit(None).cast(T.StructType([rows.schema[x] for x in "hkl"])).alias("best")))
+    # a line that stands alone is a group of its own, without a peak to judge it by
+    of_peak, peak = Window.partitionBy("entry_id", "peak_no", "alone"), F.col("peak_no").isNotNull()
+    rows = rows.select(
+        "*", F.when(peak, F.max(F.coalesce(F.col("i_calc") >= min_i, F.lit(False))).over(of_peak)).alias("strong"),
+        F.when(peak, F.max_by(hkl, F.struct(F.coalesce("i_calc", F.lit(-1.0)), -F.coalesce("d_calc", F.lit(0.0)), *[F.coalesce(x, F.lit(-99)) for x in "hkl"])).over(of_peak)).alias("best"),
+    )
     judged = rows.where(F.greatest(F.coalesce("i_obs", F.lit(0.0)), F.coalesce("i_calc", F.lit(0.0))) >= min_i)
     weak = F.col("i_obs").isNotNull() & F.coalesce(F.col("i_calc") < min_i, F.lit(True))
     kept = judged.where(~weak | (~F.col("strong") & hkl.eqNullSafe(F.col("best"))))
