@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recordaudit.operators import audit as A, reconcile as R
 from recordaudit.plans.registry import query
 from recordaudit.plans.views import other_sql, spark_sql, spread, view, with_views
+from recordaudit.session import cut_lineage
 
 # --- reconciling printed numbers -------------------------------------------------------------
 
@@ -300,6 +301,7 @@ def _(spark, sf):
     before = printed.join(facts, ["entry_id", "item"]).select(
         F.col("entry_id").alias("doc_id"), F.col("entry_id").alias("content"), F.expr("concat('chk', item)").alias("code"),
         F.expr("CASE WHEN disc > 0.02 THEN 'flag' ELSE 'note' END").alias("sev"), F.expr("concat('a should be \\'', right_txt, '\\'')").alias("msg"), "tax")
+    before = cut_lineage(before)
     changes = printed.select(F.col("entry_id").alias("doc_id"), F.expr("CASE WHEN item = 7 THEN 'Accept' ELSE 'cell' END").alias("label"),
         F.col("left_txt").alias("before"), F.expr("CASE WHEN item % 2 = 0 THEN right_txt ELSE concat(left_txt, 'x') END").alias("after"))
     return A.oracle_score(before.drop("tax"), before.where("tax > 0.04"), changes)

@@ -109,3 +109,13 @@ def test_readers(spark, tmp_path):
 def test_words_of_a_title(spark, title, text, found):
     rows = spark.createDataFrame([(title, text)], "title string, text string").withColumn("sents", P.F.split(P.F.coalesce("text", P.F.lit("")), r"(?<=[.!?])\s+"))
     assert list(rows.withColumn("mid_words", P.mid_words()).select(P._capitalised()).first()[0]) == found
+
+
+def test_precision_reads_findings_once_and_deals_them_by_document(spark):
+    schema = "doc_id int, content int, code string, sev string, msg string"
+    before = spark.createDataFrame([(1, 7, "a", "flag", "d should be '1.5'"), (1, 7, "a", "flag", "d should be '1.5'"), (1, 7, "b", "flag", "odd"), (1, 7, "c", "note", "x"), (2, 7, "a", "flag", "copy")], schema)
+    after = spark.createDataFrame([(1, 7, "b", "flag", "odd"), (1, 7, "d", "flag", "new")], schema)
+    changes = spark.createDataFrame([(1, "cell", "1.4", "1.5(1)"), (1, "Accept", "", "odd")], "doc_id int, label string, before string, after string")
+    got = A.oracle_score(before, after, changes)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1  # the changes
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 2, 2, 0, 2, 2, 0, 0), ("b", 1, 0, 1, 0, 0, 0, 0)]
