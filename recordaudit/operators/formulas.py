@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordaudit.functions.elements import ATOMIC_WEIGHTS, USUAL_OXIDE
+from recordaudit.functions.measured import let
 from recordaudit.session import cut_lineage
 
 _TOKEN = r"[A-Z][a-z]?\s*(?:\d+(?:\.\d+)?|\.\d+)?|[)\]]\s*(?:\d+(?:\.\d+)?)?|[(\[]"
@@ -55,31 +56,57 @@ def formula_atoms(formula: Column) -> Column:
     return F.flatten(F.transform(F.split(clean_formula(formula), "[!·•]"), part))
 
 
-def _read_once(formulas: DataFrame, found: Column, name: str) -> DataFrame:
-    """``entry_id, field, formula`` and each item of the array `found`, which is worked out once for equal formulas."""
+def _distinct(formulas: DataFrame) -> DataFrame:
     texts = formulas.where("formula IS NOT NULL").select("formula").distinct()
-    texts = texts.repartition(formulas.sparkSession.sparkContext.defaultParallelism * 4, "formula")  # few bytes, much work
+    return texts.repartition(formulas.sparkSession.sparkContext.defaultParallelism * 4, "formula")  # few bytes, much work
+
+
+def _read_once(formulas: DataFrame, found: Column | str, name: str, texts: DataFrame | None = None) -> DataFrame:
+    """``entry_id, field, formula`` and each item of the array `found`, which is worked out once for equal formulas (or stands in `texts`)."""
+    texts = _distinct(formulas) if texts is None else texts
     return formulas.select("entry_id", "field", "formula").join(texts.select("formula", F.explode(found).alias(name)), "formula")
 
 
+def _totals(atoms: Column) -> Column:
+    """The atoms of one formula with those of one element added up."""
+    def total(atoms: Column, element: Column) -> Column:
+        own = F.filter(atoms, lambda a: a["element"] == element)
+        return F.struct(element.alias("element"), F.aggregate(own, F.lit(0.0), lambda s, a: s + a["n"]).alias("n"), F.exists(own, lambda a: a["decimal"]).alias("decimal"))
+
+    return let(atoms, lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda a: a["element"])), lambda e: total(all_, e)))
+
+
 def elements_of(formulas: DataFrame) -> DataFrame:
     """``entry_id, field, element, n, decimal``: the total of each element of each formula, one aggregation. Equal formulas are read once."""
     atoms = _read_once(formulas, formula_atoms(F.col("formula")), "a")
     return atoms.groupBy("entry_id", "field", F.col("a.element").alias("element")).agg(F.sum("a.n").alias("n"), F.bool_or("a.decimal").alias("decimal"))
 
 
+def _by_element(formulas: DataFrame, texts: DataFrame | None = None, left: str | None = None, right: str | None = None) -> DataFrame:
+    """``entry_id, element``, its totals in the fields `left` and `right`, whether printed with decimals, how many of the entry's elements
+    are, and the first and last field that names it. A formula goes to its entry with its atoms in one row; nothing moves after that."""
+    def of(field: str, n: str) -> list[Column]:
+        here = F.col("field") == field
+        return [F.sum(F.when(here, F.col("a.n"))).alias(n), F.bool_or(F.when(here, F.col("a.decimal"))).alias(f"{n}_dec")]
+
+    read = _distinct(formulas).select("formula", _totals(formula_atoms(F.col("formula"))).alias("atoms")) if texts is None else texts.select("formula", "atoms")
+    held = formulas.select("entry_id", "field", "formula").join(read, "formula").select("entry_id", "field", "atoms").repartition("entry_id")
+    sides = [*of(left, "n_left"), *of(right, "n_right")] if left is not None and right is not None else []
+    rows = held.select("entry_id", "field", F.explode("atoms").alias("a")).groupBy("entry_id", F.col("a.element").alias("element")).agg(*sides, F.min("field").alias("first_field"), F.max("field").alias("last_field"))
+    of_entry = Window.partitionBy("entry_id")
+    return rows.select("*", *[F.count_if(f"{n}_dec").over(of_entry).alias(k) for n, k in (("n_left", "k_left"), ("n_right", "k_right")) if sides])
+
+
 def coefficient_gaps(formulas: DataFrame, left: str, right: str, elements: DataFrame | None = None) -> DataFrame:
     """``entry_id, element, n_left, n_right``: elements whose coefficients in two fields of one entry disagree.
 
-    A full outer join on entry and element. Coefficients count where they are printed with decimals; an element that one field lacks
+    One aggregation by entry and element (`elements`, where it is at hand). Coefficients count where they are printed with decimals; an element that one field lacks
     altogether disagrees too. Oxygen and hydrogen are left aside. Entries without either field, or with fewer than two
     decimal coefficients in one of them, are not compared.
     """
-    own = elements_of(formulas.where(F.col("field").isin(left, right))) if elements is None else elements
-    side = lambda name, n: own.where(F.col("field") == name).select("entry_id", "element", F.col("n").alias(n), F.col("decimal").alias(f"{n}_dec"))
-    both = side(left, "n_left").join(side(right, "n_right"), ["entry_id", "element"], "full_outer")
-    of_entry = Window.partitionBy("entry_id")
-    both = both.withColumn("k_left", F.count_if("n_left_dec").over(of_entry)).withColumn("k_right", F.count_if("n_right_dec").over(of_entry)).where("k_left >= 2 AND k_right >= 2 AND element NOT IN ('O', 'H')")
+    if elements is None:
+        elements = _by_element(formulas.where(F.col("field").isin(left, right)), None, left, right)
+    both = elements.where("(n_left IS NOT NULL OR n_right IS NOT NULL) AND k_left >= 2 AND k_right >= 2 AND element NOT IN ('O', 'H')")
     larger = F.greatest("n_left", "n_right")
     differ = F.col("n_left_dec") & F.col("n_right_dec") & (F.round(F.abs(F.col("n_left") - F.col("n_right")), 9) > F.greatest(F.lit(GAP_ABS), F.round(GAP_REL * larger, 9)))
     lacking = (F.col("n_left").isNull() & F.col("n_right_dec")) | (F.col("n_right").isNull() & F.col("n_left_dec"))
@@ -88,13 +115,21 @@ def coefficient_gaps(formulas: DataFrame, left: str, right: str, elements: DataF
 
 def lone_elements(formulas: DataFrame, least: int = 3, elements: DataFrame | None = None) -> DataFrame:
     """``entry_id, field, element``: elements that one field alone names, in entries with `least` fields or more; O and H aside."""
-    named = (elements_of(formulas) if elements is None else elements).select("entry_id", "field", "element").where("element NOT IN ('O', 'H')")
+    if elements is None:
+        elements = _by_element(formulas)
     fields = formulas.where("formula IS NOT NULL").groupBy("entry_id").agg(F.count_distinct("field").alias("fields")).where(F.col("fields") >= least)
-    alone = named.groupBy("entry_id", "element").agg(F.count(F.lit(1)).alias("n"), F.min("field").alias("field")).where("n = 1")
+    alone = elements.where("first_field = last_field AND element NOT IN ('O', 'H')").select("entry_id", "element", F.col("first_field").alias("field"))
     return alone.join(fields, "entry_id").select("entry_id", "field", "element")
 
 
-def split_symbols(formulas: DataFrame, elements: DataFrame | None = None) -> DataFrame:
+def _split_pairs() -> Column:
+    """Two capitals before a decimal coefficient."""
+    pattern = r"(?<![A-Za-z])([A-Z])\s+([A-Z])(\d*\.\d+)"
+    all_of = lambda k: F.regexp_extract_all("formula", F.lit(pattern), F.lit(k))
+    return F.arrays_zip(all_of(0).alias("written"), all_of(1).alias("a"), all_of(2).alias("b"))
+
+
+def split_symbols(formulas: DataFrame, elements: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """``entry_id, field, written, symbol``: an element's symbol that is written as two capitals apart (``T B0.01`` for Tb).
 
     Two capitals before a decimal coefficient meet the table of elements as one symbol; they are a slip if the first is no element by itself, or if another
@@ -102,15 +137,16 @@ def split_symbols(formulas: DataFrame, elements: DataFrame | None = None) -> Dat
     """
     spark = formulas.sparkSession
     known = spark.createDataFrame([(e,) for e in ATOMIC_WEIGHTS], "symbol string")
-    pattern = r"(?<![A-Za-z])([A-Z])\s+([A-Z])(\d*\.\d+)"
-    all_of = lambda k: F.regexp_extract_all("formula", F.lit(pattern), F.lit(k))
-    pairs = _read_once(formulas, F.arrays_zip(all_of(0).alias("written"), all_of(1).alias("a"), all_of(2).alias("b")), "p")
+    pairs = _read_once(formulas, _split_pairs() if texts is None else "pairs", "p", texts)
     met = pairs.select("entry_id", "field", "p.written", "p.a", F.concat("p.a", F.lower("p.b")).alias("symbol")).join(known, "symbol")
     first = met.join(known.withColumnRenamed("symbol", "a").withColumn("own", F.lit(True)), "a", "left")
-    elsewhere = (elements_of(formulas) if elements is None else elements).select("entry_id", F.col("field").alias("other"), F.col("element").alias("symbol"))
-    told = first.join(elsewhere, ["entry_id", "symbol"], "left").groupBy("entry_id", "field", "written", "symbol").agg(
-        F.bool_or(F.col("own").isNull() | F.coalesce(F.col("other") != F.col("field"), F.lit(False))).alias("slip"))
-    return told.where("slip").select("entry_id", "field", "written", "symbol")
+    if elements is None:
+        elements = _by_element(formulas)
+    elsewhere = elements.select("entry_id", F.col("element").alias("symbol"), "first_field", "last_field")
+    other = (F.col("first_field") != F.col("field")) | (F.col("last_field") != F.col("field"))
+    slips = ["entry_id", "field", "written", "symbol"]
+    named = first.where("own IS NOT NULL").join(elsewhere, ["entry_id", "symbol"]).where(other).select(*slips)
+    return first.where("own IS NULL").select(*slips).unionByName(named).distinct()
 
 
 def recased_constituents(listed: DataFrame) -> DataFrame:
@@ -123,23 +159,28 @@ def recased_constituents(listed: DataFrame) -> DataFrame:
     return odd.join(known, "k").where("constituent <> should_be").select("entry_id", "constituent", "should_be")
 
 
-def written_faults(formulas: DataFrame) -> DataFrame:
+def written_faults(formulas: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """``entry_id, field, fault, written``: brackets that do not pair, a lost decimal point, a colon or a blank inside a coefficient."""
+    return _read_once(formulas, _faults() if texts is None else "faults", "w", texts).select("entry_id", "field", "w.fault", "w.written")
+
+
+def _faults() -> Column:
     text = F.col("formula")
     count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
     found = lambda fault, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: F.struct(F.lit(fault).alias("fault"), w.alias("written")))
     brackets = F.when((count("(") != count(")")) | (count("[") != count("]")), F.array(F.struct(F.lit("brackets").alias("fault"), text.alias("written"))))
     known = "|".join(sorted(ATOMIC_WEIGHTS, key=lambda e: (-len(e), e)))
-    every = F.array_distinct(F.concat(
+    return F.array_distinct(F.concat(
         F.coalesce(brackets, F.array().cast("array<struct<fault:string,written:string>>")), found("decimal point", rf"(?<![A-Za-z\d.])(?:{known})0\d+(?![\d.])"),
         found("colon", r"[A-Z][a-z]?\s*\d+:\d+"), found("blank", rf"(?<![A-Za-z])(?:{known})\s*(?:\d+\s+\.\d+|\d+\.\d\s\d(?![\d.]))")))
-    return _read_once(formulas, every, "w").select("entry_id", "field", "w.fault", "w.written")
 
 
 def formula_findings(formulas: DataFrame, listed: DataFrame, left: str = "Analytical", right: str = "Analysis") -> DataFrame:
     """All of the above as findings: ``entry_id, code, sev, msg, anchor``; elements of a split symbol are not reported again."""
-    elements = cut_lineage(elements_of(formulas))  # read three times below
-    split = split_symbols(formulas, elements)
+    # a formula's atoms (those of one element together), its split symbols and its faults are read once; an entry's elements three times below
+    texts = cut_lineage(_distinct(formulas).select("formula", _totals(formula_atoms(F.col("formula"))).alias("atoms"), _split_pairs().alias("pairs"), _faults().alias("faults")))
+    elements = cut_lineage(_by_element(formulas, texts, left, right))
+    split = cut_lineage(split_symbols(formulas, elements, texts))
     garbled = split.select("entry_id", F.explode(F.array(F.substring("written", 1, 1), F.regexp_extract("written", r"\s([A-Z])", 1), "symbol")).alias("element")).distinct()
     gaps = coefficient_gaps(formulas, left, right, elements).join(garbled, ["entry_id", "element"], "left_anti").groupBy("entry_id").agg(F.array_sort(F.collect_list(F.concat_ws(
         " ", "element", F.coalesce(F.format_number("n_left", 3), F.lit("absent")), F.lit("vs"), F.coalesce(F.format_number("n_right", 3), F.lit("absent"))))).alias("gaps"))
@@ -150,7 +191,7 @@ def formula_findings(formulas: DataFrame, listed: DataFrame, left: str = "Analyt
         gaps.select("entry_id", *row("formula", F.concat(F.lit(f"{left} and {right} disagree: "), F.array_join("gaps", "; ")), F.lit(f"formula:{left}"))),
         lone.select("entry_id", *row("formula", F.concat(F.col("element"), F.lit(" stands in no other formula")), of("field"))),
         split.select("entry_id", *row("formula", F.concat(F.lit("the symbol "), F.col("symbol"), F.lit(" is split in two: "), F.col("written")), of("field"))),
-        written_faults(formulas).select("entry_id", *row("formula", F.concat("fault", F.lit(": "), F.substring("written", 1, 120)), of("field"))),
+        written_faults(formulas, texts).select("entry_id", *row("formula", F.concat("fault", F.lit(": "), F.substring("written", 1, 120)), of("field"))),
         recased_constituents(listed).select("entry_id", *row("analysis", F.concat("constituent", F.lit(" should be "), F.col("should_be")), F.lit("analysis"))),
     ]
     out = parts[0]

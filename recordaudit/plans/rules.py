@@ -8,7 +8,7 @@ from recordaudit.operators import formulas as Y
 from recordaudit.plans.matching import INTENSITY_OUTLIERS, MISSING_LINES, _lists
 from recordaudit.plans.registry import ORACLES, query
 from recordaudit.plans.structures import operator_rows
-from recordaudit.plans.views import other_sql, spark_sql, spread
+from recordaudit.plans.views import other_sql, spark_sql, spread, spread_sql
 from recordaudit.rules import pack as P
 from recordaudit.rules import phrases as W
 from recordaudit.rules.engine import run_rules
@@ -346,7 +346,7 @@ def _(spark, sf):
  UNION ALL SELECT k, 'formula', 'formula:Empirical' FROM g WHERE c % 5 IN (0, 1) UNION ALL SELECT k, 'formula', 'formula:Analysis' FROM g WHERE k % 4 = 0 UNION ALL SELECT k, 'analysis', 'analysis' FROM g WHERE c % 6 IN (0, 1, 2))
 SELECT code, anchor, count(*) AS n, CAST(sum(entry_id) AS BIGINT) AS ids FROM f GROUP BY ALL""")
 def _(spark, sf):
-    found = Y.formula_findings(spread(spark_sql(spark, sf, FIELDS)), spark_sql(spark, sf, NAMED))
+    found = Y.formula_findings(spread_sql(spark, sf, FIELDS), spark_sql(spark, sf, NAMED))
     return found.groupBy("code", "anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("entry_id").alias("ids"))
 
 

@@ -39,3 +39,19 @@ def test_findings(spark):
 def test_element_of_one_field_alone(spark):
     rows = [(1, "Chemical", "Mn2 Mg5 Si8 O22"), (1, "General", "Mg5 S8 O22"), (1, "Empirical", "H2 Mg5 Mn2 O24 Si8"), (2, "Chemical", "Na Cl"), (2, "Empirical", "K Cl")]
     assert [tuple(r) for r in X.lone_elements(fields(spark, rows)).collect()] == [(1, "General", "S")]
+
+
+def test_findings_read_a_formula_once_and_deal_it_by_entry(spark):
+    rows = [(1, "Analytical", "( Pb1.00 Na0.50 )2 T B0.06"), (1, "Analysis", "Pb2.50 Na1.00 Tb0.06"), (1, "Empirical", "Na Pb08 S"), (2, "Analytical", "( Pb1.00"), (2, "Analysis", "Pb1.00")]
+    table, listed = fields(spark, rows), spark.createDataFrame([(1, "BAO")], "entry_id int, constituent string")
+    calls, whole = [], X.formula_atoms
+    X.formula_atoms = lambda c: calls.append(1) or whole(c)
+    try:
+        found = X.formula_findings(table, listed)
+    finally:
+        X.formula_atoms = whole
+    assert len(calls) == 1 and "FullOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.entry_id, r.anchor, r.msg) for r in found.collect()) == [
+        (1, "analysis", "BAO should be BaO"), (1, "formula:Analytical", "Analytical and Analysis disagree: Pb 2.000 vs 2.500"),
+        (1, "formula:Analytical", "the symbol Tb is split in two: T B0.06"), (1, "formula:Empirical", "S stands in no other formula"),
+        (1, "formula:Empirical", "decimal point: Pb08"), (2, "formula:Analytical", "brackets: ( Pb1.00")]
